@@ -4,6 +4,7 @@ import importlib
 
 MODULES = (
     "signal_queries",
+    "evaluation_queries",
 )
 
 

@@ -84,7 +84,7 @@ def main(argv):
             continue
         ts = time.time() - t
         if q.sql is None:
-            print(f"rows {name}: {len(got)} rows {ts:.1f}s", flush=True)
+            print(f"rows-only {name}: {len(got)} rows {ts:.1f}s", flush=True)
             continue
         t = time.time()
         try:
