@@ -5,6 +5,7 @@ import importlib
 MODULES = (
     "signal_queries",
     "evaluation_queries",
+    "portfolio_queries",
 )
 
 
