@@ -17,6 +17,8 @@ from barloom.functions import frames as fr
 HORIZONS = (1, 2, 3, 6, 12, 24, 48, 90, 180)
 LAGS = (1, 3, 6, 12, 24, 48, 90)
 MAX_LAG = 50
+#: a correlation that is zero up to rounding is not a hit
+ZERO = 1e-12
 
 
 def with_forward(p: DataFrame, horizons, close: str = "close") -> DataFrame:
@@ -75,7 +77,7 @@ def series_summary(series: DataFrame, x: str, keys=(), order="ti", max_lag: int
     g = series.filter(c.isNotNull()).groupBy(*keys).agg(
         F.avg(c).alias("mean"),
         F.stddev_samp(c).alias("std"),
-        F.avg((c > 0).cast("double")).alias("hit_rate"),
+        F.avg((c > ZERO).cast("double")).alias("hit_rate"),
         F.count(c).alias("n"),
         F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), c.alias("v")))).alias("_s"),
     )
@@ -127,7 +129,7 @@ def ic_by_period(p: DataFrame, sig: str, horizon: int = 6, unit: str = "year") -
         F.avg("ic").alias("ic_mean"),
         F.stddev_samp("ic").alias("ic_std"),
         F.count("*").alias("n"),
-        F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"),
+        F.avg((F.col("ic") > ZERO).cast("double")).alias("hit_rate"),
     )
 
 

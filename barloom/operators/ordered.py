@@ -99,6 +99,12 @@ def dump_state(state, digits: int | None) -> str:
     return json.dumps(norm(state))
 
 
+def longest_key(df: DataFrame, keys) -> int:
+    """Rows of the longest key: a map-side combined count over the key columns."""
+    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return 0 if top is None else int(top)
+
+
 def scan(
     df: DataFrame,
     keys,
@@ -131,8 +137,7 @@ def scan(
         return kernel(json.loads(state_text), pdf.sort_values(pos, kind="stable"))
 
     if rows_per_key is None:
-        longest = df.agg(F.max(pos)).first()[0]
-        rows_per_key = 0 if longest is None else longest + 1
+        rows_per_key = longest_key(df, keys)
     if rows_per_key <= block_rows:
 
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,8 @@ MODULES = (
     "signal_queries",
     "evaluation_queries",
     "portfolio_queries",
+    "attribution_queries",
+    "tick_queries",
 )
 
 

@@ -63,7 +63,7 @@ def summary_ctes(src: str, x: str, key: str, dst: str, order="ti") -> str:
   JOIN (SELECT unnest(range(1,50)) AS k) l ON l.k < least(50, p.n//4)
   JOIN {dst}_d q ON q.k0=p.k0 AND q.i=p.i-l.k GROUP BY 1,2,3),
 {dst}_den AS (SELECT k0, sum(d*d) AS den, avg(x) AS mean, stddev_samp(x) AS std,
-  avg(CASE WHEN x>0 THEN 1.0 ELSE 0.0 END) AS hit_rate, count(*) AS n FROM {dst}_d GROUP BY k0),
+  avg(CASE WHEN x>1e-12 THEN 1.0 ELSE 0.0 END) AS hit_rate, count(*) AS n FROM {dst}_d GROUP BY k0),
 {dst}_cut AS (SELECT r.*, r.c/d.den AS rho, min(CASE WHEN r.c/d.den<=0 THEN r.k END) OVER (PARTITION BY r.k0) AS cut
   FROM {dst}_rho r JOIN {dst}_den d USING (k0)),
 {dst}_f AS (SELECT k0, 1+sum(2*rho*(1-k/n)) AS factor FROM {dst}_cut WHERE cut IS NULL OR k<cut GROUP BY k0),
@@ -115,7 +115,7 @@ def decay(spark, sf_dir):
     "ic_by_period",
     ic_ctes() + " " + out(
         "(SELECT epoch_ms(date_trunc('year', make_timestamp_ms(ts_ms))) AS period_ms, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std,"
-        " count(*) AS n, avg(CASE WHEN ic>0 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM ic GROUP BY 1)",
+        " count(*) AS n, avg(CASE WHEN ic>1e-12 THEN 1.0 ELSE 0.0 END) AS hit_rate FROM ic GROUP BY 1)",
         "period_ms, n", "ic_mean, ic_std, hit_rate"),
 )
 def by_period(spark, sf_dir):

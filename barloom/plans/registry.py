@@ -28,8 +28,9 @@ def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
-            c = F.when(~F.isnan(c), c)
+            # scaled, rounded half away from zero, scaled back: as the SQL side rounds
+            scale = F.lit(10.0**digits)
+            c = F.when(~F.isnan(c), F.round(c.cast("double") * scale) / scale + F.lit(0.0))
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -56,7 +57,7 @@ TICK_COLUMNS = (
 )
 TICKS_SUPP = f"ticks AS (SELECT l_suppkey AS symbol, {TICK_COLUMNS} FROM lineitem)"
 TICKS_BRAND = (
-    f"ticks AS (SELECT p_brand AS symbol, {TICK_COLUMNS} "
+    f"ticks AS (SELECT p_brand AS symbol, {TICK_COLUMNS.replace('l_extendedprice/l_quantity', 'l_extendedprice/l_quantity + 50000.0')} "
     "FROM lineitem JOIN part ON l_partkey=p_partkey)"
 )
 

@@ -69,6 +69,10 @@ def ticks_by_brand(spark, sf_dir, extra=()) -> DataFrame:
 
 # --- bars and panels -------------------------------------------------------------
 
+#: unit prices of the test lines span four decades and have no history; panels shift
+#: them so that returns stay in a plausible range
+PANEL_PRICE_BASE = 50_000.0
+
 #: additive day measures carried through every resample
 _FLOWS = ("volume", "tick_count", "buy_volume", "rate_sum", "n_a", "n_n", "n_r", "n_o", "n_f")
 
@@ -80,7 +84,7 @@ def day_bars(spark, sf_dir) -> DataFrame:
         spark,
         sf_dir,
         extra=("l_returnflag", "l_linestatus", (F.col("l_discount") - F.col("l_tax")).alias("rate")),
-    )
+    ).withColumn("price", F.col("price") + PANEL_PRICE_BASE)
     return t.groupBy("symbol", "ts_ms").agg(
         F.min_by("price", "seq").alias("open"),
         F.max("price").alias("high"),
