@@ -28,12 +28,12 @@ def div(a, b) -> Column:
 def clip(x, lo=None, hi=None) -> Column:
     """Clip that keeps nulls (least/greatest alone would skip them)."""
     x = col(x)
-    out = x
+    out = x.cast("double")
     if lo is not None:
-        out = F.when(out < lo, F.lit(lo).cast("double")).otherwise(out)
+        out = F.greatest(out, F.lit(float(lo)))
     if hi is not None:
-        out = F.when(out > hi, F.lit(hi).cast("double")).otherwise(out)
-    return out
+        out = F.least(out, F.lit(float(hi)))
+    return F.when(x.isNotNull(), out)
 
 
 def safe_log(x) -> Column:

@@ -16,14 +16,20 @@ from barloom.functions import frames as fr
 _N = NormalDist()
 
 
-@F.pandas_udf("double")
-def norm_cdf(x: pd.Series) -> pd.Series:
-    return x.map(_N.cdf, na_action="ignore").astype(float)
+def norm_cdf(x: Column) -> Column:
+    @F.pandas_udf("double")
+    def cdf(v: pd.Series) -> pd.Series:
+        return v.map(_N.cdf, na_action="ignore").astype(float)
 
+    return cdf(x)
 
-@F.pandas_udf("double")
-def norm_ppf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: _N.inv_cdf(v) if 0 < v < 1 else np.nan, na_action="ignore").astype(float)
+
+def norm_ppf(x: Column) -> Column:
+    @F.pandas_udf("double")
+    def ppf(v: pd.Series) -> pd.Series:
+        return v.map(lambda p: _N.inv_cdf(p) if 0 < p < 1 else np.nan, na_action="ignore").astype(float)
+
+    return ppf(x)
 
 
 # --- return series -------------------------------------------------------------------

@@ -8,6 +8,8 @@ MODULES = (
     "portfolio_queries",
     "attribution_queries",
     "tick_queries",
+    "event_queries",
+    "sizing_queries",
 )
 
 
