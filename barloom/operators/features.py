@@ -92,8 +92,8 @@ def with_hurst(bars: DataFrame, window: int = 50, max_lag: int = 10, q: int = 1)
     absolute difference on the log lag, 0.5 before the window fills."""
     b = bars
     ok = F.row_number().over(_o()) > window
-    for t in range(1, max_lag + 1):
-        b = b.withColumn(f"_d{t}", F.pow(F.abs(F.col("close") - F.lag("close", t).over(_o())), q))
+    gap = lambda t: F.abs(F.col("close") - F.lag("close", t).over(_o()))
+    b = b.withColumns({f"_d{t}": gap(t) if q == 1 else F.pow(gap(t), q) for t in range(1, max_lag + 1)})
     m = {f"_m{t}": F.avg(f"_d{t}").over(_o().rowsBetween(-(window - t), 0)) for t in range(1, max_lag + 1)}
     b = b.withColumns(m)
     b = b.withColumns({f"_y{t}": F.when(F.col(f"_m{t}") > 0, F.log(f"_m{t}")) for t in range(1, max_lag + 1)})

@@ -278,9 +278,9 @@ def edges_array(q: DataFrame, keys, bins: int) -> DataFrame:
     return e.select(*keys, F.aggregate("_e", F.array().cast("array<double>"), step).alias("edges"))
 
 
-def bin_of(x: Column, edges: Column) -> Column:
-    """Right-sided search: the number of inner edges at or below x."""
-    return F.size(F.filter(edges, lambda e: e <= x))
+def bin_of(x: Column, edges: Column, bins: int) -> Column:
+    """Right-sided search: the number of the bins - 1 inner edges at or below x."""
+    return sum(F.coalesce((F.get(edges, F.lit(i)) <= x).cast("int"), F.lit(0)) for i in range(bins - 1))
 
 
 def valid_trades(trades: DataFrame) -> DataFrame:
@@ -296,10 +296,10 @@ def kelly_bins(trades: DataFrame, bins: int = 10):
     qs = [i / bins for i in range(bins + 1)]
     t = valid_trades(trades)
     p_edges = edges_array(exact_quantiles(t, [], "p_i", qs, unit_bucket()), [], bins)
-    t = t.withColumn("p_bin", bin_of(F.col("p_i"), p_edges.scalar()))
+    t = t.withColumn("_e", p_edges.scalar()).withColumn("p_bin", bin_of(F.col("p_i"), F.col("_e"), bins)).drop("_e")
     c_edges = edges_array(exact_quantiles(t, ["p_bin"], "p_chop_i", qs, unit_bucket()), ["p_bin"], bins)
     # ten rows: small whatever the trades weigh
-    t = t.join(c_edges, "p_bin").withColumn("chop_bin", bin_of(F.col("p_chop_i"), F.col("edges"))).drop("edges")
+    t = t.join(c_edges, "p_bin").withColumn("chop_bin", bin_of(F.col("p_chop_i"), F.col("edges"), bins)).drop("edges")
     return t, p_edges, c_edges
 
 
@@ -313,11 +313,11 @@ def kelly_table(binned: DataFrame, f_max: float = F_MAX, prior: float = 0.0, shr
     return b.select(*keys, "n", F.greatest(f, F.lit(0.0)).alias("f"))
 
 
-def kelly_lookup(trades: DataFrame, table: DataFrame, p_edges: DataFrame, c_edges: DataFrame, fade: bool, gate: float = 0.6) -> DataFrame:
+def kelly_lookup(trades: DataFrame, table: DataFrame, p_edges: DataFrame, c_edges: DataFrame, bins: int, fade: bool, gate: float = 0.6) -> DataFrame:
     """Trades plus mode and f_target from a Kelly table and its edges."""
     t = trades.withColumn("mode", trade_mode(F.col("p_i"), F.col("p_chop_i"), fade, gate))
-    t = t.withColumn("p_bin", bin_of(F.col("p_i"), p_edges.scalar())).join(c_edges, "p_bin", "left")
-    t = t.withColumn("chop_bin", bin_of(F.col("p_chop_i"), F.col("edges"))).drop("edges")
+    t = t.withColumn("_e", p_edges.scalar()).withColumn("p_bin", bin_of(F.col("p_i"), F.col("_e"), bins)).drop("_e").join(c_edges, "p_bin", "left")
+    t = t.withColumn("chop_bin", bin_of(F.col("p_chop_i"), F.col("edges"), bins)).drop("edges")
     j = t.join(table.select("p_bin", "chop_bin", "f"), ["p_bin", "chop_bin"], "left")
     return j.withColumn("f_target", F.when(F.col("mode") == "none", 0.0).otherwise(F.coalesce("f", F.lit(0.0)))).drop("f")
 

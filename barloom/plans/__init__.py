@@ -10,6 +10,7 @@ MODULES = (
     "tick_queries",
     "event_queries",
     "sizing_queries",
+    "learning_queries",
 )
 
 

@@ -118,7 +118,7 @@ def position_size(r):
 PNL = """SELECT *, (notional*0.0004 + CASE WHEN liq THEN 0 ELSE notional*(ex/entry)*0.0001 END) AS fee_paid, CASE WHEN liq THEN -notional/qty ELSE mv*notional END AS gross_pnl FROM (SELECT *, entry*(1+disc-0.05) AS ex, side*(entry*(1+disc-0.05)-entry)/entry AS mv, sigma>=0.08 AS liq FROM tr)"""
 
 
-@both("realized_pnl", f"SELECT *, CASE WHEN liq THEN gross_pnl-notional*0.0004 ELSE gross_pnl-fee_paid-1.5 END AS net_pnl, CASE WHEN liq THEN mv ELSE (gross_pnl-fee_paid-1.5)/notional END AS realized_return FROM ({PNL})", "", "gross_pnl, net_pnl, realized_return, fee_paid")
+@both("realized_pnl", f"SELECT *, CASE WHEN liq THEN gross_pnl-notional*0.0004 ELSE mv*notional-notional*0.0004-notional*(ex/entry)*0.0001-1.5 END AS net_pnl, CASE WHEN liq THEN mv ELSE (mv*notional-notional*0.0004-notional*(ex/entry)*0.0001-1.5)/notional END AS realized_return FROM ({PNL})", "", "gross_pnl, net_pnl, realized_return, fee_paid")
 def pnl(r):
     reason = F.when(F.col("sigma") >= 0.08, "LIQUIDATION").otherwise("SL")
     p = sz.realized_pnl(F.col("entry"), F.col("entry") * (1 + F.col("disc") - 0.05), F.col("side"), F.col("notional"), F.col("qty"), reason, exit_fill="maker", funding=1.5)
@@ -177,7 +177,7 @@ def kelly_table(spark, sf_dir):
 @query("kelly_lookup")
 def kelly_lookup(spark, sf_dir):
     t, p, c = sz.kelly_bins(trades(spark, sf_dir), 5)
-    return sz.kelly_lookup(rows(spark, sf_dir), sz.kelly_table(t, replicates=50), p, c, True).select(*KEYS, "mode", "p_bin", "chop_bin", "f_target")
+    return sz.kelly_lookup(rows(spark, sf_dir), sz.kelly_table(t, replicates=50), p, c, 5, True).select(*KEYS, "mode", "p_bin", "chop_bin", "f_target")
 
 
 @query("regime_kelly")
