@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions import frames as fr
+from barloom.operators.ordered import positions
+from barloom.session import checkpoint_dir
 
 
 def training_rows(labels: DataFrame, feats: DataFrame, names) -> DataFrame:
@@ -40,6 +42,12 @@ def predict(model, rows: DataFrame, out: str = "p") -> DataFrame:
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
+def settle(*frames: DataFrame) -> list[DataFrame]:
+    """Write inputs that many fits read, so no fit derives them again."""
+    checkpoint_dir(frames[0].sparkSession)
+    return [f.checkpoint() for f in frames]
+
+
 def of_role(rows: DataFrame, splits: DataFrame, fold: int, role: str) -> DataFrame:
     s = splits.filter((F.col("fold") == fold) & (F.col("role") == role)).select("symbol", "t0")
     return rows.join(s, ["symbol", "t0"], "left_semi")
@@ -50,7 +58,7 @@ def out_of_fold(rows: DataFrame, splits: DataFrame, folds: int, **kw) -> DataFra
 
     The driver loops over the folds only; each fit and scoring is a Spark job.
     """
-    rows = rows.persist()
+    rows, splits = settle(rows, splits)
     parts = []
     for f in range(folds):
         m = forest(of_role(rows, splits, f, "train"), **kw)
@@ -80,17 +88,18 @@ def mdi(model, names, spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, mdi_mean double, mdi_std double")
 
 
-def shuffled(rows: DataFrame, name: str, seed: int, keys=("fold",)) -> DataFrame:
-    """Column permuted within each fold: its values in hash order meet the rows in
-    another hash order. Ranks come from per-bucket counts, not one sort per fold."""
-    from barloom.operators.ordered import positions
+def permuted(rows: DataFrame, names, seed: int, keys=("fold",)) -> DataFrame:
+    """Adds ``_v_<name>``: the columns permuted within each key.
 
+    The values in one hash order meet the rows in another; positions come from bucket
+    counts, not from one sort per key.
+    """
     keys = list(keys)
-    buckets = lambda c: F.shiftright(c, 48)
     h = lambda s: F.xxhash64("symbol", "t0", F.lit(s))
-    a = positions(rows.withColumn("_h", h(seed)), keys, ["_h"], [buckets(F.col("_h"))], "_i").drop("_h")
-    b = positions(rows.select(*keys, "symbol", "t0", F.col(name).alias("_v")).withColumn("_h", h(seed + 1)), keys, ["_h"], [buckets(F.col("_h"))], "_i")
-    return a.drop(name).join(b.select(*keys, "_i", F.col("_v").alias(name)), keys + ["_i"]).drop("_i")
+    place = lambda d: positions(d, keys, ["_h"], [F.shiftright("_h", 48)], "_i").drop("_h")
+    a = place(rows.withColumn("_h", h(seed)))
+    b = place(rows.select(*keys, *[F.col(n).alias(f"_v_{n}") for n in names], h(seed + 1).alias("_h")))
+    return a.join(b, keys + ["_i"]).drop("_i")
 
 
 def accuracy(scored: DataFrame, keys=("fold",)) -> DataFrame:
@@ -99,27 +108,35 @@ def accuracy(scored: DataFrame, keys=("fold",)) -> DataFrame:
 
 
 def mda(rows: DataFrame, splits: DataFrame, folds: int, names, seed: int = 42, **kw) -> DataFrame:
-    """Score lost when one column is shuffled out of fold."""
-    rows = rows.persist()
+    """Score lost when one column is permuted out of fold.
+
+    A fold's test rows are copied once per column with that column replaced, so one
+    scoring per fold covers every column.
+    """
+    rows, splits = settle(rows, splits)
+    names = list(names)
     parts = []
     for f in range(folds):
         m = forest(of_role(rows, splits, f, "train"), **kw)
-        test = of_role(rows, splits, f, "test").withColumn("fold", F.lit(f))
-        base = accuracy(predict(m, test)).withColumnRenamed("score", "base")
-        for i, n in enumerate(names):
-            s = shuffled(test.drop("x"), n, seed + 2 * i)
-            s = VectorAssembler(inputCols=list(names), outputCol="x").transform(s)
-            d = accuracy(predict(m, s)).join(base, "fold").select(F.lit(n).alias("feature"), (F.col("base") - F.col("score")).alias("drop"))
-            parts.append(d)
-    out = parts[0]
+        test = permuted(of_role(rows, splits, f, "test").drop("x").withColumn("fold", F.lit(f)), names, seed)
+        copies = [
+            F.struct(F.lit(n or "").alias("feature"), *[F.col(f"_v_{c}" if c == n else c).alias(c) for c in names])
+            for n in [None, *names]
+        ]
+        t = test.select("fold", "label", F.explode(F.array(*copies)).alias("c")).select("fold", "label", "c.*")
+        parts.append(predict(m, VectorAssembler(inputCols=names, outputCol="x").transform(t)))
+    scored = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("feature").agg(F.avg("drop").alias("mda_mean"), (F.stddev_samp("drop") / F.sqrt(F.count("*"))).alias("mda_std"))
+        scored = scored.unionByName(p)
+    a = accuracy(scored, ("fold", "feature"))
+    base = F.max(F.when(F.col("feature") == "", F.col("score"))).over(Window.partitionBy("fold"))
+    d = a.withColumn("drop", base - F.col("score")).filter("feature <> ''")
+    return d.groupBy("feature").agg(F.avg("drop").alias("mda_mean"), (F.stddev_samp("drop") / F.sqrt(F.count("*"))).alias("mda_std"))
 
 
 def sfi(rows: DataFrame, splits: DataFrame, folds: int, names, **kw) -> DataFrame:
     """Out-of-fold score of each feature alone."""
-    rows = rows.persist()
+    rows, splits = settle(rows, splits)
     parts = []
     for n in names:
         one = VectorAssembler(inputCols=[n], outputCol="x1").transform(rows)

@@ -11,6 +11,7 @@ MODULES = (
     "event_queries",
     "sizing_queries",
     "learning_queries",
+    "streaming_queries",
 )
 
 

@@ -15,7 +15,7 @@ from barloom.plans.registry import arank, out, query
 
 NAMES = ("hl_spread", "ret_1", "ret_5", "vol_ratio", "range_position", "ofi_ma5")
 K = 3
-SMALL = dict(trees=10, depth=4)
+SMALL = dict(trees=8, depth=3)
 
 
 def training(spark, sf_dir):
@@ -23,7 +23,7 @@ def training(spark, sf_dir):
     w = ev.sample_weights(ev.average_uniqueness(l, ev.concurrency(l, b))).select("symbol", "t0", "t1", "label", "weight")
     rows = ln.training_rows(w, ft.batch_features(b), NAMES)
     splits = ev.purged_kfold(l.select("symbol", "t0", "t1"), K, 5)
-    return rows, splits
+    return ln.settle(rows, splits)
 
 
 @query("weighted_forest")
@@ -35,7 +35,7 @@ def weighted_forest(spark, sf_dir):
 @query("isotonic_calibration")
 def calibration(spark, sf_dir):
     rows, splits = training(spark, sf_dir)
-    oof = ln.out_of_fold(rows, splits, K, **SMALL)
+    (oof,) = ln.settle(ln.out_of_fold(rows, splits, K, **SMALL))
     return ln.isotonic_calibration(oof, oof, K).select("symbol", "t0", "p", "calibrated")
 
 
@@ -110,11 +110,11 @@ def cpcv_trades(spark, sf_dir):
     """Events, labels, fold models, bounded exits, funding and profit in one table."""
     groups, tests, n_folds = 4, 2, 6
     b, e = barrier_events(spark, sf_dir)
-    b = b.join(ft.efficiency_regime(b), ["symbol", "bar_idx"])
-    l = ev.triple_barrier(e.select("symbol", "t0", "side", "entry", "tp", "sl"), b)
+    b, e = ln.settle(b.join(ft.efficiency_regime(b), ["symbol", "bar_idx"]), e)
+    (l,) = ln.settle(ev.triple_barrier(e.select("symbol", "t0", "side", "entry", "tp", "sl"), b))
     w = ev.sample_weights(ev.average_uniqueness(l, ev.concurrency(l, b))).select("symbol", "t0", "t1", "label", "weight")
     rows = ln.training_rows(w, ft.batch_features(b), NAMES)
-    splits = ev.combinatorial_purged(l.select("symbol", "t0", "t1"), groups, tests, 5)
+    rows, splits = ln.settle(rows, ev.combinatorial_purged(l.select("symbol", "t0", "t1"), groups, tests, 5))
     oof = ln.out_of_fold(rows, splits, n_folds, **SMALL).select("symbol", "t0", "fold", F.col("p").alias("p_i"))
     ends = splits.filter("role = 'test'").groupBy("symbol", "fold").agg(F.max("t1").alias("fold_end"))
     thr = ev.exit_threshold(splits.filter("role = 'train'").join(b.select("symbol", F.col("bar_idx").alias("t0"), "p_trend"), ["symbol", "t0"]), ["symbol", "fold"]).withColumnRenamed("threshold", "thr")

@@ -146,7 +146,8 @@ def kelly_edges(spark, sf_dir):
 
 @query(
     "kelly_bins",
-    f"{TRD}, {EDG}, cb AS (SELECT pb.p_bin, pb.ret, (SELECT count(*) FROM ce WHERE ce.p_bin=pb.p_bin AND ce.e<=pb.p_chop_i) AS chop_bin FROM pb), q AS (SELECT p_bin, chop_bin, count(*) AS n, avg(ret) AS mean_ret FROM cb GROUP BY 1,2) " + out("q", "p_bin, chop_bin, n", "mean_ret"),
+    f"{TRD}, {EDG}, cb AS (SELECT pb.p_bin, pb.ret, (SELECT count(*) FROM ce WHERE ce.p_bin=pb.p_bin AND ce.e<=pb.p_chop_i) AS chop_bin FROM pb), q AS (SELECT p_bin, chop_bin, count(*) AS n, avg(ret) AS mean_ret FROM cb GROUP BY 1,2) " + out("q", "p_bin, chop_bin, n", "mean_ret", 9),
+    digits=9,
 )
 def kelly_bins(spark, sf_dir):
     t, _, _ = sz.kelly_bins(trades(spark, sf_dir), 5)
