@@ -375,3 +375,61 @@ def bootstrap_table(
         (F.percentile("final", F.lit(0.95)) - 1.0).alias("p95"),
         (F.first("leverage") * F.max("sd") * np.sqrt(ppy)).alias("ann_vol_implied"),
     )
+
+
+def path_risk(fine: DataFrame, levers, bars_per_period: int = 18, maintenance: float = 0.01) -> DataFrame:
+    """(leverage, max_dd, ruin_share) with sizes held fixed inside each period.
+
+    Inside a period equity is e0 (1 + L c) with c the summed return so far; a period
+    that touches the maintenance level is a ruin and keeps its first bar only. Periods
+    are chained by a running product, one row per period.
+    """
+    o = Window.partitionBy(F.lit(0)).orderBy("ti")  # one strategy, one row per bar
+    r = fine.filter(F.col("ret").isNotNull()).withColumn("_i", F.row_number().over(o) - 1)
+    r = r.withColumn("p", F.floor(F.col("_i") / bars_per_period))
+    run = Window.partitionBy("p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("c", F.sum("ret").over(run))
+    per = r.groupBy("p").agg(
+        F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "_i").alias("c0"), F.max_by("c", "_i").alias("c1")
+    ).filter(F.col("n") == bars_per_period)
+    q = explode_grid(per, "leverage", [float(v) for v in levers])
+    lev = F.col("leverage")
+    q = q.withColumn("ruin", 1.0 + lev * F.col("lo") <= maintenance * lev)
+    f = F.when(F.col("ruin"), F.greatest(F.lit(1e-12), 1.0 + lev * F.col("c0"))).otherwise(1.0 + lev * F.col("c1"))
+    w = Window.partitionBy("leverage").orderBy("p")
+    q = q.withColumn("_f", f)
+    q = q.withColumn("e0", F.coalesce(F.product("_f").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
+    top = F.when(~F.col("ruin"), F.col("e0") * (1.0 + lev * F.col("hi")))
+    q = q.withColumn("peak", F.greatest(F.lit(1.0), F.coalesce(F.max(top).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))))
+    dd = F.when(F.col("ruin"), 1.0).otherwise(1.0 - F.col("e0") * (1.0 + lev * F.col("lo")) / F.col("peak"))
+    return q.groupBy("leverage").agg(
+        F.greatest(F.lit(0.0), F.max(dd)).alias("max_dd"), F.avg(F.col("ruin").cast("double")).alias("ruin_share")
+    )
+
+
+def executable_leverage(returns: DataFrame, target: float, window: int, ppy: float, floor: float, cap: float, dd_start=0.0, dd_stop=0.0, peak_window: int = 60, keys=("name",)) -> DataFrame:
+    """Leverage limited to {0} or [floor, cap]; drawdown measured from a sliding peak."""
+    k = dict(keys=tuple(keys))
+    r = returns.filter(F.col("ret").isNotNull()).withColumn("_v", fr.roll_std("ret", window, max(5, window // 3), **k))
+    r = r.withColumn("raw", fr.div(F.lit(target), fr.lag("_v", 1, **k) * float(np.sqrt(ppy))))
+    fields = [returns.schema[c] for c in keys] + [T.StructField("ti", T.IntegerType())]
+    out = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in ("ret", "leverage", "equity")])
+    span = max(dd_stop - dd_start, 1e-9)
+
+    def walk(pdf):
+        curve, rows = [1.0], []
+        for r, lev in zip(pdf["ret"].to_numpy(), pdf["raw"].to_numpy(float)):
+            lev = lev if np.isfinite(lev) else floor
+            if dd_stop > dd_start:
+                dd = 1.0 - curve[-1] / max(curve[-peak_window:])
+                if dd > dd_start:
+                    lev *= min(max(1.0 - (dd - dd_start) / span, 0.0), 1.0)
+            lev = 0.0 if lev < floor else min(lev, cap)
+            step = max(lev * r, -0.999)
+            curve.append(curve[-1] * (1.0 + step))
+            rows.append((step, lev, curve[-1]))
+        res = pdf[list(keys) + ["ti"]].copy()
+        res[["ret", "leverage", "equity"]] = np.array(rows).reshape(-1, 3)
+        return res
+
+    return per_series(r, list(keys), walk, out, ["ret", "raw"])

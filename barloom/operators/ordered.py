@@ -156,9 +156,15 @@ def scan(
         state, _ = run(right["_start"].iloc[0], left)
         return pd.DataFrame([list(k) + [dump_state(state, digits)]], columns=group + ["_end"])
 
+    def beside(left: DataFrame, starts: DataFrame):
+        """Blocks next to their start state (renamed: both come from the same rows)."""
+        named = [f"_s{i}" for i in range(len(group))]
+        right = starts.select(*group, "_start").toDF(*named, "_start")
+        return left.groupBy(*group).cogroup(right.groupBy(*named))
+
     def run_blocks(starts: DataFrame) -> DataFrame:
         todo = rows.join(starts.select(*group), group, "left_semi")
-        return todo.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(ends, end_schema)
+        return beside(todo, starts).applyInPandas(ends, end_schema)
 
     starts = rows.select(*group).distinct().withColumn("_start", F.lit(start)).checkpoint()
     finished = run_blocks(starts).checkpoint()
@@ -182,7 +188,7 @@ def scan(
     def final(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return run(right["_start"].iloc[0], left)[1][out_names]
 
-    return rows.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(final, schema)
+    return beside(rows, starts).applyInPandas(final, schema)
 
 
 def per_series(df: DataFrame, keys, kernel: Callable, schema, columns, order="ti") -> DataFrame:

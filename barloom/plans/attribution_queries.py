@@ -486,3 +486,14 @@ def deflated_sharpe(spark, sf_dir):
     q = q.withColumn("dsr", st.psr(F.col("sr"), F.col("expected_max"), F.col("n"), F.col("skew"), F.col("kurt")))
     q = q.withColumn("psr", st.psr(F.col("sr"), F.lit(0.0), F.col("n"), F.col("skew"), F.col("kurt")))
     return q.select("every", "frac", "trials", "n", "sr", "expected_max", "psr", "dsr", (F.col("dsr") >= 0.95).alias("approved"))
+
+
+@query("path_risk_grid")
+def path_risk(spark, sf_dir):
+    r = named_returns(spark, sf_dir).filter(F.col("name") == TWO[0])
+    return at.path_risk(r, GRID, 6)
+
+
+@query("executable_leverage")
+def executable_leverage(spark, sf_dir):
+    return at.executable_leverage(named_returns(spark, sf_dir), 0.3, 60, PPY, 0.5, 3.0, 0.1, 0.25)

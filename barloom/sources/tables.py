@@ -232,3 +232,33 @@ def params_hash(*cols: str) -> F.Column:
 def dedupe_last(df: DataFrame, keys, order) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def read_spreads(spark, path: str) -> DataFrame:
+    """(symbol, spread_bps) from a JSON map of symbol to spread."""
+    m = F.from_json("value", "map<string,double>")
+    return spark.read.text(path, wholetext=True).select(F.explode(m).alias("symbol", "spread_bps"))
+
+
+def export_segments(parts: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:
+    """Attribution tables with their segment label, one file set."""
+    out = None
+    for label, df in parts.items():
+        d = df.withColumn("segment", F.lit(label))
+        out = d if out is None else out.unionByName(d)
+    w = out.write.mode("overwrite")
+    w.option("header", "true").csv(path) if fmt == "csv" else w.parquet(path)
+
+
+def count_trials(spark, folder: str) -> DataFrame:
+    """Number of logged trials: non-blank lines over all files of a folder."""
+    return spark.read.text(folder).filter(F.length(F.trim("value")) > 0).agg(F.count("*").alias("n_trials"))
+
+
+def load_bars(spark, path: str | None, live: bool = False) -> DataFrame:
+    """Bars of a file; a live mode refuses to run without one."""
+    if path is None:
+        if live:
+            raise ValueError("live modes need a data file")
+        raise ValueError("no data file given")
+    return read_bars(spark, path)
