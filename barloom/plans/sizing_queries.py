@@ -402,7 +402,7 @@ def exposure(spark, sf_dir):
     return lg.exposure(p, equity=1e6, target=2.0)
 
 
-RB = f"""{POS}, {_PX}, tg AS (SELECT symbol, qty AS weight FROM ex WHERE symbol%7<>0), j AS (SELECT coalesce(tg.symbol,it.symbol) AS symbol, coalesce(weight,0) AS w, coalesce(it.qty,0) AS held FROM tg FULL JOIN it ON it.symbol=tg.symbol),
+RB = f"""{POS}, {_PX}, tg AS (SELECT symbol, qty AS weight FROM ex WHERE qty<60), j AS (SELECT coalesce(tg.symbol,it.symbol) AS symbol, coalesce(weight,0) AS w, coalesce(it.qty,0) AS held FROM tg FULL JOIN it ON it.symbol=tg.symbol),
 k AS (SELECT j.*, price, w/sum(abs(w)) OVER ()*5e7 AS tn FROM j JOIN px USING (symbol)), l AS (SELECT *, sign(tn/price)*floor((abs(tn/price)+1e-12)/5.0)*5.0 AS q0 FROM k),
 m AS (SELECT *, CASE WHEN q0<>0 AND NOT (abs(q0)>=5 AND abs(q0)*price>=20000) THEN 0 ELSE q0 END AS tq FROM l), n AS (SELECT *, CASE WHEN tq=held THEN 0 ELSE sign(tq-held)*floor((abs(tq-held)+1e-12)/5.0)*5.0 END AS d FROM m),
 o AS (SELECT *, CASE WHEN d=0 THEN 'hold' WHEN NOT (held<>0 AND tq=0) AND abs(d)<0.2*CASE WHEN tq<>0 THEN abs(tq) ELSE abs(held) END THEN 'band' WHEN NOT ((held<>0 AND tq=0) OR (abs(tq)<abs(held) AND held*tq>=0)) AND NOT (abs(d)>=5 AND abs(d)*price>=20000) THEN 'skip' ELSE 'order' END AS status FROM n),
@@ -410,7 +410,7 @@ rb AS (SELECT symbol, status, CASE WHEN status='order' THEN CASE WHEN d>0 THEN '
 
 
 def rebalance(spark, sf_dir):
-    t = lg.net_position(fills(spark, sf_dir, "l_returnflag <> 'A'")).filter("symbol % 7 <> 0").withColumnRenamed("qty", "weight").withColumn("plan", F.lit(1))
+    t = lg.net_position(fills(spark, sf_dir, "l_returnflag <> 'A'")).filter("qty < 60").withColumnRenamed("qty", "weight").withColumn("plan", F.lit(1))
     h = lg.net_position(fills(spark, sf_dir, "l_returnflag <> 'R'")).withColumn("plan", F.lit(1))
     m = prices(spark, sf_dir).withColumns({"step": F.lit(5.0), "min_qty": F.lit(5.0), "min_notional": F.lit(20000.0)})
     return lg.rebalance_rows(t, h, m, 5e7, keys=("plan",))
