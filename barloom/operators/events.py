@@ -343,7 +343,9 @@ def funding_accrued(trades: DataFrame, rates: DataFrame | None = None, rate: flo
     s = settlements(F.col("entry_ts"), F.col("exit_ts"), hours)
     if rates is None:
         r = max(-cap, min(cap, rate))
-        return trades.withColumn("funding_usd", F.size(s) * F.col("size_notional") * r * F.col("side"))
+        step = hours * HOUR_MS  # settlements in (entry, exit], counted without listing them
+        n = F.greatest(F.floor(F.col("exit_ts") / step) - F.floor(F.col("entry_ts") / step), F.lit(0))
+        return trades.withColumn("funding_usd", n * F.col("size_notional") * r * F.col("side"))
     on = ["symbol", "ts_ms"]
     x = trades.select("symbol", "entry_ts", "exit_ts", F.explode(s).alias("ts_ms")).distinct()
     per = x.join(rates.select(*on, fr.clip(F.col("rate"), -cap, cap).alias("r")), on).groupBy(

@@ -129,20 +129,62 @@ def project_neutral(spark, sf_dir):
     return p.withColumns(pf.project_neutral("w", "beta")).select("ts_ms", "symbol", "w")
 
 
-@query("cap_and_scale")
+_P = "OVER (PARTITION BY ti)"
+
+
+def cap_ctes(src: str, dst: str, rounds: int = 8) -> str:
+    """Gross 1 with a cap of 0.2, the overflow spread over the rest, unrolled."""
+    parts = [f"{dst}_b0 AS (SELECT ti, symbol, CASE WHEN sum(abs(w)) {_P}<=1e-12 THEN 0 ELSE w/sum(abs(w)) {_P} END AS w, false AS fin FROM {src})"]
+    for r in range(rounds):
+        parts.append(
+            f"{dst}_a{r} AS (SELECT *, abs(w)>0.2+1e-12 AS o, count(*) FILTER (abs(w)>0.2+1e-12) {_P} AS m, sum(CASE WHEN abs(w)>0.2+1e-12 THEN 0 ELSE abs(w) END) {_P} AS rest FROM {dst}_b{r}),"
+            f"{dst}_b{r + 1} AS (SELECT ti, symbol, CASE WHEN fin OR m=0 THEN w WHEN o THEN sign(w)*0.2 WHEN rest<=1e-12 OR 1-0.2*m<=0 THEN w ELSE w/rest*(1-0.2*m) END AS w,"
+            f" fin OR m=0 OR rest<=1e-12 OR 1-0.2*m<=0 AS fin FROM {dst}_a{r})"
+        )
+    return ",".join(parts) + f",{dst} AS (SELECT ti, symbol, w FROM {dst}_b{rounds})"
+
+
+def finish_ctes(src: str, dst: str) -> str:
+    """Three rounds of cap and projection, then gross 1."""
+    parts, cur = [], src
+    for r in range(3):
+        parts.append(cap_ctes(cur, f"{dst}_c{r}"))
+        parts.append(f"{dst}_p{r} AS (SELECT ti, symbol, CASE WHEN w<>0 AND count(*) FILTER (w<>0) {_P}>=3 THEN w-sum(w) {_P}/count(*) FILTER (w<>0) {_P} ELSE 0 END AS w FROM {dst}_c{r})")
+        cur = f"{dst}_p{r}"
+    parts.append(f"{dst} AS (SELECT ti, symbol, w/greatest(sum(abs(w)) {_P},1e-12) AS w FROM {cur})")
+    return ",".join(parts)
+
+
+@query("cap_and_scale", f"{_SR}, {_IV}, {cap_ctes('dn', 'cs')} " + out("cs", "ti, symbol", "w"))
 def cap_and_scale(spark, sf_dir):
     p = _neutral(spark, sf_dir)
     return pf.cap_and_scale(p, "w").select("ti", "symbol", "w")
 
 
-def _built(name, spec):
-    @query(name)
+# side-neutral sized weights of eight positions; {size} is the size of a chosen name
+RAW_W = f"""{BASE}, {RISK}, sv AS (SELECT sg.*, rk.vol, rk.beta FROM sg JOIN rk USING (symbol, ti)),
+ra AS (SELECT *, count(s) {_P} AS n, row_number() OVER (PARTITION BY ti ORDER BY s ASC NULLS LAST, symbol) AS pos, avg(s) {_P} AS mu, stddev_samp(s) {_P} AS sd, quantile_cont(vol,0.1) {_P} AS p10, quantile_cont(vol,0.5) {_P} AS p50 FROM sv),
+rb AS (SELECT *, greatest(1,least(4,n//2)) AS k, CASE WHEN p10>0 THEN p10 WHEN p50>0 THEN p50 END AS fl FROM ra),
+rc AS (SELECT *, CASE WHEN s IS NOT NULL AND n>=4 AND pos>n-k THEN 1.0 WHEN s IS NOT NULL AND n>=4 AND pos<=k THEN -1.0 ELSE 0.0 END AS sel FROM rb),
+rd AS (SELECT *, count(*) FILTER (sel<>0) {_P} AS m FROM rc),
+re AS (SELECT ti, symbol, coalesce(CASE WHEN sel<>0 AND fl IS NOT NULL AND m>=6 THEN {{size}} END,0) AS w FROM rd),
+rf AS (SELECT *, sum(CASE WHEN w>0 THEN w ELSE 0 END) {_P} AS up, sum(CASE WHEN w<0 THEN -w ELSE 0 END) {_P} AS dn FROM re),
+rg AS (SELECT ti, symbol, CASE WHEN up>1e-12 AND dn>1e-12 THEN CASE WHEN w>0 THEN w/up*0.5 WHEN w<0 THEN w/dn*0.5 ELSE 0 END ELSE 0 END AS w FROM rf)"""
+_ZSIZE = "CASE WHEN sd>1e-12 THEN least(2.5,abs((s-mu)/sd))*sel/CASE WHEN vol>fl THEN vol ELSE fl END END"
+
+
+def weights_sql(size: str) -> str:
+    return f"{RAW_W.format(size=size)}, {finish_ctes('rg', 'fw')} " + out("fw", "ti, symbol", "w")
+
+
+def _built(name, spec, sql=None):
+    @query(name, sql)
     def run(spark, sf_dir):
         return pf.build_weights(risky(spark, sf_dir), SIG, spec, risk=False)
 
 
-_built("build_weights_zscore_riskparity", pf.PortfolioSpec())
-_built("build_weights_rank_binary", pf.PortfolioSpec(mode="rank_binary", n_positions=8))
+_built("build_weights_zscore_riskparity", pf.PortfolioSpec(n_positions=8), weights_sql(_ZSIZE))
+_built("build_weights_rank_binary", pf.PortfolioSpec(mode="rank_binary", n_positions=8), weights_sql("sel"))
 _built("build_weights_beta_neutral", pf.PortfolioSpec(beta_neutral=True, n_positions=12))
 _built("build_weights_buffered", pf.PortfolioSpec(exit_frac=0.2, n_positions=8))
 _built("build_weights_mvo", pf.PortfolioSpec(mode="mvo", n_positions=8, cov_window=120))
