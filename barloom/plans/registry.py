@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.session import ship
+
 DIGITS = 6
 
 
@@ -41,7 +43,13 @@ def query(name: str, sql: str | None = None, digits: int = DIGITS):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = Query(name, lambda s, d: tidy(fn(s, d), digits), sql)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return tidy(fn(spark, sf_dir), digits)
+
+        run.__module__ = fn.__module__
+        QUERIES[name] = Query(name, run, sql)
         return fn
 
     return register

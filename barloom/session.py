@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,3 +51,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     )
     return spark.sparkContext.getCheckpointDir()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once per context.
+
+    Kernels are pickled by reference; a driver started outside the package folder, or a
+    cluster without an installed wheel, would not find them otherwise.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_barloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    archive = shutil.make_archive(
+        os.path.join(folder, "barloom_pkg"), "zip", root_dir=os.path.dirname(package), base_dir=os.path.basename(package)
+    )
+    sc.addPyFile(archive)
+    sc._barloom_shipped = True

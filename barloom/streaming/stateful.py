@@ -8,10 +8,12 @@ marked ``late`` and leaves the state alone, so late data is visible, not lost.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +69,9 @@ class KernelProcessor(StatefulProcessor):
 def run_kernel(df: DataFrame, keys, ts: str, step: Callable, inputs, outputs: list[T.StructField], initial=None) -> DataFrame:
     """(keys.., ts, outputs.., late) for a stream or a static frame."""
     keys = list(keys)
+    # the stateful runner does not see added files: send the two modules by value
+    for m in (sys.modules[__name__], kn):
+        cloudpickle.register_pickle_by_value(m)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     schema = T.StructType(
         [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
