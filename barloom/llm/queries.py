@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import minhash, substrings
+from barloom.llm import fmindex, minhash, substrings
 from barloom.llm.common import read
 from barloom.llm.registry import ENTRIES, entry
 
 __all__ = ["ENTRIES"]
 
-_PLAIN_WORDS = r"list_filter(regexp_split_to_array(coalesce(text,''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_PLAIN_WORDS = r"list_filter(regexp_split_to_array(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_FOLDED_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP3_SQL = f"""
+WITH w AS (SELECT doc_id, {_FOLDED_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_FOLDED_WORDS} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, md5(array_to_string(ws[i:i+least(10,len(ws))-1], ' ')) AS k
+ FROM b, unnest(range(1, len(ws)-least(10,len(ws))+2)) t(i) WHERE len(ws) > 0),
+n AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, md5(array_to_string(ws[i:i+n-1], ' ')) AS k FROM w, n, unnest(range(1, len(ws)-n+2)) t(i)),
+hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, k)),
+cov AS (SELECT doc_id, count(DISTINCT i+j) AS n_hit FROM hit, range(60) r(j) WHERE j < n GROUP BY doc_id),
+it AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(len(ids),0) AS n_items,
+ sha256(coalesce(array_to_string(list_sort(ids),','),'')) AS items_sha256, coalesce(n_hit,0) > 0 AS contaminated
+FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 OP7_SQL = f"""
 WITH w AS (SELECT doc_id, {_PLAIN_WORDS} AS ws FROM documents),
@@ -23,6 +39,11 @@ SELECT doc_id, len(ws) AS n_words, len(ws)-coalesce(n,0) AS n_removed, sha256(co
 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
+@entry("op3_benchmark_decontamination", OP3_SQL)
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @entry("op7_substring_dedup", OP7_SQL)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(read(spark, sf_dir, "documents"))

@@ -185,23 +185,10 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the words of ``spans``; what lies between the other words stays as it is."""
-    raw = text.encode()
-    data = np.frombuffer(raw, np.uint8)
-    _, starts, ends, _ = words.hashes(data, np.array([0, len(data)]), words.PLAIN)
-    out, at = [], 0
-    for lo, hi in spans:
-        out.append(raw[at : starts[lo]])
-        at = int(starts[hi]) if hi < len(starts) else int(ends[-1])
-    out.append(raw[at:])
-    return b"".join(out).decode()
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, "text", SLICE_BYTES):
         pairs = zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)
-        texts = [cut(t, merged(s)) if t and s else t for t, s in pairs]
+        texts = [words.cut(t, merged(s), words.PLAIN) if t and s else t for t, s in pairs]
         yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
 

@@ -143,3 +143,16 @@ def runs(mask: np.ndarray, change: np.ndarray | None = None) -> tuple[np.ndarray
     starts = np.flatnonzero(first)
     at = np.flatnonzero(mask)
     return starts, np.diff(np.append(np.searchsorted(at, starts), len(at)))
+
+
+def cut(text: str, spans: list[tuple[int, int]], table: np.ndarray) -> str:
+    """``text`` without the words of ``spans``; what lies between the other words stays as it is."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
+    _, starts, ends, _ = hashes(data, np.array([0, len(data)]), table)
+    out, at = [], 0
+    for lo, hi in spans:
+        out.append(raw[at : starts[lo]])
+        at = int(starts[hi]) if hi < len(starts) else int(ends[-1])
+    out.append(raw[at:])
+    return b"".join(out).decode()
