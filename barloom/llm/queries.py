@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import fmindex, minhash, substrings
+from barloom.llm import bpe, fmindex, minhash, substrings
 from barloom.llm.common import read
 from barloom.llm.registry import ENTRIES, entry
 
 __all__ = ["ENTRIES"]
 
+#: Public tokenizer file of the query; the operator takes any path.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 _PLAIN_WORDS = r"list_filter(regexp_split_to_array(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _FOLDED_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -52,3 +56,8 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op8_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.digest(read(spark, sf_dir, "documents"))
+
+
+@entry("op10_bpe_encoding_and_decoding")
+def bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(read(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
