@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, fmindex, minhash, substrings
+from barloom.llm import bpe, fmindex, minhash, substrings, toxicity
 from barloom.llm.common import read
 from barloom.llm.registry import ENTRIES, entry
 
@@ -48,6 +48,11 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@entry("op6_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @entry("op7_substring_dedup", OP7_SQL)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(read(spark, sf_dir, "documents"))

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import minhash, substrings
+from barloom.llm import bpe, fmindex, minhash, substrings, toxicity
 from barloom.llm.common import fresh_path, read
+from barloom.llm.queries import TOKENIZER
 from barloom.llm.registry import entry
 from barloom.session import ship
 
 
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on ``labels``, scores below one half."""
+    ship(spark)
+    return toxicity.accepted(docs, read(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship(spark)
@@ -17,12 +25,34 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller id holds."""
+    """Texts without the passages that a document with a smaller id holds; ``n_chars`` follows."""
+    ship(spark)
+    return _counted(substrings.without_repeats(docs))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that windows of ``benchmark`` cover; ``n_chars`` follows."""
     ship(spark)
-    return substrings.without_repeats(docs)
+    return _counted(fmindex.decontaminated(docs, read(spark, sf_dir, "benchmark")))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of them and of what they decode to."""
+    ship(spark)
+    return bpe.encoded(docs, TOKENIZER, ["doc_id", "lang", "source"], with_ids=True)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else docs
 
 
-STAGES = [("near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
+STAGES = [
+    ("toxicity", toxic_out),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("tokenize", tokenize),
+]
 
 #: The classifier and the similarity search have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -65,7 +65,7 @@ def test_bytes_to_text_state_machine(model):
     ids = np.frombuffer(bpe.Encoder(model).encode("Zoë 中文 <|endoftext|> 😀!"), "<u4").tolist()
     decoder = bpe.Decoder(model)
     text = "".join(decoder.feed([i]) for i in ids) + decoder.close()
-    assert text == "zoë 中文 <|endoftext|>😀 ! "
+    assert text == "zoë 中文 <|endoftext|>😀! "
 
 
 def test_query_form(spark):
