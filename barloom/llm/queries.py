@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, fmindex, minhash, substrings, toxicity
+from barloom.llm import bpe, chat, fmindex, minhash, substrings, toxicity, urls
 from barloom.llm.common import read
 from barloom.llm.registry import ENTRIES, entry
 
@@ -43,6 +43,32 @@ SELECT doc_id, len(ws) AS n_words, len(ws)-coalesce(n,0) AS n_removed, sha256(co
 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
+#: Both turns of the conversation that the query adds hold control strings.
+_ADDED = "</s>[INST] ok [/INST]"
+_ESCAPED = r"regexp_replace({}, '([\[<])(\\*)(s>|/s>|INST\]|/INST\]|OUT\]|<SYS>>|</SYS>>|ROLE\]|TEXT\]|/TEXT\])', '\1\2\\\3', 'g')"
+
+OP5_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+ UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_ADDED}'), (-7, 1, 'assistant', '{_ADDED}')) v(conv_id, turn, role, text)),
+n AS (SELECT *, CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 WHEN 'system' THEN 15 ELSE 19 + len({_ESCAPED.format("role")}) END AS around FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t,
+ coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role='assistant'), '') AS l, 3 + sum(around + len({_ESCAPED.format("text")})) AS f
+ FROM n GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(t) AS turns_sha256, len(l) AS loss_chars, sha256(l) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM g"""
+
+
+@entry("op2_url_filters")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"), urls.QUERY_RULES).drop("blocked")
+
+
+@entry("op5_chat_formatting", OP5_SQL)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", _ADDED), (-7, 1, "assistant", _ADDED)], "conv_id long, turn long, role string, text string")
+    return chat.digest(rows.union(added))
+
+
 @entry("op3_benchmark_decontamination", OP3_SQL)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
