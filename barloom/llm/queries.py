@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, fmindex, minhash, substrings, toxicity, urls
-from barloom.llm.common import read
+from barloom.llm import bpe, chat, fmindex, mainhtml, minhash, substrings, toxicity, urls, warc
+from barloom.llm.common import fresh_path, read
 from barloom.llm.registry import ENTRIES, entry
 
 __all__ = ["ENTRIES"]
@@ -57,11 +57,25 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(t) AS turns_sha256, len(l) AS loss_chars, sha256(l) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM g"""
 
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html,'') AS h, sha1(coalesce(html,'')) AS s FROM pages),
+m AS (SELECT s, max(page_id) AS last FROM p GROUP BY s)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(s, CAST(1+5*(i//4) AS INT), 5) AS INT) >> CAST(15-5*(i%4) AS INT)) & 31) AS INT), 1) for i in range(32)], '') AS payload_digest,
+ CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p JOIN m USING (s)"""
+
+
 @entry("op2_url_filters")
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(read(spark, sf_dir, "pages"), urls.QUERY_RULES).drop("blocked")
 
 
+@entry("op4_warc", OP4_SQL)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(read(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+
+
 @entry("op5_chat_formatting", OP5_SQL)
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -89,6 +103,11 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.digest(read(spark, sf_dir, "documents"))
 
 
+@entry("op9_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extracted(read(spark, sf_dir, "pages"))
+
+
 @entry("op10_bpe_encoding_and_decoding")
 def bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
