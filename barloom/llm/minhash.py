@@ -9,10 +9,14 @@
    with the probability of their weighted Jaccard similarity. The random variates of a shingle
    come from a fixed pool by its hash.
 3. Candidates. Documents of equal weighted sets form one class (a node). Nodes that share a
-   band meet in a bucket. In each bucket all are compared with its smallest node; after the
-   links found so far are joined to components, what is left in other components than most of
-   the bucket is compared with all the bucket's nodes of other components. So every pair of a
-   bucket is verified or already connected, without emitting the pairs of a group.
+   band meet in a bucket, and all are compared with its centre, the node of the least mean
+   weight: edits are rare shingles, so the original of a group has the fewest of them. Links
+   are joined to components. The nodes of buckets that still hold several components then meet
+   by an exact prefix filter: each lists its shingles, rarest first, as long as what remains
+   could still make ``threshold`` of its weight; a pair whose first common shingle leaves enough
+   weight on both sides to be similar is verified, if its components differ. Every pair of a
+   bucket is so verified, ruled out by weight, or already connected; the pairs of a group are
+   not emitted.
 4. Links are pairs of weighted Jaccard similarity >= ``threshold``, computed from whole texts.
 
 Defined cases: null texts and texts without words link with nothing; texts of fewer words than
@@ -137,13 +141,15 @@ def _sign(k: int, bands: int, rows: int, idf):
         table = idf.value
         for part in text_slices(batches, "text", SLICE_BYTES):
             n = part.num_rows
-            node, keys = np.zeros(n, np.int64), np.zeros((n, bands), np.int64)
+            node, keys, mean = np.zeros(n, np.int64), np.zeros((n, bands), np.int64), np.zeros(n)
             row, h, tf = shingles(part.column("text"), k)
             own = np.unique(row)
             if len(own):
+                weight = tf * table[_class_of(h)]
+                first = np.searchsorted(row, own)
+                mean[own] = np.add.reduceat(weight.astype(float), first) / np.add.reduceat(tf, first)
                 with np.errstate(over="ignore"):
-                    drawn = samples(row, h, tf * table[_class_of(h)], bands * rows)
-                    first = np.searchsorted(row, own)
+                    drawn = samples(row, h, weight, bands * rows)
                     node[own] = words.mix(np.add.reduceat(words.mix(h + words.mix(tf.astype(np.uint64))), first)).view(np.int64)
                     for b in range(bands):
                         key = np.full(len(own), b, np.uint64)
@@ -154,8 +160,8 @@ def _sign(k: int, bands: int, rows: int, idf):
             has[own] = True
             lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids_or_last(part.column("doc"))), part.column("fp"), pa.array(node, mask=~has), lists],
-                names=["doc", "fp", "node", "bands"],
+                [pa.array(ids_or_last(part.column("doc"))), part.column("fp"), pa.array(node, mask=~has), lists, pa.array(mean)],
+                names=["doc", "fp", "node", "bands", "mean"],
             )
 
     return run
@@ -181,6 +187,33 @@ def _verify(k: int, threshold: float, idf):
     return run
 
 
+def _prefix(k: int, threshold: float, idf):
+    """A text's shingles, rarest first, while what remains weighs at least ``threshold`` of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = idf.value
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            row, h, tf = shingles(part.column("text"), k)
+            if not len(row):
+                continue
+            rarity = table[_class_of(h)].astype(np.float64)
+            order = np.lexsort((h, -rarity, row))  # the same order of shingles in every text
+            row, h, w = row[order], h[order], (tf * rarity)[order]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            size = np.diff(np.append(first, len(row)))
+            total = np.repeat(np.add.reduceat(w, first), size)
+            before = np.cumsum(w) - w
+            rest = total - (before - np.repeat(before[first], size))
+            keep = rest >= threshold * total - 1e-6
+            take = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node").take(take), part.column("component").take(take), pa.array(h[keep].astype(np.int64)), pa.array(total[keep]), pa.array(rest[keep])],
+                names=["node", "component", "token", "total", "rest"],
+            )
+
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, idf) -> DataFrame:
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -205,12 +238,13 @@ def near_duplicates(
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
     idf = spark.sparkContext.broadcast(idf_table(src, "text", k))
-    signed = staged(src.mapInArrow(_sign(k, bands, rows, idf), "doc long, fp long, node long, bands array<long>"), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc", "fp")).alias("first"), F.first("bands").alias("bands"))
+    signed = staged(src.mapInArrow(_sign(k, bands, rows, idf), "doc long, fp long, node long, bands array<long>, mean double"), "signed")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc", "fp")).alias("first"), F.first("bands").alias("bands"), F.first("mean").alias("mean"))
     nodes = staged(nodes, "nodes")
-    slots = nodes.select("node", F.explode("bands").alias("slot"))
-    shared = slots.groupBy("slot").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select(own_exchange("slot").alias("k"), "a")
-    members = staged(slots.join(shared, own_exchange("slot") == F.col("k")).select("slot", "a", "node"), "members")
+    slots = nodes.select("node", "mean", F.explode("bands").alias("slot"))
+    centre = slots.groupBy("slot").agg(F.min(F.struct("mean", "node")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    centre = centre.select(own_exchange("slot").alias("k"), F.col("c.node").alias("a"))
+    members = staged(slots.join(centre, own_exchange("slot") == F.col("k")).select("slot", "a", "node"), "members")
     pairs = members.where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
     needed = members.select("node").distinct().join(nodes, "node").select("node", "first.doc", "first.fp")
@@ -219,23 +253,25 @@ def near_duplicates(
     links = staged(_links(pairs, texts, k, threshold, idf), "links")
     comps = components(links)
 
-    # what the smallest node of a bucket does not connect meets the bucket's other components
+    # nodes of buckets with several components meet by their rare shingles
     open_ = _of(members, comps)
     mixed = open_.groupBy("slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_ = staged(open_.join(mixed.select(own_exchange("slot").alias("k")), own_exchange("slot") == F.col("k")).select("slot", "node", "component"), "open")
-    sizes = open_.groupBy("slot", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("slot").agg(F.max(F.struct("n", "component")).alias("m")).select(own_exchange("slot").alias("k"), F.col("m.component").alias("most"))
-    few = open_.join(most, own_exchange("slot") == F.col("k")).where("component <> most").select("slot", F.col("node").alias("a"), F.col("component").alias("ca"), "most")
-    met = few.join(open_.withColumnRenamed("node", "b"), "slot").where("ca <> component and (component = most or a < b)")
-    more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    open_ = open_.join(mixed.select(own_exchange("slot").alias("k")), own_exchange("slot") == F.col("k")).select("node", "component").distinct()
+    listed = open_.join(texts, "node").mapInArrow(_prefix(k, threshold, idf), "node long, component long, token long, total double, rest double")
+    listed = staged(listed, "prefixes")
+    several = listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(own_exchange("token").alias("k"))
+    listed = staged(listed.join(several, own_exchange("token") == F.col("k")).drop("k"), "prefixes")
+    one, two = (listed.select(F.col("token").alias("token"), *[F.col(c).alias(s + c) for c in ("node", "component", "total", "rest")]) for s in "xy")
+    enough = F.lit(threshold / (1 + threshold)) * (F.col("xtotal") + F.col("ytotal")) - 1e-6
+    met = one.join(two, (one["token"] == two["token"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")) & (F.least("xrest", "yrest") >= enough))
+    more = met.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
     links2 = staged(_links(more, texts, k, threshold, idf), "links")
     comps = staged(components(links.union(links2)), "components")
 
     groups = _of(nodes.select("node", "first"), comps)
     heads = groups.groupBy("component").agg(F.min("first").alias("head"))
     named = staged(
-        groups.join(heads.withColumnRenamed("component", "c"), own_exchange("component") == own_exchange("c")).select("node", F.col("first.doc").alias("class_doc"), F.col("head.doc").alias("group_doc"), F.col("head.fp").alias("group_fp")),
+        groups.join(heads.select(own_exchange("component").alias("c"), "head"), own_exchange("component") == F.col("c")).select("node", F.col("first.doc").alias("class_doc"), F.col("head.doc").alias("group_doc"), F.col("head.fp").alias("group_fp")),
         "named",
     )
     left = signed.select("doc", "fp", "node")
