@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, fmindex, mainhtml, minhash, substrings, toxicity, urls, warc
+from barloom.llm import bpe, chat, fmindex, mainhtml, minhash, multiindex, substrings, toxicity, urls, warc
 from barloom.llm.common import fresh_path, read
 from barloom.llm.registry import ENTRIES, entry
 
@@ -57,6 +57,16 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(t) AS turns_sha256, len(l) AS loss_chars, sha256(l) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars FROM g"""
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+ WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a),
+c AS (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html,'') AS h, sha1(coalesce(html,'')) AS s FROM pages),
 m AS (SELECT s, max(page_id) AS last FROM p GROUP BY s)
@@ -66,6 +76,11 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 FROM p JOIN m USING (s)"""
 
 
+@entry("op1_embedding_near_dedup", OP1_SQL)
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.linked(read(spark, sf_dir, "embeddings"))
+
+
 @entry("op2_url_filters")
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(read(spark, sf_dir, "pages"), urls.QUERY_RULES).drop("blocked")
