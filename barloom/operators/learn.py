@@ -69,15 +69,21 @@ def out_of_fold(rows: DataFrame, splits: DataFrame, folds: int, **kw) -> DataFra
     return out
 
 
-def isotonic_calibration(oof: DataFrame, rows: DataFrame, folds: int) -> DataFrame:
-    """Rows (with raw score ``p``) mapped by each fold's isotonic fit and averaged."""
+def calibrated(rows: DataFrame, splits: DataFrame, folds: int, **kw) -> DataFrame:
+    """Rows with ``p`` and ``calibrated``: means over the folds' pairs of model and isotonic map.
+
+    Each fold's map is fitted on that fold's own model's scores of its test events and follows
+    the same model on every row.
+    """
+    rows, splits = settle(rows, splits)
     out = rows
     for f in range(folds):
-        iso = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol=f"_c{f}")
-        m = iso.fit(oof.filter(F.col("fold") == f).select("p", "label"))
-        out = m.transform(out)
-    cols = [f"_c{f}" for f in range(folds)]
-    return out.withColumn("calibrated", sum(F.col(c) for c in cols) / folds).drop(*cols)
+        m = forest(of_role(rows, splits, f, "train"), **kw)
+        test = predict(m, of_role(rows, splits, f, "test"), f"_p{f}").select(f"_p{f}", "label")
+        iso = IsotonicRegression(featuresCol=f"_p{f}", labelCol="label", predictionCol=f"_c{f}").fit(test)
+        out = iso.transform(predict(m, out, f"_p{f}"))
+    mean = lambda c: sum(F.col(f"{c}{f}") for f in range(folds)) / folds
+    return out.withColumns({"p": mean("_p"), "calibrated": mean("_c")}).drop(*[f"{c}{f}" for c in ("_p", "_c") for f in range(folds)])
 
 
 def mdi(model, names, spark) -> DataFrame:

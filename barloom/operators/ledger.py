@@ -304,11 +304,12 @@ def clean_streak(log: DataFrame, needed: int, keys=()) -> DataFrame:
 
 
 def income_pivot(income: DataFrame, types, day: Column) -> DataFrame:
-    """Day x income type sums with absent types as zero, and their total."""
+    """Day x income type sums with absent types as zero, what is of no listed type, and the total."""
     p = income.groupBy(day.alias("day")).agg(
-        *[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("amount"))), F.lit(0.0)).alias(t) for t in types]
+        *[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("amount"))), F.lit(0.0)).alias(t) for t in types],
+        F.coalesce(F.sum(F.when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), F.col("amount"))), F.lit(0.0)).alias("other"),
     )
-    return p.withColumn("total", sum(F.col(t) for t in types))
+    return p.withColumn("total", sum(F.col(t) for t in [*types, "other"]))
 
 
 def concentration(income: DataFrame, k: int, key: str = "symbol") -> DataFrame:

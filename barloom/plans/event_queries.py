@@ -195,7 +195,7 @@ def threshold_bars(spark, sf_dir):
 def triggers(spark, sf_dir):
     b = threshold_bars(spark, sf_dir)
     # bars of a symbol are bounded by the calendar: one block
-    return b, ev.cusum_events(b, 5, 0.5, rows_per_key=1)
+    return b, ev.cusum_events(b, 5, 0.5)
 
 
 @query("cusum_events", f"{EVS} SELECT symbol, bar_idx, raw_dir FROM ce")
@@ -222,7 +222,7 @@ def event_sides(spark, sf_dir):
 )
 def brier_drift(spark, sf_dir):
     s = bars(spark, sf_dir).select("symbol", F.col("bar_idx").cast("long").alias("pos"), F.least(F.lit(1.0), F.abs("ofi")).alias("score"))
-    return ev.drift_alarms(s, ["symbol"], "score", 0.3, 0.5, rows_per_key=1)
+    return ev.drift_alarms(s, ["symbol"], "score", 0.3, 0.5)
 
 
 @query(

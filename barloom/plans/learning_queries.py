@@ -35,8 +35,7 @@ def weighted_forest(spark, sf_dir):
 @query("isotonic_calibration")
 def calibration(spark, sf_dir):
     rows, splits = training(spark, sf_dir)
-    (oof,) = ln.settle(ln.out_of_fold(rows, splits, K, **SMALL))
-    return ln.isotonic_calibration(oof, oof, K).select("symbol", "t0", "p", "calibrated")
+    return ln.calibrated(rows, splits, K, **SMALL).select("symbol", "t0", "p", "calibrated")
 
 
 @query("mdi_importance")
@@ -54,7 +53,7 @@ def mda(spark, sf_dir):
 @query("sfi_importance")
 def sfi(spark, sf_dir):
     rows, splits = training(spark, sf_dir)
-    return ln.sfi(rows, splits, 2, NAMES, **SMALL)
+    return ln.sfi(rows, splits, K, NAMES, **SMALL)
 
 
 FEATS = ("hl_spread", "ret_1", "ret_5", "range_position")

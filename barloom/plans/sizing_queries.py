@@ -363,14 +363,17 @@ POS = """it AS (SELECT l_suppkey AS symbol, sum(CASE WHEN l_linestatus='O' THEN
 ex AS (SELECT l_suppkey AS symbol, sum(CASE WHEN l_linestatus='O' THEN l_quantity ELSE -l_quantity END) AS qty FROM lineitem WHERE l_returnflag<>'A' GROUP BY 1)"""
 
 
-def fills(spark, sf_dir, cond):
+ALL = POS.split(",\nex AS")[0].replace("WHERE l_returnflag<>'R' ", "")
+
+
+def fills(spark, sf_dir, cond="true"):
     li = tb.read(spark, sf_dir, "lineitem").filter(cond)
     return li.select(F.col("l_suppkey").alias("symbol"), F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("side"), F.col("l_quantity").alias("filled_qty"))
 
 
-@query("net_position", f"WITH {POS} SELECT symbol, qty FROM it")
+@query("net_position", f"WITH {ALL} SELECT symbol, qty FROM it")
 def net_position(spark, sf_dir):
-    return lg.net_position(fills(spark, sf_dir, "l_returnflag <> 'R'"))
+    return lg.net_position(fills(spark, sf_dir))
 
 
 @query("reconcile_positions", f"WITH {POS} SELECT symbol, coalesce(it.qty,0) AS internal_qty, coalesce(ex.qty,0) AS exchange_qty, CASE WHEN coalesce(it.qty,0)=0 THEN 'unknown to us' WHEN coalesce(ex.qty,0)=0 THEN 'missing on exchange' ELSE 'size mismatch' END AS kind FROM (SELECT * FROM it WHERE abs(qty)>1e-8) it FULL JOIN (SELECT * FROM ex WHERE abs(qty)>1e-8) ex USING (symbol) WHERE abs(coalesce(it.qty,0)-coalesce(ex.qty,0))>1e-8")
@@ -394,11 +397,11 @@ def prices(spark, sf_dir):
 
 @query(
     "exposure_check",
-    f"WITH {POS}, {_PX}, v AS (SELECT qty*price AS v FROM it JOIN px USING (symbol)), a AS (SELECT sum(abs(v)) AS gross, sum(v) AS net, sum(CASE WHEN v>0 THEN v ELSE 0 END) AS long_notional, sum(CASE WHEN v<0 THEN v ELSE 0 END) AS short_notional FROM v), r AS (SELECT *, net/gross AS net_ratio, abs(net/gross)<=0.02 AS net_ok, gross/1e6 AS leverage, abs(gross/1e6-2)<=0.3 AS gross_ok FROM a) " + out("r", "net_ok, gross_ok", "gross, net, long_notional, short_notional, net_ratio, leverage", 3),
+    f"WITH {ALL}, {_PX}, v AS (SELECT qty*price AS v FROM it JOIN px USING (symbol)), a AS (SELECT sum(abs(v)) AS gross, sum(v) AS net, sum(CASE WHEN v>0 THEN v ELSE 0 END) AS long_notional, sum(CASE WHEN v<0 THEN v ELSE 0 END) AS short_notional FROM v), r AS (SELECT *, net/gross AS net_ratio, abs(net/gross)<=0.02 AS net_ok, gross/1e6 AS leverage, abs(gross/1e6-2)<=0.3 AS gross_ok FROM a) " + out("r", "net_ok, gross_ok", "gross, net, long_notional, short_notional, net_ratio, leverage", 3),
     digits=3,
 )
 def exposure(spark, sf_dir):
-    p = lg.net_position(fills(spark, sf_dir, "l_returnflag <> 'R'")).join(prices(spark, sf_dir), "symbol")
+    p = lg.net_position(fills(spark, sf_dir)).join(prices(spark, sf_dir), "symbol")
     return lg.exposure(p, equity=1e6, target=2.0)
 
 
@@ -462,7 +465,7 @@ def clean_streak(spark, sf_dir):
 _TYPES = ("view", "click", "purchase", "refund")
 
 
-@query("income_pivot", "WITH p AS (SELECT epoch_ms(ts)//86400000 AS day, coalesce(sum(value) FILTER (event_type='view'),0) AS view, coalesce(sum(value) FILTER (event_type='click'),0) AS click, coalesce(sum(value) FILTER (event_type='purchase'),0) AS purchase, 0.0 AS refund FROM events GROUP BY 1) " + out("(SELECT *, view+click+purchase AS total FROM p)", "day", "view, click, purchase, refund, total"))
+@query("income_pivot", "WITH p AS (SELECT epoch_ms(ts)//86400000 AS day, coalesce(sum(value) FILTER (event_type='view'),0) AS view, coalesce(sum(value) FILTER (event_type='click'),0) AS click, coalesce(sum(value) FILTER (event_type='purchase'),0) AS purchase, 0.0 AS refund, coalesce(sum(value) FILTER (event_type NOT IN ('view','click','purchase','refund') OR event_type IS NULL),0) AS other, coalesce(sum(value),0) AS total FROM events GROUP BY 1) " + out("p", "day", "view, click, purchase, refund, other, total"))
 def income_pivot(spark, sf_dir):
     e = tb.read(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.col("value").alias("amount"), tb.epoch_ms("ts").alias("ts_ms"))
     return lg.income_pivot(e, _TYPES, F.floor(F.col("ts_ms") / tb.DAY_MS))
@@ -476,11 +479,11 @@ def income_concentration(spark, sf_dir):
 
 @query(
     "position_report",
-    f"WITH {POS}, {_PX}, q AS (SELECT symbol, qty AS amt, price AS mark, price*0.98 AS entry, abs(qty*price) AS n, CASE WHEN symbol%3=0 THEN 0 ELSE price*0.7 END AS liq FROM it JOIN px USING (symbol) WHERE abs(qty)>0), r AS (SELECT symbol, CASE WHEN amt>0 THEN 'LONG' ELSE 'SHORT' END AS side, abs(amt) AS qty, n AS notional, n/20 AS margin, n/1e6*100 AS pct_account, CASE WHEN liq>0 THEN abs(mark-liq)/mark*100 END AS liq_distance_pct, (mark-entry)/entry*100*sign(amt) AS price_move_pct, amt*(mark-entry)/(n/20)*100 AS upnl_pct_margin FROM q) " + out("r", "symbol, side", "qty, notional, margin, pct_account, liq_distance_pct, price_move_pct, upnl_pct_margin", 4),
+    f"WITH {ALL}, {_PX}, q AS (SELECT symbol, qty AS amt, price AS mark, price*0.98 AS entry, abs(qty*price) AS n, CASE WHEN symbol%3=0 THEN 0 ELSE price*0.7 END AS liq FROM it JOIN px USING (symbol) WHERE abs(qty)>0), r AS (SELECT symbol, CASE WHEN amt>0 THEN 'LONG' ELSE 'SHORT' END AS side, abs(amt) AS qty, n AS notional, n/20 AS margin, n/1e6*100 AS pct_account, CASE WHEN liq>0 THEN abs(mark-liq)/mark*100 END AS liq_distance_pct, (mark-entry)/entry*100*sign(amt) AS price_move_pct, amt*(mark-entry)/(n/20)*100 AS upnl_pct_margin FROM q) " + out("r", "symbol, side", "qty, notional, margin, pct_account, liq_distance_pct, price_move_pct, upnl_pct_margin", 4),
     digits=4,
 )
 def position_report(spark, sf_dir):
-    p = lg.net_position(fills(spark, sf_dir, "l_returnflag <> 'R'")).join(prices(spark, sf_dir), "symbol")
+    p = lg.net_position(fills(spark, sf_dir)).join(prices(spark, sf_dir), "symbol")
     p = p.select("symbol", F.col("qty").alias("amount"), F.col("price").alias("mark"), (F.col("price") * 0.98).alias("entry"), (F.col("qty") * F.col("price")).alias("notional"), F.when(F.col("symbol") % 3 == 0, 0.0).otherwise(F.col("price") * 0.7).alias("liq"), F.lit(20.0).alias("leverage"))
     return lg.position_rows(p.withColumn("upnl", F.col("amount") * (F.col("mark") - F.col("entry"))), 1e6)
 

@@ -76,11 +76,11 @@ def stream_features(spark, sf_dir):
 @query(
     "stream_drawdown_tiers",
     f"""{E}, d AS (SELECT symbol, i, ts_us, (max(close) OVER u-close)/max(close) OVER u AS dd FROM e WINDOW u AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- x AS (SELECT *, coalesce(bool_or(dd>=0.7) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),false) AS dead, max(CASE WHEN dd>=0.5 AND dd<0.7 THEN ts_us+86400000 END) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fz FROM d),
+ x AS (SELECT *, coalesce(bool_or(dd>=0.7) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),false) AS dead, max(CASE WHEN dd>=0.5 AND dd<0.7 THEN ts_us+86400000000 END) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fz FROM d),
  r AS (SELECT symbol, ts_us, false AS late, CASE WHEN dead THEN 'KILL' WHEN dd>=0.5 THEN 'FLATTEN' WHEN dd>=0.3 THEN 'REDUCE' ELSE 'NORMAL' END AS tier, CASE WHEN dead OR dd>=0.5 OR coalesce(ts_us<fz,false) THEN 0.0 WHEN dd>=0.3 THEN 0.5 ELSE 1.0 END AS multiplier, dd FROM x) """ + out("r", "symbol, ts_us, late, tier", "multiplier, dd"),
 )
 def stream_tiers(spark, sf_dir):
-    return run(spark, sf_dir, lambda s: sf.drawdown_tiers(s, ts="ts_us", equity="close", t1=0.3, t2=0.5, t3=0.7))
+    return run(spark, sf_dir, lambda s: sf.drawdown_tiers(s, ts="ts_us", equity="close", t1=0.3, t2=0.5, t3=0.7, per_ms=1000))
 
 
 @query("stream_exit_state")

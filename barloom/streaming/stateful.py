@@ -1,8 +1,9 @@
 """Stateful stream operators built on the same kernels as the batch scans.
 
-State per key is a small JSON text and the last timestamp; rows of a micro-batch are
-put in event-time order per key. A row older than what its key has already emitted is
-marked ``late`` and leaves the state alone, so late data is visible, not lost.
+State per key is a small JSON text with the last timestamp and sequence number; rows of a
+micro-batch are put in that order per key. A row strictly before what its key has already
+emitted is marked ``late`` and leaves the state alone, so late data is visible, not lost; rows
+of equal time are all taken, by sequence number if there is one, else as they arrive.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,14 +24,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from barloom.functions import kernels as kn
 from barloom.session import ROCKSDB_PROVIDER
 
-STATE = T.StructType([T.StructField("text", T.StringType()), T.StructField("last", T.LongType())])
+STATE = T.StructType([T.StructField("text", T.StringType()), T.StructField("last", T.LongType()), T.StructField("seq", T.LongType())])
 
 
 class KernelProcessor(StatefulProcessor):
     """Runs ``step(state, *inputs) -> (state, outputs)`` along each key."""
 
-    def __init__(self, step: Callable, inputs, ts: str, out_names, initial=None):
-        self.step, self.inputs, self.ts = step, list(inputs), ts
+    def __init__(self, step: Callable, inputs, ts: str, out_names, initial=None, seq: str | None = None):
+        self.step, self.inputs, self.ts, self.seq = step, list(inputs), ts, seq
         self.out_names, self.initial = list(out_names), initial
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -37,15 +39,16 @@ class KernelProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(self.ts, kind="stable")
+        pdf = pdf.sort_values([self.ts] + ([self.seq] if self.seq else []), kind="stable")
         held = self.cell.get() if self.cell.exists() else None
         state = json.loads(held[0]) if held else self.initial
-        last = held[1] if held else None
-        times = pdf[self.ts].astype("int64").tolist()
+        last = (held[1], held[2]) if held and held[1] is not None else None
+        seqs = pdf[self.seq].astype("int64").tolist() if self.seq else [0] * len(pdf)
+        times = list(zip(pdf[self.ts].astype("int64").tolist(), seqs, strict=True))
         cols = [[None if v is None or v != v else v for v in pdf[c].tolist()] for c in self.inputs]
         out, late = [], []
         for t, vals in zip(times, zip(*cols)):
-            if last is not None and t <= last:
+            if last is not None and t < last:
                 out.append((None,) * len(self.out_names))
                 late.append(True)
                 continue
@@ -53,7 +56,7 @@ class KernelProcessor(StatefulProcessor):
             out.append(o if isinstance(o, tuple) else (o,))
             late.append(False)
             last = t
-        self.cell.update((json.dumps(state), last))
+        self.cell.update((json.dumps(state), *(last or (None, None))))
         res = pdf[[self.ts]].copy()
         for i, k in enumerate(key):
             res.insert(i, f"_k{i}", k)
@@ -66,7 +69,7 @@ class KernelProcessor(StatefulProcessor):
         pass
 
 
-def run_kernel(df: DataFrame, keys, ts: str, step: Callable, inputs, outputs: list[T.StructField], initial=None) -> DataFrame:
+def run_kernel(df: DataFrame, keys, ts: str, step: Callable, inputs, outputs: list[T.StructField], initial=None, seq: str | None = None) -> DataFrame:
     """(keys.., ts, outputs.., late) for a stream or a static frame."""
     keys = list(keys)
     # the stateful runner does not see added files: send the two modules by value
@@ -77,8 +80,8 @@ def run_kernel(df: DataFrame, keys, ts: str, step: Callable, inputs, outputs: li
         [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
         + [T.StructField(ts, T.LongType())] + outputs + [T.StructField("late", T.BooleanType())]
     )
-    proc = KernelProcessor(step, inputs, ts, [o.name for o in outputs], initial)
-    cols = list(dict.fromkeys(keys + [ts] + list(inputs)))
+    proc = KernelProcessor(step, inputs, ts, [o.name for o in outputs], initial, seq)
+    cols = list(dict.fromkeys(keys + [ts] + ([seq] if seq else []) + list(inputs)))
     out = df.select(*cols).groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="None"
     )
@@ -144,9 +147,10 @@ def tier_step(state, equity, now, t1=0.05, t2=0.10, t3=0.15, freeze_ms=86_400_00
     return [peak, dead, until], (tier, mult, dd)
 
 
-def drawdown_tiers(df, keys=("symbol",), ts="ts_ms", equity="equity", t1=0.05, t2=0.10, t3=0.15):
+def drawdown_tiers(df, keys=("symbol",), ts="ts_ms", equity="equity", t1=0.05, t2=0.10, t3=0.15, per_ms=1):
+    """``per_ms``: units of ``ts`` in a millisecond; the freeze lasts a day of them."""
     out = [T.StructField("tier", T.StringType())] + doubles("multiplier", "dd")
-    return run_kernel(df, keys, ts, lambda s, e, now: tier_step(s, e, int(now), t1, t2, t3), [equity, ts], out)
+    return run_kernel(df, keys, ts, lambda s, e, now: tier_step(s, e, int(now), t1, t2, t3, 86_400_000 * per_ms), [equity, ts], out)
 
 
 def feature_step(state, o, h, l, c, v, ofi):
@@ -236,7 +240,9 @@ def upsert_batches(stream: DataFrame, path: str, part_col: str, keys) -> None:
         parts = batch.select(part_col).distinct()
         try:
             old = spark.read.schema(batch.schema).parquet(path).join(parts, part_col, "left_semi")
-        except Exception:  # the first batch has nothing to merge with
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch has nothing to merge with
+                raise
             old = batch.limit(0)
         merged = upsert_bars(old.select(batch.columns), batch, keys).checkpoint()
         write_partitioned(merged, path, part_col)
