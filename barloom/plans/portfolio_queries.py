@@ -192,10 +192,9 @@ _built("build_weights_mvo", pf.PortfolioSpec(mode="mvo", n_positions=8, cov_wind
 
 @query("strategy_target_weights")
 def strategy_targets(spark, sf_dir):
-    """Signals on the full grid, sampled every 6th step, combined, then weighted."""
-    p = pf.with_risk(tb.panel(spark, sf_dir), pf.PortfolioSpec())
-    wide = sg.build_signals(p, list(TWO), keep=("close", "vol", "beta", "r1"))
-    marks = pf.sample_marks(wide, 6)
+    """Signals on the full grid, sampled every 6th step; risk from the sampled closes; combined, then weighted."""
+    wide = sg.build_signals(tb.panel(spark, sf_dir), list(TWO), keep=("close",))
+    marks = pf.with_risk(pf.sample_marks(wide, 6), pf.PortfolioSpec())
     scored = cb.combine_adaptive(marks, TWO, cb.AdaptiveSpec(lookback=40, min_periods=20))
     return pf.build_weights(scored, "combined", pf.PortfolioSpec(n_positions=8), risk=False)
 
@@ -207,7 +206,8 @@ def ensemble(spark, sf_dir):
     grid = p.select("symbol", "ti")
     parts = []
     for sig, every, share in ((TWO[0], 2, 0.6), (TWO[1], 4, 0.4)):
-        w = pf.build_weights(pf.sample_marks(p, every), sig, pf.PortfolioSpec(n_positions=8), risk=False)
+        marks = pf.sample_marks(p.select("symbol", "ti", "ts_ms", "close", sig), every)
+        w = pf.build_weights(pf.with_risk(marks, pf.PortfolioSpec()), sig, pf.PortfolioSpec(n_positions=8), risk=False)
         w = w.withColumn("ti", F.col("ti") * every)
         parts.append(asof_grid(grid, w, ("symbol",), "ti", "w").fillna(0.0, ["w"]).withColumn("share", F.lit(share)))
     return pf.ensemble(parts[0].unionByName(parts[1]), p, max_positions=10)
