@@ -15,7 +15,7 @@ from barloom.plans.registry import arank, out, query
 
 NAMES = ("hl_spread", "ret_1", "ret_5", "vol_ratio", "range_position", "ofi_ma5")
 K = 3
-SMALL = dict(trees=8, depth=3)
+FOREST = dict(trees=100, depth=5)
 
 
 def training(spark, sf_dir):
@@ -29,31 +29,31 @@ def training(spark, sf_dir):
 @query("weighted_forest")
 def weighted_forest(spark, sf_dir):
     rows, splits = training(spark, sf_dir)
-    return ln.out_of_fold(rows, splits, K, **SMALL).select("symbol", "t0", "fold", "label", "p")
+    return ln.out_of_fold(rows, splits, K, **FOREST).select("symbol", "t0", "fold", "label", "p")
 
 
 @query("isotonic_calibration")
 def calibration(spark, sf_dir):
     rows, splits = training(spark, sf_dir)
-    return ln.calibrated(rows, splits, K, **SMALL).select("symbol", "t0", "p", "calibrated")
+    return ln.calibrated(rows, splits, K, **FOREST).select("symbol", "t0", "p", "calibrated")
 
 
 @query("mdi_importance")
 def mdi(spark, sf_dir):
     rows, _ = training(spark, sf_dir)
-    return ln.mdi(ln.forest(rows, **SMALL), NAMES, spark)
+    return ln.mdi(ln.forest(rows, **FOREST), NAMES, spark)
 
 
 @query("mda_importance")
 def mda(spark, sf_dir):
     rows, splits = training(spark, sf_dir)
-    return ln.mda(rows, splits, K, NAMES, **SMALL)
+    return ln.mda(rows, splits, K, NAMES, **FOREST)
 
 
 @query("sfi_importance")
 def sfi(spark, sf_dir):
     rows, splits = training(spark, sf_dir)
-    return ln.sfi(rows, splits, K, NAMES, **SMALL)
+    return ln.sfi(rows, splits, K, NAMES, **FOREST)
 
 
 FEATS = ("hl_spread", "ret_1", "ret_5", "range_position")
@@ -114,7 +114,7 @@ def cpcv_trades(spark, sf_dir):
     w = ev.sample_weights(ev.average_uniqueness(l, ev.concurrency(l, b))).select("symbol", "t0", "t1", "label", "weight")
     rows = ln.training_rows(w, ft.batch_features(b), NAMES)
     rows, splits = ln.settle(rows, ev.combinatorial_purged(l.select("symbol", "t0", "t1"), groups, tests, 5))
-    oof = ln.out_of_fold(rows, splits, n_folds, **SMALL).select("symbol", "t0", "fold", F.col("p").alias("p_i"))
+    oof = ln.out_of_fold(rows, splits, n_folds, **FOREST).select("symbol", "t0", "fold", F.col("p").alias("p_i"))
     ends = splits.filter("role = 'test'").groupBy("symbol", "fold").agg(F.max("t1").alias("fold_end"))
     thr = ev.exit_threshold(splits.filter("role = 'train'").join(b.select("symbol", F.col("bar_idx").alias("t0"), "p_trend"), ["symbol", "t0"]), ["symbol", "fold"]).withColumnRenamed("threshold", "thr")
     t = oof.join(e.select("symbol", "t0", "side", "entry", F.col("p_chop").alias("p_chop_i"), (F.col("atr_14") / F.col("entry") * 0.1).alias("sigma")), ["symbol", "t0"])

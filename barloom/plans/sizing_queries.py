@@ -166,24 +166,24 @@ def kelly_fraction(spark, sf_dir):
 @query("bootstrap_kelly")
 def bootstrap_kelly(spark, sf_dir):
     t = trades(spark, sf_dir).withColumn("regime", F.col("side"))
-    return sz.bootstrap_kelly(sz.return_counts(t, ["regime"]), ["regime"], F.lit(20.0), 200)
+    return sz.bootstrap_kelly(sz.return_counts(t, ["regime"]), ["regime"], F.lit(20.0), 1000)
 
 
 @query("kelly_table")
 def kelly_table(spark, sf_dir):
     t, _, _ = sz.kelly_bins(trades(spark, sf_dir), 5)
-    return sz.kelly_table(t, replicates=100)
+    return sz.kelly_table(t)
 
 
 @query("kelly_lookup")
 def kelly_lookup(spark, sf_dir):
     t, p, c = sz.kelly_bins(trades(spark, sf_dir), 5)
-    return sz.kelly_lookup(rows(spark, sf_dir), sz.kelly_table(t, replicates=50), p, c, 5, True).select(*KEYS, "mode", "p_bin", "chop_bin", "f_target")
+    return sz.kelly_lookup(rows(spark, sf_dir), sz.kelly_table(t), p, c, 5, True).select(*KEYS, "mode", "p_bin", "chop_bin", "f_target")
 
 
 @query("regime_kelly")
 def regime_kelly(spark, sf_dir):
-    return sz.regime_kelly(trades(spark, sf_dir), {"trending": 0.6, "choppy": 0.4}, replicates=100)
+    return sz.regime_kelly(trades(spark, sf_dir), {"trending": 0.6, "choppy": 0.4})
 
 
 @query(
