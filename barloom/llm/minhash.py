@@ -19,14 +19,15 @@
    not emitted.
 4. Links are pairs of weighted Jaccard similarity >= ``threshold``, computed from whole texts.
 
-Defined cases: null texts and texts without words link with nothing; texts of fewer words than
-a shingle are one shingle; rows without an id come last when the representative is chosen; rows
+Defined cases: null, empty and blank texts link with nothing; texts of fewer words than a
+shingle are one shingle, and so are texts of signs only; rows without an id come last when the representative is chosen; rows
 with equal ids are separate rows.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +63,11 @@ def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
         mark = words.mix(h + words.mix(place + np.uint64(7)))
         total = np.append(np.uint64(0), np.cumsum(mark))
         keys.append(short.astype(np.uint64) << _BITS | words.mix(total[wb[short + 1]] - total[wb[short]]) & _LOW)
+    for i in np.flatnonzero((size == 0) & (np.diff(bounds) > 0)):  # characters, but none of a word
+        signs = b" ".join(data[bounds[i] : bounds[i + 1]].tobytes().split())
+        if signs:
+            digest = np.frombuffer(hashlib.blake2b(signs, digest_size=8).digest(), np.uint64)
+            keys.append(np.uint64(i) << _BITS | digest & _LOW)
     key, tf = np.unique(np.concatenate(keys), return_counts=True)
     return (key >> _BITS).astype(np.int64), key & _LOW, tf
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barloom.llm import minhash
@@ -80,6 +81,8 @@ def test_edge_cases(session):
     out = minhash.one_of_each(df)
     assert out.columns == df.columns
     assert sorted(r.node for r in out.collect()) in ([2, 4, 5, 6], [3, 4, 5, 6])
+    signs = minhash.shingles(pa.array(["!? *", " !?  *\n", "!?", " ", None]))
+    assert signs[0].tolist() == [0, 1, 2] and signs[1][0] == signs[1][1] != signs[1][2]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.digest(df).collect()), key=str)
     assert got == sorted([(5, 5, True)] * 3 + [(None, 5, False), (9, 5, False), (8, 8, True), (None, None, True)], key=str)
 
