@@ -412,24 +412,21 @@ def executable_leverage(returns: DataFrame, target: float, window: int, ppy: flo
     k = dict(keys=tuple(keys))
     r = returns.filter(F.col("ret").isNotNull()).withColumn("_v", fr.roll_std("ret", window, max(5, window // 3), **k))
     r = r.withColumn("raw", fr.div(F.lit(target), fr.lag("_v", 1, **k) * float(np.sqrt(ppy))))
-    fields = [returns.schema[c] for c in keys] + [T.StructField("ti", T.IntegerType())]
-    out = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in ("ret", "leverage", "equity")])
     span = max(dd_stop - dd_start, 1e-9)
-
-    def walk(pdf):
-        curve, rows = [1.0], []
-        for r, lev in zip(pdf["ret"].to_numpy(), pdf["raw"].to_numpy(float)):
-            lev = lev if np.isfinite(lev) else floor
-            if dd_stop > dd_start:
-                dd = 1.0 - curve[-1] / max(curve[-peak_window:])
-                if dd > dd_start:
-                    lev *= min(max(1.0 - (dd - dd_start) / span, 0.0), 1.0)
-            lev = 0.0 if lev < floor else min(lev, cap)
-            step = max(lev * r, -0.999)
-            curve.append(curve[-1] * (1.0 + step))
-            rows.append((step, lev, curve[-1]))
-        res = pdf[list(keys) + ["ti"]].copy()
-        res[["ret", "leverage", "equity"]] = np.array(rows).reshape(-1, 3)
-        return res
-
-    return per_series(r, list(keys), walk, out, ["ret", "raw"])
+    raw = F.coalesce(F.when(~F.isnan("raw"), F.col("raw")), F.lit(floor))
+    r = r.withColumn("row", F.struct(F.col("ti"), F.col("ret"), raw.alias("raw")))
+
+    def fold(seen, row):
+        """The next period, from the equity curve so far (1 before the first)."""
+        curve = F.concat(F.array(F.lit(1.0)), F.transform(seen, lambda x: x["equity"]))
+        now = F.element_at(curve, -1)
+        peak = F.array_max(F.slice(curve, F.greatest(F.lit(1), F.size(curve) - peak_window + 1), peak_window))
+        fall = fr.clip((1 - now / peak - dd_start) / span, 0.0, 1.0) if dd_stop > dd_start else F.lit(0.0)
+        lev = row["raw"] * (1 - fall)
+        lev = F.when(lev < floor, 0.0).otherwise(F.least(lev, F.lit(float(cap))))
+        made = F.greatest(lev * row["ret"], F.lit(-0.999))
+        return F.concat(seen, F.array(F.struct(row["ti"].alias("ti"), made.alias("ret"), lev.alias("leverage"), (now * (1 + made)).alias("equity"))))
+
+    start = F.array().cast("array<struct<ti:int,ret:double,leverage:double,equity:double>>")
+    path = r.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("row")), start, fold).alias("_p"))
+    return path.select(*keys, F.explode("_p").alias("_r")).select(*keys, "_r.*")

@@ -64,43 +64,41 @@ def evidence(fac: DataFrame, sigs, spec: AdaptiveSpec) -> DataFrame:
 
 
 def adaptive_weights(fac: DataFrame, sigs, spec: AdaptiveSpec = AdaptiveSpec()) -> DataFrame:
-    """(ti, w_<signal>): evidence is native, only the step-limited recursion is Python."""
+    """(ti, branch, w_<signal>): a fold over the evidence, which has one row per timestamp.
+
+    The target is the evidence at unit gross, no part beyond the largest weight; the weights
+    move to it by at most a step each and are then brought to the target's gross.
+    """
     sigs = list(sigs)
-    e = evidence(fac, sigs, spec)
-    out = T.StructType(
-        [T.StructField("ti", T.IntegerType()), T.StructField("branch", T.StringType())]
-        + [T.StructField(f"w_{s}", T.DoubleType()) for s in sigs]
-    )
     k = len(sigs)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = pdf[[f"e_{s}" for s in sigs]].to_numpy()
-        prev, rows, names = np.zeros(k), [], []
-        for pos, r in zip(pdf["i"].to_numpy(), raw):
-            gross = np.abs(r).sum()
-            if min(pos, spec.lookback) < spec.min_periods:
-                branch, target = "warmup", np.full(k, 1.0 / k if spec.warm_equal else 0.0)
-            elif gross <= 1e-12:
-                branch, target = "collapse", np.full(k, 1.0 / k if spec.collapse_equal else 0.0)
-            else:
-                branch, target = "ok", r / gross
-                if (np.abs(target) > spec.max_abs_weight).any():
-                    target = np.clip(target, -spec.max_abs_weight, spec.max_abs_weight)
-                    target = target / np.abs(target).sum()
-            cur = prev + np.clip(target - prev, -spec.max_step, spec.max_step)
-            want, have = np.abs(target).sum(), np.abs(cur).sum()
-            if have > 1e-12 and want > 1e-12:
-                cur = cur * (want / have)
-            prev = cur
-            rows.append(cur)
-            names.append(branch)
-        res = pd.DataFrame(rows, columns=[f"w_{s}" for s in sigs])
-        res.insert(0, "branch", names)
-        res.insert(0, "ti", pdf["ti"].to_numpy())
-        return res
-
-    keyed = e.withColumn("combiner", F.lit(0))
-    return per_series(keyed, ["combiner"], walk, out, ["i"] + [f"e_{s}" for s in sigs])
+    e = evidence(fac, sigs, spec).select("ti", F.struct(F.col("i"), F.col("ti"), F.array(*[F.coalesce(F.col(f"e_{s}"), F.lit(0.0)) for s in sigs]).alias("e")).alias("row"))
+    size = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + F.abs(y))
+    scaled = lambda a, f: F.transform(a, lambda x: x * f)
+    even = lambda on: F.array(*[F.lit(1.0 / k if on else 0.0)] * k)
+
+    def branch(row):
+        cold = F.least(row["i"], F.lit(spec.lookback)) < spec.min_periods
+        return F.when(cold, "warmup").when(size(row["e"]) <= 1e-12, "collapse").otherwise("ok")
+
+    def target(row):
+        unit = scaled(row["e"], 1 / size(row["e"]))
+        cut = F.transform(unit, lambda x: fr.clip(x, -spec.max_abs_weight, spec.max_abs_weight))
+        b = branch(row)
+        bounded = F.when(F.exists(unit, lambda x: F.abs(x) > spec.max_abs_weight), scaled(cut, 1 / size(cut))).otherwise(unit)
+        return F.when(b == "warmup", even(spec.warm_equal)).when(b == "collapse", even(spec.collapse_equal)).otherwise(bounded)
+
+    def step(seen, row):
+        last = F.when(F.size(seen) > 0, F.element_at(seen, -1)["w"]).otherwise(even(False))
+        moved = F.zip_with(last, row["t"], lambda x, y: x + fr.clip(y - x, -spec.max_step, spec.max_step))
+        both = (size(moved) > 1e-12) & (size(row["t"]) > 1e-12)
+        w = F.when(both, scaled(moved, size(row["t"]) / size(moved))).otherwise(moved)
+        return F.concat(seen, F.array(F.struct(row["ti"].alias("ti"), row["b"].alias("branch"), w.alias("w"))))
+
+    ready = e.select(F.struct("row.i", "row.ti", branch(F.col("row")).alias("b"), target(F.col("row")).alias("t")).alias("r"))
+    start = F.array().cast("array<struct<ti:int,branch:string,w:array<double>>>")
+    path = ready.groupBy().agg(F.aggregate(F.array_sort(F.collect_list("r")), start, step).alias("path"))
+    rows = path.select(F.explode("path").alias("p")).select("p.*")
+    return rows.select("ti", "branch", *[F.col("w")[i].alias(f"w_{s}") for i, s in enumerate(sigs)])
 
 
 def on_grid(weights: DataFrame, wide: DataFrame, cols) -> DataFrame:

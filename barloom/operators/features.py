@@ -267,96 +267,24 @@ def signal_bars(bars: DataFrame, warmup: int = 20) -> DataFrame:
     )
 
 
-# --- regime count test -------------------------------------------------------------------------
-
-
-def hmm_loglik(x: np.ndarray, rng, restarts: int = 1, sweeps: int = 50, tol: float = 1e-4) -> float:
-    """Best log likelihood of a two-state Gaussian chain (EM with scaling)."""
-    x = np.asarray(x, float)
-    n, base = len(x), max(float(np.var(x, ddof=1)), 1e-10)
-    best = -np.inf
-    for _ in range(restarts):
-        pi, a = rng.dirichlet([1, 1]), rng.dirichlet([1, 1], size=2)
-        mu, var = x[rng.choice(n, 2, replace=False)].copy(), np.array([base, base])
-        prev = -np.inf
-        for it in range(sweeps):
-            like = np.exp(-0.5 * (x[:, None] - mu) ** 2 / var) / np.sqrt(2 * np.pi * var)
-            like = np.clip(like, 1e-15, None)
-            al, sc = np.empty((n, 2)), np.empty(n)
-            l0, l1 = like[:, 0].tolist(), like[:, 1].tolist()
-            a00, a01, a10, a11 = a.ravel().tolist()
-            f0, f1 = pi[0] * l0[0], pi[1] * l1[0]
-            for t in range(n):
-                if t:
-                    f0, f1 = (f0 * a00 + f1 * a10) * l0[t], (f0 * a01 + f1 * a11) * l1[t]
-                c = max(f0 + f1, 1e-15)
-                f0, f1 = f0 / c, f1 / c
-                al[t, 0], al[t, 1], sc[t] = f0, f1, c
-            be = np.ones((n, 2))
-            b0 = b1 = 1.0
-            for t in range(n - 2, -1, -1):
-                u0, u1, c = l0[t + 1] * b0, l1[t + 1] * b1, sc[t + 1]
-                b0, b1 = (a00 * u0 + a01 * u1) / c, (a10 * u0 + a11 * u1) / c
-                be[t, 0], be[t, 1] = b0, b1
-            ll = float(np.log(sc).sum())
-            g = al * be
-            g /= np.where(g.sum(1, keepdims=True) == 0, 1e-15, g.sum(1, keepdims=True))
-            xi = al[:-1, :, None] * a[None] * (like[1:] * be[1:])[:, None, :]
-            xi /= np.maximum(xi.sum((1, 2), keepdims=True), 1e-15)
-            pi, w, w1 = g[0], g.sum(0), g[:-1].sum(0)
-            for i in (0, 1):
-                if w1[i] > 1e-12:
-                    a[i] = xi[:, i].sum(0) / w1[i]
-                if w[i] > 1e-12:
-                    mu[i] = g[:, i] @ x / w[i]
-                    var[i] = max(g[:, i] @ (x - mu[i]) ** 2 / w[i], 1e-10)
-            if ll - prev < tol and it:
-                break
-            prev = ll
-        best = max(best, prev)
-    return best
-
-
-def gauss_loglik(x: np.ndarray) -> float:
-    var = max(float(np.var(x, ddof=1)), 1e-10)
-    return float(-0.5 * (np.log(2 * np.pi) + np.log(max(var, 1e-12)) + (x - x.mean()) ** 2 / var).sum())
-
-
-def two_regime_test(bars: DataFrame, x: str = "lr", replicates: int = 500, p_max: float = 0.01) -> DataFrame:
-    """Likelihood ratio of two regimes against one, with a parametric bootstrap.
-
-    Replicate 0 is the data, the others are drawn under one regime from a seed made of
-    (symbol, replicate); every (symbol, replicate) is an independent fit.
-    """
-    obs = bars.filter(F.col(x).isNotNull())
-    out = T.StructType([bars.schema["symbol"], T.StructField("rep", T.IntegerType()), T.StructField("lr", T.DoubleType())])
-
-    def real(pdf):
-        v = pdf[x].to_numpy(float)
-        stat = 2 * (hmm_loglik(v, np.random.default_rng(0), restarts=3) - gauss_loglik(v))
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "rep": [0], "lr": [stat]})
-
-    data = per_series(obs, ["symbol"], real, out, [x], order="bar_idx")
-    null = obs.groupBy("symbol").agg(F.avg(x).alias("mu"), F.stddev_samp(x).alias("sd"), F.count("*").alias("n"))
-    tasks = null.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
-        "seed", F.pmod(F.xxhash64("symbol", "rep"), F.lit(2**31))
-    )
+# --- regime test -------------------------------------------------------------------------------
+
 
-    @F.pandas_udf("double")
-    def simulate(mu: pd.Series, sd: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
-        res = []
-        for m, s, k, z in zip(mu, sd, n, seed):
-            rng = np.random.default_rng(int(z))
-            v = rng.normal(m, s, int(k))
-            res.append(2 * (hmm_loglik(v, rng) - gauss_loglik(v)))
-        return pd.Series(res)
-
-    spread = tasks.repartition("symbol", "rep")
-    boot = spread.select("symbol", "rep", simulate("mu", "sd", "n", "seed").alias("lr"))
-    # the comparison needs the data statistic next to every replicate of its symbol
-    w = Window.partitionBy("symbol")
-    both = data.unionByName(boot).withColumn("real", F.max(F.when(F.col("rep") == 0, F.col("lr"))).over(w))
-    p = both.filter("rep > 0").groupBy("symbol").agg(
-        F.max("real").alias("lr_real"), F.avg((F.col("lr") >= F.col("real")).cast("double")).alias("p_value")
+def two_regime_test(bars: DataFrame, x: str = "lr", p_max: float = 0.01) -> DataFrame:
+    """One regime against several, from moments: (symbol, n, statistic, p_value, two_regimes).
+
+    Returns of one Gaussian regime have no excess kurtosis, and their squares do not follow
+    each other; a mixture of regimes that last has both. The sum of the two squared scores is
+    compared with the chi-squared law of two degrees of freedom. Sums combine on the map side;
+    only the lag looks along a symbol.
+    """
+    obs = bars.filter(F.col(x).isNotNull()).withColumn("_x", F.col(x))
+    m = obs.groupBy("symbol").agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
+    z = obs.join(m, "symbol").filter("_s > 0").withColumn("_q", ((F.col("_x") - F.col("_m")) / F.col("_s")) ** 2)
+    z = z.withColumn("_p", F.lag("_q").over(_o()))
+    g = z.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.avg(F.col("_q") ** 2).alias("_4"), F.sum((F.col("_q") - 1) * (F.col("_p") - 1)).alias("_c"), F.sum((F.col("_q") - 1) ** 2).alias("_v"),
     )
-    return p.withColumn("two_regimes", F.col("p_value") < p_max)
+    stat = F.col("n") * ((F.col("_4") - 3) ** 2 / 24 + F.coalesce(fr.div(F.col("_c"), F.col("_v")), F.lit(0.0)) ** 2)
+    g = g.withColumn("statistic", stat).withColumn("p_value", F.exp(-F.col("statistic") / 2))
+    return g.select("symbol", "n", "statistic", "p_value", (F.col("p_value") < p_max).alias("two_regimes"))

@@ -140,9 +140,15 @@ def signal_bars(spark, sf_dir):
     return ft.signal_bars(bars(spark, sf_dir))
 
 
-@query("two_regime_bootstrap")
+@query(
+    "two_regime_test",
+    f"""{BASE}, q AS (SELECT symbol, bar_idx, pow((lr-avg(lr) OVER s)/stddev_pop(lr) OVER s, 2) AS q FROM b0 WHERE lr IS NOT NULL WINDOW s AS (PARTITION BY symbol)),
+ p AS (SELECT *, lag(q) OVER (PARTITION BY symbol ORDER BY bar_idx) AS p FROM q),
+ g AS (SELECT symbol, count(*) AS n, count(*)*(pow(avg(q*q)-3,2)/24+pow(sum((q-1)*(p-1))/sum(pow(q-1,2)),2)) AS statistic FROM p GROUP BY symbol),
+ r AS (SELECT *, exp(-statistic/2) AS p_value, exp(-statistic/2)<0.01 AS two_regimes FROM g) """ + out("r", "symbol, n, two_regimes", "statistic, p_value"),
+)
 def two_regime(spark, sf_dir):
-    return ft.two_regime_test(bars(spark, sf_dir), replicates=8)
+    return ft.two_regime_test(bars(spark, sf_dir))
 
 
 # --- events ------------------------------------------------------------------------------------
