@@ -38,11 +38,12 @@ from barloom.llm import words
 from barloom.llm.common import spread, staged, text_slices
 
 SAMPLE = 8000
-LANDMARKS = 96
+LANDMARKS = 80
 CANDIDATES = 2000
 SPAN, DECAY = 6, 0.7
-FLOOR, POWER = 0.3, 4
-NEAR = 0.8
+FLOOR, POWER = 0.5, 4
+LEAST_SHARE = 0.004  # of the toxic texts that hold a landmark
+NEAR = 0.85
 SLICE_BYTES = 2 << 20
 _GAP = 63  # inside a word, but no letter
 _SHAPES = [(a, b) for a, b in itertools.combinations(range(1, SPAN), 2)]
@@ -281,6 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
     picked = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))  # about ``sample`` rows
     mine = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = mine.join(F.broadcast(picked), "id").select(F.xxhash64("id").alias("key"), "text", "toxic")
+    rows = rows.groupBy(F.xxhash64("text").alias("t"), "text").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic")).drop("t")  # copies teach nothing new
     rows = staged(spread(rows), "sample")
     pos, total = rows.agg(F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)), F.count("*")).first()
     if pos == 0 or pos == total:
@@ -289,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
         F.sum((F.col("toxic") > 0).cast("long")).alias("a"), F.sum((F.col("toxic") <= 0).cast("long")).alias("b")
     ).where(F.length("word") >= 3)
     odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (total - pos + 1))
-    best = seen.withColumn("gain", F.abs(odds) * F.sqrt(F.col("a") + 0.1 * F.col("b"))).where(odds > 0).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
+    best = seen.withColumn("gain", F.abs(odds) * F.sqrt(F.col("a") + 0.1 * F.col("b"))).where((odds > 1) & (F.col("a") >= LEAST_SHARE * pos)).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
     chosen = pick([r.word for r in best], landmarks)
     if not chosen:
         return Model(None, constant=pos / total)
