@@ -8,11 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barloom.functions import frames as fr
 from barloom.operators import evaluate as ev
-from barloom.operators.ordered import per_series
 
 
 @dataclass(frozen=True)
