@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import text_slices
 
 PIECE = 1 << 16  # characters held while looking for a cut
-WORDS_KEPT = 400_000
-SLICE_BYTES = 4 << 20
+WORDS_KEPT = 60_000
+SLICE_BYTES = 2 << 20
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
@@ -305,10 +306,10 @@ _READY: dict[str, Encoder] = {}
 
 def _encoder(shared) -> Encoder:
     """The worker's encoder of this tokenizer; its word table lasts from task to task."""
-    key, spec = shared.value
+    key, packed = shared.value
     if key not in _READY:
         _READY.clear()
-        _READY[key] = Encoder(Model(spec))
+        _READY[key] = Encoder(Model(json.loads(zlib.decompress(packed))))
     return _READY[key]
 
 
@@ -339,9 +340,8 @@ def _digests(shared, with_ids: bool):
 
 def encoded(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``keep`` columns with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for, ``ids``."""
-    spec = load(path)
-    key = hashlib.sha256(json.dumps(spec, sort_keys=True).encode()).hexdigest()
-    shared = docs.sparkSession.sparkContext.broadcast((key, spec))  # a tokenizer file, of its own fixed size
+    spec = json.dumps(load(path), sort_keys=True).encode()
+    shared = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(spec).hexdigest(), zlib.compress(spec)))  # a tokenizer file, of its own fixed size
     src = docs.select(F.struct(*[f"`{c}`" for c in keep]).alias("row"), F.col(text_col).alias("text"))
     kind = f"row {src.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return src.mapInArrow(_digests(shared, with_ids), kind).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids)

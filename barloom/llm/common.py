@@ -59,6 +59,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> I
             to = max(at + 1, min(at + MAX_ROWS, int(np.searchsorted(ends, done + limit, side="right"))))
             yield batch.slice(at, to - at)
             at, done = to, int(ends[to - 1])
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ BANDS, ROWS = 10, 3
 CLASSES = 1 << 20
 POOL = 1 << 16
 _CHUNK = 1 << 14
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 _BITS, _LOW = np.uint64(44), np.uint64((1 << 44) - 1)
 
 
@@ -169,6 +169,7 @@ def _sign(k: int, bands: int, rows: int, idf):
                 [pa.array(ids_or_last(part.column("doc"))), part.column("fp"), pa.array(node, mask=~has), lists, pa.array(mean)],
                 names=["doc", "fp", "node", "bands", "mean"],
             )
+        _pool.cache_clear()  # the worker lives on
 
     return run
 

@@ -44,7 +44,7 @@ SPAN, DECAY = 6, 0.7
 FLOOR, POWER = 0.5, 4
 LEAST_SHARE = 0.004  # of the toxic texts that hold a landmark
 NEAR = 0.85
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _GAP = 63  # inside a word, but no letter
 _SHAPES = [(a, b) for a, b in itertools.combinations(range(1, SPAN), 2)]
 
@@ -250,7 +250,7 @@ def fit(marks: Landmarks, features: np.ndarray, y: np.ndarray) -> Model:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(word, toxic)`` for each distinct word of each text."""
-    for part in text_slices(batches, "text", SLICE_BYTES // 4):
+    for part in text_slices(batches, "text", SLICE_BYTES):
         texts, toxic = part.column("text").to_pylist(), part.column("toxic").to_numpy(zero_copy_only=False)
         _, _, n, text, number, whole, start, end = _words(texts)
         if n:
@@ -339,10 +339,22 @@ def digest(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(left, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _pass(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            s = shared.value.scores(part.column("text").to_pylist())
+            yield part.filter(pa.array(s < 0.5))
+
+    return run
+
+
 def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, all columns."""
     model = train(docs.select("doc_id", F.col(text_col).alias("text")), labels, **options)
-    return scored(docs, model, docs.columns, text_col).where("score < 0.5").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    src = docs.select(F.struct(*[f"`{c}`" for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).alias("text"))
+    kept = src.mapInArrow(_pass(shared), f"row {src.schema['row'].dataType.simpleString()}, text string")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def held_out(doc_id: int) -> bool:

@@ -6,7 +6,7 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C13 | 3
 _ODD = np.uint64(BASE)
-PIECE = 1 << 20  # bytes hashed at once
+PIECE = 1 << 18  # bytes hashed at once
 
 
 def _inverse(x: int) -> int:
