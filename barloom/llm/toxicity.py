@@ -4,7 +4,8 @@ Kernel. Two words are alike by the triples of letters that both hold in order, g
 triple that spans ``s`` characters counts ``DECAY ** s``, up to ``SPAN`` characters, and sums
 are scaled by the size of each word. So ``id.i-ot`` and ``idiiot`` stay near ``idiot``, and an
 insult near its inflected forms. Words end at white space; single letters with white space
-between form one word; whatever is no letter only widens a gap.
+between form one word; whatever is no letter only widens a gap, by one place for a run of any
+length, so ``i--d--i--o--t`` is ``i-d-i-o-t``.
 
 Landmarks. The words that tell the labels of the training sample apart best, no two of them too
 alike. A text's similarity to a landmark is that of its nearest word (at least ``FLOOR``), to
@@ -15,7 +16,8 @@ probability on decisions of models that had not seen the text.
 Training uses at most ``SAMPLE`` labelled documents, picked by a hash of the id from rows whose
 crc32 of the id mod 5 is not 0. Word counts of the sample are grouped in Spark; the driver sees
 the best candidates and one row of ``LANDMARKS`` numbers for each text of the sample. Scoring
-is one pass over all texts, whole, without a shuffle.
+is one pass over all texts, whole, without a shuffle. A worker keeps the similarities of up to
+``TABLE`` words of earlier slices; they are those that it would compute again.
 
 Defined cases: null and empty texts are scored like texts without a similar word; a label row
 without id or label is left out, of several labels of an id the largest counts; without both
@@ -38,13 +40,14 @@ from barloom.llm import words
 from barloom.llm.common import spread, staged, text_slices
 
 SAMPLE = 8000
-LANDMARKS = 80
+LANDMARKS = 96
 CANDIDATES = 2000
 SPAN, DECAY = 6, 0.7
-FLOOR, POWER = 0.5, 4
-LEAST_SHARE = 0.004  # of the toxic texts that hold a landmark
+FLOOR, POWER = 0.3, 4
 NEAR = 0.85
 SLICE_BYTES = 1 << 19
+TABLE = 1 << 16
+_PART = 1 << 13  # words compared at a time
 _GAP = 63  # inside a word, but no letter
 _SHAPES = [(a, b) for a, b in itertools.combinations(range(1, SPAN), 2)]
 
@@ -69,11 +72,10 @@ def _table() -> np.ndarray:
     return words.byte_table(lambda i: i != 0)
 
 
-def _words(texts: list[str | None]):
-    """Distinct words of texts as codes in one padded array, and which words each text has.
+def _tokens(texts: list[str | None]):
+    """Code of each character of the joined texts, and the distinct words: hash, start, end.
 
-    Returns padded codes, word number of each place, count of words; text and word of each token;
-    and for each word a place in the joined text.
+    Then text and word of each token, and the joined text.
     """
     whole = "\n".join(t or "" for t in texts)
     points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -93,18 +95,34 @@ def _words(texts: list[str | None]):
         h = np.add.reduceat(words.mix(h + place), head)
         end = end[np.append(head[1:], len(end)) - 1]
         start, text = start[head], text[head]
-    _, first, number = np.unique(h, return_index=True, return_inverse=True)
-    start, end = start[first], end[first]
+    h, first, number = np.unique(h, return_index=True, return_inverse=True)
+    return code, h, start[first], end[first], text, number, whole
+
+
+def _padded(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words in one array, zeros after each, and the word number of each place."""
     size = end - start
     pad = SPAN - 1
     at = np.append(0, np.cumsum(size + pad))
     places = np.arange(at[-1]) - np.repeat(at[:-1], size + pad)
     source = np.repeat(start, size + pad) + places
     inside = places < np.repeat(size, size + pad)
-    codes = np.zeros(at[-1] + pad, np.uint8)
-    codes[: at[-1]] = np.where(inside, code[np.minimum(source, len(code) - 1)], 0) if len(code) else 0
+    codes = np.where(inside, code[np.minimum(source, len(code) - 1)], 0).astype(np.uint8) if len(code) else np.zeros(0, np.uint8)
     codes[codes == _GAP] = 0
-    return codes, np.repeat(np.arange(len(size)), size + pad), len(size), text, number, whole, start, end
+    gap = inside & (codes == 0)
+    keep = np.ones(len(codes), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])  # a run of signs is one place
+    return np.append(codes[keep], np.zeros(pad, np.uint8)), np.repeat(np.arange(len(size)), size + pad)[keep]
+
+
+def _words(texts: list[str | None]):
+    """Distinct words of texts as codes in one padded array, and which words each text has.
+
+    Returns padded codes, word number of each place, count of words; text and word of each token;
+    and for each word a place in the joined text.
+    """
+    code, h, start, end, text, number, whole = _tokens(texts)
+    return *_padded(code, start, end), len(h), text, number, whole, start, end
 
 
 def _triples(codes: np.ndarray):
@@ -134,6 +152,19 @@ class Landmarks:
         self.most = self.rows.max(axis=1) if n else np.zeros(1)
         self.index = np.zeros(1 << 18, np.int32)
         self.index[list(found)] = np.arange(1, len(found) + 1)
+        self._empty()
+
+    def _empty(self):
+        """The table of words seen: hashes in order, place of each in ``near`` (-1 if none is over the floor)."""
+        self.seen, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.near = np.zeros((0, self.rows.shape[1]), np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "place", "near")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._empty()
 
     def kernel(self, codes: np.ndarray, word: np.ndarray, n: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Words, of ``n``, that may be over ``least`` for a landmark, and their similarity to every one.
@@ -162,21 +193,43 @@ class Landmarks:
                 out[w[head]] += weight * np.add.reduceat(self.rows[row], head)
         return alive, out / norm[alive].astype(np.float32)[:, None]
 
+    def _nearest(self, code: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word in a table of similarities, -1 if all are under ``FLOOR``; and that table."""
+        at = np.searchsorted(self.seen, h)
+        known = np.zeros(len(h), bool)
+        inside = at < len(self.seen)
+        known[inside] = self.seen[at[inside]] == h[inside]
+        place, rows, have = np.full(len(h), -1), [self.near], len(self.near)
+        place[known] = self.place[at[known]]
+        new = np.flatnonzero(~known)
+        for part in np.array_split(new, max(1, -(-len(new) // _PART))):
+            alive, k = self.kernel(*_padded(code, start[part], end[part]), len(part), FLOOR)
+            over = np.flatnonzero((k >= FLOOR).any(axis=1))
+            place[part[alive[over]]] = have + np.arange(len(over))
+            have += len(over)
+            rows.append(k[over])
+        near = np.concatenate(rows) if have > len(self.near) else self.near
+        if len(self.seen) + len(new) <= TABLE:
+            to = at[new]
+            self.seen, self.place, self.near = np.insert(self.seen, to, h[new]), np.insert(self.place, to, place[new]), near
+        elif len(h) <= TABLE:  # the table starts anew with the words of this slice
+            has = place >= 0
+            self.seen, self.near, self.place = h, near[place[has]], np.where(has, np.cumsum(has) - 1, -1)
+        return place, near
+
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Similarity of each text's nearest word to every landmark."""
-        codes, word, n, text, number, *_ = _words(texts)
+        code, h, start, end, text, number, _ = _tokens(texts)
         out = np.full((len(texts), len(self.words)), FLOOR, np.float32)
-        if n:
-            alive, k = self.kernel(codes, word, n, FLOOR)
-            place = np.full(n, -1)
-            place[alive] = np.arange(len(alive))
+        if len(h):
+            place, near = self._nearest(code, h, start, end)
             use = np.flatnonzero(place[number] >= 0)
             # in parts: a token has a row of similarities
             for part in np.array_split(use, max(1, -(-len(use) // 50_000))):
                 if len(part):
                     t = text[part]
                     head = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                    out[t[head]] = np.maximum(out[t[head]], np.maximum.reduceat(k[place[number[part]]], head))
+                    out[t[head]] = np.maximum(out[t[head]], np.maximum.reduceat(near[place[number[part]]], head))
         return np.minimum(out, 1) ** POWER
 
 
@@ -291,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
         F.sum((F.col("toxic") > 0).cast("long")).alias("a"), F.sum((F.col("toxic") <= 0).cast("long")).alias("b")
     ).where(F.length("word") >= 3)
     odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (total - pos + 1))
-    best = seen.withColumn("gain", F.abs(odds) * F.sqrt(F.col("a") + 0.1 * F.col("b"))).where((odds > 1) & (F.col("a") >= LEAST_SHARE * pos)).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
+    best = seen.withColumn("gain", F.abs(odds) * F.sqrt(F.col("a") + 0.1 * F.col("b"))).where(odds > 0).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
     chosen = pick([r.word for r in best], landmarks)
     if not chosen:
         return Model(None, constant=pos / total)

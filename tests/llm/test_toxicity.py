@@ -82,3 +82,25 @@ def test_edge_cases(session):
     assert toxicity.digest(df.limit(0), lab).count() == 0
     assert {r.score for r in toxicity.digest(df, lab.limit(0)).collect()} == {0.0}
     assert {r.score for r in toxicity.digest(df, lab.where("toxic = 1")).collect()} == {1.0}
+
+
+def test_two_inserted_letters_and_two_signs_leave_a_signal():
+    marks = toxicity.Landmarks(INSULTS)
+    none = marks.features(["the"])[0].max()
+    for word, insult in [("scxumxbag", "scumbag"), ("losxxer", "loser")]:
+        got = marks.features(["some " + word])[0, INSULTS.index(insult)]
+        assert abs(got - brute_kernel(word, insult) ** toxicity.POWER) < 1e-4 and got > 1.5 * none
+    for word in ["i--d--i--o--t", "i-.d*!i--o--t", "i---d---i---o---t"]:
+        got = marks.features([word])[0, 0]
+        assert abs(got - brute_kernel("i-d-i-o-t", "idiot") ** toxicity.POWER) < 1e-4 and got > 0.2
+
+
+def test_words_of_earlier_slices_change_nothing(monkeypatch):
+    docs, _ = corpus(3, 200)
+    texts = [t for _, t in docs]
+    for table in (0, 150, 1 << 16):
+        monkeypatch.setattr(toxicity, "TABLE", table)
+        marks = toxicity.Landmarks(INSULTS)
+        got = np.concatenate([marks.features(texts[i : i + 7]) for i in range(0, len(texts), 7)])
+        assert len(marks.seen) <= table
+        assert (got == toxicity.Landmarks(INSULTS).features(texts)).all()
