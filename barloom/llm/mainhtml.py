@@ -8,7 +8,8 @@ blocks that follow each other below the same parent, stronger the closer they ar
 The maximum flow's cut labels the blocks: what stays on the source's side is content.
 
 Scripts, styles, templates, titles and form controls are never blocks. Character references are
-decoded; white space inside a block becomes one blank; blocks are joined by a newline.
+decoded; white space inside a block becomes one blank; blocks are joined by a newline. A head
+ends at the first tag or text that may not stand in it; ``<svg/>`` has no content.
 
 Defined cases: null and empty pages give an empty text; text outside any tag is a block.
 """
@@ -43,6 +44,8 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 INSIDE = frozenset("article main".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+FOREIGN = frozenset("svg math".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|side-?bar\w*|rail|widget\w*|menu\w*|nav\w*|breadcrumb\w*|crumbs|"
@@ -140,7 +143,13 @@ class _Reader(HTMLParser):
             self.blocks.append(Block(text, tuple(self.path), min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
+    def _end_head(self):
+        if self.path and self.path[-1][0] == "head":
+            self._cut(len(self.path) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in VOID:
             if tag in BLOCK:
                 self.end_block()
@@ -165,7 +174,10 @@ class _Reader(HTMLParser):
         self.anchors += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        if tag in FOREIGN or any(t in FOREIGN for t, *_ in self.path):
+            self._end_head()
+        else:  # of other elements HTML ignores the slash
+            self.handle_starttag(tag, attrs)
 
     def _close(self, tag, until):
         """Close the innermost open ``tag`` unless an element of ``until`` lies within it."""
@@ -195,6 +207,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             if self.anchors:

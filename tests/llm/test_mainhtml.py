@@ -51,6 +51,21 @@ def test_article_without_boilerplate():
     assert mainhtml.main_text("just text") == "just text"
 
 
+def test_head_without_end_tag():
+    article = "<article><h1>A walk</h1><p>We left the house early, before the sun was up.</p></article>"
+    want = "A walk\nWe left the house early, before the sun was up."
+    head = "<html><head><meta charset=utf-8><title>T</title><style>p {}</style><noscript><link href=x></noscript>"
+    for page in (f"{head}<body>{article}", f"{head}{article}", f"{head}</head><body>{article}", f"<head><template><p>no</p></template><link href=x />{article}"):
+        assert mainhtml.main_text(page) == want
+    assert mainhtml.main_text("<head><title>T</title> just text") == "just text"
+
+
+def test_self_closed_svg_has_no_content():
+    for svg in ("<svg/>", '<svg class="icon" />', "<svg><path d='M0'/><title/><text>no</text></svg>"):
+        page = f"<article><h1>A walk</h1><p>We left the house {svg}early, before the sun was up.</p><p>Rain fell until the evening.</p></article>"
+        assert mainhtml.main_text(page) == "A walk\nWe left the house early, before the sun was up.\nRain fell until the evening."
+
+
 def plain(page):
     """The article element's paragraphs, by patterns that hold for the generated pages only."""
     m = re.search(r"(?s)<article>(.*)</article>", page)
