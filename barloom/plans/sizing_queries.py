@@ -171,14 +171,14 @@ def bootstrap_kelly(spark, sf_dir):
 
 @query("kelly_table")
 def kelly_table(spark, sf_dir):
-    t, _, _ = sz.kelly_bins(trades(spark, sf_dir), 5)
+    t, _, _ = sz.kelly_bins(trades(spark, sf_dir))
     return sz.kelly_table(t)
 
 
 @query("kelly_lookup")
 def kelly_lookup(spark, sf_dir):
-    t, p, c = sz.kelly_bins(trades(spark, sf_dir), 5)
-    return sz.kelly_lookup(rows(spark, sf_dir), sz.kelly_table(t), p, c, 5, True).select(*KEYS, "mode", "p_bin", "chop_bin", "f_target")
+    t, p, c = sz.kelly_bins(trades(spark, sf_dir))
+    return sz.kelly_lookup(rows(spark, sf_dir), sz.kelly_table(t), p, c, 10, True).select(*KEYS, "mode", "p_bin", "chop_bin", "f_target")
 
 
 @query("regime_kelly")

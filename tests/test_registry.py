@@ -27,3 +27,10 @@ def test_query_matches_sql(spark, name):
     want = connect(SF).execute(entry.oracle_sql()[name]).fetchdf()
     d = differences(got, want)
     assert not d or d.startswith("~"), d
+
+
+def test_kelly_table_and_lookup_have_ten_bins(spark):
+    cells = entry.queries()["kelly_table"](spark, SF).select("p_bin", "chop_bin").collect()
+    assert {r.p_bin for r in cells} == {r.chop_bin for r in cells} == set(range(10))
+    got = entry.queries()["kelly_lookup"](spark, SF).agg({"p_bin": "max", "chop_bin": "max"}).first()
+    assert tuple(got) == (9, 9)
