@@ -377,32 +377,32 @@ def bootstrap_table(
     )
 
 
-def path_risk(fine: DataFrame, levers, bars_per_period: int = 18, maintenance: float = 0.01) -> DataFrame:
-    """(leverage, max_dd, ruin_share) with sizes held fixed inside each period.
+def path_risk(fine: DataFrame, levers, bars_per_period: int = 18, maintenance: float = 0.01, keys=()) -> DataFrame:
+    """(*keys, leverage, max_dd, ruin_share) with sizes held fixed inside each period.
 
     Inside a period equity is e0 (1 + L c) with c the summed return so far; a period
     that touches the maintenance level is a ruin and keeps its first bar only. Periods
-    are chained by a running product, one row per period.
+    are chained by a running product, one row per period; ``keys`` name the strategy.
     """
-    o = Window.partitionBy(F.lit(0)).orderBy("ti")  # one strategy, one row per bar
+    o = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ti")  # one row per bar of a strategy
     r = fine.filter(F.col("ret").isNotNull()).withColumn("_i", F.row_number().over(o) - 1)
     r = r.withColumn("p", F.floor(F.col("_i") / bars_per_period))
-    run = Window.partitionBy("p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*keys, "p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("c", F.sum("ret").over(run))
-    per = r.groupBy("p").agg(
+    per = r.groupBy(*keys, "p").agg(
         F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "_i").alias("c0"), F.max_by("c", "_i").alias("c1")
     ).filter(F.col("n") == bars_per_period)
     q = explode_grid(per, "leverage", [float(v) for v in levers])
     lev = F.col("leverage")
     q = q.withColumn("ruin", 1.0 + lev * F.col("lo") <= maintenance * lev)
     f = F.when(F.col("ruin"), F.greatest(F.lit(1e-12), 1.0 + lev * F.col("c0"))).otherwise(1.0 + lev * F.col("c1"))
-    w = Window.partitionBy("leverage").orderBy("p")
+    w = Window.partitionBy(*keys, "leverage").orderBy("p")
     q = q.withColumn("_f", f)
     q = q.withColumn("e0", F.coalesce(F.product("_f").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
     top = F.when(~F.col("ruin"), F.col("e0") * (1.0 + lev * F.col("hi")))
     q = q.withColumn("peak", F.greatest(F.lit(1.0), F.coalesce(F.max(top).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))))
     dd = F.when(F.col("ruin"), 1.0).otherwise(1.0 - F.col("e0") * (1.0 + lev * F.col("lo")) / F.col("peak"))
-    return q.groupBy("leverage").agg(
+    return q.groupBy(*keys, "leverage").agg(
         F.greatest(F.lit(0.0), F.max(dd)).alias("max_dd"), F.avg(F.col("ruin").cast("double")).alias("ruin_share")
     )
 

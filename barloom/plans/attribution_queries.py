@@ -490,8 +490,7 @@ def deflated_sharpe(spark, sf_dir):
 
 @query("path_risk_grid")
 def path_risk(spark, sf_dir):
-    r = named_returns(spark, sf_dir).filter(F.col("name") == TWO[0])
-    return at.path_risk(r, GRID, 6)
+    return at.path_risk(named_returns(spark, sf_dir), GRID, 6, keys=["name"])
 
 
 @query("executable_leverage")

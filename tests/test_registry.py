@@ -3,6 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from barloom.operators import attribution as at
+from barloom.plans.attribution_queries import GRID
+from barloom.plans.portfolio_queries import TWO, named_returns
 from compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +37,22 @@ def test_kelly_table_and_lookup_have_ten_bins(spark):
     assert {r.p_bin for r in cells} == {r.chop_bin for r in cells} == set(range(10))
     got = entry.queries()["kelly_lookup"](spark, SF).agg({"p_bin": "max", "chop_bin": "max"}).first()
     assert tuple(got) == (9, 9)
+
+
+def test_path_risk_grid_covers_every_strategy(spark):
+    r = named_returns(spark, SF)
+    got = entry.queries()["path_risk_grid"](spark, SF).toPandas()
+    assert "ofi_fast" in set(got.name)
+    for name in TWO:  # mom_fast has no whole period at this scale
+        want = at.path_risk(r.filter(r["name"] == name), GRID, 6).orderBy("leverage").toPandas()
+        part = got[got.name == name].sort_values("leverage")[want.columns]
+        assert len(part) == len(want) and (abs(part.to_numpy() - want.to_numpy()) <= 1e-6).all()  # queries round
+
+
+def test_path_risk_by_strategy_is_that_of_each_alone(spark):
+    rows = [(n, i, 0.01 * ((i * k) % 7 - 3)) for n, k in (("a", 3), ("b", 5)) for i in range(40)]
+    r = spark.createDataFrame(rows, "name string, ti int, ret double")
+    got = {(x.name, x.leverage): (x.max_dd, x.ruin_share) for x in at.path_risk(r, GRID, 6, keys=["name"]).collect()}
+    want = {(n, x.leverage): (x.max_dd, x.ruin_share) for n in "ab" for x in at.path_risk(r.filter(r["name"] == n), GRID, 6).collect()}
+    assert len(got) == 10 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
