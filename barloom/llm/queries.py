@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, fmindex, mainhtml, minhash, multiindex, substrings, toxicity, urls, warc
+from barloom.llm import bpe, chat, fmindex, lines, mainhtml, minhash, multiindex, substrings, toxicity, urls, warc
 from barloom.llm.common import fresh_path, read
 from barloom.llm.registry import ENTRIES, entry
 
@@ -76,6 +76,15 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 FROM p JOIN m USING (s)"""
 
 
+OP13_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text,''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM s, unnest(range(1, len(ls)+1)) t(i)),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id < last) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR doc_id >= last), '')) AS kept_sha256
+FROM l LEFT JOIN k USING (key) GROUP BY doc_id"""
+
+
 @entry("op1_embedding_near_dedup", OP1_SQL)
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.linked(read(spark, sf_dir, "embeddings"))
@@ -126,3 +135,8 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op10_bpe_encoding_and_decoding")
 def bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
+
+
+@entry("op13_line_dedup", OP13_SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(read(spark, sf_dir, "documents"))
