@@ -191,6 +191,51 @@ def scan(
     return beside(rows, starts).applyInPandas(final, schema)
 
 
+def carried(blocks: DataFrame, keys, idx: str, elem: str, compose: Callable, fan: int = 1024) -> DataFrame:
+    """``(keys, idx, before)``: the elements of all earlier blocks of a key, composed in order.
+
+    ``elem`` is an array of doubles and ``compose(a, b)`` the associative product "first a, then
+    b"; ``before`` is null for a key's first block. ``idx`` need not be dense. At most ``fan``
+    neighbouring blocks meet in a task: their product stands for them one level up, and what
+    precedes the group is handed down again, so the number of passes is the logarithm of the
+    block numbers to the base ``fan``.
+    """
+    keys = list(keys)
+    fields = [blocks.schema[k] for k in keys]
+    doubles = T.ArrayType(T.DoubleType())
+    down = T.StructType([*fields, T.StructField(idx, T.LongType()), T.StructField("before", doubles)])
+    up = T.StructType([*fields, T.StructField(idx, T.LongType()), T.StructField(elem, doubles)])
+
+    def running(pdf: pd.DataFrame, before) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx, kind="stable")
+        out = []
+        for e in pdf[elem]:
+            out.append(before)
+            before = e if before is None else compose(before, e)
+        return pdf[[*keys, idx]].assign(before=out)[[f.name for f in down]]
+
+    def fold(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        product = None
+        for e in pdf.sort_values(idx, kind="stable")[elem]:
+            product = e if product is None else compose(product, e)
+        return pd.DataFrame([[*k, product]], columns=[*keys, idx, elem])
+
+    def resume(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return running(left, right["before"].iloc[0]) if len(left) else left.assign(before=None)[[f.name for f in down]]
+
+    mine = blocks.select(*keys, F.col(idx).cast("long").alias(idx), elem)
+    top = mine.agg(F.max(idx)).first()[0]
+    if top is None or top < fan:
+        return mine.groupBy(*keys).applyInPandas(lambda pdf: running(pdf, None), down)
+    checkpoint_dir(blocks.sparkSession)
+    grouped = mine.withColumn("_g", F.floor(F.col(idx) / fan))
+    folded = grouped.groupBy(*keys, "_g").applyInPandas(fold, up).checkpoint()
+    above = carried(folded, keys, idx, elem, compose, fan)
+    names = [f"_k{i}" for i in range(len(keys) + 1)]
+    above = above.select(*keys, idx, "before").toDF(*names, "before")
+    return grouped.groupBy(*keys, "_g").cogroup(above.groupBy(*names)).applyInPandas(resume, down)
+
+
 def per_series(df: DataFrame, keys, kernel: Callable, schema, columns, order="ti") -> DataFrame:
     """Kernel over one whole series per key, for series with one row per timestamp.
 
