@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, fmindex, lines, mainhtml, minhash, multiindex, substrings, toxicity, urls, warc
+from barloom.llm import bpe, chat, fmindex, lines, mainhtml, minhash, multiindex, repair, substrings, toxicity, urls, warc
 from barloom.llm.common import fresh_path, read
 from barloom.llm.registry import ENTRIES, entry
 
@@ -140,3 +140,8 @@ def bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op13_line_dedup", OP13_SQL)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(read(spark, sf_dir, "documents"))
+
+
+@entry("op12_conversation_structure_repair")
+def conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(read(spark, sf_dir, "conversations"))
