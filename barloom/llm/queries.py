@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, chat, fmindex, lines, mainhtml, minhash, multiindex, repair, substrings, toxicity, urls, warc
+from barloom.llm import bpe, chat, fmindex, lines, mainhtml, minhash, multiindex, repair, search, substrings, toxicity, urls, warc
 from barloom.llm.common import fresh_path, read
 from barloom.llm.registry import ENTRIES, entry
 
@@ -76,6 +76,17 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 FROM p JOIN m USING (s)"""
 
 
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, len(ws) AS n, ws FROM (SELECT doc_id, {_FOLDED_WORDS} AS ws FROM documents) WHERE len(ws) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_FOLDED_WORDS}) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000*ln((2*docs+2)/(2*count(*)+1))) AS BIGINT) AS w FROM p, c GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(w*((1000000000*tf)//(1000*tf+8*(100-90+((90*n*docs)//terms))))) AS BIGINT) AS score
+ FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM r WHERE k <= 10"""
+
 OP13_SQL = r"""
 WITH s AS (SELECT doc_id, string_split(coalesce(text,''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM s, unnest(range(1, len(ls)+1)) t(i)),
@@ -142,6 +153,11 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(read(spark, sf_dir, "documents"))
 
 
+@entry("op11_ranked_lexical_search", OP11_SQL)
+def ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @entry("op12_conversation_structure_repair")
 def conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(read(spark, sf_dir, "conversations"))
