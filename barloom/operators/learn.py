@@ -102,7 +102,7 @@ def permuted(rows: DataFrame, names, seed: int, keys=("fold",)) -> DataFrame:
     """
     keys = list(keys)
     h = lambda s: F.xxhash64("symbol", "t0", F.lit(s))
-    place = lambda d: positions(d, keys, ["_h"], [F.shiftright("_h", 48)], "_i").drop("_h")
+    place = lambda d: positions(d, keys, ["_h"], "_i").drop("_h")
     a = place(rows.withColumn("_h", h(seed)))
     b = place(rows.select(*keys, *[F.col(n).alias(f"_v_{n}") for n in names], h(seed + 1).alias("_h")))
     return a.join(b, keys + ["_i"]).drop("_i")

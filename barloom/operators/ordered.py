@@ -1,18 +1,22 @@
 """Order-dependent work on long per-key streams without one task per key.
 
 A key may hold a third of all rows, so nothing here sorts a whole key in one task.
-``positions`` numbers the rows of every key from per-bucket counts; rows are then cut
+``positions`` numbers the rows of every key from counts of sampled ranges; rows are then cut
 into blocks of a fixed number of rows. Row frames read a halo of the neighbouring
 block (``blocked``), running values are carried over block summaries (``fill_forward``),
-and recursions run per block from the state the previous block ended in (``scan``).
+recursions whose blocks compose are carried by their products (``carried``), and others run
+per block from the state the previous block ended in (``scan``).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,27 +26,63 @@ from barloom.session import checkpoint_dir
 BLOCK_ROWS = 1 << 20
 
 
-def positions(df: DataFrame, keys, order, bucket: list[Column], name: str = "pos") -> DataFrame:
-    """0-based position of each row within its key.
+def positions(df: DataFrame, keys, order, name: str = "pos") -> DataFrame:
+    """0-based position of each row within its key, in the order of the columns ``order``.
 
-    ``bucket`` must not decrease along ``order`` and must bound the rows per bucket;
-    only the bucket counts of a key (a summary) are ever seen by one task.
+    Rows are dealt out by ranges of (keys, order), with bounds that Spark samples, so a key of
+    any length is spread over tasks and no window holds it. A row's position is its place in its
+    range plus what earlier ranges hold of the key: one count for each key and range.
     """
     keys = list(keys)
-    b = df.withColumn("_b", F.struct(*[c.alias(f"b{i}") for i, c in enumerate(bucket)]))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    checkpoint_dir(df.sparkSession)  # the ranges are kept: sampled anew they could fall elsewhere
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = dealt.withColumns({"_part": F.spark_partition_id(), "_at": place}).checkpoint()
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        b.groupBy(*keys, "_b")
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return (
-        b.withColumn("_rn", F.row_number().over(inside) - 1)
-        .join(offsets, keys + ["_b"])
-        .withColumn(name, F.col("_rn") + F.col("_off"))
-        .drop("_rn", "_off", "_b")
+        dealt.groupBy(*keys, "_part")
+        .agg(F.min("_at").alias("_lo"), F.count("*").alias("_n"))
+        .select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_off"))
     )
+    return dealt.join(offsets, keys + ["_part"]).withColumn(name, F.col("_at") + F.col("_off")).drop("_part", "_at", "_off")
+
+
+def runs_of(table: pa.Table, names) -> np.ndarray:
+    """First rows of the stretches of equal ``names`` in a sorted table, and its end."""
+    head = np.zeros(table.num_rows, bool)
+    head[:1] = True
+    for n in names:
+        code = pc.dictionary_encode(table.column(n).combine_chunks(), null_encoding="encode").indices.to_numpy()
+        head[1:] |= code[1:] != code[:-1]
+    return np.append(np.flatnonzero(head), table.num_rows)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], names, least: int = 1 << 17) -> Iterator[pa.Table]:
+    """A sorted stream as tables of about ``least`` rows that cut no stretch of equal ``names``."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= least:
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = int(runs_of(table, names)[-2])
+            if cut:
+                yield table.slice(0, cut)
+            held, rows = table.slice(cut).to_batches(), rows - cut
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def along(df: DataFrame, keys, part: str, pos: str, run: Callable, schema: T.StructType, names) -> DataFrame:
+    """``run`` over tables that hold whole (keys, part) stretches in order of ``pos``."""
+    group = [*keys, part]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, group):
+            yield from run(table).combine_chunks().to_batches()
+
+    dealt = df.repartition(*group).sortWithinPartitions(*group, pos)
+    return dealt.select(*dict.fromkeys([*group, pos, *names])).mapInArrow(stream, schema)
 
 
 def blocked(df: DataFrame, before: int, after: int = 0, block_rows: int = BLOCK_ROWS, pos: str = "pos") -> DataFrame:
@@ -86,17 +126,8 @@ def fill_forward(df: DataFrame, keys, value: str, out: str, block_rows: int = BL
     )
 
 
-def dump_state(state, digits: int | None) -> str:
-    """Canonical text of a state; ``digits`` caps the precision of its floats."""
-
-    def norm(v):
-        if isinstance(v, float) and digits is not None:
-            return float(f"{v:.{digits}e}")
-        if isinstance(v, (list, tuple)):
-            return [norm(x) for x in v]
-        return v
-
-    return json.dumps(norm(state))
+def dump_state(state) -> str:
+    return json.dumps(state)
 
 
 def longest_key(df: DataFrame, keys) -> int:
@@ -114,7 +145,6 @@ def scan(
     columns,
     pos: str = "pos",
     block_rows: int = BLOCK_ROWS,
-    digits: int | None = None,
     rows_per_key: int | None = None,
 ) -> DataFrame:
     """Run ``kernel(state, rows) -> (state, output)`` along every key.
@@ -124,14 +154,13 @@ def scan(
     nothing changes. Recursions that reset or forget settle in a few rounds, and any
     recursion settles after as many rounds as a key has blocks, so the result is the
     one of a single sequential pass. A key within one block needs no round at all.
-    ``digits`` rounds the carried floats so that contracting filters settle.
     """
     keys = list(keys)
     cols = list(dict.fromkeys(keys + [pos] + list(columns)))
     out_names = [f.name for f in schema.fields]
     key_fields = [df.schema[k] for k in keys]
     blk_field = T.StructField("_blk", T.LongType())
-    start = dump_state(initial, digits)
+    start = dump_state(initial)
 
     def run(state_text, pdf):
         return kernel(json.loads(state_text), pdf.sort_values(pos, kind="stable"))
@@ -154,7 +183,7 @@ def scan(
         if left.empty or right.empty:
             return pd.DataFrame(columns=[f.name for f in end_schema])
         state, _ = run(right["_start"].iloc[0], left)
-        return pd.DataFrame([list(k) + [dump_state(state, digits)]], columns=group + ["_end"])
+        return pd.DataFrame([list(k) + [dump_state(state)]], columns=group + ["_end"])
 
     def beside(left: DataFrame, starts: DataFrame):
         """Blocks next to their start state (renamed: both come from the same rows)."""

@@ -7,26 +7,24 @@ time; nothing sorts a symbol in one task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions import frames as fr
-from barloom.functions import kernels as kn
+from barloom.operators import maps
+from barloom.operators.ordered import BLOCK_ROWS, along, blocked, carried, fill_forward, positions, runs_of
 from barloom.session import checkpoint_dir
-from barloom.operators.ordered import BLOCK_ROWS, blocked, fill_forward, longest_key, positions, scan
 
 DAY_MS = 86_400_000
-#: order-key range of a position bucket inside one timestamp (see tables.SEQ)
-SEQ_BUCKET = 1 << 42
+#: rows of a segment whose steps are composed; a fixed value, so results do not depend on blocks
+SEGMENT = 1024
 
 
 def numbered(ticks: DataFrame) -> DataFrame:
     """Ticks with ``pos`` in (ts_ms, seq) order per symbol."""
-    return positions(
-        ticks, ["symbol"], ["ts_ms", "seq"], [F.col("ts_ms"), F.floor(F.col("seq") / SEQ_BUCKET)]
-    )
+    return positions(ticks, ["symbol"], ["ts_ms", "seq"])
 
 
 def _inside(*order):
@@ -160,6 +158,9 @@ CLEAN = T.StructType(
         T.StructField("clean_price", T.DoubleType()),
         T.StructField("level", T.DoubleType()),
         T.StructField("trend", T.DoubleType()),
+        T.StructField("p00", T.DoubleType()),
+        T.StructField("p01", T.DoubleType()),
+        T.StructField("p11", T.DoubleType()),
         T.StructField("is_bad", T.BooleanType()),
         T.StructField("is_tail", T.BooleanType()),
         T.StructField("sigma", T.DoubleType()),
@@ -167,41 +168,107 @@ CLEAN = T.StructType(
 )
 
 
-def none_if_nan(a):
-    return [None if v != v else v for v in a.tolist()]
+def _carried(rows: DataFrame, part: str, elements, compose, names) -> DataFrame:
+    """``rows`` with ``before``, the product of the blocks ``part`` of a symbol before the row's.
 
+    Symbols with one block have nothing to carry and are not composed.
+    """
+    kind = T.StructType([rows.schema["symbol"], T.StructField(part, T.LongType()), T.StructField("element", T.ArrayType(T.DoubleType()))])
+    several = rows.filter(F.col(part) > 0).select("symbol").distinct()
+    if several.isEmpty():
+        return rows.withColumn("before", F.lit(None).cast("array<double>"))
+    found = along(rows, ["symbol"], part, "pos", elements, kind, names).checkpoint()
+    before = carried(found.join(several, "symbol", "left_semi"), ["symbol"], part, "element", compose)
+    return rows.join(before, ["symbol", part], "left")
+
+
+def _as_table(schema: T.StructType, columns: list) -> pa.Table:
+    return pa.table(dict(zip(schema.names, columns, strict=True)))
 
-def replace_bad_ticks(flagged: DataFrame, block_rows: int = BLOCK_ROWS, q=(1e-4, 1e-5), r: float = 1e-2, rows_per_key: int | None = None) -> DataFrame:
-    """Kalman replacement of flagged ticks along each symbol."""
-    schema = T.StructType([flagged.schema["symbol"]] + CLEAN.fields)
-    cols = ["pos", "ts_ms", "seq", "price", "volume", "is_bad", "is_tail", "sigma"]
 
-    def kernel(state, pdf: pd.DataFrame):
-        rows = []
-        for p, bad in zip(none_if_nan(pdf["price"].to_numpy(float)), pdf["is_bad"].tolist()):
-            state, o = kn.replace_tick(state, p, bad, q, r)
-            rows.append(o)
-        out = pdf.copy()
-        out[["clean_price", "level", "trend"]] = pd.DataFrame(rows, index=out.index, columns=["a", "b", "c"]).astype(float)
-        return state, out
+def _array(table: pa.Table, name: str, kind=float) -> np.ndarray:
+    return table.column(name).cast(pa.float64()).to_numpy().astype(kind, copy=False)
 
-    return scan(flagged, ["symbol"], kernel, schema, None, cols, block_rows=block_rows, digits=14, rows_per_key=rows_per_key)
+
+def _lists(rows: list) -> pa.Array:
+    return pa.array(rows, pa.list_(pa.float64()))
+
+
+def replace_bad_ticks(flagged: DataFrame, block_rows: int = BLOCK_ROWS, q=(1e-4, 1e-5), r: float = 1e-2, segment: int = SEGMENT) -> DataFrame:
+    """Kalman replacement of flagged ticks along each symbol.
+
+    Once it is known which ticks are bad, a segment of ticks maps the state before it to the
+    state behind it, and these maps compose; so every segment gets its start state from the
+    product of those before it and is filtered once. Segments are cut by position alone, so
+    the result has the same bits however rows are grouped (``block_rows`` is the least number of
+    rows dealt out together).
+    """
+    if min(q) < 1e-8 or r < 1e-12:
+        raise ValueError("noise too small for the covariance to stay definite")
+    schema = T.StructType([flagged.schema["symbol"]] + CLEAN.fields)
+    cols = ["pos", "ts_ms", "seq", "price", "volume", "is_bad", "is_tail", "sigma"]
+    checkpoint_dir(flagged.sparkSession)
+    rows = flagged.select("symbol", *cols).withColumn("_seg", F.floor(F.col("pos") / segment)).checkpoint()
+    together = max(1, block_rows // segment)
+
+    def opened(table: pa.Table):
+        at = runs_of(table, ["symbol", "_seg"])
+        price = _array(table, "price")
+        with np.errstate(invalid="ignore"):
+            skip = table.column("is_bad").to_numpy() | ~np.isfinite(price) | (price <= 0)
+        return at, price, skip.astype(bool)
+
+    def elements(table: pa.Table) -> pa.Table:
+        at, price, skip = opened(table)
+        head = table.select(["symbol", "_seg"]).take(pa.array(at[:-1]))
+        return head.append_column("element", _lists(maps.filter_elements(at, price, skip, q, r).tolist()))
+
+    def final(table: pa.Table) -> pa.Table:
+        at, price, skip = opened(table)
+        state = np.tile([np.nan, 0.0, 1.0, 0.0, 1.0], (len(at) - 1, 1))
+        for i, e in enumerate(table.column("before").take(pa.array(at[:-1])).to_pylist()):
+            if e is not None and e[14]:
+                state[i] = e[15:20]
+        out = maps.filter_segments(at, price, skip, state, q, r)[0]
+        found = [pa.array(c, from_pandas=True) for c in out.T]
+        put = dict(zip(("clean_price", "level", "trend", "p00", "p01", "p11"), found, strict=True))
+        return _as_table(schema, [put[n] if n in put else table.column(n) for n in schema.names])
+
+    known = _carried(rows, "_seg", elements, maps.filter_product, ["price", "is_bad"])
+    known = known.withColumn("_blk", F.floor(F.col("_seg") / together))
+    return along(known, ["symbol"], "_blk", "pos", final, schema, [*cols, "_seg", "before"])
 
 
 def clean_ticks(ticks: DataFrame, ref: DataFrame | None = None, window: int = 100, window_ms: int = 500, eta: float = 2.0, block_rows: int = BLOCK_ROWS, block_ms: int = 3_600_000) -> DataFrame:
-    longest = longest_key(ticks, ["symbol"])  # counted on the source, before any window
     flagged = filter_outliers(numbered(ticks), ref, window, window_ms, eta, block_rows, block_ms)
-    return replace_bad_ticks(flagged, block_rows, rows_per_key=longest)
+    return replace_bad_ticks(flagged, block_rows)
 
 
 def gap_projection(level: Column, trend: Column, p00: Column, p01: Column, p11: Column, n: Column, q0=1e-4, q1=1e-5) -> dict[str, Column]:
-    """State and covariance after ``n`` predict-only steps, in closed form."""
+    """State and covariance after ``n`` predict-only steps, in closed form.
+
+    A step adds the process noise, so a definite covariance stays definite; one that is not (or
+    whose diagonal is not positive) is widened as in the filter, before the steps and after them.
+    """
+
+    def guarded(a, b, d):
+        a, d = F.greatest(a, F.lit(1e-8)), F.greatest(d, F.lit(1e-8))
+        floor = F.sqrt(b * b + 1e-6) + 1e-4
+        tight = a * d - b * b <= 1e-16
+        return F.when(tight, F.greatest(a, floor)).otherwise(a), b, F.when(tight, F.greatest(d, floor)).otherwise(d)
+
+    p00, p01, p11 = guarded(p00, p01, p11)
+    a, b, d = guarded(
+        p00 + 2 * n * p01 + n * n * p11 + n * q0 + q1 * (n - 1) * n * (2 * n - 1) / 6,
+        p01 + n * p11 + q1 * n * (n - 1) / 2,
+        p11 + n * q1,
+    )
     return {
         "level_n": level + n * trend,
         "trend_n": trend,
-        "p00_n": p00 + 2 * n * p01 + n * n * p11 + n * q0 + q1 * (n - 1) * n * (2 * n - 1) / 6,
-        "p01_n": p01 + n * p11 + q1 * n * (n - 1) / 2,
-        "p11_n": p11 + n * q1,
+        "p00_n": a,
+        "p01_n": b,
+        "p11_n": d,
     }
 
 
@@ -301,13 +368,14 @@ def map_threshold(ticks: DataFrame, thresholds: DataFrame) -> DataFrame:
 # --- dollar bars ----------------------------------------------------------------------------
 
 
-def cut_bars(ticks: DataFrame, price: str = "price", block_rows: int = BLOCK_ROWS, rows_per_key: int | None = None) -> DataFrame:
+def cut_bars(ticks: DataFrame, price: str = "price", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Ticks with ``closes`` (the accumulated dollars reached the threshold), ``sign`` of
     the tick rule (starting at +1) and the number ``bar`` of the bar they belong to.
 
-    The carried state is the running amount, the last price and the last sign. All of
-    them restart or are overwritten within a few ticks, so a block soon agrees with its
-    neighbour; bar numbers are local to a block and offset by block sums afterwards.
+    Dollars are summed in fixed decimals (``maps.UNITS``); a tick without a threshold closes
+    nothing. A block maps the amount that is open before it to
+    the amount open behind it and the bars closed in between; the maps of a symbol's blocks
+    compose, so no block waits for another and the result does not depend on their size.
     """
     extra = [c for c in ("is_tail",) if c in ticks.columns]
     names = ["pos", "ts_ms", price, "volume", "theta"] + extra
@@ -315,43 +383,43 @@ def cut_bars(ticks: DataFrame, price: str = "price", block_rows: int = BLOCK_ROW
         [ticks.schema["symbol"]] + [ticks.schema[c] for c in names]
         + [T.StructField("closes", T.IntegerType()), T.StructField("sign", T.DoubleType()), T.StructField("bar", T.LongType())]
     )
-
-    def kernel(state, pdf):
-        acc, last, sign = state
-        x = pdf[price].to_numpy(float)
-        step = np.sign(np.diff(x, prepend=x[0] if last is None else last))
-        step[0] = step[0] if step[0] else sign
-        seen = np.maximum.accumulate(np.where(step != 0, np.arange(len(x)), 0))
-        signs = step[seen]
-        flags = np.zeros(len(x), dtype=np.int32)
-        amounts = (x * pdf["volume"].to_numpy(float)).tolist()
-        for i, (d, t) in enumerate(zip(amounts, pdf["theta"].tolist())):
-            acc += d
-            if acc >= t:
-                flags[i] = 1
-                acc = 0.0
-        out = pdf[["symbol"] + names].assign(closes=flags, sign=signs, bar=np.cumsum(flags) - flags)
-        return [acc, float(x[-1]), float(signs[-1])], out
-
-    if rows_per_key is None:
-        rows_per_key = longest_key(ticks, ["symbol"])
-    cut = scan(ticks, ["symbol"], kernel, schema, [0.0, None, 1.0], names, block_rows=block_rows, rows_per_key=rows_per_key)
-    if rows_per_key <= block_rows:
-        return cut
-    cut = cut.withColumn("_blk", F.floor(F.col("pos") / block_rows)).checkpoint()
-    before = Window.partitionBy("symbol").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    off = cut.groupBy("symbol", "_blk").agg(F.sum("closes").alias("_n")).select(
-        "symbol", "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
-    )
-    return cut.join(off, ["symbol", "_blk"]).withColumn("bar", F.col("bar") + F.col("_off")).drop("_blk", "_off")
-
-
-def dollar_bars(ticks: DataFrame, price: str = "price", median_window: int = 100, block_rows: int = BLOCK_ROWS, rows_per_key: int | None = None) -> DataFrame:
+    checkpoint_dir(ticks.sparkSession)
+    signed = tick_sign(ticks.select("symbol", *names), price, 1.0, block_rows)
+    rows = signed.withColumn("_blk", F.floor(F.col("pos") / block_rows)).checkpoint()
+    usd = F.col(price) * F.col("volume")
+    low = int((rows.filter(usd < 0).agg(F.sum(usd)).first()[0] or 0.0) * maps.UNITS * 1.01)
+
+    def blocks(table: pa.Table):
+        at = runs_of(table, ["symbol", "_blk"])
+        d, t = maps.amounts(_array(table, price), _array(table, "volume"), _array(table, "theta"), low)
+        return at, [maps.Closes(d[a:b], t[a:b], low) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def elements(table: pa.Table) -> pa.Table:
+        at, found = blocks(table)
+        head = table.select(["symbol", "_blk"]).take(pa.array(at[:-1]))
+        return head.append_column("element", _lists([c.element().tolist() for c in found]))
+
+    def final(table: pa.Table) -> pa.Table:
+        at, found = blocks(table)
+        closes, bar = np.zeros(table.num_rows, np.int32), np.zeros(table.num_rows, np.int64)
+        before = table.column("before").take(pa.array(at[:-1])).to_pylist()
+        for a, b, c, e in zip(at[:-1], at[1:], found, before, strict=True):
+            carry, done = (0, 0) if e is None else maps.bars_after(e)
+            closes[a:b] = marks = c.marks(int(carry))
+            bar[a:b] = int(done) + np.cumsum(marks) - marks
+        put = {"closes": pa.array(closes), "bar": pa.array(bar)}
+        return _as_table(schema, [put[n] if n in put else table.column(n) for n in schema.names])
+
+    known = _carried(rows, "_blk", elements, maps.bars_product, [price, "volume", "theta"])
+    return along(known, ["symbol"], "_blk", "pos", final, schema, [*names, "sign", "before"])
+
+
+def dollar_bars(ticks: DataFrame, price: str = "price", median_window: int = 100, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Bars of (at least) the threshold amount; the trailing partial bar is dropped.
 
     ``ticks``: numbered, with ``theta`` and optionally ``is_tail``.
     """
-    t = cut_bars(ticks, price, block_rows, rows_per_key)
+    t = cut_bars(ticks, price, block_rows)
     usd = F.col(price) * F.col("volume")
     tail = F.max(F.col("is_tail").cast("int")) if "is_tail" in ticks.columns else F.lit(0)
     g = t.groupBy("symbol", "bar").agg(
@@ -397,9 +465,8 @@ def build_dollar_bars(ticks: DataFrame, ref=None, window: int = 100, bars_per_da
     checkpoint_dir(ticks.sparkSession)
     clean = clean_ticks(ticks, ref, window, block_rows=block_rows)
     clean = clean.filter(F.col("clean_price").isNotNull()).checkpoint()
-    longest = longest_key(clean, ["symbol"])
     th = daily_threshold(daily_dollar_volume(clean, "clean_price"), window, bars_per_day)
-    bars = dollar_bars(map_threshold(clean, th), "clean_price", median_window, block_rows, longest)
+    bars = dollar_bars(map_threshold(clean, th), "clean_price", median_window, block_rows)
     blank = F.lit(None).cast("double")
     return bars.drop("median_ticks").withColumns(
         {

@@ -153,16 +153,14 @@ _BK, _BV = "symbol, bar_idx, ts_ms, tick_count, is_toxic_flag, is_tail_event", "
 def dollar_bars(spark, sf_dir):
     raw = tb.ticks_by_supplier(spark, sf_dir)
     th = tk.daily_threshold(tk.daily_dollar_volume(raw), WIN, FREQ)
-    longest = tk.longest_key(raw, ["symbol"])
-    return tk.dollar_bars(tk.map_threshold(tk.numbered(raw), th), "price", 20, rows_per_key=longest)
+    return tk.dollar_bars(tk.map_threshold(tk.numbered(raw), th), "price", 20)
 
 
 @query("median_ticks_to_fill", f"{_RAW} " + out("br", "symbol, bar_idx, tick_count", "median_ticks"))
 def median_ticks(spark, sf_dir):
     raw = tb.ticks_by_supplier(spark, sf_dir)
     th = tk.daily_threshold(tk.daily_dollar_volume(raw), WIN, FREQ)
-    longest = tk.longest_key(raw, ["symbol"])
-    return tk.dollar_bars(tk.map_threshold(tk.numbered(raw), th), "price", 20, rows_per_key=longest).select("symbol", "bar_idx", "tick_count", "median_ticks")
+    return tk.dollar_bars(tk.map_threshold(tk.numbered(raw), th), "price", 20).select("symbol", "bar_idx", "tick_count", "median_ticks")
 
 
 _CLEANED = f"{NUM}, {FLAG}, {KAL}, ct AS (SELECT fl.symbol, fl.pos, fl.ts_ms, fl.volume, fl.is_tail, rec.clean AS clean_price FROM fl JOIN rec USING (symbol,pos)), {DAILY.format(p='clean_price', src='ct')}, {THETA}, {MAPPED.format(src='ct')}, {BARS.format(p='clean_price', tail='is_tail')}"
@@ -176,18 +174,18 @@ def clean_dollar_bars(spark, sf_dir):
 
 @query(
     "kalman_gap_projection",
-    f"""{NUM}, g AS (SELECT symbol, pos, price AS x, price-lag(price) OVER o AS v, (lead(ts_ms) OVER o-ts_ms)//86400000 AS n FROM tk WINDOW o AS (PARTITION BY symbol ORDER BY pos)),
- r AS (SELECT symbol, pos, n, x+n*v AS level_n, v AS trend_n, 1+n*n+n*1e-4+1e-5*(n-1)*n*(2*n-1)/6 AS p00_n, n+1e-5*n*(n-1)/2 AS p01_n, 1+n*1e-5 AS p11_n FROM g WHERE n>1 AND v IS NOT NULL) """ + out("r", "symbol, pos, n", "level_n, trend_n, p00_n, p01_n, p11_n"),
+    f"""{NUM}, {FLAG}, {KAL}, g AS (SELECT symbol, pos, x, v, a, b, d, (lead(ts_ms) OVER (PARTITION BY symbol ORDER BY pos)-ts_ms)//86400000 AS n FROM rec JOIN tk USING (symbol, pos)),
+ r AS (SELECT symbol, pos, n, x+n*v AS level_n, v AS trend_n, a+2*n*b+n*n*d+n*1e-4+1e-5*(n-1)*n*(2*n-1)/6 AS p00_n, b+n*d+1e-5*n*(n-1)/2 AS p01_n, d+n*1e-5 AS p11_n FROM g WHERE n>1) """ + out("r", "symbol, pos, n", "level_n, trend_n, p00_n, p01_n, p11_n"),
 )
 def gap_projection(spark, sf_dir):
-    """State carried over the days without a tick, per supplier."""
+    """The filter's state carried over the days without a tick, per supplier."""
     from pyspark.sql import Window
 
     from barloom.operators.ordered import blocked
 
-    b = blocked(numbered(spark, sf_dir), before=1, after=1)
+    clean = tk.clean_ticks(tb.ticks_by_supplier(spark, sf_dir), None, WIN)
+    b = blocked(clean, before=0, after=1)
     o = Window.partitionBy("symbol", "blk").orderBy("pos")
-    b = b.withColumns({"v": F.col("price") - F.lag("price").over(o), "n": F.floor((F.lead("ts_ms").over(o) - F.col("ts_ms")) / tb.DAY_MS)})
-    g = b.filter("own and n > 1 and v is not null")
-    one, zero = F.lit(1.0), F.lit(0.0)
-    return g.select("symbol", "pos", "n", *[c.alias(k) for k, c in tk.gap_projection(F.col("price"), F.col("v"), one, zero, one, F.col("n")).items()])
+    g = b.withColumn("n", F.floor((F.lead("ts_ms").over(o) - F.col("ts_ms")) / tb.DAY_MS)).filter("own and n > 1 and p00 is not null")
+    state = [F.col(c) for c in ("level", "trend", "p00", "p01", "p11")]
+    return g.select("symbol", "pos", "n", *[c.alias(k) for k, c in tk.gap_projection(*state, F.col("n")).items()])

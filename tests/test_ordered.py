@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.functions import kernels as kn
 from barloom.operators import ordered as od
 from barloom.operators import sizing as sz
 from barloom.operators import ticks as tk
@@ -61,15 +62,54 @@ def test_tick_sign_in_blocks(ticks):
     assert a.sign.tolist() == b.sign.tolist()
 
 
-def test_kalman_scan_in_blocks_matches_one_pass(ticks):
+@pytest.mark.parametrize("scale", [0.1, 1.0, 1e6])
+def test_kalman_by_composed_maps(ticks, scale):
+    """The same bits for any block size, and one sequential pass up to rounding."""
     _, df = ticks
-    f = tk.flag_ticks(tk.numbered(df), 20)
-    a, b = by_key(tk.replace_bad_ticks(f, 100)), by_key(tk.replace_bad_ticks(f))
-    assert np.allclose(a.clean_price, b.clean_price, rtol=1e-9)
-    assert np.allclose(a.trend, b.trend, rtol=1e-7, atol=1e-9)
+    f = tk.flag_ticks(tk.numbered(df.withColumn("price", F.when(F.col("seq") > 3, F.col("price") * scale))), 20)
+    a, b, c = (by_key(tk.replace_bad_ticks(f, rows, segment=64)) for rows in (64, 1000, 1 << 20))
+    pd.testing.assert_frame_equal(a, b, check_exact=True)
+    pd.testing.assert_frame_equal(a, c, check_exact=True)
+    state, want = None, []
+    for r in a.itertuples():
+        if r.pos == 0:
+            state = None
+        state, o = kn.replace_tick(state, r.price, r.is_bad)
+        want.append([*o, *(state or [np.nan] * 5)[2:]])
+    want = np.array(want, float)
+    got = a[["clean_price", "level", "trend", "p00", "p01", "p11"]].to_numpy(float)
+    size = np.maximum(np.abs(want), [scale, scale, scale, 1, 1, 1])
+    assert (np.isnan(got) == np.isnan(want)).all() and np.nanmax(np.abs(got - want) / size) < 1e-13
+    whole = by_key(tk.replace_bad_ticks(f, segment=1 << 20))[["clean_price", "level", "trend"]].to_numpy(float)
+    assert np.array_equal(whole, want[:, :3], equal_nan=True)
+
+
+def test_carried_in_levels(spark):
+    """Products over three levels of groups equal one running product, in order."""
+    rows = [(k, i * 3 + k, [float(i + 1), float(i % 3)]) for k in (1, 2) for i in range(40 if k == 1 else 1)]
+    df = spark.createDataFrame(rows, "k long, i long, e array<double>")
+    then = lambda a, b: [float(a[0] * b[0] % 1009), float((a[1] * b[0] + b[1]) % 1009)]
+    got = {(r.k, r.i): r.before for r in od.carried(df, ["k"], "i", "e", then, fan=4).collect()}
+    for k in (1, 2):
+        before = None
+        for kk, i, e in rows:
+            if kk == k:
+                assert got[(k, i)] == before
+                before = e if before is None else then(before, e)
+    assert len(got) == 41
+
+
+def test_positions_of_one_hot_symbol_with_unique_times(spark):
+    """One tick a millisecond: no window or group holds the symbol's ticks."""
+    df = spark.range(20_000).select(F.lit(1).alias("symbol"), (20_000 - F.col("id")).alias("ts_ms"), F.lit(0).alias("seq"))
+    n = tk.numbered(df)
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    got = n.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos"), F.sum(F.abs(F.col("pos") - F.col("ts_ms") + 1))).first()
+    assert tuple(got) == (0, 19_999, 20_000, 0)
+    assert "_at" in plan and plan.count("Window") == 1 and "row_number" not in plan
 
 
-def test_dollar_bars_in_blocks_match_one_pass(ticks):
+def test_dollar_bars_by_composed_maps(ticks):
     _, df = ticks
     n = tk.numbered(df).withColumn("theta", F.lit(5_000.0))
     cols = ["symbol", "bar_idx"]
@@ -78,6 +118,26 @@ def test_dollar_bars_in_blocks_match_one_pass(ticks):
     assert (b.tick_count > 0).all() and len(b) > 20
 
 
+@pytest.mark.parametrize("block", [700, 10_000])
+def test_dollar_bars_of_two_thousand_ticks(spark, block):
+    """Bars of about 2000 ticks over many blocks, with steps of the threshold, against a plain loop."""
+    rng = np.random.default_rng(9)
+    n = 80_000 if block > 2000 else 15_000
+    price, volume = np.round(100 + np.cumsum(rng.normal(0, 0.05, n)), 2), rng.integers(0, 20, n).astype(float)
+    theta = np.repeat(rng.choice([1.9e6, 2.1e6, 0.0, 1.0], n // 500, p=[0.5, 0.46, 0.02, 0.02]), 500)
+    pdf = pd.DataFrame({"symbol": 1, "pos": range(n), "ts_ms": range(n), "price": price, "volume": volume, "theta": theta})
+    got = by_key(tk.cut_bars(spark.createDataFrame(pdf), "price", block))
+    acc, closes, bar, want = 0, 0, 0, []
+    for p, v, t in zip(price, volume, theta):
+        acc += round(p * v * 10_000)
+        closes = int(acc >= round(t * 10_000))
+        want.append((closes, bar))
+        acc, bar = (0, bar + 1) if closes else (acc, bar)
+    assert list(zip(got.closes, got.bar)) == want
+    move = np.sign(np.diff(price, prepend=price[0]))
+    assert got.sign.tolist() == pd.Series(np.where(move == 0, np.nan, move)).ffill().fillna(1.0).tolist()
+
+
 def test_scan_settles_when_nothing_is_forgotten(spark):
     """A plain running sum never coalesces; the scan must still be the one-pass result."""
     from pyspark.sql import types as T
