@@ -11,6 +11,9 @@ Scripts, styles, templates, titles and form controls are never blocks. Character
 decoded; white space inside a block becomes one blank; blocks are joined by a newline. A head
 ends at the first tag or text that may not stand in it; ``<svg/>`` has no content.
 
+Open elements form a tree of nodes that share their ancestors, so a page costs time and memory in
+proportion to its tags, however deep they nest.
+
 Defined cases: null and empty pages give an empty text; text outside any tag is a block.
 """
 
@@ -120,31 +123,58 @@ TRAINING = """
 """
 
 
+class Node:
+    """An open element; what its ancestors and itself say about a block is kept as flags."""
+
+    __slots__ = ("tag", "parent", "depth", "flags")
+
+    def __init__(self, tag: str, names: str, parent: Node | None):
+        self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 1
+        flags = parent.flags if parent else 0
+        if tag in OUTSIDE:
+            flags |= _OUT
+        if tag in INSIDE:
+            flags |= _IN
+        if tag == "header":
+            flags |= _HEADER
+        if names:
+            bad, good = _named(names)
+            flags |= (_BAD if bad else 0) | (_GOOD if good else 0) | (_HIDDEN if "hidden" in names else 0)
+        self.flags = flags
+
+
+_OUT, _IN, _HEADER, _BAD, _GOOD, _HIDDEN = (1 << k for k in range(6))
+
+
 class Block:
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "node", "linked")
 
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
 
 class _Reader(HTMLParser):
-    """Collects blocks; ``path`` is the chain of open elements as (name, names, number)."""
+    """Collects blocks; ``path`` is the chain of open elements, ``open`` where each tag stands in it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.path: list[tuple[str, str, int]] = []
+        self.path: list[Node] = []
+        self.open: dict[str, list[int]] = {}
+        self.blocks_open: list[int] = []  # block elements in the path, and those but p
+        self.others_open: list[int] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.linked = self.made = self.silent = self.anchors = 0
+        self.linked = self.silent = self.anchors = self.foreign = 0
 
     def end_block(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, tuple(self.path), min(self.linked, len(text))))
+            self.blocks.append(Block(text, self.path[-1] if self.path else None, min(self.linked, len(text))))
         self.parts, self.linked = [], 0
 
     def _end_head(self):
-        if self.path and self.path[-1][0] == "head":
+        if self.path and self.path[-1].tag == "head":
             self._cut(len(self.path) - 1)
 
     def handle_starttag(self, tag, attrs):
@@ -159,7 +189,7 @@ class _Reader(HTMLParser):
         if tag in BLOCK:
             self.end_block()
             if tag in CLOSES_P:
-                self._close("p", BLOCK - {"p"})
+                self._close("p", None)
             if tag in ("li", "td", "th", "tr", "dt", "dd"):
                 self._close(tag, frozenset(("ul", "ol", "table", "dl", "menu") if tag != "td" else ("tr", "table")))
         names = ""
@@ -168,30 +198,46 @@ class _Reader(HTMLParser):
                 names += " " + v.lower()
             elif k in ("hidden",) or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)):
                 names += " hidden"
-        self.made += 1
-        self.path.append((tag, names, self.made))
+        at = len(self.path)
+        self.path.append(Node(tag, names, self.path[-1] if self.path else None))
+        self.open.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks_open.append(at)
+            if tag != "p":
+                self.others_open.append(at)
         self.silent += tag in SILENT
         self.anchors += tag == "a"
+        self.foreign += tag in FOREIGN
 
     def handle_startendtag(self, tag, attrs):
-        if tag in FOREIGN or any(t in FOREIGN for t, *_ in self.path):
+        if tag in FOREIGN or self.foreign:
             self._end_head()
         else:  # of other elements HTML ignores the slash
             self.handle_starttag(tag, attrs)
 
+    def _last(self, tag) -> int:
+        at = self.open.get(tag)
+        return at[-1] if at else -1
+
     def _close(self, tag, until):
-        """Close the innermost open ``tag`` unless an element of ``until`` lies within it."""
-        for k in range(len(self.path) - 1, -1, -1):
-            if self.path[k][0] == tag:
+        """Close the innermost open ``tag`` unless an element of ``until`` (None: a block but p) lies within it."""
+        k = self._last(tag)
+        if k >= 0:
+            bar = self.others_open[-1:] or [-1] if until is None else [self._last(t) for t in until]
+            if k > max(bar):
                 self._cut(k)
-                return
-            if self.path[k][0] in until:
-                return
 
     def _cut(self, k):
-        for t, *_ in self.path[k:]:
+        for node in self.path[k:]:
+            t = node.tag
+            self.open[t].pop()
+            if t in BLOCK:
+                self.blocks_open.pop()
+                if t != "p":
+                    self.others_open.pop()
             self.silent -= t in SILENT
             self.anchors -= t == "a"
+            self.foreign -= t in FOREIGN
         del self.path[k:]
 
     def handle_endtag(self, tag):
@@ -199,12 +245,9 @@ class _Reader(HTMLParser):
             self.end_block()
         elif tag == "br":
             self.parts.append(" ")
-        for k in range(len(self.path) - 1, -1, -1):
-            if self.path[k][0] == tag:
-                self._cut(k)
-                return
-            if tag not in BLOCK and self.path[k][0] in BLOCK:
-                return
+        k = self._last(tag)
+        if k >= 0 and (tag in BLOCK or k > (self.blocks_open[-1] if self.blocks_open else -1)):
+            self._cut(k)
 
     def handle_data(self, data):
         if data.strip():
@@ -232,27 +275,21 @@ def _named(names: str) -> tuple[bool, bool]:
 
 
 def features(b: Block) -> list[float]:
-    tags = {t for t, _, _ in b.path}
-    bad = good = hidden = False
-    for _, names, _ in b.path:
-        if names:
-            x, y = _named(names)
-            bad, good, hidden = bad | x, good | y, hidden | ("hidden" in names)
-    head = "header" in tags and not tags & INSIDE
-    last = b.path[-1][0] if b.path else ""
+    flags, last = (b.node.flags, b.node.tag) if b.node else (0, "")
+    on = lambda f: float(bool(flags & f))
     return [
-        1.0, float(bool(tags & OUTSIDE)), float(bool(tags & INSIDE)), float(bad), float(good), b.linked / len(b.text), min(1.0, math.log1p(len(b.text)) / 6),
-        float(b.text[-1] in ".!?…。"), float(last in HEADS), float(last in ("li", "td", "th", "dt", "dd")), float(head), float(hidden),
+        1.0, on(_OUT), on(_IN), on(_BAD), on(_GOOD), b.linked / len(b.text), min(1.0, math.log1p(len(b.text)) / 6),
+        float(b.text[-1] in ".!?…。"), float(last in HEADS), float(last in ("li", "td", "th", "dt", "dd")), float(flags & _HEADER > 0 and not flags & _IN), on(_HIDDEN),
     ]
 
 
 def _lesson(line: str) -> tuple[list[float], float]:
     where, text = line[2:].split("|")
-    path = []
-    for k, step in enumerate(where.split()):
+    node = None
+    for step in where.split():
         tag, _, name = step.partition(".")
-        path.append((tag, " " + name if name else "", k))
-    return features(Block(text, tuple(path), len(text) if path[-1][0] == "a" else 0)), float(line[0] == "+")
+        node = Node(tag, " " + name if name else "", node)
+    return features(Block(text, node, len(text) if node.tag == "a" else 0)), float(line[0] == "+")
 
 
 @functools.cache
@@ -322,14 +359,16 @@ def min_cut(content: list[float], other: list[float], edges: list[tuple[int, int
                     turn[k] = iter(list(graph[k]))
 
 
-def _steps(a: tuple, b: tuple) -> int:
-    """Steps through the DOM between two chains of elements."""
-    same = 0
-    for x, y in zip(a, b):  # noqa: B905
-        if x[2] != y[2]:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def _steps(a: Node | None, b: Node | None) -> int:
+    """Steps through the DOM between two elements; over all neighbours no more than twice the elements."""
+    n = 0
+    while a is not b:
+        if b is None or (a is not None and a.depth >= b.depth):
+            a = a.parent
+        else:
+            b = b.parent
+        n += 1
+    return n
 
 
 def labels(found: list[Block]) -> list[bool]:
@@ -339,10 +378,10 @@ def labels(found: list[Block]) -> list[bool]:
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEXT / max(1, _steps(found[i - 1].path, b.path) - 1)))
-        parent = b.path[-2][2] if len(b.path) > 1 else 0
+            edges.append((i - 1, i, NEXT / max(1, _steps(found[i - 1].node, b.node) - 1)))
+        parent = b.node.parent if b.node else None
         if parent in last:
-            edges.append((last[parent], i, SIBLING / max(1, _steps(found[last[parent]].path, b.path) - 1)))
+            edges.append((last[parent], i, SIBLING / max(1, _steps(found[last[parent]].node, b.node) - 1)))
         last[parent] = i
     return min_cut(content, other, edges)
 

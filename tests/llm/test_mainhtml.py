@@ -1,7 +1,8 @@
+import html as lib
 import itertools
 import random
 import re
-import html as lib
+import time
 
 import pytest
 
@@ -83,3 +84,13 @@ def test_query_form(session):
     assert [r.text for r in got[len(pages) :]] == ["", "", mainhtml.main_text(PAGE), mainhtml.main_text(PAGE), ("word " * 60000).strip()]
     assert all(r.n_chars == len(r.text) for r in got)
     assert mainhtml.extracted(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<div>text {} here.", "<b><i>text {} here.</u>", "<ul><li>text {} here.", "<section><p>text {} here.</article></td>"])
+def test_deep_nesting_costs_in_proportion(page):
+    n = 20_000
+    start = time.time()
+    found = mainhtml.blocks("".join(page.format(k) for k in range(n)))
+    mainhtml.labels(found)
+    assert time.time() - start < 20
+    assert sum(b.text.count("here.") for b in found) == n
