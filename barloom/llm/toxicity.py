@@ -284,6 +284,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.beta + self.bias, -500, 500)))
 
 
+FOLDS = 3
+
+
 def fit(marks: Landmarks, features: np.ndarray, y: np.ndarray) -> Model:
     codes, word, n, _, number, *_ = _words(marks.words)
     own = marks.kernel(codes, word, n)[1][number].astype(float)
@@ -291,13 +294,17 @@ def fit(marks: Landmarks, features: np.ndarray, y: np.ndarray) -> Model:
     value, vector = np.linalg.eigh(own)
     white = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
     x = features @ white
-    fold = np.arange(len(y)) % 3
-    held = np.zeros(len(y))
-    for f in range(3):
-        w, b = fit_svm(x[fold != f], y[fold != f])
-        held[fold == f] = x[fold == f] @ w + b
-    slope, offset = fit_scale(held, y)
     w, b = fit_svm(x, y)
+    held = x @ w + b
+    toxic = y > 0
+    if min(toxic.sum(), (~toxic).sum()) >= FOLDS:  # with fewer, a fold would be fitted to one class
+        fold = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)) % FOLDS
+        for f in range(FOLDS):
+            wf, bf = fit_svm(x[fold != f], y[fold != f])
+            held[fold == f] = x[fold == f] @ wf + bf
+    slope, offset = fit_scale(held, y)
+    if slope <= 0:  # the machine did not carry over: everyone gets the share of the class
+        slope, offset = 0.0, float(np.log(toxic.sum() / (~toxic).sum()))
     return Model(marks, white @ w * slope, b * slope + offset)
 
 

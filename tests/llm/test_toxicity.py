@@ -104,3 +104,15 @@ def test_words_of_earlier_slices_change_nothing(monkeypatch):
         got = np.concatenate([marks.features(texts[i : i + 7]) for i in range(0, len(texts), 7)])
         assert len(marks.seen) <= table
         assert (got == toxicity.Landmarks(INSULTS).features(texts)).all()
+
+
+@pytest.mark.parametrize(("toxic", "clean"), [(1, 1), (2, 2), (3, 20), (2, 9), (9, 1)])
+def test_few_labels_do_not_turn_the_scores_round(session, toxic, clean):
+    texts = [(k, f"you are such an idiot number{k} indeed") for k in range(1, 90) if not toxicity.held_out(k)][:toxic]
+    texts += [(k, f"a quiet walk along river number{k} today") for k in range(100, 190) if not toxicity.held_out(k)][:clean]
+    docs = session.createDataFrame(texts, "doc_id long, text string")
+    labels = session.createDataFrame([(i, 1, int(i < 100)) for i, _ in texts], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.digest(docs, labels).collect()}
+    assert min(s for i, s in got.items() if i < 100) >= max(s for i, s in got.items() if i >= 100)
+    kept = {r.doc_id for r in toxicity.accepted(docs, labels).collect()}
+    assert (9, 1) == (toxic, clean) or {i for i, _ in texts if i >= 100} <= kept
