@@ -6,12 +6,18 @@ travel together (8 bytes for each, and a head for some twenty) and equal windows
 bucket, windows that occur under a smaller id are marked; marked neighbours leave as one
 interval, and the intervals of a document are merged where its text is cut.
 
+Hot buckets: many windows share an inner window if a passage shorter than the window stands in
+many documents. The load of every bucket is counted first; one of more than twice the mean is
+split by the hash of the window itself, where equal windows still meet.
+
 Copies: before the shuffle each slice of texts keeps, of equal windows, only those of its
 smallest id; the rest are marked on the spot. What is sent of a group of copies is bounded by
 the slices that hold it, not by its size.
 
 Defined cases: null and empty texts have no words; a null id counts as larger than all others;
-rows with the same id never remove each other's words; texts shorter than the window stay whole.
+rows with the same id never remove each other's words; texts shorter than the window stay whole; a
+very long text is a slice of its own, in memory of a few times its size. Windows are compared by
+64-bit hashes: two different ones are taken for equal by chance about once in 10^19 pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ ANCHOR = 16  # words of the shorter windows that pick the bucket
 SLICE_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20  # text per bucket
 _MARK = np.dtype([("doc", "<i8"), ("fp", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
-_SENT = "bucket int, doc binary, fp binary, start binary, n binary, hash binary, mark binary"
+_SENT = "bucket long, doc binary, fp binary, start binary, n binary, hash binary, mark binary"
 _SPAN = "doc long, fp long, lo int, hi int"
 
 
@@ -48,8 +54,43 @@ def _first_docs(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(window: int, buckets: int):
+def _buckets(h: np.ndarray, window: int, buckets: int) -> np.ndarray:
+    """The bucket of every window: that of the smallest hash of the shorter windows in it."""
     anchor = min(ANCHOR, window)
+    least = words.sliding_min(words.rolling(h, anchor), window - anchor + 1)
+    return (words.mix(least) % np.uint64(buckets)).astype(np.int64)
+
+
+def _load(window: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for part in text_slices(batches, "text", SLICE_BYTES):
+            h, _, _, wb = words.hashes(*text_buffer(part.column("text")), words.PLAIN)
+            n = len(h) - window + 1
+            if n > 0:
+                total += np.bincount(_buckets(h, window, buckets)[words.whole_windows(wb, window, n)], minlength=buckets)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    return run
+
+
+def hot_buckets(src: DataFrame, window: int, buckets: int) -> dict[int, int]:
+    """Buckets of more than twice the mean load, and into how many parts of about the mean they fall."""
+    load = src.select("text").mapInArrow(_load(window, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    load = load.persist()
+    try:
+        mean = (load.agg(F.sum("n")).first()[0] or 0) / buckets
+        return {r.bucket: math.ceil(r.n / mean) for r in load.where(F.col("n") > 2 * mean).collect()}  # less than half the buckets
+    finally:
+        load.unpersist()
+
+
+def _deal(window: int, buckets: int, hot: dict[int, int]):
+    parts = np.ones(buckets, np.int64)
+    for b, n in hot.items():
+        parts[b] = n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, part in enumerate(text_slices(batches, "text", SLICE_BYTES)):
@@ -62,7 +103,9 @@ def _deal(window: int, buckets: int):
             doc_of = np.repeat(np.arange(len(wb) - 1), np.diff(wb))[:n]
             doc, fp = ids_or_last(part.column("doc")), part.column("fp").to_numpy()
             full = words.rolling(h, window)
-            least = words.sliding_min(words.rolling(h, anchor), window - anchor + 1)
+            goes = _buckets(h, window, buckets)
+            if hot:
+                goes += buckets * (words.mix(full) % parts[goes].astype(np.uint64)).astype(np.int64)
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
@@ -75,9 +118,8 @@ def _deal(window: int, buckets: int):
             marks["doc"], marks["fp"], marks["lo"], marks["hi"] = doc[d], fp[d], lo - wb[d], lo - wb[d] + size + window - 1
             # the others, bucket by bucket
             open_ = ok & ~known
-            change = np.append(True, least[1:n] != least[: n - 1])
-            start, size = words.runs(open_, change)
-            bucket = (words.mix(least[start]) % np.uint64(buckets)).astype(np.int64)
+            start, size = words.runs(open_, np.append(True, goes[1:n] != goes[: n - 1]))
+            bucket = goes[start]
             at = np.flatnonzero(open_)
             by_window = np.argsort(np.repeat(bucket, size), kind="stable")
             by_run = np.argsort(bucket, kind="stable")
@@ -93,7 +135,7 @@ def _deal(window: int, buckets: int):
             give[: 1 + (turn + len(lo)) % rows] = 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.append(used, none).astype(np.int32)),
+                    pa.array(np.append(used, none).astype(np.int64)),
                     blobs(doc[d], cuts), blobs(fp[d], cuts), blobs((start - wb[d]).astype(np.int32), cuts),
                     blobs(size.astype(np.int32), cuts), blobs(full[at][by_window], wcuts), blobs(marks.view(np.uint8), give * _MARK.itemsize),
                 ],
@@ -137,7 +179,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(2 * shuffle_partitions(spark), math.ceil(size / BUCKET_BYTES))
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
-    sent = src.mapInArrow(_deal(window, buckets), _SENT)
+    sent = src.mapInArrow(_deal(window, buckets, hot_buckets(src, window, buckets)), _SENT)
     marks = sent.groupBy("bucket").applyInArrow(_judge(window), _SPAN)
     return marks.groupBy("doc", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 

@@ -78,3 +78,25 @@ def test_words_cut_pieces_between_words(monkeypatch):
     small = words.hashes(*substrings.text_buffer(pa.array(texts)), words.PLAIN)
     for a, b in zip(whole, small):
         assert (a == b).all()
+
+
+def test_hot_bucket_is_split(session):
+    """All documents share 45 words, which no window of 50 removes; the windows over them are dealt out."""
+    r = random.Random(8)
+    shared = " ".join(f"licence{k}" for k in range(45))
+    rows = [(i, " ".join(f"w{r.random()}" for _ in range(20)) + " " + shared + " " + " ".join(f"w{r.random()}" for _ in range(20))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 600, 50)]
+    df = session.createDataFrame(rows, ROWS).repartition(4)
+    src = df.select(substrings.F.col("doc_id").alias("doc"), substrings.F.xxhash64("text").alias("fp"), "text")
+    hot = substrings.hot_buckets(src, 50, 64)
+    assert hot and max(hot.values()) > 5
+    sent = src.mapInArrow(substrings._deal(50, 64, hot), substrings._SENT)
+    load = [x.n for x in sent.groupBy("bucket").agg((substrings.F.sum(substrings.F.length("hash")) / 8).alias("n")).collect()]
+    assert max(load) < 5 * sum(load) / 64
+    assert sorted(map(tuple, substrings.digest(df).collect()), key=str) == brute(rows, 50)
+
+
+def test_very_long_text(session):
+    long = " ".join(f"w{k % 70_000}" for k in range(150_000))
+    rows = [(1, "start " + long), (2, long), (3, "w5 w6")]
+    assert sorted(map(tuple, substrings.digest(session.createDataFrame(rows, ROWS)).collect()), key=str) == brute(rows, 50)
