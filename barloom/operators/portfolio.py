@@ -6,12 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from barloom.functions import frames as fr
-from barloom.operators.ordered import per_series
 
 
 @dataclass(frozen=True)
@@ -105,43 +106,47 @@ def selection(p: DataFrame, sig: str, spec: PortfolioSpec) -> DataFrame:
     return q.withColumn("sel", F.when(live & top, 1.0).when(live & low, -1.0).otherwise(0.0)).drop("_n", "_pos", "_k")
 
 
-def _hold(zones: pd.DataFrame, rule: str):
-    """Walk the hysteresis over timestamps; only the keep zones are carried."""
-    held_l, held_s, out = set(), set(), []
-    for ti, n, k_in, low, high in zip(zones.ti, zones.n, zones.k_in, zones.low, zones.high):
+def _chosen(rank: dict, staying: set, taken: set, k: int) -> set:
+    """Names that stay, best first, then names within the first ``k`` ranks; ``k`` in all."""
+    order = sorted(rank, key=rank.get)
+    stay = [x for x in order if x in staying]
+    enter = [x for x in order if rank[x] < k and x not in taken]
+    return {*(stay + enter)[:k]}
+
+
+class Hysteresis:
+    """Which names are held at a timestamp, from its keep zones and what was held before.
+
+    A name enters within the first ``k_in`` ranks of its side and leaves when it drops out of
+    the keep zone. Rule v1 lets a staying short displace a long, v2 any held short.
+    """
+
+    def __init__(self, rule: str):
+        self.rule, self.long, self.short = rule, set(), set()
+
+    def step(self, n: int, k_in: int, low: list, high: list) -> list[tuple]:
+        """(symbol, side, longs, shorts) held now; ``low`` weakest first, ``high`` strongest first."""
         if n < 4:
-            held_l, held_s = set(), set()
-            continue
-        low, high = list(low), list(high)  # weakest first / strongest first
-        keep_l, keep_s = set(high), set(low)
-        if rule == "v1":
-            stay_l, stay_s = held_l & keep_l, held_s & keep_s
-            stay_l = stay_l - stay_s
-            stay_s = stay_s - stay_l
-        else:
-            stay_l = (held_l & keep_l) - held_s
-            stay_s = (held_s & keep_s) - stay_l
-        taken = stay_l | stay_s
-        new_l = [x for x in high[:k_in] if x not in taken][: max(0, k_in - len(stay_l))]
-        new_s = [x for x in low[:k_in] if x not in taken][: max(0, k_in - len(stay_s))]
-        held_l, held_s = stay_l | set(new_l), stay_s | set(new_s)
-        if len(held_l) > k_in:
-            held_l = set([x for x in high if x in held_l][:k_in])
-        if len(held_s) > k_in:
-            held_s = set([x for x in low if x in held_s][:k_in])
-        if rule == "v1" and not (held_l and held_s):
-            continue
-        # where a name sits on both sides the later assignment (short) stands
-        sides = {x: 1.0 for x in held_l} | {x: -1.0 for x in held_s}
-        out += [(ti, x, s, len(held_l), len(held_s)) for x, s in sides.items()]
-    return pd.DataFrame(out, columns=["ti", "symbol", "side", "n_long", "n_short"])
+            self.long, self.short = set(), set()
+            return []
+        up, down = ({x: i for i, x in enumerate(zone)} for zone in (high, low))
+        short = self.short & down.keys()
+        long = (self.long & up.keys()) - (short if self.rule == "v1" else self.short)
+        taken = long | short
+        self.long, self.short = _chosen(up, long, taken, k_in), _chosen(down, short, taken, k_in)
+        if self.rule == "v1" and not (self.long and self.short):
+            return []
+        size = (len(self.long), len(self.short))
+        # a name on both sides counts as short
+        return [(x, 1.0, *size) for x in self.long - self.short] + [(x, -1.0, *size) for x in self.short]
 
 
 def buffered_selection(p, sig, entry_frac, exit_frac, n_positions=None, exit_ratio=1.5, rule="v2", config=None) -> DataFrame:
     """(config?, ti, symbol, side): enter inside k_in, stay inside k_out.
 
-    Ranks and keep zones are native; a timestamp reaches Python as one row with its
-    two keep zones, and one strategy is one series over the calendar.
+    Ranks and keep zones are native; a timestamp reaches Python as one row with its two keep
+    zones. What is held depends on all timestamps before, so a strategy's rows are streamed in
+    order of time; only the held names are kept between them.
     """
     keys = (config, "ti") if config else ("ti",)
     n = F.count(sig).over(fr.xs(keys))
@@ -176,12 +181,21 @@ def buffered_selection(p, sig, entry_frac, exit_frac, n_positions=None, exit_rat
         ]
     )
 
-    def walk(pdf):
-        res = _hold(pdf, rule)
-        res.insert(0, "strategy", pdf["strategy"].iloc[0] if len(pdf) else None)
-        return res
-
-    held = per_series(zones.withColumn("strategy", F.col("strategy").cast("string")), ["strategy"], walk, out, ["n", "k_in", "low", "high"])
+    def walk(batches):
+        now, state = None, None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if state is None or r["strategy"] != now:
+                    now, state = r["strategy"], Hysteresis(rule)
+                rows += [(now, r["ti"], *x) for x in state.step(r["n"], r["k_in"], r["low"], r["high"])]
+            if rows:
+                columns = zip(out.names, zip(*rows, strict=True), strict=True)
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in columns})
+
+    kinds = {f.name: to_arrow_type(f.dataType) for f in out}
+    zones = zones.select(F.col("strategy").cast("string").alias("strategy"), "ti", "n", "k_in", "low", "high")
+    held = zones.repartition("strategy").sortWithinPartitions("strategy", "ti").mapInArrow(walk, out)
     return held.withColumnRenamed("strategy", config) if config else held.select("ti", "symbol", "side", "n_long", "n_short")
 
 
@@ -283,20 +297,36 @@ def np_project(w: np.ndarray, beta: np.ndarray | None = None) -> np.ndarray:
 
 
 def np_cap(w: np.ndarray, gross: float, cap_frac: float, rounds: int = 8) -> np.ndarray:
-    total = np.abs(w).sum()
+    """Weights of the given gross with none above the cap, by a fixed number of fillings.
+
+    Scaling keeps the order of magnitudes, so names above the cap are always the largest
+    ones: a filling only moves a border in the sorted weights, whose sums are known. A later
+    filling may lift names that were capped before above the cap again.
+    """
+    size = np.abs(w)
+    total = size.sum()
     if total <= 1e-12:
         return np.zeros_like(w)
-    w, cap = w / total * gross, cap_frac * gross
+    order = np.argsort(-size, kind="stable")
+    ranked = size[order]
+    left = total - np.append(0.0, np.cumsum(ranked))  # sum of what follows each border
+    cap, scale = cap_frac * gross, gross / total
+    height = np.zeros(0)  # of the names capped so far, the largest ones
     for _ in range(rounds):
-        over = np.abs(w) > cap + 1e-12
-        if not over.any():
+        more = int((ranked[len(height) :] * scale > cap + 1e-12).sum())
+        full = np.append(height > cap + 1e-12, np.ones(more, bool))
+        if not full.any():
             break
-        w = np.where(over, np.sign(w) * cap, w)
-        spare, rest = gross - cap * over.sum(), np.abs(w[~over]).sum()
+        height = np.where(full, cap, np.append(height, np.zeros(more)))
+        spare = gross - cap * full.sum()
+        rest = left[len(height)] * scale + height[~full].sum()
         if rest <= 1e-12 or spare <= 0:
             break
-        w = np.where(over, w, w / rest * spare)
-    return w
+        scale *= spare / rest
+        height = np.where(full, cap, height * (spare / rest))
+    out = np.empty_like(size)
+    out[order] = np.append(height, ranked[len(height) :] * scale)
+    return np.sign(w) * out
 
 
 def np_finish(w, beta, gross, cap_frac):
@@ -580,39 +610,42 @@ def covariance(p: DataFrame, method: str = "constant_correlation", value: str =
 # --- ensembles ------------------------------------------------------------------------
 
 
+def _capped_projection(q: DataFrame, gross: float, cap: float, rounds: int) -> DataFrame:
+    """Gross weights with the overflow above the cap spread over the rest and projected again.
+
+    Sums per timestamp only, so all rounds run on one exchange; ``_fin`` marks timestamps that
+    are settled.
+    """
+    s = fr.xs()
+    for _ in range(rounds):
+        w = F.col("w")
+        over = F.abs(w) > cap + 1e-12
+        q = q.withColumns({"_m": F.count_if(over).over(s), "_rest": F.sum(F.when(over, 0.0).otherwise(F.abs(w))).over(s)})
+        spare = gross - cap * F.col("_m")
+        done = F.col("_fin") | (F.col("_m") == 0)
+        stuck = (F.col("_rest") <= 1e-12) | (spare <= 0)
+        q = q.withColumn("_c", F.when(over, F.signum(w) * cap).when(stuck, w).otherwise(fr.div(w * spare, F.col("_rest"))))
+        q = q.withColumns(project_neutral("_c") | {"_was": F.col("_c")})
+        total = F.greatest(F.sum(F.abs("_c")).over(s), F.lit(1e-12))
+        q = q.withColumn("w", F.when(done, w).when(stuck, F.col("_was")).otherwise(F.col("_c") / total * gross))
+        q = q.withColumn("_fin", done | stuck)
+    return q.drop("_m", "_rest", "_c", "_was")
+
+
 def ensemble(member_weights: DataFrame, risk: DataFrame, max_weight=0.2, gross=1.0, max_positions=None, risk_parity=True) -> DataFrame:
     """Weighted mean of member weights (already on the common grid), re-projected.
 
     ``member_weights``: (ti, symbol, w, share); ``risk``: (ti, symbol, vol).
     """
+    s = fr.xs()
     total = member_weights.groupBy("ti", "symbol").agg(F.sum(F.col("w") * F.col("share")).alias("w"))
     q = total.join(risk.select("ti", "symbol", "vol"), ["ti", "symbol"], "left")
-
-    def solve(a):
-        w, vol = a["w"], a["vol"]
-        if np.abs(w).sum() <= 1e-12:
-            return np.zeros_like(w)
-        if max_positions is not None:
-            keep = np.argsort(-np.abs(w), kind="stable")[:max_positions]
-            w = np.where(np.isin(np.arange(len(w)), keep), w, 0.0)
-        if risk_parity and np.isfinite(vol).any():
-            floor = np.nanquantile(vol, 0.10)
-            if floor > 0:
-                w = w / np.where(vol > floor, vol, floor)
-        w = np_project(w)
-        if np.abs(w).sum() <= 1e-12:
-            return np.zeros_like(w)
-        w, cap = w / np.abs(w).sum() * gross, max_weight * gross
-        for _ in range(4):
-            over = np.abs(w) > cap + 1e-12
-            if not over.any():
-                break
-            w = np.where(over, np.sign(w) * cap, w)
-            spare, rest = gross - cap * over.sum(), np.abs(w[~over]).sum()
-            if rest <= 1e-12 or spare <= 0:
-                break
-            w = np_project(np.where(over, w, w / rest * spare))
-            w = w / max(np.abs(w).sum(), 1e-12) * gross
-        return w
-
-    return per_timestamp(q, ["w", "vol"], solve)
+    if max_positions is not None:
+        place = F.row_number().over(s.orderBy(F.desc(F.abs("w")), "symbol"))
+        q = q.withColumn("w", F.when(place <= max_positions, F.col("w")).otherwise(0.0))
+    if risk_parity:
+        floor = F.percentile("vol", F.lit(0.10)).over(s)
+        q = q.withColumn("w", F.when(floor > 0, inverse_vol(F.col("w"), F.col("vol"), floor)).otherwise(F.col("w")))
+    q = q.withColumns(project_neutral("w")).withColumn("_t", F.sum(F.abs("w")).over(s))
+    q = q.withColumns({"w": F.when(F.col("_t") > 1e-12, F.col("w") / F.col("_t") * gross).otherwise(0.0), "_fin": F.col("_t") <= 1e-12})
+    return _capped_projection(q, gross, max_weight * gross, 4).select("ti", "symbol", "w")

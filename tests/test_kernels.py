@@ -135,3 +135,30 @@ def test_last_drawdown_tier_latches():
     s, o = sf.tier_step(s, 80.0, 1)
     s, p = sf.tier_step(s, 100.0, 2)
     assert o[0] == p[0] == "KILL"
+
+
+def test_cap_equals_plain_fillings():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        w = rng.normal(0, 1, rng.integers(1, 25)) * rng.choice([0.0, 1.0, 5.0])
+        want = w / max(np.abs(w).sum(), 1e-300)
+        for _ in range(8):
+            big = np.abs(want) > 0.2 + 1e-12
+            if big.any():
+                want = np.where(big, np.sign(want) * 0.2, want)
+                room, small = 1 - 0.2 * big.sum(), np.abs(want[~big]).sum()
+                if room <= 0 or small <= 1e-12:
+                    break
+                want = np.where(big, want, want * room / small)
+        assert np.allclose(pf.np_cap(w, 1.0, 0.2), want, atol=1e-9)
+
+
+@pytest.mark.parametrize("rule", ["v1", "v2"])
+def test_hysteresis_holds_a_name_until_it_leaves_its_zone(rule):
+    h = pf.Hysteresis(rule)
+    held = lambda k, order: {x: s for x, s, *_ in h.step(8, k, order[::-1][:3], order[:3])}
+    assert held(1, list("abcdefgh")) == {"a": 1.0, "h": -1.0}
+    assert held(1, list("bcadefhg")) == {"a": 1.0, "h": -1.0}  # third on either side: both stay
+    assert held(1, list("bcdaefhg")) == {"b": 1.0, "h": -1.0}  # a left its zone
+    assert held(2, list("bcdaefhg")) == {"b": 1.0, "c": 1.0, "h": -1.0, "g": -1.0}
+    assert h.step(3, 1, ["a"], ["b"]) == [] and held(1, list("hgfedcba")) == {"h": 1.0, "a": -1.0}
