@@ -311,14 +311,14 @@ def explode_grid(df: DataFrame, name: str, values) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
-def growth_grid(returns: DataFrame, levers, ppy: float) -> DataFrame:
+def growth_grid(returns: DataFrame, levers, ppy: float, keys=()) -> DataFrame:
     """Exact annual log growth and drawdown for each leverage."""
     q = explode_grid(returns.filter(F.col("ret").isNotNull()), "leverage", levers)
     step = 1.0 + F.col("leverage") * F.col("ret")
-    o = Window.partitionBy("leverage").orderBy("ti").rowsBetween(Window.unboundedPreceding, 0)
+    o = Window.partitionBy(*keys, "leverage").orderBy("ti").rowsBetween(Window.unboundedPreceding, 0)
     q = q.withColumn("_g", F.greatest(step, F.lit(1e-12))).withColumn("_e", F.product("_g").over(o))
     q = q.withColumn("_dd", 1.0 - F.col("_e") / F.greatest(F.max("_e").over(o), F.lit(1.0)))
-    return q.groupBy("leverage").agg(
+    return q.groupBy(*keys, "leverage").agg(
         (F.avg(F.log("_g")) * ppy).alias("log_growth"),
         F.max("_dd").alias("max_dd"),
         F.avg((step <= 0).cast("double")).alias("ruin_share"),

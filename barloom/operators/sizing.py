@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions import frames as fr
+from barloom.session import checkpoint_dir
 
 F_MAX = 20.0
 LAMBDA = 0.5
@@ -176,91 +178,137 @@ def exact_quantiles(df: DataFrame, keys, x: str, qs, bucket: Column) -> DataFram
 # --- Kelly -----------------------------------------------------------------------------------------
 
 
-def kelly_root(v: np.ndarray, c: np.ndarray, f_max: float) -> float:
-    """Root of the mean of r / (1 + f r) for values v with counts c."""
-    n = c.sum()
-    if n < 5 or (v @ c) <= 0:
-        return 0.0
-    low = v[c > 0].min()
-    if low < -1.0:
-        raise ValueError("return below -100%")
-    top = min(f_max, 0.999 / abs(low)) if low < 0 else f_max
+SECTIONS = 32
 
-    def slope(f):
-        d = 1.0 + f * v
-        return -1e6 if (d[c > 0] <= 1e-6).any() else float((c * v / d).sum() / n)
 
-    if slope(top) > 0:
-        return float(top)
-    a, b = 0.0, top
-    while b - a > 1e-9:
-        m = 0.5 * (a + b)
-        a, b = (m, b) if slope(m) > 0 else (a, m)
-    return 0.5 * (a + b)
+def _ceiling(low: Column, f_max: Column) -> Column:
+    """The largest fraction that the worst return allows."""
+    return F.when(low < 0, F.least(f_max, 0.999 / F.abs(low))).otherwise(f_max)
 
 
-RETURN_DIGITS = 6
+def kelly_fraction(trades: DataFrame, keys, f_max: Column, ret: str = "ret") -> DataFrame:
+    """(keys.., n, f_point): the root of E[r / (1 + f r)] for every group at once.
 
-
-def return_counts(df: DataFrame, keys, ret: str = "ret") -> DataFrame:
-    """(keys.., n, v, c): the distinct returns of a group with their counts.
-
-    Returns are kept to six decimals, so a group is bounded by the resolution of a
-    return, however many trades it holds; counting combines on the map side.
+    The mean falls with f, so each pass evaluates it at the borders of ``SECTIONS`` sections of a
+    group's interval, as plain sums that combine on the map side, and keeps the section where the
+    sign turns: a fixed number of passes to 1e-9, for groups of any size. ``f_max`` may use ``n``.
     """
     keys = list(keys)
-    g = df.filter(F.col(ret).isNotNull()).groupBy(*keys, F.round(ret, RETURN_DIGITS).alias("_v")).agg(F.count("*").alias("_c"))
-    s = F.sort_array(F.collect_list(F.struct("_v", "_c")))
-    return g.groupBy(*keys).agg(F.sum("_c").alias("n"), s.alias("_s")).select(
-        *keys, "n", F.transform("_s", lambda x: x["_v"]).alias("v"), F.transform("_s", lambda x: x["_c"].cast("double")).alias("c")
-    )
-
-
-def kelly_fraction(groups: DataFrame, f_max: Column) -> DataFrame:
-    """Adds ``f_point`` to return counts."""
-
-    @F.pandas_udf("double")
-    def solve(v: pd.Series, c: pd.Series, top: pd.Series) -> pd.Series:
-        return pd.Series([kelly_root(np.asarray(a), np.asarray(b), t) for a, b, t in zip(v, c, top)])
-
-    return groups.withColumn("f_point", solve("v", "c", f_max))
-
-
-def bootstrap_kelly(groups: DataFrame, keys, f_max: Column, replicates: int = 1000, lower: float = 25.0, seed: int = 42, chunk: int = 50) -> DataFrame:
-    """(keys.., n, f_point, f_low, f_std, uncertainty).
-
-    Resampling n trades with replacement is a multinomial draw over the value counts.
-    Replicates are split into chunks seeded by (keys, chunk), so a group's draws spread
-    over tasks and a retried task repeats them.
+    checkpoint_dir(trades.sparkSession)
+    rows = trades.filter(F.col(ret).isNotNull()).select(*keys, F.col(ret).alias("_r")).checkpoint()
+    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_r").alias("_s"), F.min("_r").alias("_low"))
+    ok = (F.col("n") >= 5) & (F.col("_s") > 0)
+    top = F.when(F.col("_low") < -1.0, F.raise_error(F.lit("return below -100%")).cast("double")).otherwise(_ceiling(F.col("_low"), f_max))
+    g = g.select(*keys, "n", F.lit(0.0).alias("_a"), F.when(ok, top).otherwise(0.0).alias("_b")).checkpoint()
+    for _ in range(7):  # 32 ** 7 sections of at most 20
+        at = [F.col("_a") + (F.col("_b") - F.col("_a")) * (i / SECTIONS) for i in range(1, SECTIONS + 1)]
+        sums = rows.join(g, keys).groupBy(*keys).agg(*[F.sum(F.col("_r") / (1.0 + f * F.col("_r"))).alias(f"_g{i}") for i, f in enumerate(at)])
+        above = sum((F.col(f"_g{i}") > 0).cast("int") for i in range(SECTIONS))
+        width = (F.col("_b") - F.col("_a")) / SECTIONS
+        low = F.col("_a") + width * F.col("_k")
+        g = g.join(sums.select(*keys, above.alias("_k")), keys).select(
+            *keys, "n", F.when(F.col("_k") == SECTIONS, F.col("_b")).otherwise(low).alias("_a"),
+            F.when(F.col("_k") == SECTIONS, F.col("_b")).otherwise(low + width).alias("_b"),
+        ).checkpoint()
+    return g.select(*keys, "n", ((F.col("_a") + F.col("_b")) / 2).alias("f_point"))
+
+
+#: cumulative probabilities of a Poisson count of mean 1
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(14)])
+
+
+def _draws(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson counts of rows in replicates, from a hash of (row, replicate, seed)."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (replicates.astype(np.uint64) + np.uint64(seed << 32))[None] * np.uint64(0xD1B54A32D192ED03)
+        for shift, odd in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F), (32, 0xE7037ED1A0B428DB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    u = (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.searchsorted(_POISSON, u, side="right")
+
+
+def _resampled(rows: DataFrame, state, replicates: int, seed: int, least: bool) -> DataFrame:
+    """(cell, rep, sums): sums over resampled rows at the fraction of every (cell, replicate).
+
+    With ``least``: the number of trades, the sum and the least return instead. A worker holds
+    some thousand rows times the replicates, and the sums of its cells.
+    """
+    reps = np.arange(replicates)
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cell, r, i = (batch.column(c).to_numpy() for c in ("_cell", "_r", "_id"))
+            for k in np.unique(cell).tolist():
+                mine = np.flatnonzero(cell == k)
+                for part in np.array_split(mine, -(-len(mine) // 2048)):
+                    w, x = _draws(i[part], reps, seed), r[part][:, None]
+                    if least:
+                        got = np.stack([w.sum(0), (w * x).sum(0), np.where(w > 0, x, np.inf).min(0)])
+                        held[k] = got if k not in held else np.stack([held[k][0] + got[0], held[k][1] + got[1], np.minimum(held[k][2], got[2])])
+                    else:
+                        q = x / (1.0 + state.value[k] * x)
+                        got = np.stack([(w * q).sum(0), (w * q * q).sum(0)])
+                        held[k] = held.get(k, 0.0) + got
+        for k, s in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(replicates, k)), pa.array(reps), *(pa.array(v.astype(float)) for v in s)], names=["cell", "rep", "u", "v", "low"][: 2 + len(s)])
+
+    kind = "cell long, rep long, u double, v double" + (", low double" if least else "")
+    found = rows.mapInArrow(run, kind)
+    more = [F.min("low").alias("low")] if least else []
+    return found.groupBy("cell", "rep").agg(F.sum("u").alias("u"), F.sum("v").alias("v"), *more)
+
+
+def bootstrap_kelly(trades: DataFrame, keys, f_max: Column, replicates: int = 1000, lower: float = 25.0, seed: int = 42, ret: str = "ret") -> DataFrame:
+    """(keys.., n, f_point, f_low, f_std, uncertainty) for a bounded number of groups (bins, regimes).
+
+    A replicate weighs every trade by a Poisson count of mean 1 that a hash of (row, replicate)
+    gives, so no group is collected and a retried task repeats its draws. All roots are searched
+    at once by Newton steps inside shrinking intervals; a pass sums over the rows at the current
+    fractions, and the driver keeps groups x replicates numbers.
     """
     keys = list(keys)
-    g = kelly_fraction(groups, f_max).withColumn("_top", f_max)
-    n_chunks = math.ceil(replicates / chunk)
-    t = g.withColumn("_ch", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    t = t.withColumn("_seed", F.pmod(F.xxhash64(*keys, "_ch", F.lit(seed)), F.lit(2**31)))
-
-    @F.pandas_udf("array<double>")
-    def draw(v: pd.Series, c: pd.Series, top: pd.Series, ch: pd.Series, sd: pd.Series) -> pd.Series:
-        res = []
-        for a, b, f, k, s in zip(v, c, top, ch, sd):
-            a, b = np.asarray(a), np.asarray(b)
-            rng = np.random.default_rng(int(s))
-            m = min(chunk, replicates - int(k) * chunk)
-            n = int(b.sum())
-            res.append([kelly_root(a, rng.multinomial(n, b / n).astype(float), f) for _ in range(m)])
-        return pd.Series(res)
-
-    d = t.repartition(*keys, "_ch").select(*keys, F.explode(draw("v", "c", "_top", "_ch", "_seed")).alias("_f"))
-    s = d.groupBy(*keys).agg(F.percentile("_f", F.lit(lower / 100.0)).alias("_l"), F.stddev_pop("_f").alias("_s"))
-    j = g.select(*keys, "n", "f_point").join(s, keys)
-    few = F.col("n") < 5
-    return j.select(
-        *keys, "n",
-        F.when(few, 0.0).otherwise(F.col("f_point")).alias("f_point"),
-        F.when(few, 0.0).otherwise(F.col("_l")).alias("f_low"),
-        F.when(few, 0.0).otherwise(F.col("_s")).alias("f_std"),
-        F.when(few, 0.0).otherwise(F.col("_s") / F.greatest("f_point", F.lit(1e-6))).alias("uncertainty"),
-    )
+    spark = trades.sparkSession
+    point = kelly_fraction(trades, keys, f_max, ret).withColumn("_top", f_max)
+    cells = point.collect()  # one row for each bin or regime
+    code = spark.createDataFrame([(*[c[k] for k in keys], i) for i, c in enumerate(cells)], T.StructType([*(point.schema[k] for k in keys), T.StructField("_cell", T.LongType())]))
+    rows = trades.filter(F.col(ret).isNotNull()).select(*keys, F.col(ret).cast("double").alias("_r")).join(code, keys)
+    rows = rows.select("_cell", "_r").withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint()
+
+    def summed(state, width, least=False):
+        out = np.full((len(cells), replicates, width), np.inf if least else 0.0)
+        for r in _resampled(rows, state, replicates, seed, least).collect():
+            out[r[0], r[1]] = r[2:]
+        return np.moveaxis(out, 2, 0)
+
+    n, total, low = summed(None, 3, True)
+    limit = np.array([c["_top"] for c in cells], float)[:, None]
+    with np.errstate(divide="ignore"):
+        top = np.where(low < 0, np.minimum(limit, 0.999 / np.abs(low)), limit)
+    good = np.isfinite(n) & (n >= 5) & (total > 0)
+    a, b = np.zeros_like(top), np.where(good, top, 0.0)
+    f = b.copy()  # the first pass asks whether the ceiling is the answer; the next starts at the group's root
+    near = np.array([c["f_point"] for c in cells], float)[:, None]
+    for turn in range(60):
+        u, v = summed(spark.sparkContext.broadcast(f), 2)
+        ahead = u > 0
+        a, b = np.where(ahead, f, a), np.where(ahead, b, f)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = f + u / v if turn else near
+        new = np.where((step >= a) & (step <= b), step, (a + b) / 2)
+        done = np.abs(new - f) < 1e-10
+        f = new
+        if (done | (b - a < 1e-9)).all():
+            break
+    f = np.where(good, f, 0.0)
+    out = []
+    for c, x in zip(cells, f):
+        few = c["n"] < 5
+        p, q, s = (0.0, 0.0, 0.0) if few else (c["f_point"], float(np.quantile(x, lower / 100.0)), float(x.std()))
+        out.append((*[c[k] for k in keys], c["n"], p, q, s, 0.0 if few else s / max(p, 1e-6)))
+    kind = T.StructType([*(point.schema[k] for k in keys), T.StructField("n", T.LongType()), *(T.StructField(k, T.DoubleType()) for k in ("f_point", "f_low", "f_std", "uncertainty"))])
+    return spark.createDataFrame(out, kind)
 
 
 def unit_bucket(c: str = "_x", n: int = 4096) -> Column:
@@ -307,7 +355,7 @@ def kelly_table(binned: DataFrame, f_max: float = F_MAX, prior: float = 0.0, shr
     """(p_bin, chop_bin, n, f): shrunk lower bootstrap fraction per cell."""
     keys = ["p_bin", "chop_bin"]
     top = F.least(F.lit(float(f_max)), F.greatest(F.lit(1.0), F.sqrt("n")))
-    b = bootstrap_kelly(return_counts(binned, keys), keys, top, replicates, lower)
+    b = bootstrap_kelly(binned, keys, top, replicates, lower)
     w = F.col("n") / (F.col("n") + shrink)
     f = F.when(F.col("n") < 5, prior).otherwise(w * F.col("f_low") + (1.0 - w) * prior)
     return b.select(*keys, "n", F.greatest(f, F.lit(0.0)).alias("f"))
@@ -327,7 +375,7 @@ def regime_kelly(trades: DataFrame, probs: dict[str, float], f_max: float = F_MA
     cut = threshold if hard else 0.5
     t = valid_trades(trades).withColumn("regime", F.when(F.col("p_i") >= cut, "trending").otherwise("choppy"))
     top = F.least(F.lit(float(f_max)), F.greatest(F.lit(1.0), F.sqrt("n")))
-    b = bootstrap_kelly(return_counts(t, ["regime"]), ["regime"], top, replicates)
+    b = bootstrap_kelly(t, ["regime"], top, replicates)
     w = F.col("n") / (F.col("n") + shrink)
     f = F.when(F.col("n") < 5, prior).otherwise(w * F.col("f_low") + (1.0 - w) * prior)
     per = {r: F.coalesce(F.max(F.when(F.col("regime") == r, f)), F.lit(prior)) for r in probs}
@@ -339,28 +387,43 @@ def regime_kelly(trades: DataFrame, probs: dict[str, float], f_max: float = F_MA
 # --- overfitting --------------------------------------------------------------------------------------
 
 
-def pbo(returns: DataFrame, splits: int = 16) -> DataFrame:
+def _halves(splits: int) -> np.ndarray:
+    """0/1 rows: every choice of half the blocks."""
+    masks = np.arange(2**splits, dtype=np.int64)
+    bits = (masks[:, None] >> np.arange(splits)) & 1
+    return bits[bits.sum(1) == splits // 2].astype(float)
+
+
+def pbo(returns: DataFrame, splits: int = 16, part: int = 1 << 11) -> DataFrame:
     """(n_combinations, pbo): combinatorially symmetric cross-validation.
 
-    ``returns``: (config, ti, ret) on common timestamps. Block sums travel as one array
-    per configuration; a combination is a bit mask over the blocks.
+    ``returns``: (config, ti, ret) on common timestamps. Sums per block and configuration make
+    a matrix of ``splits`` columns; in-sample sums of all combinations are its product with the
+    0/1 matrix of the halves, taken in parts of ``part`` combinations spread over tasks. The matrix of
+    block sums travels as one array (configurations x ``splits`` numbers, whatever the returns).
     """
     o = Window.partitionBy("config").orderBy("ti")
     b = returns.withColumn("_b", F.ntile(splits).over(o) - 1).groupBy("config", "_b").agg(F.sum("ret").alias("_s"))
     a = b.groupBy("config").agg(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_s"))), lambda s: s["_s"]).alias("_a"))
-    half = splits // 2
-    masks = F.expr(f"filter(sequence(0, {2**splits - 1}), m -> bit_count(m) = {half})")
-    c = a.withColumn("mask", F.explode(masks))
-    c = c.withColumn(
-        "ins", F.expr("aggregate(zip_with(_a, sequence(0, size(_a) - 1), (v, i) -> v * cast(getbit(mask, i) as double)), 0D, (s, v) -> s + v)")
-    ).withColumn("outs", F.expr("aggregate(_a, 0D, (s, v) -> s + v)") - F.col("ins"))
-    m = Window.partitionBy("mask")
-    c = c.withColumns(
-        {
-            "_best": F.row_number().over(m.orderBy(F.desc("ins"), "config")),
-            "_rank": F.row_number().over(m.orderBy("outs", "config")),
-            "_n": F.count("*").over(m),
-        }
-    ).filter("_best = 1")
-    rel = (F.col("_rank") - 1) / (F.col("_n") - 1)
-    return c.agg(F.count("*").alias("n_combinations"), F.avg((rel < 0.5).cast("double")).alias("pbo"))
+    sums = a.agg(F.sort_array(F.collect_list(F.struct("config", "_a"))).alias("m")).select(F.flatten(F.transform("m", lambda s: s["_a"])).alias("m"))
+    parts = -(-math.comb(splits, splits // 2) // part)
+
+    @F.pandas_udf("struct<n long, under long>")
+    def score(m: pd.Series, k: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, i in zip(m, k):
+            block = np.asarray(x, float).reshape(-1, splits)
+            halves = _halves(splits)[i * part : (i + 1) * part]
+            inside = halves @ block.T
+            outside = (1 - halves) @ block.T
+            best = inside.argmax(1)  # the first configuration among equals
+            row = np.arange(len(halves))
+            own = outside[row, best]
+            place = (outside < own[:, None]).sum(1)
+            place += ((outside == own[:, None]) & (np.arange(len(block)) < best[:, None])).sum(1)
+            rows.append((len(halves), int((place / (len(block) - 1) < 0.5).sum())))
+        return pd.DataFrame(rows, columns=["n", "under"])
+
+    c = sums.select("m", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")).repartition(parts, "k")
+    c = c.select(score("m", "k").alias("s"))
+    return c.agg(F.sum("s.n").alias("n_combinations"), (F.sum("s.under") / F.sum("s.n")).alias("pbo"))

@@ -237,14 +237,13 @@ GRID = [1.0, 2.0, 3.0, 5.0, 8.0]
 
 @query(
     "leverage_growth_grid",
-    f"""{two_ctes()}, {NAMED}, q AS (SELECT CAST(l AS DOUBLE) AS leverage, ti, greatest(1+l*ret,1e-12) AS g, 1+l*ret<=0 AS dead FROM nr, (SELECT unnest([1.0,2.0,3.0,5.0,8.0]) AS l) WHERE name='{TWO[0]}' AND ret IS NOT NULL),
- e AS (SELECT *, product(g) OVER (PARTITION BY leverage ORDER BY ti ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM q),
- d AS (SELECT *, 1-e/greatest(max(e) OVER (PARTITION BY leverage ORDER BY ti ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),1.0) AS dd FROM e),
- r AS (SELECT leverage, avg(ln(g))*52 AS log_growth, max(dd) AS max_dd, avg(CASE WHEN dead THEN 1.0 ELSE 0.0 END) AS ruin_share FROM d GROUP BY leverage) """ + out("r", "leverage", "log_growth, max_dd, ruin_share"),
+    f"""{two_ctes()}, {NAMED}, q AS (SELECT name, CAST(l AS DOUBLE) AS leverage, ti, greatest(1+l*ret,1e-12) AS g, 1+l*ret<=0 AS dead FROM nr, (SELECT unnest([1.0,2.0,3.0,5.0,8.0]) AS l) WHERE ret IS NOT NULL),
+ e AS (SELECT *, product(g) OVER (PARTITION BY name, leverage ORDER BY ti ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM q),
+ d AS (SELECT *, 1-e/greatest(max(e) OVER (PARTITION BY name, leverage ORDER BY ti ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),1.0) AS dd FROM e),
+ r AS (SELECT name, leverage, avg(ln(g))*52 AS log_growth, max(dd) AS max_dd, avg(CASE WHEN dead THEN 1.0 ELSE 0.0 END) AS ruin_share FROM d GROUP BY name, leverage) """ + out("r", "name, leverage", "log_growth, max_dd, ruin_share"),
 )
 def growth_grid(spark, sf_dir):
-    r = named_returns(spark, sf_dir).filter(F.col("name") == TWO[0])
-    return at.growth_grid(r, GRID, PPY)
+    return at.growth_grid(named_returns(spark, sf_dir), GRID, PPY, keys=["name"])
 
 
 @query("target_probability_table")

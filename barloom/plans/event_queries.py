@@ -50,14 +50,14 @@ def gap_warmup(spark, sf_dir):
 _F20 = "(PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 
 
-@query(
-    "batch_features",
-    f"""{BASE}, f0 AS (SELECT *, (close-lag(close) OVER o)/lag(close) OVER o AS r, lag(close,5) OVER o AS c5 FROM b0 WINDOW o AS {O}),
+FEATURES = f"""f0 AS (SELECT *, (close-lag(close) OVER o)/lag(close) OVER o AS r, lag(close,5) OVER o AS c5 FROM b0 WINDOW o AS {O}),
  f AS (SELECT symbol, bar_idx, (high-low)/greatest(close,1e-6) AS hl_spread, coalesce(r,0) AS ret_1, coalesce((close-c5)/c5,0) AS ret_5, volume/greatest(avg(volume) OVER w,1e-6) AS vol_ratio,
   CASE WHEN high-low<=1e-12 THEN 0.5 ELSE (close-low)/(high-low) END AS range_position, avg(ofi) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ofi_ma5,
   CASE WHEN count(volume) OVER w<5 OR stddev_pop(volume) OVER w<=1e-12 THEN 0 ELSE (volume-avg(volume) OVER w)/stddev_pop(volume) OVER w END AS volume_z,
-  CASE WHEN count(r) OVER w<5 OR stddev_pop(r) OVER w<=1e-12 THEN 0 ELSE r/stddev_pop(r) OVER w END AS ret_zscore FROM f0 WINDOW w AS {_F20}) """ + out("f", "symbol, bar_idx", ", ".join(ft.DERIVED)),
-)
+  CASE WHEN count(r) OVER w<5 OR stddev_pop(r) OVER w<=1e-12 THEN 0 ELSE r/stddev_pop(r) OVER w END AS ret_zscore FROM f0 WINDOW w AS {_F20})"""
+
+
+@query("batch_features", f"{BASE}, {FEATURES} " + out("f", "symbol, bar_idx", ", ".join(ft.DERIVED)))
 def batch_features(spark, sf_dir):
     return ft.batch_features(bars(spark, sf_dir)).select("symbol", "bar_idx", *ft.DERIVED)
 

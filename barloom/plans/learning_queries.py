@@ -8,12 +8,12 @@ from barloom.operators import events as ev
 from barloom.operators import features as ft
 from barloom.operators import learn as ln
 from barloom.operators import sizing as sz
-from barloom.plans.event_queries import BASE, barrier_events, labelled
+from barloom.plans.event_queries import BASE, FEATURES, barrier_events, labelled
 from barloom.plans.evaluation_queries import weekly
 from barloom.plans.portfolio_queries import TWO, two_ctes
 from barloom.plans.registry import arank, out, query
 
-NAMES = ("hl_spread", "ret_1", "ret_5", "vol_ratio", "range_position", "ofi_ma5")
+NAMES = ft.DERIVED
 K = 3
 FOREST = dict(trees=100, depth=5)
 
@@ -56,10 +56,9 @@ def sfi(spark, sf_dir):
     return ln.sfi(rows, splits, K, NAMES, **FOREST)
 
 
-FEATS = ("hl_spread", "ret_1", "ret_5", "range_position")
-_F = f"""{BASE}, f AS (SELECT symbol, bar_idx, (high-low)/greatest(close,1e-6) AS hl_spread, coalesce((close-lag(close) OVER o)/lag(close) OVER o,0) AS ret_1, coalesce((close-lag(close,5) OVER o)/lag(close,5) OVER o,0) AS ret_5,
-  CASE WHEN high-low<=1e-12 THEN 0.5 ELSE (close-low)/(high-low) END AS range_position FROM b0 WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx)),
-lf AS (SELECT symbol, bar_idx, feature, v FROM f UNPIVOT (v FOR feature IN (hl_spread, ret_1, ret_5, range_position))), lr_ AS (SELECT *, {arank('v', 'feature')} AS rk FROM lf),
+FEATS = ft.DERIVED
+_F = f"""{BASE}, {FEATURES},
+lf AS (SELECT symbol, bar_idx, feature, v FROM f UNPIVOT (v FOR feature IN ({', '.join(FEATS)}))), lr_ AS (SELECT *, {arank('v', 'feature')} AS rk FROM lf),
 ds AS (SELECT a.feature AS feature_a, b.feature AS feature_b, least(1.0,greatest(0.0,1-abs(corr(a.rk,b.rk)))) AS distance FROM lr_ a JOIN lr_ b ON a.symbol=b.symbol AND a.bar_idx=b.bar_idx GROUP BY 1,2)"""
 
 
@@ -75,7 +74,7 @@ def distance(spark, sf_dir):
 
 
 # three scores per feature taken from the table itself, so the ranks can be checked
-_S = f"{_F}, sc AS (SELECT feature, avg(v) AS mdi_mean, stddev_samp(v) AS mda_mean, max(v) AS sfi_mean FROM lf GROUP BY feature), r1 AS (SELECT *, rank() OVER (ORDER BY mdi_mean DESC)+rank() OVER (ORDER BY mda_mean DESC)+rank() OVER (ORDER BY sfi_mean DESC) AS rank_sum FROM sc), cr AS (SELECT feature, CAST(rank_sum AS DOUBLE) AS rank_sum, {arank('rank_sum', 'one')} AS final_rank FROM (SELECT *, 1 AS one FROM r1))"
+_S = f"{_F}, sc AS (SELECT feature, avg(v) AS mdi_mean, stddev_samp(v) AS mda_mean, max(v) AS sfi_mean FROM lf GROUP BY feature), r1 AS (SELECT feature, one, {arank('-mdi_mean', 'one')}+{arank('-mda_mean', 'one')}+{arank('-sfi_mean', 'one')} AS rank_sum FROM (SELECT *, 1 AS one FROM sc)), cr AS (SELECT feature, CAST(rank_sum AS DOUBLE) AS rank_sum, {arank('rank_sum', 'one')} AS final_rank FROM r1)"
 
 
 def scores(spark, sf_dir):

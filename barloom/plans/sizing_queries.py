@@ -128,9 +128,11 @@ def pnl(r):
 # --- Kelly ---------------------------------------------------------------------------------------
 
 TRD = f"{ROWS}, v AS (SELECT *, disc-0.05+(sigma-0.035)*0.5 AS ret, least(1.0,greatest(0.0,p_i)) AS pi FROM tr)"
-EDG = """pe0 AS (SELECT unnest(range(1,5)) AS k, unnest([quantile_cont(pi,0.2),quantile_cont(pi,0.4),quantile_cont(pi,0.6),quantile_cont(pi,0.8)]) AS e FROM v),
+_TENTHS = lambda x: "unnest([" + ",".join(f"quantile_cont({x},{k / 10})" for k in range(1, 10)) + "])"
+EDG = f"""pe0 AS (SELECT unnest(range(1,10)) AS k, {_TENTHS('pi')} AS e FROM v),
 pb AS (SELECT v.*, (SELECT count(*) FROM pe0 WHERE e<=pi) AS p_bin FROM v),
-ce AS (SELECT p_bin, unnest([quantile_cont(p_chop_i,0.2),quantile_cont(p_chop_i,0.4),quantile_cont(p_chop_i,0.6),quantile_cont(p_chop_i,0.8)]) AS e FROM pb GROUP BY p_bin)"""
+ce0 AS (SELECT p_bin, unnest(range(1,10)) AS k, {_TENTHS('p_chop_i')} AS e0 FROM pb GROUP BY p_bin),
+ce AS (SELECT p_bin, k, e0 + 1e-12*(row_number() OVER (PARTITION BY p_bin, e0 ORDER BY k)-1) AS e FROM ce0)"""
 
 
 def trades(spark, sf_dir):
@@ -139,7 +141,7 @@ def trades(spark, sf_dir):
 
 @query("kelly_bin_edges", f"{TRD}, {EDG}, q AS (SELECT -1 AS p_bin, e FROM pe0 UNION ALL SELECT p_bin, e FROM ce) " + out("q", "p_bin", "e"))
 def kelly_edges(spark, sf_dir):
-    _, p, c = sz.kelly_bins(trades(spark, sf_dir), 5)
+    _, p, c = sz.kelly_bins(trades(spark, sf_dir))
     a = p.select(F.lit(-1).alias("p_bin"), F.explode("edges").alias("e"))
     return a.unionByName(c.select("p_bin", F.explode("edges").alias("e"))).withColumn("p_bin", F.col("p_bin").cast("long"))
 
@@ -150,23 +152,22 @@ def kelly_edges(spark, sf_dir):
     digits=9,
 )
 def kelly_bins(spark, sf_dir):
-    t, _, _ = sz.kelly_bins(trades(spark, sf_dir), 5)
+    t, _, _ = sz.kelly_bins(trades(spark, sf_dir))
     return t.groupBy(F.col("p_bin").cast("long").alias("p_bin"), F.col("chop_bin").cast("long").alias("chop_bin")).agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"))
 
 
-@query("empirical_kelly_fraction", f"""{TRD}, x AS (SELECT l_suppkey, round(ret*1e6)/1e6 AS r FROM v), s AS (SELECT l_suppkey, count(*) AS n, avg(r) AS m, min(r) AS lo FROM x GROUP BY 1),
+@query("empirical_kelly_fraction", f"""{TRD}, x AS (SELECT l_suppkey, ret AS r FROM v), s AS (SELECT l_suppkey, count(*) AS n, avg(r) AS m, min(r) AS lo FROM x GROUP BY 1),
  bs AS (SELECT l_suppkey, n, 0 AS i, 0::DOUBLE AS a, CASE WHEN lo<0 THEN least(20.0,0.999/abs(lo)) ELSE 20.0 END AS b, m>0 AND n>=5 AS ok FROM s
-  UNION ALL SELECT bs.l_suppkey, bs.n, i+1, CASE WHEN g>0 THEN (a+b)/2 ELSE a END, CASE WHEN g>0 THEN b ELSE (a+b)/2 END, ok FROM bs, LATERAL (SELECT avg(r/(1+(bs.a+bs.b)/2*r)) AS g FROM x WHERE x.l_suppkey=bs.l_suppkey) WHERE i<40 AND ok),
- q AS (SELECT l_suppkey AS symbol, n, CASE WHEN ok THEN arg_max((a+b)/2,i) ELSE 0 END AS f_point FROM bs GROUP BY l_suppkey, n, ok) """ + out("q", "symbol, n", "f_point", 4), digits=4)
+  UNION ALL SELECT bs.l_suppkey, bs.n, i+1, CASE WHEN g>0 THEN (a+b)/2 ELSE a END, CASE WHEN g>0 THEN b ELSE (a+b)/2 END, ok FROM bs, LATERAL (SELECT avg(r/(1+(bs.a+bs.b)/2*r)) AS g FROM x WHERE x.l_suppkey=bs.l_suppkey) WHERE i<46 AND ok),
+ q AS (SELECT l_suppkey AS symbol, n, CASE WHEN ok THEN arg_max((a+b)/2,i) ELSE 0 END AS f_point FROM bs GROUP BY l_suppkey, n, ok) """ + out("q", "symbol, n", "f_point"))
 def kelly_fraction(spark, sf_dir):
-    g = sz.return_counts(trades(spark, sf_dir), ["l_suppkey"])
-    return sz.kelly_fraction(g, F.lit(20.0)).select(F.col("l_suppkey").alias("symbol"), "n", "f_point")
+    return sz.kelly_fraction(trades(spark, sf_dir), ["l_suppkey"], F.lit(20.0)).select(F.col("l_suppkey").alias("symbol"), "n", "f_point")
 
 
 @query("bootstrap_kelly")
 def bootstrap_kelly(spark, sf_dir):
     t = trades(spark, sf_dir).withColumn("regime", F.col("side"))
-    return sz.bootstrap_kelly(sz.return_counts(t, ["regime"]), ["regime"], F.lit(20.0), 1000)
+    return sz.bootstrap_kelly(t, ["regime"], F.lit(20.0), 1000)
 
 
 @query("kelly_table")
@@ -189,7 +190,7 @@ def regime_kelly(spark, sf_dir):
 @query(
     "pbo_cscv",
     f"""{panel_sql('week').join(['WITH ', ''])}, r AS (SELECT symbol AS config, ti, coalesce(close/lag(close) OVER (PARTITION BY symbol ORDER BY ti)-1,0) AS ret FROM panel),
- b AS (SELECT config, blk, sum(ret) AS s FROM (SELECT *, ntile(6) OVER (PARTITION BY config ORDER BY ti)-1 AS blk FROM r) GROUP BY 1,2), mk AS (SELECT m FROM (SELECT unnest(range(64)) AS m) WHERE bit_count(m)=3),
+ b AS (SELECT config, blk, sum(ret) AS s FROM (SELECT *, ntile(16) OVER (PARTITION BY config ORDER BY ti)-1 AS blk FROM r) GROUP BY 1,2), mk AS (SELECT m FROM (SELECT unnest(range(65536)) AS m) WHERE bit_count(m)=8),
  p AS (SELECT m, config, sum(CASE WHEN (m>>blk)&1=1 THEN s ELSE 0 END) AS i, sum(CASE WHEN (m>>blk)&1=0 THEN s ELSE 0 END) AS o FROM mk, b GROUP BY 1,2),
  k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY i DESC, config) AS bi, row_number() OVER (PARTITION BY m ORDER BY o, config) AS ro, count(*) OVER (PARTITION BY m) AS n FROM p),
  q AS (SELECT count(*) AS n_combinations, avg(CASE WHEN (ro-1.0)/(n-1)<0.5 THEN 1.0 ELSE 0.0 END) AS pbo FROM k WHERE bi=1) """ + out("q", "n_combinations", "pbo"),
@@ -197,7 +198,7 @@ def regime_kelly(spark, sf_dir):
 def pbo(spark, sf_dir):
     p = tb.panel(spark, sf_dir)
     r = p.select(F.col("symbol").alias("config"), "ti", F.coalesce(fr.ret("close"), F.lit(0.0)).alias("ret"))
-    return sz.pbo(r, 6)
+    return sz.pbo(r)
 
 
 # --- contracts and sources -------------------------------------------------------------------------

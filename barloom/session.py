@@ -25,6 +25,7 @@ def local_session(cpus: int | str = 8, app: str = "barloom", **conf) -> SparkSes
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_MEM", "8g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -40,16 +41,18 @@ def pin_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own, or a local one in tests."""
+    """Shared folder for checkpoints: what ``spark.checkpoint.dir`` names, or was set on the context.
+
+    Unset, it is set to a new folder below the session's warehouse, which every session has and
+    a cluster shares; no folder of the driver's machine stands in for it.
+    """
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    spark.sparkContext.setCheckpointDir(
-        named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    )
+    if named is None:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 

@@ -5,7 +5,6 @@ import pytest
 
 from barloom.functions import kernels as kn
 from barloom.operators import portfolio as pf
-from barloom.operators import sizing as sz
 from barloom.streaming import stateful as sf
 
 F2 = np.array([[1.0, 1.0], [0.0, 1.0]])
@@ -95,17 +94,6 @@ def test_two_names_are_not_a_neutral_book():
     assert (pf.np_project(np.array([0.5, -0.4, 0.0])) == 0).all()
 
 
-def test_kelly_root_maximises_log_growth():
-    v, c = np.array([-0.5, 0.6]), np.array([40.0, 60.0])
-    f = sz.kelly_root(v, c, 20.0)
-    grid = np.linspace(0, 1.99, 4000)
-    best = grid[np.argmax([(c * np.log1p(g * v)).sum() for g in grid])]
-    assert abs(f - best) < 2e-3
-    assert sz.kelly_root(np.array([-0.1, 0.05]), np.array([10.0, 10.0]), 20.0) == 0.0
-    with pytest.raises(ValueError):
-        sz.kelly_root(np.array([-1.5, 9.0]), np.array([5.0, 50.0]), 20.0)
-
-
 def test_complete_linkage_merges_below_the_cut():
     from barloom.operators.learn import complete_linkage
 
