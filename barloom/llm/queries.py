@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import bpe, chat, fmindex, lines, mainhtml, minhash, multiindex, repair, search, substrings, toxicity, urls, warc
@@ -11,8 +10,13 @@ from barloom.llm.registry import ENTRIES, entry
 
 __all__ = ["ENTRIES"]
 
-#: Public tokenizer file of the query; the operator takes any path.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+def tokenizer() -> str:
+    """Public tokenizer file of the query; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
 
 _PLAIN_WORDS = r"list_filter(regexp_split_to_array(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -145,7 +149,7 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @entry("op10_bpe_encoding_and_decoding")
 def bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoded(read(spark, sf_dir, "documents"), TOKENIZER, ["doc_id"])
+    return bpe.encoded(read(spark, sf_dir, "documents"), tokenizer(), ["doc_id"])
 
 
 @entry("op13_line_dedup", OP13_SQL)
