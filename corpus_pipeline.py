@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import bpe, fmindex, minhash, substrings, toxicity
 from barloom.llm.common import fresh_path, read
-from barloom.llm.queries import TOKENIZER
+from barloom.llm.queries import tokenizer
 from barloom.llm.registry import entry
 from barloom.session import ship
 
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of them and of what they decode to."""
     ship(spark)
-    return bpe.encoded(docs, TOKENIZER, ["doc_id", "lang", "source"], with_ids=True)
+    return bpe.encoded(docs, tokenizer(), ["doc_id", "lang", "source"], with_ids=True)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
