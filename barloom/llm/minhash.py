@@ -1,9 +1,10 @@
 """Near-dedup by improved consistent weighted sampling (ICWS) over TF-IDF word shingles.
 
-1. Document frequencies. Shingles are hashed to ``CLASSES`` classes; every class counts the
-   documents it occurs in, over all rows. The table has a fixed size whatever the corpus, and
-   so may be broadcast. A class's share of documents, not its count, makes the weight, so a
-   corpus a thousand times larger weighs alike.
+1. Document frequencies. Every shingle's documents are counted over all rows. Texts are dealt
+   out to slices of about ``SLICE_BYTES``; a slice counts its own shingles first and sends each
+   distinct one once, as 4 bytes, to the bucket of its leading bits. A bucket adds the counts of
+   all slices and answers each with the weights of the shingles it sent. Slices and buckets grow
+   in number with the corpus, not in size; nothing is broadcast or seen by the driver.
 2. Samples. A document is the set of its shingles with weight ``tf * idf``. For each of
    ``BANDS * ROWS`` functions, ICWS draws one (shingle, level); two documents draw the same one
    with the probability of their weighted Jaccard similarity. The random variates of a shingle
@@ -20,8 +21,10 @@
 4. Links are pairs of weighted Jaccard similarity >= ``threshold``, computed from whole texts.
 
 Defined cases: null, empty and blank texts link with nothing; texts of fewer words than a
-shingle are one shingle, and so are texts of signs only; rows without an id come last when the representative is chosen; rows
-with equal ids are separate rows.
+shingle are one shingle, and so are texts of signs only; a very long text is a slice of its own;
+rows without an id come last when the representative is chosen; rows with equal ids are separate
+rows, and copies of a row are dealt to slices by the partition they are read from as well. An
+input that gives other rows when read again raises an error; write such a one to a table first.
 """
 
 from __future__ import annotations
@@ -32,20 +35,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import words
-from barloom.llm.common import NO_ID, blobs, components, ids_or_last, own_exchange, shuffle_partitions, staged, text_buffer, text_slices
+from barloom.llm.common import NO_ID, blobs, components, own_exchange, staged, text_buffer, text_slices, unblob
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-CLASSES = 1 << 20
 POOL = 1 << 16
-_CHUNK = 1 << 14
 SLICE_BYTES = 2 << 20
-_BITS, _LOW = np.uint64(44), np.uint64((1 << 44) - 1)
+SLICE_ROWS = 1 << 15
+#: Bytes of text whose shingles one group of buckets counts.
+GROUP_BYTES = 16 << 20
+LEAST_BITS = 12
+_WIDTH = 44
+_BITS, _LOW = np.uint64(_WIDTH), np.uint64((1 << _WIDTH) - 1)
+
+
+def _not_blank() -> F.Column:
+    """Texts with a shingle: any character but white space."""
+    return F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
 
 
 def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,45 +84,44 @@ def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return (key >> _BITS).astype(np.int64), key & _LOW, tf
 
 
-def _class_of(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(CLASSES - 1)).astype(np.int64)
+def _postings(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles`` of all texts of a table, whatever their number."""
+    parts, base = [], 0
+    for part in text_slices(iter(table.to_batches()), "text", SLICE_BYTES):
+        row, h, tf = shingles(part.column("text"), k)
+        parts.append((row + base, h, tf))
+        base += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _count(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(CLASSES, np.int32), 0
-        for part in text_slices(batches, "text", SLICE_BYTES):
-            row, h, _ = shingles(part.column("text"), k)
-            one = np.unique(row << 20 | _class_of(h))  # a document counts once in a class
-            total += np.bincount(one & (CLASSES - 1), minlength=CLASSES).astype(np.int32)
-            n += len(np.unique(row))
-        if n:
-            cuts = np.arange(0, CLASSES + 1, _CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts) - 1), pa.int32()), blobs(total, cuts)], names=["chunk", "counts"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.int32(n).tobytes()], pa.binary())], names=["chunk", "counts"])
+def _sent(k: int, bits: int):
+    """A slice's distinct shingles and in how many of its documents each is, by bucket of leading bits."""
+    low = _WIDTH - bits
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        h, df = np.unique(_postings(table, k)[1], return_counts=True)
+        bucket = (h >> np.uint64(low)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        cuts = np.append(first, len(h))
+        tail = (h & np.uint64((1 << low) - 1)).astype(np.uint32)
+        return pa.table([pa.array(np.full(len(first), key[0].as_py())), pa.array(bucket[first].astype(np.int32)), blobs(tail, cuts), blobs(df.astype(np.int32), cuts)], names=["slice", "bucket", "tails", "counts"])
 
     return run
 
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(x, np.int32).astype(np.int64)
-            sums[c] = sums[c] + x if c in sums else x
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+def _answered(documents: int):
+    """``1 + ln(documents / documents with the shingle)`` for all that the slices sent to a group of buckets."""
 
+    def run(table: pa.Table) -> pa.Table:
+        tails = table.column("tails")
+        size = pc.binary_length(tails).to_numpy() // 4
+        key = np.repeat(table.column("bucket").to_numpy().astype(np.uint64) << np.uint64(32), size) | unblob(tails, np.uint32)
+        _, which = np.unique(key, return_inverse=True)
+        df = np.bincount(which, unblob(table.column("counts"), np.int32))
+        idf = (1 + np.log(documents / df))[which].astype(np.float32)
+        return pa.table([table.column("slice"), table.column("bucket"), blobs(idf, np.append(0, np.cumsum(size)))], names=["slice", "bucket", "idf"])
 
-def idf_table(docs: DataFrame, text_col: str = "text", k: int = SHINGLE) -> np.ndarray:
-    """``1 + ln(documents / documents with the class)`` for each of the ``CLASSES`` classes."""
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(k), "chunk int, counts binary")
-    chunks = -(-CLASSES // _CHUNK) + 1
-    summed = counts.repartition(min(chunks, shuffle_partitions(docs.sparkSession)), "chunk").mapInArrow(_total, "chunk int, counts binary")
-    got = {r.chunk: np.frombuffer(r.counts, np.int64) for r in summed.collect()}  # CLASSES * 8 bytes at any size
-    n = int(got.pop(-1, np.zeros(1))[0])
-    df = np.concatenate([got[c] for c in sorted(got)]) if got else np.zeros(CLASSES)
-    return (1 + np.log(max(n, 1) / np.maximum(df, 1))).astype(np.float32)
+    return run
 
 
 @functools.cache
@@ -142,47 +153,64 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, functions: int)
     return out
 
 
-def _sign(k: int, bands: int, rows: int, idf):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
-        for part in text_slices(batches, "text", SLICE_BYTES):
-            n = part.num_rows
-            node, keys, mean = np.zeros(n, np.int64), np.zeros((n, bands), np.int64), np.zeros(n)
-            row, h, tf = shingles(part.column("text"), k)
-            own = np.unique(row)
-            if len(own):
-                weight = tf * table[_class_of(h)]
-                first = np.searchsorted(row, own)
-                mean[own] = np.add.reduceat(weight.astype(float), first) / np.add.reduceat(tf, first)
-                with np.errstate(over="ignore"):
-                    drawn = samples(row, h, weight, bands * rows)
-                    node[own] = words.mix(np.add.reduceat(words.mix(h + words.mix(tf.astype(np.uint64))), first)).view(np.int64)
-                    for b in range(bands):
-                        key = np.full(len(own), b, np.uint64)
-                        for x in drawn[b * rows : (b + 1) * rows]:
-                            key = words.mix(key * np.uint64(words.BASE) + x)
-                        keys[own, b] = key.view(np.int64)
-            has = np.zeros(n, bool)
-            has[own] = True
-            lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids_or_last(part.column("doc"))), part.column("fp"), pa.array(node, mask=~has), lists, pa.array(mean)],
-                names=["doc", "fp", "node", "bands", "mean"],
-            )
-        _pool.cache_clear()  # the worker lives on
+def _sign(k: int, bands: int, rows: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        row, h, tf = _postings(table, k)
+        own, first = np.unique(row, return_index=True)
+        distinct, which = np.unique(h, return_inverse=True)
+        idf = unblob(answers.sort_by("bucket").column("idf"), np.float32)
+        if len(idf) != len(distinct) or len(own) != table.num_rows:
+            raise ValueError("the documents changed between two reads; write them to a table first")
+        rarity = idf[which]
+        weight = tf * rarity
+        mean = np.add.reduceat(weight.astype(float), first) / np.add.reduceat(tf, first)
+        keys = np.zeros((len(own), bands), np.int64)
+        with np.errstate(over="ignore"):
+            drawn = samples(row, h, weight, bands * rows)
+            node = words.mix(np.add.reduceat(words.mix(h + words.mix(tf.astype(np.uint64))), first)).view(np.int64)
+            for b in range(bands):
+                key = np.full(len(own), b, np.uint64)
+                for x in drawn[b * rows : (b + 1) * rows]:
+                    key = words.mix(key * np.uint64(words.BASE) + x)
+                keys[:, b] = key.view(np.int64)
+        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
+        return pa.table(
+            [table.column("doc"), table.column("fp"), pa.array(node), lists, pa.array(mean), blobs(rarity, np.append(first, len(row)))],
+            names=["doc", "fp", "node", "bands", "mean", "idf"],
+        )
 
     return run
 
 
-def _verify(k: int, threshold: float, idf):
+def signatures(src: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``(doc, fp, node, bands, mean, idf)`` for the rows of ``(doc, fp, text)`` whose text is not blank.
+
+    ``idf`` holds the weight of each of the text's distinct shingles, in the order of ``shingles``.
+    The exchange of the texts serves both the counts and the signatures.
+    """
+    src = src.where(_not_blank())
+    size = src.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    total = size.bytes or 1
+    slices = max(1, -(-total // SLICE_BYTES), -(-size.n // SLICE_ROWS))
+    group = max(5, (total // GROUP_BYTES).bit_length())
+    bits = max(LEAST_BITS, group)
+    dealt = src.withColumn("part", F.spark_partition_id()).withColumn("slice", F.expr(f"pmod(xxhash64(doc, fp, part), {slices}L)")).drop("part")
+    by_slice = dealt.groupBy("slice")
+    sent = by_slice.applyInArrow(_sent(k, bits), "slice long, bucket int, tails binary, counts binary")
+    answers = sent.groupBy(F.expr(f"shiftright(bucket, {bits - group})").alias("g")).applyInArrow(_answered(size.n), "slice long, bucket int, idf binary")
+    return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(
+        _sign(k, bands, rows), "doc long, fp long, node long, bands array<long>, mean double, idf binary"
+    )
+
+
+def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
         for wide in text_slices(batches, "ta", SLICE_BYTES):
             for part in text_slices([wide], "tb", SLICE_BYTES):
                 sides = []
-                for c in ("ta", "tb"):
-                    row, h, tf = shingles(part.column(c), k)
-                    sides.append((row.astype(np.uint64) << _BITS | h, tf * table[_class_of(h)].astype(np.float64), row))
+                for c in "ab":
+                    row, h, tf = shingles(part.column("t" + c), k)
+                    sides.append((row.astype(np.uint64) << _BITS | h, tf * unblob(part.column("i" + c), np.float32).astype(np.float64), row))
                 (ka, wa, ra), (kb, wb, rb) = sides
                 _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
                 n = part.num_rows
@@ -194,16 +222,13 @@ def _verify(k: int, threshold: float, idf):
     return run
 
 
-def _prefix(k: int, threshold: float, idf):
+def _prefix(k: int, threshold: float):
     """A text's shingles, rarest first, while what remains weighs at least ``threshold`` of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
         for part in text_slices(batches, "text", SLICE_BYTES):
             row, h, tf = shingles(part.column("text"), k)
-            if not len(row):
-                continue
-            rarity = table[_class_of(h)].astype(np.float64)
+            rarity = unblob(part.column("idf"), np.float32).astype(np.float64)
             order = np.lexsort((h, -rarity, row))  # the same order of shingles in every text
             row, h, w = row[order], h[order], (tf * rarity)[order]
             first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
@@ -221,11 +246,10 @@ def _prefix(k: int, threshold: float, idf):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, idf) -> DataFrame:
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    wide = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    return wide.mapInArrow(_verify(k, threshold, idf), "a long, b long")
+def _links(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    a, b = (texts.select(F.col("node").alias(c), F.col("text").alias("t" + c), F.col("idf").alias("i" + c)) for c in "ab")
+    wide = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "ia", "tb", "ib")
+    return wide.mapInArrow(_verify(k, threshold), "a long, b long")
 
 
 def _of(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -242,11 +266,9 @@ def near_duplicates(
     smallest id of equal weighted sets, ``group_doc`` with ``group_fp`` the representative of
     all that links connect. Texts without words have a null ``node`` and stand for themselves.
     """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
-    idf = spark.sparkContext.broadcast(idf_table(src, "text", k))
-    signed = staged(src.mapInArrow(_sign(k, bands, rows, idf), "doc long, fp long, node long, bands array<long>, mean double"), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc", "fp")).alias("first"), F.first("bands").alias("bands"), F.first("mean").alias("mean"))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
+    signed = staged(signatures(src, k, bands, rows), "signed")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("doc", "fp")).alias("first"), F.first("bands").alias("bands"), F.first("mean").alias("mean"), F.first("idf").alias("idf"))
     nodes = staged(nodes, "nodes")
     slots = nodes.select("node", "mean", F.explode("bands").alias("slot"))
     centre = slots.groupBy("slot").agg(F.min(F.struct("mean", "node")).alias("c"), F.count("*").alias("n")).where("n > 1")
@@ -254,17 +276,16 @@ def near_duplicates(
     members = staged(slots.join(centre, own_exchange("slot") == F.col("k")).select("slot", "a", "node"), "members")
     pairs = members.where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
-    needed = members.select("node").distinct().join(nodes, "node").select("node", "first.doc", "first.fp")
-    whole = src.select(F.coalesce("doc", F.lit(NO_ID)).alias("doc"), "fp", "text")
-    texts = staged(whole.join(needed, ["doc", "fp"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links = staged(_links(pairs, texts, k, threshold, idf), "links")
+    needed = members.select("node").distinct().join(nodes, "node").select("node", "first.doc", "first.fp", "idf")
+    texts = staged(src.join(needed, ["doc", "fp"]).groupBy("node").agg(F.first("text").alias("text"), F.first("idf").alias("idf")), "texts")
+    links = staged(_links(pairs, texts, k, threshold), "links")
     comps = components(links)
 
     # nodes of buckets with several components meet by their rare shingles
     open_ = _of(members, comps)
     mixed = open_.groupBy("slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     open_ = open_.join(mixed.select(own_exchange("slot").alias("k")), own_exchange("slot") == F.col("k")).select("node", "component").distinct()
-    listed = open_.join(texts, "node").mapInArrow(_prefix(k, threshold, idf), "node long, component long, token long, total double, rest double")
+    listed = open_.join(texts, "node").mapInArrow(_prefix(k, threshold), "node long, component long, token long, total double, rest double")
     listed = staged(listed, "prefixes")
     several = listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(own_exchange("token").alias("k"))
     listed = staged(listed.join(several, own_exchange("token") == F.col("k")).drop("k"), "prefixes")
@@ -272,7 +293,7 @@ def near_duplicates(
     enough = F.lit(threshold / (1 + threshold)) * (F.col("xtotal") + F.col("ytotal")) - 1e-6
     met = one.join(two, (one["token"] == two["token"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")) & (F.least("xrest", "yrest") >= enough))
     more = met.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
-    links2 = staged(_links(more, texts, k, threshold, idf), "links")
+    links2 = staged(_links(more, texts, k, threshold), "links")
     comps = staged(components(links.union(links2)), "components")
 
     groups = _of(nodes.select("node", "first"), comps)
@@ -281,9 +302,8 @@ def near_duplicates(
         groups.join(heads.select(own_exchange("component").alias("c"), "head"), own_exchange("component") == F.col("c")).select("node", F.col("first.doc").alias("class_doc"), F.col("head.doc").alias("group_doc"), F.col("head.fp").alias("group_fp")),
         "named",
     )
-    left = signed.select("doc", "fp", "node")
-    with_words = left.where("node is not null").join(named, "node").select("doc", "fp", "node", "class_doc", "group_doc", "group_fp")
-    without = left.where("node is null").select("doc", "fp", "node", F.col("doc").alias("class_doc"), F.col("doc").alias("group_doc"), F.col("fp").alias("group_fp"))
+    with_words = signed.select("doc", "fp", "node").join(named, "node").select("doc", "fp", "node", "class_doc", "group_doc", "group_fp")
+    without = src.where(~_not_blank()).select("doc", "fp", F.lit(None).cast("long").alias("node"), F.col("doc").alias("class_doc"), F.col("doc").alias("group_doc"), F.col("fp").alias("group_fp"))
     return with_words.union(without)
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import minhash
 from barloom.llm.common import components
@@ -26,7 +27,7 @@ def shingles(text):
 
 
 def brute(rows, threshold=0.8):
-    """Components of all pairs; document frequencies by shingle (no two of them share a class here)."""
+    """Components of all pairs; document frequencies by shingle."""
     sets = [shingles(t) for _, t in rows]
     df, n = Counter(), sum(bool(s) for s in sets)
     for s in sets:
@@ -113,3 +114,34 @@ def test_components_of_a_chain_and_a_star(session):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     got = {r.id: r.component for r in components(session.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}}
+
+
+def test_document_frequencies_are_true_counts(session):
+    """More distinct shingles than any fixed table would hold, in several slices and groups of buckets."""
+    n, unique = 9000, 120
+    shared = " ".join(f"s{i}" for i in range(6))  # two shingles of every document
+    text = F.concat(F.lit(shared), *[F.concat(F.lit(f" w{i}x"), F.when(F.col("id") % 9 == 0, F.col("id") % 900).otherwise(F.col("id"))) for i in range(unique)])
+    docs = session.range(0, n, 1, 6).select(F.col("id").alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    seen = set()
+    for r in minhash.signatures(docs).select("doc", "idf").toLocalIterator():
+        got = np.sort(np.frombuffer(r.idf, np.float32))
+        assert len(got) == 2 + unique
+        seen.add(r.doc)
+        df = 10 if r.doc % 9 == 0 else 1
+        assert np.allclose(got, np.sort([1.0] * 2 + [1 + np.log(n / df)] * unique), rtol=1e-6)
+    assert len(seen) == n
+
+
+def test_exchange_of_texts_is_shared_and_copies_of_a_row_are_spread(session):
+    docs = session.range(0, 4000, 1, 8).select(F.lit(1).cast("long").alias("doc"), F.lit(2).cast("long").alias("fp"), F.lit("same words in every single row " * 200).alias("text"))
+    out = minhash.signatures(docs)
+    rows = out.collect()
+    assert len(rows) == 4000 and len({r.node for r in rows}) == 1
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_very_long_text(session):
+    long = " ".join(f"v{i * 7919 % 100_003}" for i in range(400_000))
+    rows = [(1, long), (2, long + " tail"), (3, "other words of a short text"), (4, long[: len(long) // 3])]
+    got = {r.doc_id: r.component_id for r in minhash.digest(session.createDataFrame(rows, ROWS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
