@@ -12,6 +12,7 @@ MODULES = (
     "sizing_queries",
     "learning_queries",
     "streaming_queries",
+    "source_queries",
 )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.session import pin_utc
+from barloom.session import checkpoint_dir, pin_utc
 
 DAY_MS = 86_400_000
 WEEK_MS = 7 * DAY_MS
@@ -190,6 +192,28 @@ def write_partitioned(df: DataFrame, path: str, part_col: str) -> None:
     ).parquet(path)
 
 
+def fresh_path(spark, what: str) -> str:
+    """A new folder in the cluster's shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def upsert_store(new: DataFrame, path: str, keys=("symbol", "ts_ms"), part_col: str = "interval") -> None:
+    """Merge ``new`` into a table partitioned by ``part_col``; the new row wins on equal keys.
+
+    Only the partitions that ``new`` has rows of are read and replaced, all of them when the job
+    commits, so a repeated batch changes nothing. Keys are unique in ``new``.
+    """
+    spark = new.sparkSession
+    touched = [r[0] for r in new.select(part_col).distinct().collect()]  # intervals, a handful
+    old = spark.read.schema(new.schema).parquet(path).where(F.col(part_col).isin(touched))
+    write_partitioned(upsert_bars(old, new, (*keys, part_col)).select(new.columns), path, part_col)
+
+
+def read_interval(spark, path: str, schema: T.StructType, interval: str, part_col: str = "interval") -> DataFrame:
+    """Rows of one interval; the others' files are not listed for the scan."""
+    return spark.read.schema(schema).parquet(path).where(F.col(part_col) == interval)
+
+
 def read_bars(spark, path: str, fmt: str | None = None) -> DataFrame:
     """Bars by file format; CSV needs the schema, parquet carries it."""
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
@@ -220,6 +244,20 @@ def read_jsonl(spark, path: str, schema: T.StructType = EXECUTION_LOG_SCHEMA) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def append_batch(lines: DataFrame, path: str, batch_col: str = "batch") -> None:
+    """Append JSON lines (``value``) batch by batch; a batch that is written again replaces itself."""
+    lines.select("value", batch_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col).text(path)
+
+
+def read_batches(spark, path: str, schema: T.StructType, batch_col: str = "batch") -> DataFrame:
+    """Records of a batched log, with the text of a line that is no record in ``broken``.
+
+    Blank lines are no rows and fields that ``schema`` lacks are ignored.
+    """
+    full = T.StructType([*schema.fields, T.StructField("broken", T.StringType()), T.StructField(batch_col, T.IntegerType())])
+    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
