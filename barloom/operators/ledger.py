@@ -312,6 +312,24 @@ def income_pivot(income: DataFrame, types, day: Column) -> DataFrame:
     return p.withColumn("total", sum(F.col(t) for t in [*types, "other"]))
 
 
+def income_phases(income: DataFrame, boundary_ms: Column, keep: Column | None = None) -> DataFrame:
+    """Sums before and from ``boundary_ms`` on, for each income type that the data hold and in all.
+
+    ``keep`` leaves out what is no income (deposits). ``span_days`` is the time from a phase's
+    first to its last entry; the row of a phase's total has the type ``ALL``, an entry without a
+    type counts as ``NONE``. One combined aggregate: a phase of any size is reduced before it is shuffled.
+    """
+    rows = income if keep is None else income.filter(keep)
+    rows = rows.select(
+        F.when(F.col("ts_ms") < boundary_ms, "before").otherwise("after").alias("phase"),
+        F.explode(F.array(F.coalesce("type", F.lit("NONE")), F.lit("ALL"))).alias("type"), "amount", "ts_ms",
+    )
+    return rows.groupBy("phase", "type").agg(
+        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount"), F.count("*").alias("n"),
+        ((F.max("ts_ms") - F.min("ts_ms")) / 86_400_000.0).alias("span_days"),
+    )
+
+
 def concentration(income: DataFrame, k: int, key: str = "symbol") -> DataFrame:
     """Top and bottom k contributors and the share of the largest absolute one."""
     g = income.groupBy(key).agg(F.sum("amount").alias("amount"))

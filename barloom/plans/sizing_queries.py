@@ -472,6 +472,21 @@ def income_pivot(spark, sf_dir):
     return lg.income_pivot(e, _TYPES, F.floor(F.col("ts_ms") / tb.DAY_MS))
 
 
+@query(
+    "income_phases",
+    "WITH e AS (SELECT epoch_ms(ts) AS ts_ms, coalesce(event_type,'NONE') AS type, value AS amount, (SELECT (min(epoch_ms(ts))+max(epoch_ms(ts)))//2 FROM events) AS b FROM events WHERE event_type IS DISTINCT FROM 'signup'), "
+    "p AS (SELECT CASE WHEN ts_ms<b THEN 'before' ELSE 'after' END AS phase, * FROM e), "
+    "g AS (SELECT phase, type, coalesce(sum(amount),0) AS amount, count(*) AS n, (max(ts_ms)-min(ts_ms))/86400000.0 AS span_days FROM p GROUP BY ALL "
+    "UNION ALL SELECT phase, 'ALL', coalesce(sum(amount),0), count(*), (max(ts_ms)-min(ts_ms))/86400000.0 FROM p GROUP BY phase) "
+    + out("g", "phase, type, n", "amount, span_days"),
+)
+def income_phases(spark, sf_dir):
+    """Income before and after the middle of the observed time; sign-ups stand for deposits."""
+    e = tb.read(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.col("value").alias("amount"), tb.epoch_ms("ts").alias("ts_ms"))
+    middle = e.agg(F.expr("(min(ts_ms) + max(ts_ms)) div 2")).scalar()
+    return lg.income_phases(e, middle, ~F.col("type").eqNullSafe("signup"))
+
+
 @query("income_concentration", "WITH g AS (SELECT user_id AS symbol, sum(CASE WHEN event_type='error' THEN -value ELSE value END) AS amount FROM events GROUP BY 1), s AS (SELECT max(abs(amount))/sum(abs(amount)) AS largest_share FROM g), r AS (SELECT * FROM (SELECT symbol, amount, 'top' AS rank_side FROM g ORDER BY amount DESC, symbol LIMIT 5) UNION ALL SELECT * FROM (SELECT symbol, amount, 'bottom' FROM g ORDER BY amount, symbol LIMIT 5)) " + out("(SELECT * FROM r, s)", "symbol, rank_side", "amount, largest_share"))
 def income_concentration(spark, sf_dir):
     e = tb.read(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value")).alias("amount"))
