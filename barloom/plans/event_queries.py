@@ -129,7 +129,7 @@ def causal_hmm(spark, sf_dir):
     return ft.hmm_posteriors(bars(spark, sf_dir), "lr", stds=(0.05, 0.2))
 
 
-@query("imm_trend_score")
+@query("imm_trend_score")  # at prices of 50 000 its covariances are near singular: two roundings of it part, so no SQL; stream_imm_trend has
 def imm(spark, sf_dir):
     b = atr_bars(spark, sf_dir)
     return ft.imm_scores(b.join(ft.efficiency_regime(b), ["symbol", "bar_idx"]))

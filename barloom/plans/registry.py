@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions import kernels as kn
 from barloom.session import ship
 
 DIGITS = 6
@@ -151,3 +152,34 @@ def arank(x, part="ti"):
         f"(CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {part} ORDER BY {x} ASC NULLS LAST)"
         f" + (count({x}) OVER (PARTITION BY {part}, {x}) - 1)/2.0) END)"
     )
+
+
+def imm_sql(src: str) -> str:
+    """Recursive ``imm`` (symbol, i, p_hat, nu_hat, trend_score) of the two mixed filters over ``src``.
+
+    ``src``: symbol, i from 0, obs, pt, pc, atr. Covariances of these data stay positive definite,
+    so the eigenvalue floor is not written out.
+    """
+    (a00, a01), (a10, a11) = kn.IMM_A
+    body = []
+    for j, (p0, p1) in enumerate(((a00, a10), (a01, a11))):
+        q0, q1 = kn.IMM_Q[j]
+        body += [
+            f"greatest(w0*{p0}+w1*{p1},1e-12) AS c{j}", f"{p0}*w0/c{j} AS m{j}", f"{p1}*w1/c{j} AS n{j}",
+            f"m{j}*x0+n{j}*x1 AS mx{j}", f"m{j}*v0+n{j}*v1 AS mv{j}",
+        ]
+        spread = lambda e0, e1, j=j: f"m{j}*(r.{e0[0]}0+{e0[1]})+n{j}*(r.{e0[0]}1+{e1})"
+        dx, dv = (f"(x0-mx{j})", f"(x1-mx{j})"), (f"(v0-mv{j})", f"(v1-mv{j})")
+        body += [
+            f"{spread(('a', dx[0] + '*' + dx[0]), dx[1] + '*' + dx[1])} AS ma{j}",
+            f"{spread(('b', dx[0] + '*' + dv[0]), dx[1] + '*' + dv[1])} AS mb{j}",
+            f"{spread(('d', dv[0] + '*' + dv[0]), dv[1] + '*' + dv[1])} AS md{j}",
+            f"ma{j}+2*mb{j}+md{j}+{q0} AS pa{j}", f"mb{j}+md{j} AS pb{j}", f"md{j}+{q1} AS pd{j}", f"pa{j}+{kn.IMM_R} AS g{j}",
+            f"mx{j}+mv{j}+pa{j}/g{j}*(obs-(mx{j}+mv{j})) AS nx{j}", f"mv{j}+pb{j}/g{j}*(obs-(mx{j}+mv{j})) AS nv{j}",
+            f"(1-pa{j}/g{j})*pa{j} AS na{j}", f"(1-pa{j}/g{j})*pb{j} AS nb{j}", f"pd{j}-pb{j}/g{j}*pb{j} AS nd{j}",
+        ]
+    body += ["greatest(0,pt)+greatest(0,pc) AS tk", "CASE WHEN tk>1e-12 THEN greatest(0,pt)/tk ELSE 0.5 END AS t", "CASE WHEN tk>1e-12 THEN greatest(0,pc)/tk ELSE 0.5 END AS k"]
+    old = ", ".join(f"{c}::DOUBLE AS {n}{j}" for j in (0, 1) for n, c in (("x", "obs"), ("v", "0"), ("a", "1"), ("b", "0"), ("d", "1")))
+    new = ", ".join(f"n{n}{j}" for j in (0, 1) for n in "xvabd")
+    return f"""imm AS (SELECT symbol, -1::BIGINT AS i, {old}, 0.5::DOUBLE AS w0, 0.5::DOUBLE AS w1, NULL::DOUBLE AS p_hat, NULL::DOUBLE AS nu_hat, NULL::DOUBLE AS trend_score FROM {src} WHERE i=0
+ UNION ALL SELECT symbol, yi, {new}, t, k, t*nx0+k*nx1, t*nv0+k*nv1, (t*nv0+k*nv1)/greatest(atr,1e-8) FROM (SELECT r.symbol, y.i AS yi, y.atr, {', '.join(body)} FROM imm r JOIN {src} y ON y.symbol=r.symbol AND y.i=r.i+1))"""

@@ -9,8 +9,10 @@ of equal time are all taken, by sequence number if there is one, else as they ar
 from __future__ import annotations
 
 import json
+import math
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -184,38 +186,224 @@ def bar_features(df, keys=("symbol",), ts="ts_ms"):
     return run_kernel(df, keys, ts, feature_step, ["open", "high", "low", "close", "volume", "ofi"], doubles(*DERIVED))
 
 
-def exit_step(state, high, low, close, atr, p_trend, signal, sl_pct, liq_pct, t_max, m_trail=2.0, gamma=0.75, thr=0.35, flips=2):
+@dataclass(frozen=True)
+class ExitRules:
+    """Terms of a position: size and costs, stop and trail in ATR, limits in bars.
+
+    ``slip`` is half the spread plus the penalty of a market exit; ``flip_below`` (off when
+    None) closes after ``flips`` bars in a row whose trend probability lies below it.
+    """
+
+    size: float = 10_000.0
+    leverage: float = 3.0
+    m_sl: float = 2.0
+    m_trail: float = 2.0
+    t_max: int = 20
+    fee: float = 4e-4
+    slip: float = 1.2e-4
+    mmr: float = 5e-3
+    liq_fee: float = 5e-3
+    buffer: float = 0.15
+    expected_rate: float = 1e-4
+    rate_cap: float = 0.0075
+    hours: int = 8
+    flip_below: float | None = None
+    flips: int = 2
+    per_ms: int = 1
+
+
+def _open_position(now, close, atr, side, r: ExitRules):
+    """A position entered at the close, or None when its stop is not safely inside the liquidation price."""
+    cushion = r.m_sl * atr / max(close, 1e-6) + r.fee
+    if not close > 0 or not 0 <= cushion <= 0.5:
+        return None
+    stop = max(close * math.exp(-cushion), 1e-4) if side > 0 else close * math.exp(cushion)
+    room = 1.0 / r.leverage - r.mmr - r.fee - r.liq_fee - r.expected_rate * max(1.0, r.t_max / 8.0)
+    if room <= 0:
+        return None
+    liq = max(close * (1.0 - room), 1e-4) if side > 0 else close * (1.0 + room)
+    if not 0 < side * (close - stop) <= side * (close - liq) * (1.0 - r.buffer):
+        return None
+    return [side, close, stop, stop, liq, close, 0, 0, 0.0, now]
+
+
+def exit_step(state, now, opened, high, low, close, atr, p_trend, rate, signal, flatten, r: ExitRules):
     """One position per key: labels each bar with an entry, an exit or nothing.
 
-    state: [side, entry, stop, liquidation, extreme, flips, age] or None when flat. The
-    order of exits per bar is that of the batch trailing exit.
+    state: [side, entry, first stop, stop, liquidation, extreme, weak bars, age, funding, time] or
+    None when flat. Funding settled since the last bar is added first. Then the bar is
+    held against liquidation, stop, weak trend, age and the order to flatten, in this order. A
+    stop set by earlier bars fills at itself or at the open, whichever is worse, less slippage and
+    within the bar; only a bar that stays clear of it moves the trail. A key does not
+    enter on the bar it leaves on. An incomplete bar changes nothing.
     """
+    if any(not kn.usable(x) for x in (opened, high, low, close)):
+        return state, ("INCOMPLETE", None, None, None, None)
+    atr, p_trend, rate = atr if kn.usable(atr) else 1.0, p_trend if kn.usable(p_trend) else 0.5, rate if kn.usable(rate) else 0.0
     if state is None:
-        if not signal:
-            return None, ("FLAT", None)
-        s = 1 if signal > 0 else -1
-        return [s, close, close * (1 - s * sl_pct), close * (1 - s * liq_pct), close, 0, 0], ("ENTRY", close)
-    s, entry, stop, liq, ext, run, age = state
-    worst = low if s > 0 else high
-    past = lambda level: worst <= level if s > 0 else worst >= level
-    cushion = m_trail * (1 + gamma * p_trend) * max(atr, 1e-3, entry * 1e-3) / ext
-    trail = max(ext * np.exp(-cushion), stop) if s > 0 else min(ext * np.exp(cushion), stop)
-    run = run + 1 if p_trend < thr else 0
+        if not signal or flatten:
+            return None, ("FLAT", None, None, None, None)
+        pos = _open_position(now, close, atr, 1 if signal > 0 else -1, r)
+        return pos, ("ENTRY", close, pos[3], 0.0, None) if pos else ("UNSAFE", None, None, None, None)
+    side, entry, first, stop, liq, ext, weak, age, funding, then = state
+    step = r.hours * 3_600_000 * r.per_ms
+    funding += max(now // step - then // step, 0) * r.size * min(max(rate, -r.rate_cap), r.rate_cap) * side
     age += 1
-    reason = (
-        "LIQUIDATION" if liq > 0 and past(liq) else "SL" if past(stop) else "TRAIL" if past(float(trail))
-        else "REGIME_FLIP" if run >= flips else "TIME_STOP" if age >= t_max else None
-    )
-    if reason:
-        return None, (reason, liq if reason == "LIQUIDATION" else close)
-    return [s, entry, stop, liq, max(ext, high) if s > 0 else min(ext, low), run, age], ("HOLD", None)
+    worst, best = (low, high) if side > 0 else (high, low)
+    weak = weak + 1 if r.flip_below is not None and p_trend < r.flip_below else 0
+    away = 1.0 - side * r.slip
+    reason = price = None
+    if liq > 0 and side * (worst - liq) <= 0:
+        reason, price = "LIQUIDATION", liq
+    elif side * (worst - stop) <= 0:
+        reason = "SL" if stop == first else "TRAIL"
+        price = side * max(min(side * stop, side * opened) * away, side * worst)
+    else:
+        ext = side * max(side * ext, side * best)
+        stop = side * max(side * stop, side * ext - r.m_trail * atr)
+        if weak >= r.flips:
+            reason, price = "REGIME_FLIP", close
+        elif age >= r.t_max:
+            reason, price = "TIME_STOP", close
+        elif flatten:
+            reason, price = "FLATTEN", close * away
+    if reason is None:
+        return [side, entry, first, stop, liq, ext, weak, age, funding, now], ("HOLD", None, stop, funding, None)
+    margin = r.size / r.leverage
+    if reason == "LIQUIDATION":
+        net = -margin - r.size * r.fee
+    else:
+        net = r.size * (side * (price - entry) / entry - r.fee - price / entry * r.fee) - funding
+    return None, (reason, price, stop, funding, max(net, -margin))
+
+
+def exits(df, keys=("symbol",), ts="ts_ms", rules: ExitRules = ExitRules(), seq: str | None = None):
+    """(action, price, stop, funding, net_pnl) of every bar.
+
+    Needs open, high, low, close, atr_14, p_trend, funding_rate, an entry ``signal`` (its sign is
+    the side) and ``flatten``.
+    """
+    step = lambda s, *bar: exit_step(s, *bar, rules)
+    out = [T.StructField("action", T.StringType())] + doubles("price", "stop", "funding", "net_pnl")
+    return run_kernel(df, keys, ts, step, [ts, "open", "high", "low", "close", "atr_14", "p_trend", "funding_rate", "signal", "flatten"], out, seq=seq)
+
+
+# --- orders with timers ---------------------------------------------------------------------------
+
+
+def order_move(moves: dict, held: str, filled: float, state: str, done, qty: float):
+    """(problem or None, state, filled) of one event; a rejected event changes nothing."""
+    if held not in moves:
+        return ("after the end" if state != held else None), held, filled
+    if state != held and state not in moves[held]:
+        return "invalid transition", held, filled
+    if done is not None and done < filled - 1e-12:
+        return "filled decreased", held, filled
+    if done is not None and done > qty + 1e-9:
+        return "overfilled", held, filled
+    return None, state, filled if done is None else done
+
+
+class OrderProcessor(StatefulProcessor):
+    """Order events against the table of moves, with an end by event time.
+
+    An open order without an event for ``stuck`` ms expires; an order that has ended is forgotten
+    ``retain`` ms later, so state is held for live orders only. A timer does either once the
+    watermark has passed; an event that comes after the deadline does the same first, so the rows do
+    not depend on where micro-batches are cut.
+    """
 
+    COLUMNS = ("ts_ms", "seq", "state", "held", "problem")
 
-def exits(df, keys=("symbol",), ts="ts_ms", sl_pct=0.1, liq_pct=0.3, t_max=40, **kw):
-    """Needs high, low, close, atr_14, p_trend and an entry ``signal`` per bar."""
-    step = lambda s, h, l, c, a, p, g: exit_step(s, h, l, c, a, p, g, sl_pct, liq_pct, t_max, **kw)
-    out = [T.StructField("action", T.StringType())] + doubles("price")
-    return run_kernel(df, keys, ts, step, ["high", "low", "close", "atr_14", "p_trend", "signal"], out)
+    def __init__(self, key: str, stuck: int, retain: int, moves: dict):
+        self.key, self.stuck, self.retain, self.moves = key, stuck, retain, moves
+
+    def ended(self, state: str) -> bool:
+        return state not in self.moves
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cell = handle.getValueState("order", T.StructType([
+            T.StructField("state", T.StringType()), T.StructField("filled", T.DoubleType()), T.StructField("deadline", T.LongType()),
+            T.StructField("last", T.LongType()), T.StructField("seq", T.LongType()),
+        ]))
+
+    def settle(self, cell, now: int, out: list):
+        """The order as it stands at ``now``: expired or forgotten, if a deadline lies before."""
+        if cell and not self.ended(cell[0]) and cell[2] < now:
+            out.append((cell[2], None, "EXPIRED", "EXPIRED", "stuck"))
+            cell = ("EXPIRED", cell[1], cell[2] + self.retain, cell[3], cell[4])
+        return None if cell and self.ended(cell[0]) and cell[2] < now else cell
+
+    def keep(self, cell, before) -> None:
+        if before:
+            self.handle.deleteTimer(before[2])
+        if cell:
+            self.cell.update(cell)
+            self.handle.registerTimer(cell[2])
+        elif before:
+            self.cell.clear()
+
+    def frame(self, key, out: list) -> pd.DataFrame:
+        res = pd.DataFrame(out, columns=self.COLUMNS)
+        res["seq"] = res["seq"].astype("Int64")
+        res.insert(0, self.key, key[0])
+        return res
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts_ms", "seq"], kind="stable")
+        before = cell = tuple(self.cell.get()) if self.cell.exists() else None
+        out: list = []
+        for ts, seq, state, done, qty in zip(*(pdf[c].tolist() for c in ("ts_ms", "seq", "state", "filled_qty", "qty")), strict=True):
+            ts, seq, done = int(ts), int(seq), None if done is None or done != done else float(done)
+            if cell and (ts, seq) < (cell[3], cell[4]):
+                out.append((ts, seq, state, cell[0], "late"))
+                continue
+            cell = self.settle(cell, ts, out)
+            open_before = not (cell and self.ended(cell[0]))
+            problem, held, filled = order_move(self.moves, cell[0] if cell else "CREATED", cell[1] if cell else 0.0, state, done, qty)
+            deadline = cell[2] if not open_before else ts + (self.retain if self.ended(held) else self.stuck)
+            cell = (held, filled, deadline, ts, seq)
+            out.append((ts, seq, state, held, problem))
+        self.keep(cell, before)
+        yield self.frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before = tuple(self.cell.get()) if self.cell.exists() else None
+        out: list = []
+        # a timer stands for its own deadline: one passed since then has its own timer
+        cell = self.settle(before, expiredTimerInfo.getExpiryTimeInMs() + 1, out)
+        if cell != before:
+            if cell:
+                self.cell.update(cell)
+                self.handle.registerTimer(cell[2])
+            else:
+                self.cell.clear()
+        yield self.frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def order_lifecycle(df: DataFrame, key: str = "order_id", event_time: str = "ts", delay: str = "1 hour", stuck_ms: int = 86_400_000, retain_ms: int = 86_400_000) -> DataFrame:
+    """(key, ts_ms, seq, state, held, problem): every event, judged, and the expiry of stuck orders.
+
+    Rows: key, ``event_time`` (timestamp), ts_ms (the same in ms), seq, state, filled_qty, qty. ``held`` is the state
+    the order is in behind the row. Events older than the watermark are dropped by Spark.
+    """
+    from barloom.operators.ledger import TRANSITIONS
+
+    for m in (sys.modules[__name__], kn):
+        cloudpickle.register_pickle_by_value(m)
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    schema = T.StructType([
+        df.schema[key], T.StructField("ts_ms", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("state", T.StringType()),
+        T.StructField("held", T.StringType()), T.StructField("problem", T.StringType()),
+    ])
+    proc = OrderProcessor(key, stuck_ms, retain_ms, dict(TRANSITIONS))
+    return df.select(key, event_time, "ts_ms", "seq", "state", "filled_qty", "qty").withWatermark(event_time, delay).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
 
 
 # --- running to completion ------------------------------------------------------------------------
