@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -414,19 +415,19 @@ def executable_leverage(returns: DataFrame, target: float, window: int, ppy: flo
     r = r.withColumn("raw", fr.div(F.lit(target), fr.lag("_v", 1, **k) * float(np.sqrt(ppy))))
     span = max(dd_stop - dd_start, 1e-9)
     raw = F.coalesce(F.when(~F.isnan("raw"), F.col("raw")), F.lit(floor))
-    r = r.withColumn("row", F.struct(F.col("ti"), F.col("ret"), raw.alias("raw")))
-
-    def fold(seen, row):
-        """The next period, from the equity curve so far (1 before the first)."""
-        curve = F.concat(F.array(F.lit(1.0)), F.transform(seen, lambda x: x["equity"]))
-        now = F.element_at(curve, -1)
-        peak = F.array_max(F.slice(curve, F.greatest(F.lit(1), F.size(curve) - peak_window + 1), peak_window))
-        fall = fr.clip((1 - now / peak - dd_start) / span, 0.0, 1.0) if dd_stop > dd_start else F.lit(0.0)
-        lev = row["raw"] * (1 - fall)
-        lev = F.when(lev < floor, 0.0).otherwise(F.least(lev, F.lit(float(cap))))
-        made = F.greatest(lev * row["ret"], F.lit(-0.999))
-        return F.concat(seen, F.array(F.struct(row["ti"].alias("ti"), made.alias("ret"), lev.alias("leverage"), (now * (1 + made)).alias("equity"))))
-
-    start = F.array().cast("array<struct<ti:int,ret:double,leverage:double,equity:double>>")
-    path = r.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list("row")), start, fold).alias("_p"))
-    return path.select(*keys, F.explode("_p").alias("_r")).select(*keys, "_r.*")
+    out = T.StructType([r.schema[n] for n in (*keys, "ti")] + [T.StructField(n, T.DoubleType()) for n in ("ret", "leverage", "equity")])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One pass along a strategy, holding the equity and its last ``peak_window`` values."""
+        recent, now, rows = deque([1.0], peak_window), 1.0, []
+        for want, ret in zip(pdf["raw"], pdf["ret"], strict=True):
+            fall = min(max((1 - now / max(recent) - dd_start) / span, 0.0), 1.0) if dd_stop > dd_start else 0.0
+            lev = want * (1 - fall)
+            lev = 0.0 if lev < floor else min(lev, cap)
+            made = max(lev * ret, -0.999)
+            now *= 1 + made
+            recent.append(now)
+            rows.append((made, lev, now))
+        return pdf[[*keys, "ti"]].assign(**dict(zip(("ret", "leverage", "equity"), np.array(rows, float).reshape(-1, 3).T, strict=True)))
+
+    return per_series(r.withColumn("raw", raw), keys, walk, out, ["raw", "ret"])

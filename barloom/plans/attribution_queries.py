@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import frames as fr
 from barloom.operators import attribution as at
+from barloom.operators import combine as cb
 from barloom.operators import evaluate as ev
 from barloom.operators import portfolio as pf
 from barloom.operators import signals as sg
@@ -221,11 +224,18 @@ def kelly(spark, sf_dir):
     return g.select("name", at.kelly_leverage(F.col("m"), F.col("s")).alias("kelly"))
 
 
-@query("required_sharpe")
+_CONF = [0.5, 0.75, 0.9]
+
+
+@query(
+    "required_sharpe",
+    f"{two_ctes()}, {NAMED}, {EQ.format(k='name', src='nr')}, {ST.format(k='name', p=PPY)}, z AS (SELECT unnest({_CONF}::DOUBLE[]) AS confidence, unnest({[NormalDist().inv_cdf(1 - c) for c in _CONF]}::DOUBLE[]) AS z), rs AS (SELECT name, confidence, (total_return-z*0.6/sqrt({PPY})*sqrt(n))/n AS mu FROM st CROSS JOIN z), q AS (SELECT name, confidence, mu/(0.6/sqrt({PPY}))*sqrt({PPY}) AS required_ann_sharpe, mu*{PPY} AS required_ann_return FROM rs) "
+    + out("q", "name", "confidence, required_ann_sharpe, required_ann_return"),
+)
 def required_sharpe(spark, sf_dir):
     """Sharpe needed to reach each strategy's own total return with given confidence."""
     s = st.period_stats(named_returns(spark, sf_dir), ["name"], PPY)
-    q = at.explode_grid(s, "confidence", [0.5, 0.75, 0.9])
+    q = at.explode_grid(s, "confidence", _CONF)
     z = st.norm_ppf(1.0 - F.col("confidence"))
     sigma = F.lit(0.6) / F.sqrt(F.lit(PPY))
     mu = (F.col("total_return") - z * sigma * F.sqrt("n")) / F.col("n")
@@ -446,12 +456,25 @@ def trial_dispersion(spark, sf_dir):
     return st.dispersion(g, "sharpe")
 
 
+#: the positioning family and one signal of three others to hold it against
+POSITIONING = [n for n, x in sg.SIGNALS.items() if x.family == "positioning"] + ["carry_level", "mom_slow", "ofi_mid"]
+_PS = " UNION ALL ".join(f"SELECT '{n}' AS name, symbol, ti, round(value, 9) AS s, lead(close) OVER (PARTITION BY symbol ORDER BY ti)/close-1 AS r FROM ps{i}" for i, n in enumerate(POSITIONING))
+
+
 @query(
     "position_study",
-    f"{xs_ctes()}, {_SPREAD}, nr AS (SELECT '{SIG}' AS name, ti, spread AS ret FROM sp), {FOLDS}, {_FS} " + out("fs", "name", "fold_median, fold_min, share_positive, score"),
+    f"""WITH {PREP}, {', '.join(signal_ctes(n, f'ps{i}') for i, n in enumerate(POSITIONING))}, ps AS ({_PS}), pq AS (SELECT *, count(*) OVER (PARTITION BY name, ti) AS n, row_number() OVER (PARTITION BY name, ti ORDER BY s, symbol) AS pos FROM ps WHERE s IS NOT NULL AND r IS NOT NULL),
+ pr AS (SELECT *, greatest(1, CAST(round_even(n*0.1,0) AS INT)) AS k FROM pq WHERE n>=10), nr AS (SELECT name, ti, 0.5*(avg(r) FILTER (pos>n-k) - avg(r) FILTER (pos<=k)) AS ret FROM pr GROUP BY name, ti), {FOLDS}, {_FS} """
+    + out("fs", "name", "fold_median, fold_min, share_positive, score"),
 )
 def position_study(spark, sf_dir):
-    r = ev.factor_returns(weekly(spark, sf_dir), SIG).select(F.lit(SIG).alias("name"), "ti", F.col("spread").alias("ret"))
+    """Stability of the decile spread of every positioning signal, beside three known ones.
+
+    Ratios of counts tie often: scores are rounded, so that ties break by symbol and not by the last bit.
+    """
+    wide = weekly(spark, sf_dir, POSITIONING).withColumns({n: F.round(n, 9) for n in POSITIONING})
+    f = cb.factor_table(wide, POSITIONING)
+    r = f.select(F.col("signal").alias("name"), "ti", F.col("spread").alias("ret"))
     return st.fold_summary(st.fold_sharpes(r, ["name"], 8, PPY), ["name"])
 
 
@@ -468,7 +491,24 @@ def time_split(spark, sf_dir):
 # --- deflated Sharpe, overfitting ----------------------------------------------------------------
 
 
-@query("deflated_sharpe")
+def _cdf(x: str) -> str:
+    """Normal distribution function by Simpson's rule over 1 000 parts."""
+    parts = f"list_sum(list_transform(range(0,1001), lambda t: (CASE WHEN t%1000=0 THEN 1 WHEN t%2=1 THEN 4 ELSE 2 END)*exp(-({x})*({x})*t*t/2e6)))"
+    return f"(0.5+({x})/sqrt(2*pi())*{parts}/3000)"
+
+
+_TRIALS = [30.0, 100.0, 200.0]
+_EMAX = [(1 - st.EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / t) + st.EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (t * 2.718281828459045)) for t in _TRIALS]
+
+
+@query(
+    "deflated_sharpe",
+    f"""{STUDY}, d0 AS (SELECT every, frac, ret, avg(ret) OVER (PARTITION BY every, frac) AS m FROM g5 WHERE ret IS NOT NULL),
+ d1 AS (SELECT every, frac, count(*)::DOUBLE AS n, avg(ret)/stddev_samp(ret) AS sr, avg(pow(ret-m,3))/pow(avg(pow(ret-m,2)),1.5) AS skew, avg(pow(ret-m,4))/pow(avg(pow(ret-m,2)),2) AS kurt FROM d0 GROUP BY every, frac),
+ d2 AS (SELECT *, unnest({_TRIALS}::DOUBLE[]) AS trials, unnest({_EMAX}::DOUBLE[])*sqrt(v) AS expected_max FROM (SELECT *, var_samp(sr) OVER () AS v, row_number() OVER (ORDER BY sr DESC, every, frac) AS rn FROM d1) WHERE rn=1),
+ d3 AS (SELECT *, (sr-expected_max)*sqrt(n-1)/sqrt(greatest(1-skew*sr+(kurt-1)/4*sr*sr,1e-12)) AS zd, sr*sqrt(n-1)/sqrt(greatest(1-skew*sr+(kurt-1)/4*sr*sr,1e-12)) AS zp FROM d2),
+ d4 AS (SELECT *, {_cdf('zd')} AS dsr, {_cdf('zp')} AS psr FROM d3) """ + out("(SELECT *, dsr>=0.95 AS approved FROM d4)", "every, approved", "frac, trials, n, sr, expected_max, psr, dsr"),
+)
 def deflated_sharpe(spark, sf_dir):
     """Best configuration of the study, discounted for 30/100/200 trials."""
     r = study_returns(spark, sf_dir).filter("ret is not null")
@@ -479,7 +519,7 @@ def deflated_sharpe(spark, sf_dir):
     every = Window.partitionBy(F.lit(0))  # one row per configuration
     g = g.withColumn("var_sr", F.var_samp("sr").over(every))
     best = g.withColumn("_r", F.row_number().over(every.orderBy(F.desc("sr"), "every", "frac"))).filter("_r = 1").drop("_r")
-    q = at.explode_grid(best, "trials", [30.0, 100.0, 200.0])
+    q = at.explode_grid(best, "trials", _TRIALS)
     z1, z2 = st.norm_ppf(1.0 - 1.0 / F.col("trials")), st.norm_ppf(1.0 - 1.0 / (F.col("trials") * 2.718281828459045))
     q = q.withColumn("expected_max", F.sqrt("var_sr") * ((1 - st.EULER_GAMMA) * z1 + st.EULER_GAMMA * z2))
     q = q.withColumn("dsr", st.psr(F.col("sr"), F.col("expected_max"), F.col("n"), F.col("skew"), F.col("kurt")))
@@ -487,11 +527,27 @@ def deflated_sharpe(spark, sf_dir):
     return q.select("every", "frac", "trials", "n", "sr", "expected_max", "psr", "dsr", (F.col("dsr") >= 0.95).alias("approved"))
 
 
-@query("path_risk_grid")
+@query(
+    "path_risk_grid",
+    f"""{two_ctes()}, {NAMED}, p0 AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ti)-1 AS i FROM nr WHERE ret IS NOT NULL), p1 AS (SELECT *, i//6 AS p, sum(ret) OVER (PARTITION BY name, i//6 ORDER BY i) AS c FROM p0),
+ p2 AS (SELECT name, p, min(c) AS lo, max(c) AS hi, arg_min(c, i) AS c0, arg_max(c, i) AS c1 FROM p1 GROUP BY name, p HAVING count(*)=6), p3 AS (SELECT *, unnest({GRID}::DOUBLE[]) AS leverage FROM p2),
+ p4 AS (SELECT *, 1+leverage*lo<=0.01*leverage AS ruin, CASE WHEN 1+leverage*lo<=0.01*leverage THEN greatest(1e-12,1+leverage*c0) ELSE 1+leverage*c1 END AS f FROM p3),
+ p5 AS (SELECT *, coalesce(product(f) OVER (PARTITION BY name, leverage ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),1) AS e0 FROM p4),
+ p6 AS (SELECT *, greatest(1.0,coalesce(max(CASE WHEN NOT ruin THEN e0*(1+leverage*hi) END) OVER (PARTITION BY name, leverage ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),1)) AS peak FROM p5),
+ p7 AS (SELECT name, leverage, greatest(0,max(CASE WHEN ruin THEN 1 ELSE 1-e0*(1+leverage*lo)/peak END)) AS max_dd, avg(CASE WHEN ruin THEN 1.0 ELSE 0.0 END) AS ruin_share FROM p6 GROUP BY name, leverage) """ + out("p7", "name", "leverage, max_dd, ruin_share"),
+)
 def path_risk(spark, sf_dir):
     return at.path_risk(named_returns(spark, sf_dir), GRID, 6, keys=["name"])
 
 
-@query("executable_leverage")
+@query(
+    "executable_leverage",
+    f"""WITH RECURSIVE {(two_ctes() + ', ' + NAMED)[5:]}, ev0 AS (SELECT *, CASE WHEN count(ret) OVER f>=20 THEN stddev_samp(ret) OVER f END AS v, row_number() OVER (PARTITION BY name ORDER BY ti) AS i FROM nr WHERE ret IS NOT NULL WINDOW f AS (PARTITION BY name ORDER BY ti ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+ ev1 AS (SELECT name, ti, i, ret, coalesce(0.3/nullif(lag(v) OVER (PARTITION BY name ORDER BY ti)*sqrt({PPY}),0),0.5) AS raw FROM ev0),
+ rec AS (SELECT DISTINCT name, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS ti, [1.0::DOUBLE] AS es, 1::DOUBLE AS equity, 0::DOUBLE AS ret, 0::DOUBLE AS leverage FROM ev1
+  UNION ALL SELECT name, i, ti, list_append(es, equity*(1+made))[-60:], equity*(1+made), made, lev FROM (SELECT *, greatest(lev*r,-0.999) AS made FROM (SELECT *, CASE WHEN w<0.5 THEN 0 ELSE least(w,3.0) END AS lev FROM
+   (SELECT y.name, y.i, y.ti, rec.es, rec.equity, y.ret AS r, y.raw*(1-least(1,greatest(0,(1-rec.equity/list_max(rec.es)-0.1)/0.15))) AS w FROM rec JOIN ev1 y ON y.name=rec.name AND y.i=rec.i+1)))) """
+    + out("(SELECT * FROM rec WHERE i>0)", "name, ti", "ret, leverage, equity"),
+)
 def executable_leverage(spark, sf_dir):
     return at.executable_leverage(named_returns(spark, sf_dir), 0.3, 60, PPY, 0.5, 3.0, 0.1, 0.25)

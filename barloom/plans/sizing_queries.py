@@ -425,7 +425,15 @@ def rebalance_plan(spark, sf_dir):
     return rebalance(spark, sf_dir).select("symbol", "status", "side", "reason", "held", "target_qty", "delta", "notional")
 
 
-@query("rebalance_neutrality_repair")
+@query(
+    "rebalance_neutrality_repair",
+    f"""WITH RECURSIVE {RB}, bk AS (SELECT *, CASE WHEN tq=0 OR status='skip' THEN 0 WHEN status='order' OR tq=held THEN tq ELSE held END*price AS book, abs(d)*price AS worth FROM o), tt AS (SELECT sum(book) AS net, sum(abs(book)) AS gross FROM bk),
+ ca AS (SELECT bk.*, row_number() OVER (ORDER BY worth DESC, symbol) AS i FROM bk, tt WHERE status='band' AND tq<>0 AND d*tt.net<0 AND abs(d)>=5 AND worth>=20000),
+ walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS symbol, net, gross, false AS hit FROM tt
+  UNION ALL SELECT i, symbol, CASE WHEN ok THEN net+v ELSE net END, CASE WHEN ok THEN gross+gv ELSE gross END, ok FROM (SELECT ca.i, ca.symbol, walk.net, walk.gross, d*price AS v, (abs(tq)-abs(held))*price AS gv, walk.gross>0 AND abs(walk.net)/walk.gross>0.02 AND abs(walk.net+d*price)<abs(walk.net) AS ok FROM walk JOIN ca ON ca.i=walk.i+1)),
+ rp AS (SELECT rb.symbol, CASE WHEN h.hit THEN 'order' ELSE status END AS status, CASE WHEN h.hit THEN CASE WHEN delta>0 THEN 'BUY' ELSE 'SELL' END ELSE side END AS side, CASE WHEN h.hit THEN 'neutrality' ELSE reason END AS reason, delta, notional FROM rb LEFT JOIN walk h ON h.symbol=rb.symbol) """ + out("rp", "symbol, status, side, reason", "delta, notional", 3),
+    digits=3,
+)
 def neutrality_repair(spark, sf_dir):
     return lg.repair_neutrality(rebalance(spark, sf_dir)).select("symbol", "status", "side", "reason", "delta", "notional")
 
