@@ -110,11 +110,12 @@ def test_stationarity_test_separates_noise_from_a_walk():
 
 
 def test_exit_state_labels_a_position_once():
-    s, a = sf.exit_step(None, 101, 99, 100, 1.0, 0.9, 1, 0.1, 0.3, 5)
+    rules = sf.ExitRules(t_max=5)
+    s, a = sf.exit_step(None, 0, 100, 101, 99, 100, 1.0, 0.9, 0.0, 1, False, rules)
     assert a[0] == "ENTRY"
-    s, a = sf.exit_step(s, 101, 99.5, 100, 1.0, 0.9, 0, 0.1, 0.3, 5)
+    s, a = sf.exit_step(s, 1, 100, 101, 99.5, 100, 1.0, 0.9, 0.0, 0, False, rules)
     assert a[0] == "HOLD"
-    s, a = sf.exit_step(s, 100, 80, 82, 1.0, 0.9, 0, 0.1, 0.3, 5)
+    s, a = sf.exit_step(s, 2, 100, 100, 80, 82, 1.0, 0.9, 0.0, 0, False, rules)
     assert a[0] == "SL" and s is None
 
 
