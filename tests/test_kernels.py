@@ -116,7 +116,8 @@ def test_exit_state_labels_a_position_once():
     s, a = sf.exit_step(s, 1, 100, 101, 99.5, 100, 1.0, 0.9, 0.0, 0, False, rules)
     assert a[0] == "HOLD"
     s, a = sf.exit_step(s, 2, 100, 100, 80, 82, 1.0, 0.9, 0.0, 0, False, rules)
-    assert a[0] == "SL" and s is None
+    assert a[0] == "TRAIL" and s is None  # the second bar has moved the stop from 97.96 to 99
+    assert a[2] == 99.0
 
 
 def test_last_drawdown_tier_latches():
