@@ -395,7 +395,7 @@ def purge_audit(spark, sf_dir):
     "combinatorial_purged_cv",
     f"""{LAB}, g0 AS (SELECT symbol, t0, t1, ntile(6) OVER (PARTITION BY symbol ORDER BY t0)-1 AS own_group FROM lb), g1 AS (SELECT symbol, own_group AS g, min(t0) AS s, arg_max(t1,t0) AS e FROM g0 GROUP BY 1,2),
  cb AS (SELECT row_number() OVER (ORDER BY a.i, c.i)-1 AS fold, a.i AS ga, c.i AS gb FROM (SELECT unnest(range(6)) AS i) a JOIN (SELECT unnest(range(6)) AS i) c ON a.i<c.i),
- q AS (SELECT g0.*, fold, ga, gb, NOT (t1<=x.s OR t0>=x.e) OR (t0>=x.e AND t0<x.e+24) OR NOT (t1<=y.s OR t0>=y.e) OR (t0>=y.e AND t0<y.e+24) AS bad FROM g0, cb JOIN g1 x ON x.g=ga JOIN g1 y ON y.g=gb WHERE x.symbol=g0.symbol AND y.symbol=g0.symbol)
+ q AS (SELECT g0.*, fold, ga, gb, NOT (t1<=x.s OR t0>=x.e) OR (t0>=x.e AND t0<x.e+24) OR NOT (t1<=y.s OR t0>=y.e) OR (t0>=y.e AND t0<y.e+24) AS bad FROM g0 CROSS JOIN cb LEFT JOIN g1 x ON x.symbol=g0.symbol AND x.g=ga LEFT JOIN g1 y ON y.symbol=g0.symbol AND y.g=gb)
  SELECT symbol, t0, t1, CAST(own_group AS INT) AS own_group, CAST(fold AS INT) AS fold, CASE WHEN own_group IN (ga,gb) THEN 'test' WHEN bad THEN 'dropped' ELSE 'train' END AS role FROM q""",
 )
 def cpcv(spark, sf_dir):

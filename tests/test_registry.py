@@ -1,9 +1,12 @@
 """Registry integrity and a sample of queries against their SQL at the smallest scale."""
 
+import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from barloom.operators import attribution as at
+from barloom.operators import events as ev
 from barloom.plans.attribution_queries import GRID
 from barloom.plans.portfolio_queries import TWO, named_returns
 from compare import connect, differences
@@ -32,6 +35,14 @@ def test_query_matches_sql(spark, name):
     assert not d or d.startswith("~"), d
 
 
+def test_combinatorial_folds_of_fewer_events_than_groups(spark):
+    lb = pd.DataFrame([(s, t, t + 4) for s, n in (("a", 5), ("b", 9), ("c", 1)) for t in range(0, 30 * n, 30)], columns=["symbol", "t0", "t1"])
+    got = ev.combinatorial_purged(spark.createDataFrame(lb)).toPandas()
+    sql = entry.oracle_sql()["combinatorial_purged_cv"]
+    want = duckdb.execute("WITH " + sql[sql.index("g0 AS (") :]).fetchdf()
+    assert len(got) == 15 * len(lb) and differences(got[want.columns], want) is None
+
+
 def test_kelly_table_and_lookup_have_ten_bins(spark):
     cells = entry.queries()["kelly_table"](spark, SF).select("p_bin", "chop_bin").collect()
     assert {r.p_bin for r in cells} == {r.chop_bin for r in cells} == set(range(10))
