@@ -186,23 +186,21 @@ def _ceiling(low: Column, f_max: Column) -> Column:
     return F.when(low < 0, F.least(f_max, 0.999 / F.abs(low))).otherwise(f_max)
 
 
-def kelly_fraction(trades: DataFrame, keys, f_max: Column, ret: str = "ret") -> DataFrame:
-    """(keys.., n, f_point): the root of E[r / (1 + f r)] for every group at once.
-
-    The mean falls with f, so each pass evaluates it at the borders of ``SECTIONS`` sections of a
-    group's interval, as plain sums that combine on the map side, and keeps the section where the
-    sign turns: a fixed number of passes to 1e-9, for groups of any size. ``f_max`` may use ``n``.
-    """
-    keys = list(keys)
+def _counted(trades: DataFrame, keys, ret: str) -> DataFrame:
+    """(keys.., _r, _c): every distinct return of a group and how often it occurs, kept."""
     checkpoint_dir(trades.sparkSession)
-    rows = trades.filter(F.col(ret).isNotNull()).select(*keys, F.col(ret).alias("_r")).checkpoint()
-    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_r").alias("_s"), F.min("_r").alias("_low"))
+    r = trades.filter(F.col(ret).isNotNull()).groupBy(*keys, F.col(ret).cast("double").alias("_r"))
+    return r.agg(F.count("*").alias("_c")).checkpoint()
+
+
+def _roots(rows: DataFrame, keys, f_max: Column) -> DataFrame:
+    g = rows.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(F.col("_c") * F.col("_r")).alias("_s"), F.min("_r").alias("_low"))
     ok = (F.col("n") >= 5) & (F.col("_s") > 0)
     top = F.when(F.col("_low") < -1.0, F.raise_error(F.lit("return below -100%")).cast("double")).otherwise(_ceiling(F.col("_low"), f_max))
     g = g.select(*keys, "n", F.lit(0.0).alias("_a"), F.when(ok, top).otherwise(0.0).alias("_b")).checkpoint()
     for _ in range(7):  # 32 ** 7 sections of at most 20
         at = [F.col("_a") + (F.col("_b") - F.col("_a")) * (i / SECTIONS) for i in range(1, SECTIONS + 1)]
-        sums = rows.join(g, keys).groupBy(*keys).agg(*[F.sum(F.col("_r") / (1.0 + f * F.col("_r"))).alias(f"_g{i}") for i, f in enumerate(at)])
+        sums = rows.join(g, keys).groupBy(*keys).agg(*[F.sum(F.col("_c") * F.col("_r") / (1.0 + f * F.col("_r"))).alias(f"_g{i}") for i, f in enumerate(at)])
         above = sum((F.col(f"_g{i}") > 0).cast("int") for i in range(SECTIONS))
         width = (F.col("_b") - F.col("_a")) / SECTIONS
         low = F.col("_a") + width * F.col("_k")
@@ -213,18 +211,44 @@ def kelly_fraction(trades: DataFrame, keys, f_max: Column, ret: str = "ret") ->
     return g.select(*keys, "n", ((F.col("_a") + F.col("_b")) / 2).alias("f_point"))
 
 
-#: cumulative probabilities of a Poisson count of mean 1
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(14)])
+def kelly_fraction(trades: DataFrame, keys, f_max: Column, ret: str = "ret") -> DataFrame:
+    """(keys.., n, f_point): the root of E[r / (1 + f r)] for every group at once.
+
+    Equal returns of a group are counted first. The mean falls with f, so each pass evaluates it
+    at the borders of ``SECTIONS`` sections of a group's interval, as plain sums that combine on
+    the map side, and keeps the section where the sign turns: a fixed number of passes to 1e-9,
+    for groups of any size. ``f_max`` may use ``n``.
+    """
+    keys = list(keys)
+    return _roots(_counted(trades, keys, ret), keys, f_max)
+
+
+def _poisson(mean: int) -> tuple[int, np.ndarray]:
+    """The least count and the cumulative probabilities from there; what they leave out is below 2**-60."""
+    wide = 10 * math.sqrt(mean) + 40
+    k = np.arange(max(0, int(mean - wide)), int(mean + wide) + 1)
+    log = np.append(0.0, np.cumsum(np.log(mean / k[1:])))
+    p = np.exp(log - log.max())
+    return int(k[0]), np.cumsum(p) / p.sum()
 
 
-def _draws(ids: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
-    """Poisson counts of rows in replicates, from a hash of (row, replicate, seed)."""
+def _draws(ids: np.ndarray, replicates: np.ndarray, seed: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """Poisson counts of rows in replicates, from a hash of (row, replicate, seed).
+
+    A row that stands for ``counts`` equal ones is drawn with that mean, as the sum of theirs is.
+    """
     with np.errstate(over="ignore"):
         x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (replicates.astype(np.uint64) + np.uint64(seed << 32))[None] * np.uint64(0xD1B54A32D192ED03)
         for shift, odd in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F), (32, 0xE7037ED1A0B428DB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
     u = (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    return np.searchsorted(_POISSON, u, side="right")
+    counts = np.ones(len(ids), np.int64) if counts is None else counts
+    out = np.empty(u.shape, np.int64)
+    for c in np.unique(counts).tolist():
+        mine = counts == c
+        least, table = _poisson(c)
+        out[mine] = least + np.searchsorted(table, u[mine], side="right")
+    return out
 
 
 def _resampled(rows: DataFrame, state, replicates: int, seed: int, least: bool) -> DataFrame:
@@ -238,11 +262,11 @@ def _resampled(rows: DataFrame, state, replicates: int, seed: int, least: bool)
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            cell, r, i = (batch.column(c).to_numpy() for c in ("_cell", "_r", "_id"))
+            cell, r, c, i = (batch.column(x).to_numpy() for x in ("_cell", "_r", "_c", "_id"))
             for k in np.unique(cell).tolist():
                 mine = np.flatnonzero(cell == k)
                 for part in np.array_split(mine, -(-len(mine) // 2048)):
-                    w, x = _draws(i[part], reps, seed), r[part][:, None]
+                    w, x = _draws(i[part], reps, seed, c[part]), r[part][:, None]
                     if least:
                         got = np.stack([w.sum(0), (w * x).sum(0), np.where(w > 0, x, np.inf).min(0)])
                         held[k] = got if k not in held else np.stack([held[k][0] + got[0], held[k][1] + got[1], np.minimum(held[k][2], got[2])])
@@ -262,18 +286,20 @@ def _resampled(rows: DataFrame, state, replicates: int, seed: int, least: bool)
 def bootstrap_kelly(trades: DataFrame, keys, f_max: Column, replicates: int = 1000, lower: float = 25.0, seed: int = 42, ret: str = "ret") -> DataFrame:
     """(keys.., n, f_point, f_low, f_std, uncertainty) for a bounded number of groups (bins, regimes).
 
-    A replicate weighs every trade by a Poisson count of mean 1 that a hash of (row, replicate)
-    gives, so no group is collected and a retried task repeats its draws. All roots are searched
-    at once by Newton steps inside shrinking intervals; a pass sums over the rows at the current
-    fractions, and the driver keeps groups x replicates numbers.
+    A replicate weighs every trade by a Poisson count of mean 1. Equal returns of a group are
+    counted and drawn as one, with their number as the mean, which is the distribution of their
+    sum; a hash of (group, return, replicate) gives the draw, so no group is collected and draws do
+    not depend on how rows are dealt out. All roots are searched at once by Newton steps inside
+    shrinking intervals; a pass sums over the distinct returns at the current fractions, and the
+    driver keeps groups x replicates numbers.
     """
     keys = list(keys)
     spark = trades.sparkSession
-    point = kelly_fraction(trades, keys, f_max, ret).withColumn("_top", f_max)
+    counted = _counted(trades, keys, ret)
+    point = _roots(counted, keys, f_max).withColumn("_top", f_max)
     cells = point.collect()  # one row for each bin or regime
     code = spark.createDataFrame([(*[c[k] for k in keys], i) for i, c in enumerate(cells)], T.StructType([*(point.schema[k] for k in keys), T.StructField("_cell", T.LongType())]))
-    rows = trades.filter(F.col(ret).isNotNull()).select(*keys, F.col(ret).cast("double").alias("_r")).join(code, keys)
-    rows = rows.select("_cell", "_r").withColumn("_id", F.monotonically_increasing_id())
+    rows = counted.join(code, keys).select("_cell", "_r", "_c", F.xxhash64(*keys, "_r").alias("_id"))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint()
 
     def summed(state, width, least=False):

@@ -61,6 +61,31 @@ def test_draws_are_poisson_counts():
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08 and (w[10] == sz._draws(np.array([10]), np.arange(50), 42)[0]).all()
 
 
+def test_draws_of_equal_rows_are_those_of_their_sum():
+    for c in (2, 7, 300, 2_000_000):
+        w = sz._draws(np.arange(400) * 7919, np.arange(100), 42, np.full(400, c))
+        assert w.mean() == pytest.approx(c, abs=6 * np.sqrt(c / w.size)) and w.var() == pytest.approx(c, rel=0.05)
+    least, table = sz._poisson(2)
+    assert least == 0 and np.diff(table[:4]) == pytest.approx([2 * np.exp(-2), 2 * np.exp(-2), 4 / 3 * np.exp(-2)], rel=1e-12)
+
+
+def test_bootstrap_sees_distinct_returns_only(spark, monkeypatch):
+    r = np.array([-0.05, -0.02, 0.01, 0.03, 0.06])
+    df = spark.range(40_000).select((F.col("id") % 2).alias("k"), F.element_at(F.array(*map(F.lit, r.tolist())), (F.col("id") % 5 + 1).cast("int")).alias("ret"))
+    seen = []
+    run = sz._resampled
+    monkeypatch.setattr(sz, "_resampled", lambda rows, *a: seen.append(rows.count()) or run(rows, *a))
+    got = {x.k: x for x in sz.bootstrap_kelly(df, ["k"], F.lit(20.0), 300).collect()}
+    assert set(seen) == {10}
+    other = {x.k: x for x in sz.bootstrap_kelly(df.repartition(5), ["k"], F.lit(20.0), 300).collect()}
+    assert got == other
+    rng = np.random.default_rng(0)
+    want = np.array([root(r, 20.0, rng.poisson(4000, 5)) for _ in range(400)])
+    for x in got.values():
+        assert x.n == 20_000 and x.f_point == pytest.approx(root(r, 20.0), abs=2e-9)
+        assert x.f_low == pytest.approx(np.quantile(want, 0.25), abs=5 * want.std() / np.sqrt(300)) and x.f_std == pytest.approx(want.std(), rel=0.2)
+
+
 def test_pbo_over_all_halves(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(0, 1, (40, 5)), 1)
