@@ -48,6 +48,7 @@ NEAR = 0.85
 SLICE_BYTES = 1 << 19
 TABLE = 1 << 16
 _PART = 1 << 13  # words compared at a time
+_BLOCK = 1 << 8  # candidates compared at a time
 _GAP = 63  # inside a word, but no letter
 _SHAPES = [(a, b) for a, b in itertools.combinations(range(1, SPAN), 2)]
 
@@ -365,9 +366,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, landmarks: i
 def pick(ranked: list[str], most: int) -> list[str]:
     """The first words of a ranking, without those too near to one before."""
     out: list[str] = []
-    marks = Landmarks(ranked) if ranked else None
-    codes, word, n, _, number, *_ = _words(ranked)
-    alike = marks.kernel(codes, word, n)[1][number] if ranked else np.zeros((0, 0))
+    alike = np.zeros((len(ranked), len(ranked)), np.float32)
+    # block by block: a table has a row for each triple and a column for each of its words
+    blocks = [slice(i, i + _BLOCK) for i in range(0, len(ranked), _BLOCK)]
+    for columns in blocks:
+        marks = Landmarks(ranked[columns])
+        for rows in blocks:
+            codes, word, n, _, number, *_ = _words(ranked[rows])
+            alike[rows, columns] = marks.kernel(codes, word, n)[1][number]
     kept: list[int] = []
     for i in range(len(ranked)):
         if len(kept) < most and alike[i, i] > 0 and not (alike[i, kept] > NEAR).any():

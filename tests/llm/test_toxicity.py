@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -116,3 +117,16 @@ def test_few_labels_do_not_turn_the_scores_round(session, toxic, clean):
     assert min(s for i, s in got.items() if i < 100) >= max(s for i, s in got.items() if i >= 100)
     kept = {r.doc_id for r in toxicity.accepted(docs, labels).collect()}
     assert (9, 1) == (toxic, clean) or {i for i, _ in texts if i >= 100} <= kept
+
+
+def test_choice_of_landmarks_is_bounded_on_the_driver(monkeypatch):
+    rng = random.Random(1)
+    ranked = list(dict.fromkeys("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 12))) for _ in range(1400)))
+    ranked += [w[:-1] + "q" + w[-1] for w in ranked[:600]]
+    tracemalloc.start()
+    got = toxicity.pick(ranked, 1500)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6  # one table of all candidates took 400 MB
+    monkeypatch.setattr(toxicity, "_BLOCK", 1 << 12)
+    assert toxicity.pick(ranked, 1500) == got and len(got) == 1500
