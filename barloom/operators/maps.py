@@ -145,6 +145,34 @@ def filter_product(first, then) -> list[float]:
     return [*a.ravel().tolist(), *b.tolist(), *half(c), *h.tolist(), *half(j), *begun]
 
 
+# --- tick rule -------------------------------------------------------------------------------
+
+
+def last_moves(at: np.ndarray, price: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Sign of the last non-zero move at each row of the stretches ``at[i]:at[i + 1]``.
+
+    ``before``: for each stretch the price and the sign ahead of it (NaN: no price).
+    """
+    size = np.diff(at)
+    ahead = np.append(np.nan, price[:-1])
+    ahead[at[:-1]] = before[:, 0]
+    with np.errstate(invalid="ignore"):
+        move = np.nan_to_num(np.sign(price - ahead))
+    last = np.maximum.accumulate(np.where(move != 0, np.arange(len(price)), -1))
+    return np.where(last >= np.repeat(at[:-1], size), move[last], np.repeat(before[:, 1], size))
+
+
+def move_elements(at: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """First and last price of every stretch, and the sign of its last move (0 if none)."""
+    none = np.tile([np.nan, 0.0], (len(at) - 1, 1))
+    return np.stack([price[at[:-1]], price[at[1:] - 1], last_moves(at, price, none)[at[1:] - 1]], 1)
+
+
+def moves_product(first, then) -> list[float]:
+    between = float(np.nan_to_num(np.sign(then[0] - first[1])))
+    return [float(first[0]), float(then[1]), float(then[2] or between or first[2])]
+
+
 # --- dollar bars -----------------------------------------------------------------------------
 
 #: dollars are counted in these parts, so that sums do not depend on their order

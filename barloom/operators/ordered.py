@@ -11,12 +11,14 @@ per block from the state the previous block ended in (``scan``).
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,25 +28,50 @@ from barloom.session import checkpoint_dir
 BLOCK_ROWS = 1 << 20
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Rows written once to the shared checkpoint folder, and read again.
+
+    ``checkpoint`` would compute the last stage twice, to count it and to write it.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def positions(df: DataFrame, keys, order, name: str = "pos") -> DataFrame:
     """0-based position of each row within its key, in the order of the columns ``order``.
 
     Rows are dealt out by ranges of (keys, order), with bounds that Spark samples, so a key of
-    any length is spread over tasks and no window holds it. A row's position is its place in its
-    range plus what earlier ranges hold of the key: one count for each key and range.
+    any length is spread over tasks and no window holds it. A row's position is its place among
+    the rows of its key in its range plus what earlier ranges hold of the key. Only the first key
+    of a range may continue an earlier one, so that is one row a range.
     """
     keys = list(keys)
-    checkpoint_dir(df.sparkSession)  # the ranges are kept: sampled anew they could fall elsewhere
     dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    dealt = dealt.withColumns({"_part": F.spark_partition_id(), "_at": place}).checkpoint()
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, done = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = runs_of(pa.Table.from_batches([b]), keys)
+            place = np.arange(b.num_rows) - np.repeat(at[:-1], np.diff(at))
+            if last is not None and runs_of(pa.Table.from_batches([last, b.slice(0, 1)]), keys)[1] == 2:
+                place[: at[1]] += done
+            last, done = b.slice(b.num_rows - 1), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(place)], names=schema.names)
+
+    dealt = kept(dealt.mapInArrow(placed, schema))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        dealt.groupBy(*keys, "_part")
-        .agg(F.min("_at").alias("_lo"), F.count("*").alias("_n"))
-        .select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_off"))
-    )
-    return dealt.join(offsets, keys + ["_part"]).withColumn(name, F.col("_at") + F.col("_off")).drop("_part", "_at", "_off")
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_off", F.sum("_n").over(before))
+    names = [f"_k{i}" for i in range(len(keys))]
+    ahead = sizes.filter("_off > 0").select(*keys, "_part", "_off").toDF(*names, "_p", "_off")
+    same = F.col("_part") == F.col("_p")
+    for k, n in zip(keys, names, strict=True):
+        same = same & dealt[k].eqNullSafe(F.col(n))
+    rows = dealt.join(F.broadcast(ahead), same, "left").withColumn(name, F.col("_at") + F.coalesce("_off", F.lit(0)))
+    return rows.select(*[dealt[c] for c in df.columns], name)
 
 
 def runs_of(table: pa.Table, names) -> np.ndarray:

@@ -14,8 +14,7 @@ from pyspark.sql import types as T
 
 from barloom.functions import frames as fr
 from barloom.operators import maps
-from barloom.operators.ordered import BLOCK_ROWS, along, blocked, carried, fill_forward, positions, runs_of
-from barloom.session import checkpoint_dir
+from barloom.operators.ordered import BLOCK_ROWS, along, blocked, carried, fill_forward, kept, positions, runs_of
 
 DAY_MS = 86_400_000
 #: rows of a segment whose steps are composed; a fixed value, so results do not depend on blocks
@@ -37,6 +36,13 @@ def median_of_sorted(a: Column, n: int) -> Column:
     return (F.element_at(a, n // 2) + F.element_at(a, n // 2 + 1)) / 2.0
 
 
+def median_of_any(a: Column) -> Column:
+    """Median of a sorted array of any length; null if it is empty."""
+    n = F.size(a)
+    at = lambda k: F.element_at(a, F.floor(k).cast("int"))
+    return F.when(n > 0, (at((n + 1) / 2) + at(n / 2 + 1)) / 2.0)
+
+
 def with_mad(b: DataFrame, w: int, over) -> DataFrame:
     """Adds ``sigma``: 1.4826 x median absolute deviation of the ``w`` rows before.
 
@@ -63,12 +69,12 @@ def flag_ticks(ticks: DataFrame, window: int = 100, block_rows: int = BLOCK_ROWS
     back = o.rowsBetween(-window, -1)
     b = with_mad(b, window, o).withColumns(
         {
-            "_vm": F.percentile("volume", F.lit(0.5)).over(back),
+            "_vs": F.sort_array(F.collect_list("volume").over(back)),
             "_p0": F.lag("price").over(o),
             "_p1": F.lead("price").over(o),
             "_next": F.lead("pos").over(o),
         }
-    ).filter("own")
+    ).filter("own").withColumn("_vm", median_of_any(F.col("_vs")))
     jump = F.abs(F.col("price") - F.col("_p0"))
     usable = (F.col("pos") >= window) & F.col("_next").isNotNull() & (F.col("sigma") > 0)
     blank = F.col("price").isNull() | F.col("_p0").isNull()
@@ -81,7 +87,7 @@ def flag_ticks(ticks: DataFrame, window: int = 100, block_rows: int = BLOCK_ROWS
             "is_bad": F.coalesce(usable & blank, no) | F.coalesce(big & thin & back_again, no),
             "is_tail": F.coalesce(big & ~thin, no),
         }
-    ).drop("_vm", "_p0", "_p1", "_next", "blk", "own")
+    ).drop("_vs", "_vm", "_p0", "_p1", "_next", "blk", "own")
 
 
 def cross_venue(ticks: DataFrame, ref: DataFrame, window_ms: int = 500, eta: float = 2.0, block_ms: int = 3_600_000) -> DataFrame:
@@ -177,7 +183,8 @@ def _carried(rows: DataFrame, part: str, elements, compose, names) -> DataFrame:
     several = rows.filter(F.col(part) > 0).select("symbol").distinct()
     if several.isEmpty():
         return rows.withColumn("before", F.lit(None).cast("array<double>"))
-    found = along(rows, ["symbol"], part, "pos", elements, kind, names).checkpoint()
+    found = along(rows, ["symbol"], part, "pos", elements, kind, names)
+    found = kept(found)
     before = carried(found.join(several, "symbol", "left_semi"), ["symbol"], part, "element", compose)
     return rows.join(before, ["symbol", part], "left")
 
@@ -207,8 +214,7 @@ def replace_bad_ticks(flagged: DataFrame, block_rows: int = BLOCK_ROWS, q=(1e-4,
         raise ValueError("noise too small for the covariance to stay definite")
     schema = T.StructType([flagged.schema["symbol"]] + CLEAN.fields)
     cols = ["pos", "ts_ms", "seq", "price", "volume", "is_bad", "is_tail", "sigma"]
-    checkpoint_dir(flagged.sparkSession)
-    rows = flagged.select("symbol", *cols).withColumn("_seg", F.floor(F.col("pos") / segment)).checkpoint()
+    rows = kept(flagged.select("symbol", *cols).withColumn("_seg", F.floor(F.col("pos") / segment)))
     together = max(1, block_rows // segment)
 
     def opened(table: pa.Table):
@@ -374,8 +380,9 @@ def cut_bars(ticks: DataFrame, price: str = "price", block_rows: int = BLOCK_ROW
 
     Dollars are summed in fixed decimals (``maps.UNITS``); a tick without a threshold closes
     nothing. A block maps the amount that is open before it to
-    the amount open behind it and the bars closed in between; the maps of a symbol's blocks
-    compose, so no block waits for another and the result does not depend on their size.
+    the amount open behind it and the bars closed in between, and the last price and move before
+    it to those behind it; the maps of a symbol's blocks compose, so no block waits for another and
+    the result does not depend on their size.
     """
     extra = [c for c in ("is_tail",) if c in ticks.columns]
     names = ["pos", "ts_ms", price, "volume", "theta"] + extra
@@ -383,9 +390,7 @@ def cut_bars(ticks: DataFrame, price: str = "price", block_rows: int = BLOCK_ROW
         [ticks.schema["symbol"]] + [ticks.schema[c] for c in names]
         + [T.StructField("closes", T.IntegerType()), T.StructField("sign", T.DoubleType()), T.StructField("bar", T.LongType())]
     )
-    checkpoint_dir(ticks.sparkSession)
-    signed = tick_sign(ticks.select("symbol", *names), price, 1.0, block_rows)
-    rows = signed.withColumn("_blk", F.floor(F.col("pos") / block_rows)).checkpoint()
+    rows = kept(ticks.select("symbol", *names).withColumn("_blk", F.floor(F.col("pos") / block_rows)))
     usd = F.col(price) * F.col("volume")
     low = int((rows.filter(usd < 0).agg(F.sum(usd)).first()[0] or 0.0) * maps.UNITS * 1.01)
 
@@ -397,21 +402,27 @@ def cut_bars(ticks: DataFrame, price: str = "price", block_rows: int = BLOCK_ROW
     def elements(table: pa.Table) -> pa.Table:
         at, found = blocks(table)
         head = table.select(["symbol", "_blk"]).take(pa.array(at[:-1]))
-        return head.append_column("element", _lists([c.element().tolist() for c in found]))
+        moves = maps.move_elements(at, _array(table, price)).tolist()
+        return head.append_column("element", _lists([[*m, *c.element().tolist()] for m, c in zip(moves, found, strict=True)]))
+
+    def product(first, then):
+        return [*maps.moves_product(first[:3], then[:3]), *maps.bars_product(first[3:], then[3:])]
 
     def final(table: pa.Table) -> pa.Table:
         at, found = blocks(table)
         closes, bar = np.zeros(table.num_rows, np.int32), np.zeros(table.num_rows, np.int64)
         before = table.column("before").take(pa.array(at[:-1])).to_pylist()
+        held = np.array([(np.nan, 1.0) if e is None else (e[1], e[2] or 1.0) for e in before])
         for a, b, c, e in zip(at[:-1], at[1:], found, before, strict=True):
-            carry, done = (0, 0) if e is None else maps.bars_after(e)
+            carry, done = (0, 0) if e is None else maps.bars_after(e[3:])
             closes[a:b] = marks = c.marks(int(carry))
             bar[a:b] = int(done) + np.cumsum(marks) - marks
-        put = {"closes": pa.array(closes), "bar": pa.array(bar)}
+        sign = maps.last_moves(at, _array(table, price), held)
+        put = {"closes": pa.array(closes), "sign": pa.array(sign), "bar": pa.array(bar)}
         return _as_table(schema, [put[n] if n in put else table.column(n) for n in schema.names])
 
-    known = _carried(rows, "_blk", elements, maps.bars_product, [price, "volume", "theta"])
-    return along(known, ["symbol"], "_blk", "pos", final, schema, [*names, "sign", "before"])
+    known = _carried(rows, "_blk", elements, product, [price, "volume", "theta"])
+    return along(known, ["symbol"], "_blk", "pos", final, schema, [*names, "before"])
 
 
 def dollar_bars(ticks: DataFrame, price: str = "price", median_window: int = 100, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -462,9 +473,8 @@ def build_dollar_bars(ticks: DataFrame, ref=None, window: int = 100, bars_per_da
     The cleaning window also serves as the threshold window, as in the bar contract.
     """
     # the cleaned ticks feed the thresholds and the bars: written once, not derived twice
-    checkpoint_dir(ticks.sparkSession)
     clean = clean_ticks(ticks, ref, window, block_rows=block_rows)
-    clean = clean.filter(F.col("clean_price").isNotNull()).checkpoint()
+    clean = kept(clean.filter(F.col("clean_price").isNotNull()))
     th = daily_threshold(daily_dollar_volume(clean, "clean_price"), window, bars_per_day)
     bars = dollar_bars(map_threshold(clean, th), "clean_price", median_window, block_rows)
     blank = F.lit(None).cast("double")

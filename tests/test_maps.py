@@ -56,3 +56,22 @@ def test_filter_elements_are_associative():
     right = functools.reduce(lambda b, a: mp.filter_product(a, b), e[::-1])
     whole = mp.filter_elements(np.array([0, 900]), price, skip, (1e-4, 1e-5), 1e-2)[0]
     assert np.allclose(left, whole, rtol=1e-11, atol=1e-12) and np.allclose(right, whole, rtol=1e-11, atol=1e-12)
+
+
+def test_last_moves_carry_over_any_cut():
+    rng = np.random.default_rng(5)
+    price = np.round(rng.normal(0, 1, 300))
+    price[rng.integers(0, 300, 30)] = np.nan
+    whole = mp.last_moves(np.array([0, 300]), price, np.array([[np.nan, 1.0]]))
+    want, sign = [], 1.0
+    for a, b in zip(np.append(np.nan, price[:-1]), price):
+        sign = np.sign(b - a) if abs(b - a) > 0 else sign
+        want.append(sign)
+    assert (whole == want).all()
+    at = np.array([0, 1, 2, 90, 91, 200, 300])
+    carried, got = None, []
+    for (a, b), e in zip(zip(at[:-1], at[1:]), mp.move_elements(at, price)):
+        held = (np.nan, 1.0) if carried is None else (carried[1], carried[2] or 1.0)
+        got += mp.last_moves(np.array([0, b - a]), price[a:b], np.array([held])).tolist()
+        carried = e if carried is None else mp.moves_product(carried, e)
+    assert got == want

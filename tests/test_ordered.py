@@ -183,3 +183,23 @@ def test_exact_quantiles_with_heavy_ties(spark):
     assert np.allclose(got.value, np.quantile(x, qs))
     one = sz.exact_quantiles(df.drop("k"), [], "x", qs, sz.unit_bucket()).orderBy("q").toPandas()
     assert np.allclose(one.value, np.quantile(x, qs))
+
+
+def test_positions_of_keys_that_straddle_ranges_and_of_missing_keys(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("symbol"), F.xxhash64("id").alias("t"), F.lit("x").alias("more"))
+    got = od.positions(df, ["symbol"], ["t"]).toPandas()
+    assert list(got.columns) == ["symbol", "t", "more", "pos"] and len(got) == 6000
+    for _, g in got.groupby("symbol", dropna=False):
+        assert g.sort_values("t")["pos"].tolist() == list(range(2000))
+
+
+def test_rows_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    d = od.kept(spark.range(1000).mapInArrow(run, "id long"))
+    assert d.count() == 1000 and seen.value == 1000
