@@ -30,18 +30,23 @@ STATE = T.StructType([T.StructField("text", T.StringType()), T.StructField("last
 
 
 class KernelProcessor(StatefulProcessor):
-    """Runs ``step(state, *inputs) -> (state, outputs)`` along each key."""
+    """Runs ``step(state, *inputs) -> (state, outputs)`` along each key.
 
-    def __init__(self, step: Callable, inputs, ts: str, out_names, initial=None, seq: str | None = None):
-        self.step, self.inputs, self.ts, self.seq = step, list(inputs), ts, seq
+    ``many(state, *columns) -> (state, rows)`` does the same for all rows of a key at once.
+    """
+
+    def __init__(self, step: Callable, inputs, ts: str, out_names, initial=None, seq: str | None = None, many: Callable | None = None):
+        self.step, self.inputs, self.ts, self.seq, self.many = step, list(inputs), ts, seq, many
         self.out_names, self.initial = list(out_names), initial
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cell = handle.getValueState("state", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values([self.ts] + ([self.seq] if self.seq else []), kind="stable")
+        parts = list(rows)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if self.seq or not pdf[self.ts].is_monotonic_increasing:
+            pdf = pdf.sort_values([self.ts] + ([self.seq] if self.seq else []), kind="stable")
         held = self.cell.get() if self.cell.exists() else None
         state = json.loads(held[0]) if held else self.initial
         last = (held[1], held[2]) if held and held[1] is not None else None
@@ -49,6 +54,14 @@ class KernelProcessor(StatefulProcessor):
         times = list(zip(pdf[self.ts].astype("int64").tolist(), seqs, strict=True))
         cols = [[None if v is None or v != v else v for v in pdf[c].tolist()] for c in self.inputs]
         out, late = [], []
+        if self.many:  # rows are in order of time: the late ones come first
+            n = 0 if last is None else next((i for i, t in enumerate(times) if t >= last), len(times))
+            late = [True] * n + [False] * (len(times) - n)
+            out = [(None,) * len(self.out_names)] * n
+            if n < len(times):
+                state, found = self.many(state, *(x[n:] for x in cols))
+                out, last = out + found, times[-1]
+            times = []
         for t, vals in zip(times, zip(*cols)):
             if last is not None and t < last:
                 out.append((None,) * len(self.out_names))
@@ -59,19 +72,14 @@ class KernelProcessor(StatefulProcessor):
             late.append(False)
             last = t
         self.cell.update((json.dumps(state), *(last or (None, None))))
-        res = pdf[[self.ts]].copy()
-        for i, k in enumerate(key):
-            res.insert(i, f"_k{i}", k)
-        vals = pd.DataFrame(out, columns=self.out_names, index=res.index)
-        res = pd.concat([res, vals], axis=1)
-        res["late"] = late
-        yield res
+        found = {f"_k{i}": [k] * len(pdf) for i, k in enumerate(key)} | {self.ts: pdf[self.ts].to_numpy()}
+        yield pd.DataFrame(found | dict(zip(self.out_names, map(list, zip(*out)), strict=True)) | {"late": late})
 
     def close(self) -> None:
         pass
 
 
-def run_kernel(df: DataFrame, keys, ts: str, step: Callable, inputs, outputs: list[T.StructField], initial=None, seq: str | None = None) -> DataFrame:
+def run_kernel(df: DataFrame, keys, ts: str, step: Callable, inputs, outputs: list[T.StructField], initial=None, seq: str | None = None, many: Callable | None = None) -> DataFrame:
     """(keys.., ts, outputs.., late) for a stream or a static frame."""
     keys = list(keys)
     # the stateful runner does not see added files: send the two modules by value
@@ -82,7 +90,7 @@ def run_kernel(df: DataFrame, keys, ts: str, step: Callable, inputs, outputs: li
         [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
         + [T.StructField(ts, T.LongType())] + outputs + [T.StructField("late", T.BooleanType())]
     )
-    proc = KernelProcessor(step, inputs, ts, [o.name for o in outputs], initial, seq)
+    proc = KernelProcessor(step, inputs, ts, [o.name for o in outputs], initial, seq, many)
     cols = list(dict.fromkeys(keys + [ts] + ([seq] if seq else []) + list(inputs)))
     out = df.select(*cols).groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="None"
@@ -160,30 +168,58 @@ def feature_step(state, o, h, l, c, v, ofi):
 
     state: rows of (high, low, close, volume, ofi).
     """
-    bar = [h, l, c, v, ofi]
-    if any(x is None for x in bar):
-        return state, (None,) * 8
-    rows = ((state or []) + [bar])[-21:]
-    a = np.asarray(rows, float)
-    close, vol = a[:, 2], a[-20:, 3]
-    back = lambda n: (c - close[-1 - n]) / close[-1 - n] if len(close) > n and close[-1 - n] else 0.0
+    state, out = feature_rows(state, [o], [h], [l], [c], [v], [ofi])
+    return state, out[0]
+
+
+def feature_rows(state, o, h, l, c, v, ofi):
+    """``feature_step`` along columns: the bars of a batch at once, behind those of the state."""
+    new = np.array([h, l, c, v, ofi], float).T  # None becomes NaN
+    whole = ~np.isnan(new).any(axis=1)
+    held = np.array(state or [], float).reshape(-1, 5)
+    a, n = np.concatenate([held, new[whole]]), int(whole.sum())
+    out = [(None,) * 8] * len(new)
+    if not n:
+        return state, out
+    high, low, close, vol, flow = a.T
+    size = np.minimum(np.arange(len(held), len(a)) + 1, 21)  # bars up to each, itself included
+
+    def last(x: np.ndarray, k: int) -> np.ndarray:
+        """The last ``k`` values up to each new bar, NaN where there are fewer."""
+        return np.lib.stride_tricks.sliding_window_view(np.append(np.full(k - 1, np.nan), x), k)[len(x) - n :]
+
+    def spread(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, mean and standard deviation of what is no NaN."""
+        has = ~np.isnan(x)
+        k = has.sum(axis=1)
+        mean = np.where(has, x, 0.0).sum(axis=1) / np.maximum(k, 1)
+        return k, mean, np.sqrt((np.where(has, x - mean[:, None], 0.0) ** 2).sum(axis=1) / np.maximum(k, 1))
+
+    def back(k: int) -> np.ndarray:
+        old = last(close, k + 1)[:, 0]
+        return np.where((size > k) & (old != 0), (c - old) / old, 0.0)
+
+    move = np.append(np.nan, np.diff(close) / np.maximum(close[:-1], 1e-12))
+    h, l, c, v = high[-n:], low[-n:], close[-n:], vol[-n:]
     span = h - l
-    sd = vol.std()
-    rets = np.diff(close) / np.maximum(close[:-1], 1e-12)
-    rsd = rets.std() if len(rets) else 0.0
-    out = (
-        span / max(c, 1e-6), back(1), back(5), v / max(vol.mean(), 1e-6),
-        0.5 if span <= 1e-12 else (c - l) / span, a[-5:, 4].mean(),
-        0.0 if len(vol) < 5 or sd <= 1e-12 else (v - vol.mean()) / sd,
-        0.0 if len(rets) < 5 or rsd <= 1e-12 else rets[-1] / rsd,
-    )
-    return rows, tuple(float(x) for x in out)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        kv, mean, sd = spread(last(vol, 20))
+        kr, _, rsd = spread(last(move, 20))
+        found = np.stack([
+            span / np.maximum(c, 1e-6), back(1), back(5), v / np.maximum(mean, 1e-6),
+            np.where(span <= 1e-12, 0.5, (c - l) / span), spread(last(flow, 5))[1],
+            np.where((kv < 5) | (sd <= 1e-12), 0.0, (v - mean) / sd),
+            np.where((kr < 5) | (rsd <= 1e-12), 0.0, move[-n:] / rsd),
+        ], 1)
+    for i, x in zip(np.flatnonzero(whole).tolist(), found.tolist(), strict=True):
+        out[i] = tuple(x)
+    return a[-21:].tolist(), out
 
 
 def bar_features(df, keys=("symbol",), ts="ts_ms"):
     from barloom.operators.features import DERIVED
 
-    return run_kernel(df, keys, ts, feature_step, ["open", "high", "low", "close", "volume", "ofi"], doubles(*DERIVED))
+    return run_kernel(df, keys, ts, feature_step, ["open", "high", "low", "close", "volume", "ofi"], doubles(*DERIVED), many=feature_rows)
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,7 @@
 import math
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -171,3 +172,23 @@ def test_stuck_orders_expire_whatever_the_micro_batches(spark, tmp_path, cuts):
     got = sf.drain(sf.order_lifecycle(s, delay="1 second", stuck_ms=10_000, retain_ms=5_000), str(tmp_path / "out")).collect()
     assert len(got) == len(WANT)
     assert {(r.order_id, r.ts_ms, r.state, r.held, r.problem) for r in got} == WANT
+
+
+def test_bar_features_by_column_are_those_row_by_row():
+    rng = np.random.default_rng(2)
+    price = 100 + rng.normal(0, 1, 70).cumsum()
+    rows = [[p, p + 1.0, p - 1.0, p, float(v), float(f)] for p, v, f in zip(price.tolist(), rng.integers(0, 3, 70), rng.normal(0, 1, 70))]
+    rows[4][3] = rows[50][5] = None
+    one, want = None, []
+    for r in rows:
+        one, o = sf.feature_step(one, *r)
+        want.append(o)
+    two, got = None, []
+    for a, b in ((0, 1), (1, 30), (30, 70)):
+        two, o = sf.feature_rows(two, *zip(*rows[a:b], strict=True))
+        got += o
+    assert one == two and len(one) == 21 and got[4] == got[50] == (None,) * 8
+    for x, y in zip(want, got, strict=True):
+        assert x == y if None in y else x == pytest.approx(y, rel=1e-9, abs=1e-9)
+    closes = np.array([r[3] for r in rows[30:50]])
+    assert got[49][1] == pytest.approx(closes[-1] / closes[-2] - 1) and got[49][3] == pytest.approx(rows[49][4] / np.mean([r[4] for r in rows[30:50]]))
