@@ -137,7 +137,7 @@ def _triples(codes: np.ndarray):
 
 
 class Landmarks:
-    """Words to compare with: their triples as rows of a table, one column for each word."""
+    """Words to compare with: for each of their triples the words that have it, and what it counts there."""
 
     def __init__(self, chosen: list[str]):
         codes, word, n, _, number, *_ = _words(chosen)
@@ -149,8 +149,10 @@ class Landmarks:
             for t, w in zip(triple.tolist(), word[at].tolist(), strict=True):
                 found.setdefault(t, np.zeros(n, np.float32))[w] += weight
         norm = np.sqrt(np.maximum(norm, 1e-12)).astype(np.float32)
-        self.rows = (np.stack([np.zeros(n, np.float32), *found.values()]) / norm)[:, number]  # each of ``chosen`` is one word
-        self.most = self.rows.max(axis=1) if n else np.zeros(1)
+        rows = (np.stack([np.zeros(n, np.float32), *found.values()]) / norm)[:, number]  # each of ``chosen`` is one word
+        self.most = rows.max(axis=1) if n else np.zeros(1)
+        row, self.column = np.nonzero(rows)
+        self.value, self.first = rows[row, self.column], np.searchsorted(row, np.arange(len(rows) + 1))
         self.index = np.zeros(1 << 18, np.int32)
         self.index[list(found)] = np.arange(1, len(found) + 1)
         self._empty()
@@ -158,7 +160,7 @@ class Landmarks:
     def _empty(self):
         """The table of words seen: hashes in order, place of each in ``near`` (-1 if none is over the floor)."""
         self.seen, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.near = np.zeros((0, self.rows.shape[1]), np.float32)
+        self.near = np.zeros((0, len(self.words)), np.float32)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("seen", "place", "near")}
@@ -185,14 +187,15 @@ class Landmarks:
         alive = np.flatnonzero(bound / norm >= least)
         place = np.full(n, -1)
         place[alive] = np.arange(len(alive))
-        out = np.zeros((len(alive), self.rows.shape[1]), np.float32)
+        out = np.zeros(len(alive) * len(self.words))
         for w, row, weight in hits:
             w = place[w]
             w, row = w[w >= 0], row[w >= 0]
-            if len(w):
-                head = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                out[w[head]] += weight * np.add.reduceat(self.rows[row], head)
-        return alive, out / norm[alive].astype(np.float32)[:, None]
+            if len(w):  # few landmarks have a triple, so only these are added
+                size = self.first[row + 1] - self.first[row]
+                at = np.arange(size.sum()) + np.repeat(self.first[row] - (np.cumsum(size) - size), size)
+                out += np.bincount(np.repeat(w * len(self.words), size) + self.column[at], self.value[at] * weight, len(out))
+        return alive, (out.reshape(len(alive), len(self.words)) / norm[alive][:, None]).astype(np.float32)
 
     def _nearest(self, code: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word in a table of similarities, -1 if all are under ``FLOOR``; and that table."""

@@ -130,3 +130,18 @@ def test_choice_of_landmarks_is_bounded_on_the_driver(monkeypatch):
     assert most < 100e6  # one table of all candidates took 400 MB
     monkeypatch.setattr(toxicity, "_BLOCK", 1 << 12)
     assert toxicity.pick(ranked, 1500) == got and len(got) == 1500
+
+
+def test_a_triple_costs_only_the_landmarks_that_have_it():
+    rng = random.Random(5)
+    others = list(dict.fromkeys("".join(rng.choice("nopqrstuvwxyz") for _ in range(9)) for _ in range(300)))
+    texts = ["abcdefghij" * 3 + "".join(rng.choice("klm") for _ in range(12)) for _ in range(3000)]
+    codes, word, n, *_ = toxicity._words(texts)
+    alone, want = toxicity.Landmarks(["abcdefghij"]).kernel(codes, word, n)
+    marks = toxicity.Landmarks(["abcdefghij", *others])
+    tracemalloc.start()
+    alive, got = marks.kernel(codes, word, n)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6  # a row of all landmarks for each triple of each word took 100 MB
+    assert (alive == alone).all() and (got[:, :1] == want).all() and not got[:, 1:].any()
