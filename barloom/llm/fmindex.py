@@ -207,7 +207,12 @@ def _lists(row: np.ndarray, values: pa.Array, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(np.searchsorted(row, np.arange(n + 1)).astype(np.int32), values)
 
 
-def _pass(phrases, again: bool, keep_text: bool):
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+    return pa.array([words.cut(t, [(s["lo"], s["hi"]) for s in own], words.FOLDED) if own else t for t, own in pairs], pa.string())
+
+
+def _pass(phrases, again: bool, keep_text: bool, cut_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ph = phrases.value
         for part in text_slices(batches, "text", SLICE_BYTES):
@@ -229,17 +234,23 @@ def _pass(phrases, again: bool, keep_text: bool):
             row = np.searchsorted(wb, lo, side="right") - 1
             lo = (lo - wb[row]).astype(np.int32)
             pair = pa.StructArray.from_arrays([pa.array(lo), pa.array((lo + size).astype(np.int32))], ["lo", "hi"])
-            out = {"row": part.column("row"), "text": part.column("text")} if keep_text else {"row": part.column("row")}
-            out |= {"n_words": pa.array(np.diff(wb).astype(np.int64)), "spans": _lists(row, pair, n), "items": _lists(doc, pa.array(item.astype(np.int64)), n)}
-            yield pa.RecordBatch.from_pydict(out)
+            spans, out = _lists(row, pair, n), {"row": part.column("row")}
+            if cut_text:
+                yield pa.RecordBatch.from_pydict(out | {"text": _cut(part.column("text"), spans)})
+                continue
+            if keep_text:
+                out["text"] = part.column("text")
+            yield pa.RecordBatch.from_pydict(out | {"n_words": pa.array(np.diff(wb).astype(np.int64)), "spans": spans, "items": _lists(doc, pa.array(item.astype(np.int64)), n)})
 
     return run
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, keep: list[str], item_id: str = "item_id", window: int = WINDOW, text_col: str = "text", keep_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated_spans(docs: DataFrame, items: DataFrame, keep: list[str], item_id: str = "item_id", window: int = WINDOW, text_col: str = "text", keep_text: bool = False, block_bytes: int = BLOCK_BYTES, cut_text: bool = False) -> DataFrame:
     """``(row, [text,] n_words, spans, items)``: merged word spans to remove, and the items found.
 
-    ``row`` is a struct of the columns ``keep``.
+    ``row`` is a struct of the columns ``keep``. With ``cut_text`` it is ``(row, text)``, the spans
+    removed by the pass that finds the last of them: another pass in Python behind it would
+    keep a second worker in every task.
     """
     spark = docs.sparkSession
     src = items.select(F.col(item_id).cast("long").alias("id"), F.col("text"))
@@ -250,6 +261,8 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, keep: list[str], item_
     for b in range(blocks):
         mine = src.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect() if blocks > 1 else src.collect()
         phrases = spark.sparkContext.broadcast(Phrases([r.id for r in mine], [r.text for r in mine], window))
+        if cut_text and b + 1 == blocks:
+            return out.mapInArrow(_pass(phrases, b > 0, False, True), f"row {kind}, text string")
         text = keep_text or b + 1 < blocks
         out = out.mapInArrow(_pass(phrases, b > 0, text), f"row {kind}, {'text string, ' if text else ''}{_FOUND}")
     return out
@@ -266,16 +279,7 @@ def digest(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches, "text", SLICE_BYTES):
-        pairs = zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)
-        texts = [words.cut(t, [(s["lo"], s["hi"]) for s in spans], words.FOLDED) if spans else t for t, spans in pairs]
-        yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
-
-
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the words that windows of ``items`` cover; rows and columns stay."""
-    found = contaminated_spans(docs, items, [c for c in docs.columns if c != text_col], text_col=text_col, keep_text=True, **options)
-    kind = found.schema["row"].dataType.simpleString()
-    out = found.mapInArrow(_cut, f"row {kind}, text string")
+    out = contaminated_spans(docs, items, [c for c in docs.columns if c != text_col], text_col=text_col, cut_text=True, **options)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

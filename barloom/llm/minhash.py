@@ -49,7 +49,7 @@ POOL = 1 << 16
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 1 << 15
 #: Bytes of text whose shingles one group of buckets counts.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 LEAST_BITS = 12
 _WIDTH = 44
 _BITS, _LOW = np.uint64(_WIDTH), np.uint64((1 << _WIDTH) - 1)

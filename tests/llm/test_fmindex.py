@@ -87,3 +87,13 @@ def test_index_counts_and_locates():
             for p, a, b in zip(phrases, lo, hi):
                 want = [k for k in range(len(text) - n + 1) if (text[k : k + n] == p).all()]
                 assert sorted(index.locate(np.arange(a, b))) == want
+
+
+def test_texts_are_cut_by_the_pass_that_finds_the_spans(session):
+    """Two passes in Python in one task hold two workers; every executor kept twice as many from there on."""
+    docs, items = corpus(7)
+    d, i = session.createDataFrame(docs, DOCS), session.createDataFrame(items, ITEMS)
+    out = fmindex.decontaminated(d, i, window=6)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    cut = {(r.doc_id, r.text) for r in out.collect()}
+    assert cut == {(r.doc_id, r.text) for r in fmindex.decontaminated(d, i, window=6, block_bytes=60).collect()} != {tuple(x) for x in docs}
