@@ -11,8 +11,10 @@ Text is fed in pieces and ids leave as soon as no later text can change them:
   if ``y`` itself comes or goes. The longest such chain, in bytes, is found in one pass over the
   list. A boundary that is final splits the word into parts that are encoded alone.
 
-Words of up to that length are encoded whole and kept in a bounded table. Memory depends on the
-merge list alone, not on the text.
+Words of up to that length are encoded whole and kept in a bounded table, which drops those that
+were not met for long. The words of a slice of texts that it lacks are merged together, by column: a
+round applies to each of them its next merge. Memory depends on the merge list alone, not on the
+text.
 
 Tokenizer files of this layout are read: BPE with or without an end-of-word suffix, NFC,
 white-space and lower-case normalisers, one splitting pattern whose matches are the words, and
@@ -27,7 +29,7 @@ import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import text_slices
 
 PIECE = 1 << 16  # characters held while looking for a cut
-WORDS_KEPT = 60_000
+WORDS_KEPT = 120_000
+WORD_BYTES = 64  # from here on, words are neither kept nor merged by column
+MERGED_ROWS = 1 << 14
+NO_MERGE = 1 << 40
 SLICE_BYTES = 2 << 20
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
@@ -85,6 +90,14 @@ class Model:
         self.first = [v[s] for s in symbols]
         self.last = [v[s + self.suffix] for s in symbols]
         self.strings = {i: s for s, i in v.items()} | {i: s for s, i in self.special.items()}
+        self.blank = max(self.strings) + 1  # stands beside the first and the last symbol of a word
+        self.first_ids, self.last_ids = np.array(self.first), np.array(self.last)
+        self.spaced = pa.array([" " + self.strings.get(i, "") for i in range(self.blank)])
+        keys = sorted((a * (self.blank + 1) + b, *made) for (a, b), made in self.merges.items())
+        self.pair_keys, self.pair_ranks, _ = np.array(keys or [(-1, 0, 0)], np.int64).T.copy()
+        self.made = np.zeros(len(pairs), np.int64)
+        for rank, i in self.merges.values():
+            self.made[rank] = i
 
     def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
         """Bytes after which no continuation reaches back: the longest chain of dependent merges."""
@@ -118,22 +131,83 @@ class Model:
         return ids
 
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of tokens, or ``NO_MERGE``."""
+        key = left * (self.blank + 1) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_MERGE)
+
+    def merge_words(self, words: Sequence[bytes]) -> list[bytes]:
+        """Little-endian ids of words, none of them empty: what ``merge`` makes of each."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        wide = int(size.max()) + 2
+        column = np.arange(wide)
+        used = (column > 0) & (column <= size[:, None])
+        ids = np.full(used.shape, self.blank)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids[used] = self.first_ids[raw]
+        ids[np.arange(len(words)), size] = self.last_ids[raw[np.cumsum(size) - 1]]
+        ranks = np.full(used.shape, NO_MERGE)
+        paired = used[:, :-1] & used[:, 1:]
+        ranks[:, :-1][paired] = self._ranks(ids[:, :-1][paired], ids[:, 1:][paired])
+        after, before = np.tile(column + 1, len(words)), np.tile(column - 1, len(words))
+        table, ids, ranks, alive = ranks, ids.ravel(), ranks.ravel(), used.ravel()
+        rows = np.arange(len(words))
+        while len(rows):
+            here = table[rows].argmin(1)  # the leftmost of equal ones
+            base = rows * wide
+            best = ranks[base + here]
+            going = best != NO_MERGE
+            rows, base, best, at = rows[going], base[going], best[going], (base + here)[going]
+            new = self.made[best]
+            gone = base + after[at]
+            then = after[gone]
+            left, right = base + before[at], base + then
+            ids[at] = new
+            alive[gone] = False
+            after[at] = then
+            before[right] = at - base
+            ranks[gone] = NO_MERGE
+            ranks[at] = self._ranks(new, ids[right])
+            ranks[left] = self._ranks(ids[left], new)
+        out = ids[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(used.sum(1))).tolist()
+        return [out[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+
 class Words(dict):
-    """Little-endian ids of words met before; forgotten when there are too many."""
+    """Little-endian ids of words met before. When there are too many, those not met since the last time go."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.older = model, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        stream = LongWord(self.model)
-        out = stream.feed(raw) + stream.close() if len(raw) > 2 * self.model.lookahead else self.short(raw)
+        out = self.older.get(word)
+        if out is None:
+            raw = word.encode()
+            stream = LongWord(self.model)
+            out = stream.feed(raw) + stream.close() if len(raw) > 2 * self.model.lookahead else self.short(raw)
+            if len(raw) >= WORD_BYTES:
+                return out
+        self._keep(word, out)
+        return out
+
+    def _keep(self, word: str, ids: bytes) -> None:
         if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        if len(raw) < 64:
-            self[word] = out
-        return out
+        self[word] = ids
+
+    def learn(self, words: set[str]) -> None:
+        """Take in the words that are new, those of about one length together."""
+        fresh = sorted(words.difference(self).difference(self.older), key=len)
+        for k in range(0, len(fresh), MERGED_ROWS):
+            part = [(w, r) for w in fresh[k : k + MERGED_ROWS] if len(r := w.encode()) < WORD_BYTES]
+            if part:
+                names, raw = zip(*part)  # noqa: B905
+                for word, ids in zip(names, self.model.merge_words(raw)):  # noqa: B905
+                    self._keep(word, ids)
 
     def short(self, raw: bytes) -> bytes:
         first = self.model.first
@@ -220,6 +294,9 @@ class Encoder:
             t = t.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         return t
 
+    def _found(self, t: str) -> list[str]:
+        return (self.split if not t.isascii() and self.beyond.search(t) else self.latin).findall(t)
+
     def _whole(self, t: str, more: bool = False) -> bytes:
         """Ids of a stretch; with ``more`` its last word stays open."""
         out = []
@@ -236,7 +313,7 @@ class Encoder:
                     part = part[head.end() :]
                 if part:
                     out.append(self._shut())
-            found = (self.split if self.beyond.search(part) else self.latin).findall(part)
+            found = self._found(part)
             if more and found and k == len(parts) - 1 and part.endswith(found[-1]):
                 kind = next((k for k, p in self.run.items() if p.fullmatch(found[-1])), None)
                 if kind:
@@ -259,6 +336,13 @@ class Encoder:
             return self._whole(text)
         return b"".join([self.feed(text[k : k + PIECE]) for k in range(0, len(text), PIECE)] + [self.close()])
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``encode`` of each; the words of all short ones are looked up first."""
+        found = [None if len(t) > PIECE or any(s in t for s in self.model.special) else self._found(self._normal(t)) for t in texts]
+        self.words.learn(set().union(*filter(None, found)))
+        for text, words in zip(texts, found):  # noqa: B905
+            yield self.encode(text) if words is None else b"".join(map(self.words.__getitem__, words))
+
 
 class Decoder:
     """Streaming decoder. ``joined`` gives token strings with a blank between, as a tokenizer
@@ -267,17 +351,23 @@ class Decoder:
     def __init__(self, model: Model, joined: bool = False):
         self.strings, self.suffix, self.special = model.strings, model.suffix, model.special
         self.joined, self.begun = joined, False
-        self.bytes = model.bytes
+        self.bytes, self.spaced = model.bytes, model.spaced
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
+    def feed_joined(self, ids: np.ndarray) -> memoryview:
+        """The joined strings of ids as UTF-8."""
+        found = self.spaced.take(pa.array(ids))
+        _, ends, text = found.buffers()
+        if not len(ids) or text is None:
+            return memoryview(b"")
+        skip = 0 if self.begun else 1  # the blank before the first
+        self.begun = True
+        return memoryview(text)[skip : np.frombuffer(ends, np.int32)[len(ids)]]
+
     def feed(self, ids: list[int]) -> str:
-        found = map(self.strings.__getitem__, ids)
         if self.joined:
-            text = " ".join(found)
-            if ids and self.begun:
-                text = " " + text
-            self.begun |= bool(ids)
-            return text
+            return str(self.feed_joined(np.array(ids, np.uint32)), "utf-8")
+        found = map(self.strings.__getitem__, ids)
         raw = bytearray()
         out = []
         for s in found:
@@ -318,12 +408,11 @@ def _digests(shared, with_ids: bool):
         encoder = _encoder(shared)
         for part in text_slices(batches, "text", SLICE_BYTES):
             n, all_ids, sha, back = [], [], [], []
-            for text in part.column("text").to_pylist():
-                raw = encoder.encode(text or "")
+            for raw in encoder.encode_all([t or "" for t in part.column("text").to_pylist()]):
                 ids = np.frombuffer(raw, "<u4")
                 digest, decoder = hashlib.sha256(), Decoder(encoder.model, joined=True)
                 for k in range(0, len(ids), PIECE):
-                    digest.update(decoder.feed(ids[k : k + PIECE].tolist()).encode())
+                    digest.update(decoder.feed_joined(ids[k : k + PIECE]))
                 n.append(len(ids))
                 sha.append(hashlib.sha256(raw).hexdigest())
                 back.append(digest.hexdigest())

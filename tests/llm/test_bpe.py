@@ -81,3 +81,44 @@ def test_query_form(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert bpe.encoded(df.limit(0), PATH, ["doc_id", "ids"]).count() == 0
     assert [len(r.ids) for r in bpe.encoded(df.select("doc_id", "text"), PATH, ["doc_id"], with_ids=True).collect()] == [w[1] for w in want]
+
+
+def test_words_of_a_slice_are_merged_together(model):
+    r = random.Random(4)
+    inner = [s.removesuffix("</w>") for s in model.vocab]
+    words = [bytes(model.bytes[c] for c in "".join(r.choices(inner, k=r.randint(1, 5)))) for _ in range(3000)]
+    words = [w for w in [*words, *(bytes([b]) for b in range(256)), b"a" * 90, b"ha" * 31] if w]
+    want = [model.merge([model.first[b] for b in w[:-1]] + [model.last[w[-1]]]) for w in words]
+    assert [np.frombuffer(i, "<u4").tolist() for i in model.merge_words(words)] == want
+
+
+def test_a_slice_needs_no_merging_word_by_word(monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices(["th", "e", "in", "é", "ou", "ß", "中"], k=r.randint(1, 7))) for _ in range(60)) for _ in range(50)]
+    texts += [None, "", " ", "<|endoftext|>", "x" * 300, "word " * 20000, "I'LL  do\t1234 Σ é!?"]
+    alone = []
+    merge = bpe.Model.merge
+    monkeypatch.setattr(bpe.Model, "merge", lambda self, ids: alone.append(len(ids)) or merge(self, ids))
+    spec = bpe.zlib.compress(open(PATH, "rb").read())
+    shared = type("Shared", (), {"value": ("words of a slice", spec)})
+    batch = bpe.pa.RecordBatch.from_pydict({"row": bpe.pa.array(range(len(texts))), "text": bpe.pa.array(texts, bpe.pa.string())})
+    got = [tuple(r.values()) for b in bpe._digests(shared, False)(iter([batch])) for r in b.to_pylist()]
+    want = []
+    for k, t in enumerate(texts):
+        ids = LIBRARY.encode(t or "", add_special_tokens=False).ids
+        text = LIBRARY.decode(ids, skip_special_tokens=False)
+        want.append((k, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == want
+    assert len(alone) < 10
+
+
+def test_words_met_again_stay_in_the_table(model, monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 20)
+    asked = []
+    short = bpe.Words.short
+    monkeypatch.setattr(bpe.Words, "short", lambda self, raw: asked.append(raw) or short(self, raw))
+    encoder = bpe.Encoder(model)
+    for k in range(300):
+        encoder.encode(f"again rare{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvw'[k // 100]}")
+    assert asked.count(b"again") == 1
+    assert len(encoder.words) <= 20 and len(encoder.words.older) <= 20
