@@ -8,7 +8,9 @@
 2. Samples. A document is the set of its shingles with weight ``tf * idf``. For each of
    ``BANDS * ROWS`` functions, ICWS draws one (shingle, level); two documents draw the same one
    with the probability of their weighted Jaccard similarity. The random variates of a shingle
-   come from a fixed pool by its hash.
+   come from a fixed pool by its hash. With ``plain`` as many are drawn by weight ``tf`` as well:
+   what a group of copies shares is frequent, so by ``idf`` an edit parts its members the sooner
+   the more there are.
 3. Candidates. Documents of equal weighted sets form one class (a node). Nodes that share a
    band meet in a bucket, and all are compared with its centre, the node of the least mean
    weight: edits are rare shingles, so the original of a group has the fewest of them. Links
@@ -18,7 +20,8 @@
    weight on both sides to be similar is verified, if its components differ. Every pair of a
    bucket is so verified, ruled out by weight, or already connected; the pairs of a group are
    not emitted.
-4. Links are pairs of weighted Jaccard similarity >= ``threshold``, computed from whole texts.
+4. Links are pairs of weighted Jaccard similarity >= ``threshold``, computed from whole texts; with
+   ``plain``, by ``tf * idf`` or by ``tf``.
 
 Defined cases: null, empty and blank texts link with nothing; texts of fewer words than a
 shingle are one shingle, and so are texts of signs only; a very long text is a slice of its own;
@@ -153,7 +156,12 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, functions: int)
     return out
 
 
-def _sign(k: int, bands: int, rows: int):
+def _weights(tf: np.ndarray, idf: np.ndarray, plain: bool) -> list[np.ndarray]:
+    """The weights of shingles by which documents are similar."""
+    return [tf * idf.astype(np.float64)] + [tf.astype(np.float64)] * plain
+
+
+def _sign(k: int, bands: int, rows: int, plain: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         row, h, tf = _postings(table, k)
         own, first = np.unique(row, return_index=True)
@@ -162,18 +170,18 @@ def _sign(k: int, bands: int, rows: int):
         if len(idf) != len(distinct) or len(own) != table.num_rows:
             raise ValueError("the documents changed between two reads; write them to a table first")
         rarity = idf[which]
-        weight = tf * rarity
-        mean = np.add.reduceat(weight.astype(float), first) / np.add.reduceat(tf, first)
-        keys = np.zeros((len(own), bands), np.int64)
+        weights = _weights(tf, rarity, plain)
+        mean = np.add.reduceat(weights[0], first) / np.add.reduceat(tf, first)
+        keys = np.zeros((len(own), len(weights) * bands), np.int64)
         with np.errstate(over="ignore"):
-            drawn = samples(row, h, weight, bands * rows)
+            drawn = np.concatenate([samples(row, h, w, bands * rows) for w in weights])
             node = words.mix(np.add.reduceat(words.mix(h + words.mix(tf.astype(np.uint64))), first)).view(np.int64)
-            for b in range(bands):
+            for b in range(keys.shape[1]):
                 key = np.full(len(own), b, np.uint64)
                 for x in drawn[b * rows : (b + 1) * rows]:
                     key = words.mix(key * np.uint64(words.BASE) + x)
                 keys[:, b] = key.view(np.int64)
-        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
+        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
         return pa.table(
             [table.column("doc"), table.column("fp"), pa.array(node), lists, pa.array(mean), blobs(rarity, np.append(first, len(row)))],
             names=["doc", "fp", "node", "bands", "mean", "idf"],
@@ -182,9 +190,10 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def signatures(src: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(src: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, plain: bool = False) -> DataFrame:
     """``(doc, fp, node, bands, mean, idf)`` for the rows of ``(doc, fp, text)`` whose text is not blank.
 
+    ``bands`` has the keys by ``tf * idf``, and with ``plain`` those by ``tf`` after them;
     ``idf`` holds the weight of each of the text's distinct shingles, in the order of ``shingles``.
     The exchange of the texts serves both the counts and the signatures.
     """
@@ -199,57 +208,67 @@ def signatures(src: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int =
     sent = by_slice.applyInArrow(_sent(k, bits), "slice long, bucket int, tails binary, counts binary")
     answers = sent.groupBy(F.expr(f"shiftright(bucket, {bits - group})").alias("g")).applyInArrow(_answered(size.n), "slice long, bucket int, idf binary")
     return by_slice.cogroup(answers.groupBy("slice")).applyInArrow(
-        _sign(k, bands, rows), "doc long, fp long, node long, bands array<long>, mean double, idf binary"
+        _sign(k, bands, rows, plain), "doc long, fp long, node long, bands array<long>, mean double, idf binary"
     )
 
 
-def _verify(k: int, threshold: float):
+def _verify(k: int, threshold: float, plain: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for wide in text_slices(batches, "ta", SLICE_BYTES):
             for part in text_slices([wide], "tb", SLICE_BYTES):
                 sides = []
                 for c in "ab":
                     row, h, tf = shingles(part.column("t" + c), k)
-                    sides.append((row.astype(np.uint64) << _BITS | h, tf * unblob(part.column("i" + c), np.float32).astype(np.float64), row))
-                (ka, wa, ra), (kb, wb, rb) = sides
+                    sides.append((row.astype(np.uint64) << _BITS | h, row, _weights(tf, unblob(part.column("i" + c), np.float32), plain)))
+                (ka, ra, weights_a), (kb, rb, weights_b) = sides
                 _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
                 n = part.num_rows
-                both = np.bincount(ra[ia], np.minimum(wa[ia], wb[ib]), n)
-                all_ = np.bincount(ra, wa, n) + np.bincount(rb, wb, n) - both
-                good = np.flatnonzero((all_ > 0) & (both >= threshold * all_ - 1e-9))
-                yield part.select(["a", "b"]).take(pa.array(good))
+                good = np.zeros(n, bool)
+                for wa, wb in zip(weights_a, weights_b, strict=True):
+                    both = np.bincount(ra[ia], np.minimum(wa[ia], wb[ib]), n)
+                    all_ = np.bincount(ra, wa, n) + np.bincount(rb, wb, n) - both
+                    good |= (all_ > 0) & (both >= threshold * all_ - 1e-9)
+                yield part.select(["a", "b"]).take(pa.array(np.flatnonzero(good)))
 
     return run
 
 
-def _prefix(k: int, threshold: float):
-    """A text's shingles, rarest first, while what remains weighs at least ``threshold`` of all."""
+def _prefix(k: int, threshold: float, plain: bool):
+    """A text's shingles, rarest first, while what remains weighs at least ``threshold`` of all, by any of its weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             row, h, tf = shingles(part.column("text"), k)
-            rarity = unblob(part.column("idf"), np.float32).astype(np.float64)
+            rarity = unblob(part.column("idf"), np.float32)
             order = np.lexsort((h, -rarity, row))  # the same order of shingles in every text
-            row, h, w = row[order], h[order], (tf * rarity)[order]
+            row, h, tf, rarity = row[order], h[order], tf[order], rarity[order]
             first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             size = np.diff(np.append(first, len(row)))
-            total = np.repeat(np.add.reduceat(w, first), size)
-            before = np.cumsum(w) - w
-            rest = total - (before - np.repeat(before[first], size))
-            keep = rest >= threshold * total - 1e-6
+            keep, sums = np.zeros(len(row), bool), []
+            for w in _weights(tf, rarity, plain):
+                total = np.repeat(np.add.reduceat(w, first), size)
+                before = np.cumsum(w) - w
+                rest = total - (before - np.repeat(before[first], size))
+                keep |= rest >= threshold * total - 1e-6
+                sums += [total, rest]
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays(
-                [part.column("node").take(take), part.column("component").take(take), pa.array(h[keep].astype(np.int64)), pa.array(total[keep]), pa.array(rest[keep])],
-                names=["node", "component", "token", "total", "rest"],
+                [part.column("node").take(take), part.column("component").take(take), pa.array(h[keep].astype(np.int64)), *[pa.array(x[keep]) for x in sums]],
+                names=["node", "component", "token", *_sums(plain)],
             )
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _sums(plain: bool) -> list[str]:
+    """Columns of a listed shingle: for each weight that of its text, and what is left of it from the shingle on."""
+    return ["total", "rest"] + ["plain_total", "plain_rest"] * plain
+
+
+def _links(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, plain: bool) -> DataFrame:
     a, b = (texts.select(F.col("node").alias(c), F.col("text").alias("t" + c), F.col("idf").alias("i" + c)) for c in "ab")
     wide = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "ia", "tb", "ib")
-    return wide.mapInArrow(_verify(k, threshold), "a long, b long")
+    return wide.mapInArrow(_verify(k, threshold, plain), "a long, b long")
 
 
 def _of(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -258,16 +277,17 @@ def _of(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, plain: bool = False
 ) -> DataFrame:
     """``(doc, fp, node, class_doc, group_doc, group_fp)``, one row per row of ``docs``.
 
     ``doc`` is the id (``NO_ID`` for null), ``fp`` the hash of the text; ``class_doc`` is the
     smallest id of equal weighted sets, ``group_doc`` with ``group_fp`` the representative of
     all that links connect. Texts without words have a null ``node`` and stand for themselves.
+    ``plain``: pairs that are similar without ``idf`` are links, too.
     """
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
-    signed = staged(signatures(src, k, bands, rows), "signed")
+    signed = staged(signatures(src, k, bands, rows, plain), "signed")
     nodes = signed.groupBy("node").agg(F.min(F.struct("doc", "fp")).alias("first"), F.first("bands").alias("bands"), F.first("mean").alias("mean"), F.first("idf").alias("idf"))
     nodes = staged(nodes, "nodes")
     slots = nodes.select("node", "mean", F.explode("bands").alias("slot"))
@@ -278,22 +298,25 @@ def near_duplicates(
 
     needed = members.select("node").distinct().join(nodes, "node").select("node", "first.doc", "first.fp", "idf")
     texts = staged(src.join(needed, ["doc", "fp"]).groupBy("node").agg(F.first("text").alias("text"), F.first("idf").alias("idf")), "texts")
-    links = staged(_links(pairs, texts, k, threshold), "links")
+    links = staged(_links(pairs, texts, k, threshold, plain), "links")
     comps = components(links)
 
     # nodes of buckets with several components meet by their rare shingles
     open_ = _of(members, comps)
     mixed = open_.groupBy("slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     open_ = open_.join(mixed.select(own_exchange("slot").alias("k")), own_exchange("slot") == F.col("k")).select("node", "component").distinct()
-    listed = open_.join(texts, "node").mapInArrow(_prefix(k, threshold), "node long, component long, token long, total double, rest double")
+    listed = open_.join(texts, "node").mapInArrow(_prefix(k, threshold, plain), ", ".join(["node long, component long, token long", *[f"{c} double" for c in _sums(plain)]]))
     listed = staged(listed, "prefixes")
     several = listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(own_exchange("token").alias("k"))
     listed = staged(listed.join(several, own_exchange("token") == F.col("k")).drop("k"), "prefixes")
-    one, two = (listed.select(F.col("token").alias("token"), *[F.col(c).alias(s + c) for c in ("node", "component", "total", "rest")]) for s in "xy")
-    enough = F.lit(threshold / (1 + threshold)) * (F.col("xtotal") + F.col("ytotal")) - 1e-6
-    met = one.join(two, (one["token"] == two["token"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")) & (F.least("xrest", "yrest") >= enough))
+    one, two = (listed.select(F.col("token").alias("token"), *[F.col(c).alias(s + c) for c in ("node", "component", *_sums(plain))]) for s in "xy")
+    left = lambda total, rest: F.least(f"x{rest}", f"y{rest}") >= F.lit(threshold / (1 + threshold)) * (F.col(f"x{total}") + F.col(f"y{total}")) - 1e-6
+    enough = left("total", "rest")
+    if plain:
+        enough = enough | left("plain_total", "plain_rest")
+    met = one.join(two, (one["token"] == two["token"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xcomponent") != F.col("ycomponent")) & enough)
     more = met.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
-    links2 = staged(_links(more, texts, k, threshold), "links")
+    links2 = staged(_links(more, texts, k, threshold, plain), "links")
     comps = staged(components(links.union(links2)), "components")
 
     groups = _of(nodes.select("node", "first"), comps)

@@ -139,7 +139,7 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @entry("op8_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.digest(read(spark, sf_dir, "documents"))
+    return minhash.digest(read(spark, sf_dir, "documents"), plain=True)
 
 
 @entry("op9_html_extraction")

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import minhash
+import corpus_pipeline
+from barloom.llm import minhash, queries
 from barloom.llm.common import components
 from barloom.session import checkpoint_dir, ship
 
@@ -145,3 +146,44 @@ def test_very_long_text(session):
     rows = [(1, long), (2, long + " tail"), (3, "other words of a short text"), (4, long[: len(long) // 3])]
     got = {r.doc_id: r.component_id for r in minhash.digest(session.createDataFrame(rows, ROWS)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def large_group():
+    """81 near copies of a text among 800 others."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = [base]
+    for _ in range(80):
+        t = list(base)
+        for at in (20, 90, 160):
+            t[at + r.randrange(20)] = word()
+        texts.append(t)
+    return [(i, " ".join(t)) for i, t in enumerate(texts + [[word() for _ in range(40)] for _ in range(800)])]
+
+
+def test_near_copies_of_a_large_group_stay_together(session, tmp_path):
+    """An edit weighs more by idf than what a large group shares; the group must not fall apart for its size."""
+    rows = large_group()
+    docs = session.createDataFrame(rows, ROWS).repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.component_id for x in queries.minhash_near_dedup(session, str(tmp_path)).collect()}
+    assert got == {i: 0 if i <= 80 else i for i, _ in rows}
+    left = corpus_pipeline.near_dedup(session, docs, str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in left) == [0, *range(81, len(rows))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_plain_links_match_brute_force(session, seed):
+    """Links by counts alone come on top of those by weight."""
+    rows = corpus(seed)
+    sets = [shingles(t) for _, t in rows]
+    top = brute(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            low = sum((sets[i] & sets[j]).values())
+            if low and low / sum((sets[i] | sets[j]).values()) >= 0.8 and top[i] != top[j]:
+                hi, lo = max(top[i], top[j]), min(top[i], top[j])
+                top = [lo if t == hi else t for t in top]
+    got = {r.doc_id: r.component_id for r in minhash.digest(session.createDataFrame(rows, ROWS).repartition(4), plain=True).collect()}
+    assert got == {i: rows[t][0] for (i, _), t in zip(rows, top, strict=True)}
