@@ -26,16 +26,33 @@ from pyspark.sql import types as T
 from barloom.session import checkpoint_dir
 
 BLOCK_ROWS = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def kept(df: DataFrame) -> DataFrame:
     """Rows written once to the shared checkpoint folder, and read again.
 
-    ``checkpoint`` would compute the last stage twice, to count it and to write it.
+    ``checkpoint`` would compute the last stage twice, to count it and to write it. Shuffle files
+    of the write go with its end, not when the driver happens to collect garbage.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def let_go(df: DataFrame) -> None:
+    """Delete the folders of ``kept`` rows that ``df`` reads, once what was made of them is kept itself."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("rows-"):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def positions(df: DataFrame, keys, order, name: str = "pos") -> DataFrame:
@@ -100,15 +117,19 @@ def whole_runs(batches: Iterator[pa.RecordBatch], names, least: int = 1 << 17) -
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def along(df: DataFrame, keys, part: str, pos: str, run: Callable, schema: T.StructType, names) -> DataFrame:
-    """``run`` over tables that hold whole (keys, part) stretches in order of ``pos``."""
+def along(df: DataFrame, keys, part: str, pos: str, run: Callable, schema: T.StructType, names, ahead: str | None = None) -> DataFrame:
+    """``run`` over tables that hold whole (keys, part) stretches in order of ``pos``.
+
+    Of rows of equal ``pos``, those that have a value in ``ahead`` come first.
+    """
     group = [*keys, part]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, group):
             yield from run(table).combine_chunks().to_batches()
 
-    dealt = df.repartition(*group).sortWithinPartitions(*group, pos)
+    first = [F.col(ahead).isNull()] if ahead else []
+    dealt = df.repartition(*group).sortWithinPartitions(*group, pos, *first)
     return dealt.select(*dict.fromkeys([*group, pos, *names])).mapInArrow(stream, schema)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from barloom.functions import frames as fr
 from barloom.operators import maps
-from barloom.operators.ordered import BLOCK_ROWS, along, blocked, carried, fill_forward, kept, positions, runs_of
+from barloom.operators.ordered import BLOCK_ROWS, along, blocked, carried, fill_forward, kept, let_go, positions, runs_of
 
 DAY_MS = 86_400_000
 #: rows of a segment whose steps are composed; a fixed value, so results do not depend on blocks
@@ -174,10 +174,12 @@ CLEAN = T.StructType(
 )
 
 
-def _carried(rows: DataFrame, part: str, elements, compose, names) -> DataFrame:
-    """``rows`` with ``before``, the product of the blocks ``part`` of a symbol before the row's.
+def _carried(rows: DataFrame, part: str, size: int, elements, compose, names) -> DataFrame:
+    """``rows``, and ahead of each block ``part`` of a symbol a row with ``before``, the product of the blocks before it.
 
-    Symbols with one block have nothing to carry and are not composed.
+    A block of ``size`` positions has one such row, so products are neither joined to ticks nor
+    copied to each; the other rows have no ``before``. Symbols with one block have nothing to carry
+    and are not composed.
     """
     kind = T.StructType([rows.schema["symbol"], T.StructField(part, T.LongType()), T.StructField("element", T.ArrayType(T.DoubleType()))])
     several = rows.filter(F.col(part) > 0).select("symbol").distinct()
@@ -186,7 +188,15 @@ def _carried(rows: DataFrame, part: str, elements, compose, names) -> DataFrame:
     found = along(rows, ["symbol"], part, "pos", elements, kind, names)
     found = kept(found)
     before = carried(found.join(several, "symbol", "left_semi"), ["symbol"], part, "element", compose)
-    return rows.join(before, ["symbol", part], "left")
+    ahead = before.filter("before is not null").select("symbol", part, (F.col(part) * size).alias("pos"), "before")
+    return rows.unionByName(ahead, allowMissingColumns=True)
+
+
+def _handed(table: pa.Table, part: str) -> tuple[pa.Table, list]:
+    """The ticks of a table of ``_carried`` rows, and for each of their blocks what stands before it."""
+    before = table.column("before")
+    first = runs_of(table, ["symbol", part])[:-1]
+    return table.filter(before.is_null()), before.take(pa.array(first)).to_pylist()
 
 
 def _as_table(schema: T.StructType, columns: list) -> pa.Table:
@@ -212,8 +222,9 @@ def replace_bad_ticks(flagged: DataFrame, block_rows: int = BLOCK_ROWS, q=(1e-4,
     """
     if min(q) < 1e-8 or r < 1e-12:
         raise ValueError("noise too small for the covariance to stay definite")
-    schema = T.StructType([flagged.schema["symbol"]] + CLEAN.fields)
-    cols = ["pos", "ts_ms", "seq", "price", "volume", "is_bad", "is_tail", "sigma"]
+    states = ("clean_price", "level", "trend", "p00", "p01", "p11")
+    schema = T.StructType([flagged.schema["symbol"]] + [f for f in CLEAN.fields if f.name in (*flagged.columns, *states)])
+    cols = [c for c in ("pos", "ts_ms", "seq", "price", "volume", "is_bad", "is_tail", "sigma") if c in flagged.columns]
     rows = kept(flagged.select("symbol", *cols).withColumn("_seg", F.floor(F.col("pos") / segment)))
     together = max(1, block_rows // segment)
 
@@ -230,24 +241,27 @@ def replace_bad_ticks(flagged: DataFrame, block_rows: int = BLOCK_ROWS, q=(1e-4,
         return head.append_column("element", _lists(maps.filter_elements(at, price, skip, q, r).tolist()))
 
     def final(table: pa.Table) -> pa.Table:
+        table, before = _handed(table, "_seg")
         at, price, skip = opened(table)
         state = np.tile([np.nan, 0.0, 1.0, 0.0, 1.0], (len(at) - 1, 1))
-        for i, e in enumerate(table.column("before").take(pa.array(at[:-1])).to_pylist()):
+        for i, e in enumerate(before):
             if e is not None and e[14]:
                 state[i] = e[15:20]
         out = maps.filter_segments(at, price, skip, state, q, r)[0]
         found = [pa.array(c, from_pandas=True) for c in out.T]
-        put = dict(zip(("clean_price", "level", "trend", "p00", "p01", "p11"), found, strict=True))
+        put = dict(zip(states, found, strict=True))
         return _as_table(schema, [put[n] if n in put else table.column(n) for n in schema.names])
 
-    known = _carried(rows, "_seg", elements, maps.filter_product, ["price", "is_bad"])
+    known = _carried(rows, "_seg", segment, elements, maps.filter_product, ["price", "is_bad"])
     known = known.withColumn("_blk", F.floor(F.col("_seg") / together))
-    return along(known, ["symbol"], "_blk", "pos", final, schema, [*cols, "_seg", "before"])
+    return along(known, ["symbol"], "_blk", "pos", final, schema, [*cols, "_seg", "before"], ahead="before")
 
 
 def clean_ticks(ticks: DataFrame, ref: DataFrame | None = None, window: int = 100, window_ms: int = 500, eta: float = 2.0, block_rows: int = BLOCK_ROWS, block_ms: int = 3_600_000) -> DataFrame:
     flagged = filter_outliers(numbered(ticks), ref, window, window_ms, eta, block_rows, block_ms)
-    return replace_bad_ticks(flagged, block_rows)
+    clean = replace_bad_ticks(flagged, block_rows)
+    let_go(flagged)  # the numbered ticks
+    return clean
 
 
 def gap_projection(level: Column, trend: Column, p00: Column, p01: Column, p11: Column, n: Column, q0=1e-4, q1=1e-5) -> dict[str, Column]:
@@ -321,10 +335,11 @@ def window_ofi(bars: DataFrame, window: int = 14, price="close", volume="volume"
 # --- thresholds ----------------------------------------------------------------------------
 
 
-def daily_dollar_volume(ticks: DataFrame, price: str = "price") -> DataFrame:
+def daily_dollar_volume(ticks: DataFrame, price: str = "price", *more: Column) -> DataFrame:
+    """One row for each symbol and day with ticks; ``more``: further aggregates."""
     day = F.floor(F.col("ts_ms") / DAY_MS).alias("day")
     return ticks.groupBy("symbol", day).agg(
-        F.sum(F.col(price) * F.col("volume")).alias("dollar_volume"), F.min("ts_ms").alias("ts_ms")
+        F.sum(F.col(price) * F.col("volume")).alias("dollar_volume"), F.min("ts_ms").alias("ts_ms"), *more
     )
 
 
@@ -363,12 +378,13 @@ def map_threshold(ticks: DataFrame, thresholds: DataFrame) -> DataFrame:
     filled = days.join(th, ["symbol", "day"], "full").withColumn(
         "theta", F.last("theta", ignorenulls=True).over(o)
     ).filter("is_day = 1")
-    every = Window.partitionBy("symbol")
-    p10 = F.percentile("theta", F.lit(0.1), F.col("n_ticks")).over(every)
-    table = filled.select(
-        "symbol", "day", F.coalesce("theta", p10, F.lit(1_000_000.0)).alias("theta")
-    )
-    return t.join(table, ["symbol", "day"]).drop("day")
+    return t.join(_every_day(filled), ["symbol", "day"]).drop("day")
+
+
+def _every_day(days: DataFrame) -> DataFrame:
+    """``(symbol, day, theta)``; days of ``(symbol, day, n_ticks, theta)`` without a threshold get one."""
+    p10 = F.percentile("theta", F.lit(0.1), F.col("n_ticks")).over(Window.partitionBy("symbol"))
+    return days.select("symbol", "day", F.coalesce("theta", p10, F.lit(1_000_000.0)).alias("theta"))
 
 
 # --- dollar bars ----------------------------------------------------------------------------
@@ -409,9 +425,9 @@ def cut_bars(ticks: DataFrame, price: str = "price", block_rows: int = BLOCK_ROW
         return [*maps.moves_product(first[:3], then[:3]), *maps.bars_product(first[3:], then[3:])]
 
     def final(table: pa.Table) -> pa.Table:
+        table, before = _handed(table, "_blk")
         at, found = blocks(table)
         closes, bar = np.zeros(table.num_rows, np.int32), np.zeros(table.num_rows, np.int64)
-        before = table.column("before").take(pa.array(at[:-1])).to_pylist()
         held = np.array([(np.nan, 1.0) if e is None else (e[1], e[2] or 1.0) for e in before])
         for a, b, c, e in zip(at[:-1], at[1:], found, before, strict=True):
             carry, done = (0, 0) if e is None else maps.bars_after(e[3:])
@@ -421,8 +437,8 @@ def cut_bars(ticks: DataFrame, price: str = "price", block_rows: int = BLOCK_ROW
         put = {"closes": pa.array(closes), "sign": pa.array(sign), "bar": pa.array(bar)}
         return _as_table(schema, [put[n] if n in put else table.column(n) for n in schema.names])
 
-    known = _carried(rows, "_blk", elements, product, [price, "volume", "theta"])
-    return along(known, ["symbol"], "_blk", "pos", final, schema, [*names, "before"])
+    known = _carried(rows, "_blk", block_rows, elements, product, [price, "volume", "theta"])
+    return along(known, ["symbol"], "_blk", "pos", final, schema, [*names, "before"], ahead="before")
 
 
 def dollar_bars(ticks: DataFrame, price: str = "price", median_window: int = 100, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -472,11 +488,17 @@ def build_dollar_bars(ticks: DataFrame, ref=None, window: int = 100, bars_per_da
 
     The cleaning window also serves as the threshold window, as in the bar contract.
     """
-    # the cleaned ticks feed the thresholds and the bars: written once, not derived twice
-    clean = clean_ticks(ticks, ref, window, block_rows=block_rows)
-    clean = kept(clean.filter(F.col("clean_price").isNotNull()))
-    th = daily_threshold(daily_dollar_volume(clean, "clean_price"), window, bars_per_day)
-    bars = dollar_bars(map_threshold(clean, th), "clean_price", median_window, block_rows)
+    # tables that several steps read are written once, with the columns that follow, and go when the next is written
+    flagged = filter_outliers(numbered(ticks), ref, window, block_rows=block_rows)
+    states = replace_bad_ticks(flagged.select("symbol", "pos", "ts_ms", "price", "volume", "is_bad", "is_tail"), block_rows)
+    let_go(flagged)
+    clean = kept(states.filter(F.col("clean_price").isNotNull()).select("symbol", "pos", "ts_ms", "clean_price", "volume", "is_tail"))
+    let_go(states)
+    daily = daily_dollar_volume(clean, "clean_price", F.count("*").alias("n_ticks"))
+    days = kept(_every_day(daily_threshold(daily, window, bars_per_day)))  # the days of the ticks themselves
+    mapped = clean.withColumn("day", F.floor(F.col("ts_ms") / DAY_MS)).join(days, ["symbol", "day"]).drop("day")
+    bars = dollar_bars(mapped, "clean_price", median_window, block_rows)
+    let_go(mapped)
     blank = F.lit(None).cast("double")
     return bars.drop("median_ticks").withColumns(
         {

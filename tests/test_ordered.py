@@ -1,5 +1,7 @@
 """Blocked windows, carried values, exact quantiles and scans against one-pass results."""
 
+import glob
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -203,3 +205,18 @@ def test_rows_are_computed_once(spark):
 
     d = od.kept(spark.range(1000).mapInArrow(run, "id long"))
     assert d.count() == 1000 and seen.value == 1000
+
+
+def test_dollar_bars_keep_one_table_of_ticks(ticks):
+    """Tables of ticks go when the next is written, and products of segments are not joined to ticks."""
+    _, df = ticks
+    kept = lambda: set(glob.glob(od.checkpoint_dir(df.sparkSession).removeprefix("file:") + "/rows-*"))
+    had = kept()
+    bars = tk.build_dollar_bars(df, None, 5, 0.2, 5)
+    assert len(kept() - had) == 1
+    assert bars.count() > 0
+    plain = tk.clean_ticks(df, None, 20)
+    assert len(kept() - had) == 2 and plain.count() == df.count()
+    states = tk.replace_bad_ticks(tk.flag_ticks(tk.numbered(df), 20), segment=64)
+    assert "LeftOuter" not in states._jdf.queryExecution().executedPlan().toString()
+    assert states.count() == df.count()
