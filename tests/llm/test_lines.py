@@ -102,3 +102,17 @@ def test_empty_table_clashing_columns_and_long_text(session):
     assert len(got) == len(rows)
     for k, (i, t, stay) in enumerate(kept(rows)):
         assert (got[k].text or "") == "\n".join(stay) and got[k].gone == "x" and got[k].doc_id == i
+
+
+def test_only_texts_that_lose_lines_go_to_python(session):
+    """Others are counted and digested by Spark; keys beyond ASCII fold A-Z alone."""
+    kept = ["\u212aELVIN scale of the line \u0130 \u00c9", "\u00c9LAN VITAL IS A LONG ENOUGH LINE", "PLAIN ascii LINE of enough letters"]
+    same = [kept[0].replace("ELVIN", "elvin"), "\u00c9lan vital is a long enough line", "plain ASCII line OF enough letters"]
+    other = [x.lower() for x in kept[:2]]  # Kelvin sign, dotted I and E acute are other letters in lower case
+    rows = [(1, "\n".join(kept)), (2, "\n".join(same)), (3, "\n".join([*kept, ""])), (4, "\n".join(other)), (5, None), (6, "a\n\n")]
+    out = lines.digest(session.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in out.collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (3, 3, sha("")), 2: (3, 3, sha("")), 3: (4, 0, sha(rows[2][1])), 4: (2, 0, sha(rows[3][1])), 5: (1, 0, sha("")), 6: (3, 0, sha("a\n\n"))}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnotnull(gone" in plan and "sha2(" in plan
