@@ -9,7 +9,8 @@ the distance of the threshold, so that the target recall is 1. What a visited ce
 verified in double precision.
 
 Work is dealt by grid rows (label, code of the first half), cut into blocks of at most about
-``BLOCK`` vectors; a pair of blocks is one piece of work, whatever a row holds. A vector visits
+``BLOCK`` vectors, and of ``VISITORS`` times as many for those that only visit, as each of them is
+copied to fewer pieces than a stored one; a pair of blocks is one piece of work, whatever a row holds. A vector visits
 only rows after its own, and its own row once, so each pair is met once. A piece returns each
 vector's number of links and a spanning forest of its links, not the links.
 
@@ -35,6 +36,7 @@ from barloom.llm.common import NO_ID, components, own_exchange, staged
 THRESHOLD = 0.98
 SAMPLE = 16384
 BLOCK = 1024
+VISITORS = 4
 LEAST_CODES, MOST_CODES = 16, 512
 
 
@@ -77,15 +79,19 @@ def bounds(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def traverse(first: np.ndarray, second: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
-    """Cells (i, j) in the order of ``first[i] + second[j]`` up to ``limit``."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
+    """Cells (i, j) in the order of ``first[i] + second[j]`` up to ``limit``; neither is negative."""
+    a, b = np.flatnonzero(first <= limit), np.flatnonzero(second <= limit)
+    a, b = a[np.argsort(first[a], kind="stable")], b[np.argsort(second[b], kind="stable")]
     x, y = first[a].tolist(), second[b].tolist()
+    if not x or not y:
+        return
+    a, b = a.tolist(), b.tolist()
     heap, done = [(x[0] + y[0], 0, 0)], [0] * (len(x) + 1)
     while heap:
         cost, i, j = heapq.heappop(heap)
         if cost > limit:
             return
-        yield int(a[i]), int(b[j])
+        yield a[i], b[j]
         done[i] = j + 1
         if i + 1 < len(x) and done[i + 1] == j:
             heapq.heappush(heap, (x[i + 1] + y[j], i + 1, j))
@@ -119,10 +125,10 @@ def _file(shared, limit: float):
                     b1, b2 = bounds(h1, one), bounds(h2, two)
                     rows, row, visits = [], [], []
                     for k in range(len(x)):
-                        seen: dict[int, list[int]] = {int(own[k]): []}
-                        for i, j in traverse(b1[k], b2[k], limit):
-                            if i >= own[k]:
-                                seen.setdefault(i, []).append(j)
+                        at = int(own[k])
+                        seen: dict[int, list[int]] = {at: []}
+                        for i, j in traverse(b1[k, at:], b2[k], limit):  # rows before its own visit it
+                            seen.setdefault(at + i, []).append(j)
                         for i, js in seen.items():
                             rows.append(k)
                             row.append(i)
@@ -146,7 +152,7 @@ def _forest(linked: np.ndarray) -> np.ndarray:
     """For each vertex of a symmetric adjacency, the smallest vertex its links connect it to."""
     top = np.arange(len(linked))
     while True:
-        new = np.minimum(top, np.where(linked, top[None, :], len(top)).min(1))
+        new = np.minimum(top, np.where(linked, top[None, :], len(top)).min(1, initial=len(top)))
         new = new[new]
         if (new == top).all():
             return top
@@ -166,36 +172,59 @@ def _verify(threshold: float):
         x, y = _matrix(left.column("vector").combine_chunks()), _matrix(right.column("vector").combine_chunks())
         cell = left.column("cell").to_numpy()
         linked = np.zeros((len(x), len(y)), bool)
-        going: dict[int, list[int]] = {}
-        for k, v in enumerate(right.column("visits").to_pylist()):
-            for j in np.frombuffer(v, np.int16).tolist():
-                going.setdefault(j, []).append(k)
+        visits = right.column("visits")
+        going = np.frombuffer(b"".join(visits.to_pylist()), np.int16)
+        by_cell = np.argsort(going, kind="stable")
+        visitor = np.repeat(np.arange(len(y)), pc.binary_length(visits).to_numpy() // 2)[by_cell]
+        going = going[by_cell]
         order = np.argsort(cell, kind="stable")
         used, first = np.unique(cell[order], return_index=True)
         for j, at in zip(used.tolist(), np.split(order, first[1:]), strict=True):
-            come = going.get(j)
-            if come:
+            come = visitor[np.searchsorted(going, j) : np.searchsorted(going, j, side="right")]
+            if len(come):
                 linked[np.ix_(at, come)] = x[at] @ y[come].T >= threshold
         node_x, node_y = left.column("node").to_numpy(), right.column("node").to_numpy()
         n_x, n_y = left.column("n").to_numpy(), right.column("n").to_numpy()
         if same:
             linked |= linked.T
             np.fill_diagonal(linked, False)
+        # only what has links goes on
+        own, come = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+        linked = linked[np.ix_(own, come)]
+        node_x, node_y, n_x, n_y = node_x[own], node_y[come], n_x[own], n_y[come]
+        if same:
             node, count = node_x, linked @ n_y
             top = _forest(linked)
         else:
             node = np.append(node_x, node_y)
             count = np.append(linked @ n_y, linked.T @ n_x)
             whole = np.zeros((len(node), len(node)), bool)
-            whole[: len(x), len(x) :] = linked
-            whole[len(x) :, : len(x)] = linked.T
+            whole[: len(own), len(own) :] = linked
+            whole[len(own) :, : len(own)] = linked.T
             top = _forest(whole)
-        some = np.flatnonzero(count > 0)
-        return pa.table({"node": node[some], "links": count[some].astype(np.int64), "top": node[top[some]]})
+        return pa.table({"node": node, "links": count.astype(np.int64), "top": node[top]})
 
     return run
 
 
+def _pieces(members: DataFrame, block: int) -> DataFrame:
+    """Members once for each piece of work, which is a pair of blocks of a grid row."""
+    key = ["label", "dim", "row"]
+    sizes = members.groupBy(*key).agg(F.count_if("stored").alias("own"), F.count_if(~F.col("stored")).alias("come")).where("own > 0")
+    sizes = sizes.select(F.struct(*key).alias("k"), F.greatest(F.lit(1), F.ceil(F.col("own") / block)).cast("int").alias("s"), F.ceil(F.col("come") / (VISITORS * block)).cast("int").alias("v"))
+    sizes = staged(sizes, "sizes")  # written first, its size is known: few rows are broadcast, and the members stay where they are
+    dealt = members.join(sizes, F.struct(*key) == F.col("k")).drop("k")
+    slot = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("stored"), F.col("s")).otherwise(F.greatest(F.col("v"), F.lit(1)))).cast("int")
+    dealt = dealt.withColumn("b", F.when(F.col("stored"), slot).otherwise(F.col("s") + slot))
+    # block pairs (l, r) with l stored and l <= r; a vector is on the left, on the right, or (l = r) both
+    as_left = F.transform(F.sequence(F.col("b"), F.col("s") + F.col("v") - 1), lambda r: F.struct(F.col("b").alias("l"), r.alias("r"), F.lit(0).alias("side")))
+    as_right = F.transform(F.sequence(F.lit(0), F.least(F.col("b"), F.col("s")) - 1), lambda q: F.struct(q.alias("l"), F.col("b").alias("r"), F.lit(1).alias("side")))
+    places = F.when(F.col("stored"), F.concat(as_left, F.when(F.col("b") > 0, as_right).otherwise(F.array().cast("array<struct<l:int,r:int,side:int>>")))).otherwise(as_right)
+    work = dealt.select(*key, "node", "n", "cell", "visits", "vector", F.explode(places).alias("w")).select(*key, "w.*", "node", "n", "cell", "visits", "vector")
+    work = work.repartition(F.xxhash64(*key, "l", "r"))
+    return work.withColumn("piece", F.xxhash64(*key, "l", "r")).select("piece", "l", "r", "side", "node", "n", "cell", "visits", "vector")
+
+
 def _sample(nodes: DataFrame, n: int, sample: int) -> dict[int, np.ndarray]:
     """Unit vectors of about ``sample`` nodes, picked by their hash, by dimension."""
     share = min(1.0, sample / max(1, n))
@@ -227,21 +256,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPL
     shared = spark.sparkContext.broadcast(books)  # two codebooks of k vectors for each dimension
     limit = 2 - 2 * threshold + 1e-9
     members = staged(nodes.select("label", "dim", "node", "n", "embedding").repartition("node").mapInArrow(_file(shared, limit), _MEMBER), "members")
-
-    key = ["label", "dim", "row"]
-    sizes = members.groupBy(*key).agg(F.count_if("stored").alias("own"), F.count_if(~F.col("stored")).alias("come")).where("own > 0")
-    sizes = sizes.select(F.struct(*key).alias("k"), F.greatest(F.lit(1), F.ceil(F.col("own") / block)).cast("int").alias("s"), F.ceil(F.col("come") / block).cast("int").alias("v"))
-    dealt = members.join(sizes, F.struct(*key) == F.col("k")).drop("k")
-    slot = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("stored"), F.col("s")).otherwise(F.greatest(F.col("v"), F.lit(1)))).cast("int")
-    dealt = dealt.withColumn("b", F.when(F.col("stored"), slot).otherwise(F.col("s") + slot))
-    # block pairs (l, r) with l stored and l <= r; a vector is on the left, on the right, or (l = r) both
-    as_left = F.transform(F.sequence(F.col("b"), F.col("s") + F.col("v") - 1), lambda r: F.struct(F.col("b").alias("l"), r.alias("r"), F.lit(0).alias("side")))
-    as_right = F.transform(F.sequence(F.lit(0), F.least(F.col("b"), F.col("s")) - 1), lambda q: F.struct(q.alias("l"), F.col("b").alias("r"), F.lit(1).alias("side")))
-    places = F.when(F.col("stored"), F.concat(as_left, F.when(F.col("b") > 0, as_right).otherwise(F.array().cast("array<struct<l:int,r:int,side:int>>")))).otherwise(as_right)
-    work = dealt.select(*key, "node", "n", "cell", "visits", "vector", F.explode(places).alias("w")).select(*key, "w.*", "node", "n", "cell", "visits", "vector")
-    work = work.repartition(F.xxhash64(*key, "l", "r"))
-    work = work.withColumn("piece", F.xxhash64(*key, "l", "r")).select("piece", "l", "r", "side", "node", "n", "cell", "visits", "vector")
-    found = staged(work.groupBy("piece").applyInArrow(_verify(threshold), "node long, links long, top long"), "found")
+    found = staged(_pieces(members, block).groupBy("piece").applyInArrow(_verify(threshold), "node long, links long, top long"), "found")
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("node").alias("a"), F.col("top").alias("b"))).withColumnRenamed("id", "node")

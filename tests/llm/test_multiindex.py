@@ -86,3 +86,20 @@ def test_bounds_hold():
         for p, b in zip(x, low[:, i]):
             if (code == i).any():
                 assert b <= ((x[code == i] - p) ** 2).sum(1).min() + 1e-9
+
+
+def test_pieces_meet_every_pair_once_and_members_are_dealt_once(session):
+    """The table of row sizes is broadcast: the only exchange of members is the one to their pieces."""
+    members = [(1, 2, 7, k, 1, k < 5, 0, b"", b"") for k in range(45)]  # five stored in blocks of two, and forty visitors
+    work = multiindex._pieces(session.createDataFrame(members, multiindex._MEMBER), 2)
+    plan = work._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    sides = {}
+    for r in work.collect():
+        sides.setdefault((r.piece, r.l, r.r), ([], []))[r.side].append(r.node)
+    met = []
+    for (_, at, to), (left, right) in sides.items():
+        met += [(a, b) for a in left for b in (left if at == to else right) if at != to or a < b]
+    assert all(a < 5 for a, _ in met)
+    assert len({frozenset(p) for p in met}) == len(met) == 10 + 5 * 40
+    assert len(sides) <= 6 + 3 * 5  # forty visitors are five blocks of eight
